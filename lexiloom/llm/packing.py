@@ -4,8 +4,8 @@ Documents are tokenised once, cut only where they are longer than a sequence (th
 first, full pieces follow), and reduced to one small row a piece. A full piece is a sequence of its
 own. The others are dealt over partitions of bounded size; each packs its pieces best-fit
 decreasing, and lower bounds from dual feasible functions certify its number of sequences. The
-partitions that stay above their bound give up their sequences that aren't full; these pieces are
-exchanged, dealt anew over as few partitions as they need and packed again, until one partition is
+partitions that stay above their bound give up their sequences that aren't full, the others their
+emptiest one; these pieces are exchanged, dealt anew over as few partitions as they need and packed again, until one partition is
 left or a round gains nothing.
 
 Defined cases: a null text is the empty text, one piece of the end token alone; repeated rows are
@@ -141,7 +141,7 @@ def lower_bound(sizes: np.ndarray, capacity: int) -> int:
     return best
 
 
-_PACKED = "row long, length long, part long, bin long, offset long, gap boolean, free boolean"
+_PACKED = "row long, length long, part long, bin long, offset long, open boolean"
 
 
 def _pack(capacity: int):
@@ -149,9 +149,11 @@ def _pack(capacity: int):
         group = group.sort_values(["length", "row"], ascending=[False, True])
         sizes = group["length"].to_numpy()
         bins, offsets, n = best_fit_decreasing(sizes, capacity)
-        gap = n > lower_bound(sizes, capacity)
-        free = np.bincount(bins, sizes, n)[bins] < capacity
-        return pd.DataFrame({"row": group["row"].to_numpy(), "length": sizes, "part": group["part"].to_numpy(), "bin": bins, "offset": offsets, "gap": gap, "free": free})
+        filled = np.bincount(bins, sizes, n)
+        gives = filled < capacity
+        if n <= lower_bound(sizes, capacity):  # certified: only its emptiest sequence may still merge with others'
+            gives &= np.arange(n) == filled.argmin()
+        return pd.DataFrame({"row": group["row"].to_numpy(), "length": sizes, "part": group["part"].to_numpy(), "bin": bins, "offset": offsets, "open": gives[bins]})
 
     return pack
 
@@ -159,12 +161,12 @@ def _pack(capacity: int):
 def pack_pieces(items: DataFrame, capacity: int = LENGTH, partition_pieces: int = PARTITION_PIECES) -> DataFrame:
     """``items``: (row, length) with unique ``row``. Gives (row, sequence_id, offset).
 
-    A round deals what is left by hash over parts of ``partition_pieces``. A part that meets its
-    lower bound is final. Of the others, sequences without a free place are final too; the pieces
-    of the rest are dealt anew. If that takes no sequence less, their packing before stands.
+    A round deals what is left by hash over parts of ``partition_pieces``. Full sequences are final,
+    and so is a part that meets its lower bound, but for its emptiest sequence. The pieces of the
+    other sequences are dealt anew. If that takes no sequence less, their packing before stands.
     """
     parts, turn, todo, before, stands = max(1, -(-items.count() // partition_pieces)), 0, items, None, None
-    open_ = F.col("gap") & F.col("free")
+    open_ = F.col("open")
     done: list[DataFrame] = []
     while True:
         dealt = todo.withColumn("part", F.pmod(F.xxhash64("row", F.lit(turn)), F.lit(parts)))

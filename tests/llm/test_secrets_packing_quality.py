@@ -105,7 +105,7 @@ def test_packing_is_whole_gapless_and_close_to_its_bound(spark, part):
             assert offset == at
             at += length
         assert at <= 1024
-    assert len(sequences) <= packing.lower_bound(np.array([r.length for r in found]), 1024) + (2 if part > 40 else 3)  # few pieces a part leave a little more
+    assert len(sequences) <= packing.lower_bound(np.array([r.length for r in found]), 1024) + (2 if part > 40 else 4)  # parts of a few pieces leave more
 
 
 def test_packing_of_an_empty_table(spark):
