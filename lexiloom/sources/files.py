@@ -57,20 +57,29 @@ def ignored(path: Column, rules: Sequence[str]) -> Column:
 
 
 def read_rules(spark: SparkSession, root: str, names: Sequence[str] = (".gitignore", ".lexiloomignore")) -> list[str]:
-    """Lines of the ignore files at the root, those that exist; read by Spark, so any store will do."""
-    out: list[str] = []
+    """Lines of the ignore files at the root, those that exist, through Hadoop's file system, so any store will do."""
+    jvm, out = spark.sparkContext._jvm, []
     for name in names:
-        found = spark.read.format("binaryFile").option("pathGlobFilter", name).load(root).select("content").first()
-        out += bytes(found.content).decode("utf-8", "replace").splitlines() if found else []
+        path = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{name}")
+        store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if store.exists(path):
+            stream = store.open(path)
+            try:
+                out += jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").splitlines()
+            finally:
+                stream.close()
     return out
 
 
 def listing(spark: SparkSession, root: str) -> DataFrame:
-    """(path, length, modified, content) of every file below ``root``; a missing root is an error."""
+    """(path, length, modified, content) of every file below ``root``; a missing root is an error.
+
+    Spark itself leaves out files and folders whose names start with a dot or an underscore.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
     base = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(base).toString().rstrip("/") + "/"
-    relative = F.regexp_replace("path", "^" + re.escape(base.replace("file:/", "file:/")) + "|^" + re.escape(base.replace("file:///", "file:/")), "")
+    relative = F.regexp_replace("path", "^" + re.escape(base) + "|^" + re.escape(base.replace("file:///", "file:/")), "")
     return files.select(relative.alias("path"), "length", F.col("modificationTime").alias("modified"), "content")
 
 
