@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_or_empty
+from .common import slices, stored, text_or_empty
 
 #: Characters of a chunk, and of the next one that it also sees.
 CHUNK, OVERLAP = 1 << 15, 1 << 10
@@ -68,7 +68,7 @@ def chunks(text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[tuple[
 
 def _whole(ranks: str, pattern: str):
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             n, own, raw = [], [], []
             for text in batch.column("text"):
                 ids = encode(text.as_py(), ranks, pattern)
@@ -82,7 +82,7 @@ def _whole(ranks: str, pattern: str):
 
 def _cut(chunk: int, overlap: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for blob, text in zip(batch.column("blob").to_pylist(), batch.column("text"), strict=True):
                 own = chunks(text.as_py(), chunk, overlap)
                 yield pa.RecordBatch.from_arrays([pa.array([blob] * len(own)), pa.array(range(len(own)), pa.int32()), pa.array([s for s, _ in own], pa.int64()), pa.array([t for _, t in own], pa.string())], names=["blob", "chunk", "start", "text"])
@@ -94,7 +94,7 @@ def _split(pattern: str, chunk: int, overlap: int):
     """By chunk: boundaries in its first stretch and in the one that it shares with the next, as positions in the text."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             heads, tails = [], []
             for start, text in zip(batch.column("start").to_pylist(), batch.column("text"), strict=True):
                 found = boundaries(text.as_py(), pattern)
@@ -107,7 +107,7 @@ def _split(pattern: str, chunk: int, overlap: int):
 
 def _encode_stretch(ranks: str, pattern: str):
     def encode_stretch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             at, ids = batch.to_pydict(), []
             for start, text, begin, end in zip(at["start"], at["text"], at["begin"], at["end"], strict=True):
                 ids.append(encode(text[begin - start : None if end is None else end - start], ranks, pattern))

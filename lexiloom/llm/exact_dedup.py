@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored, text_or_empty
+from .common import slices, stored, text_or_empty
 
 #: Bits of the key that the histogram resolves; the directory uses as many of them as it needs.
 PREFIX_BITS = 24
@@ -42,7 +42,7 @@ def _normal(batch: pa.RecordBatch) -> tuple[pa.Array, np.ndarray]:
 
 
 def _histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         texts, keys = _normal(batch)
         prefix, at = np.unique(keys >> np.uint64(64 - PREFIX_BITS), return_inverse=True)
         size = np.bincount(at, pc.binary_length(texts).to_numpy(zero_copy_only=False) + _ROW_BYTES, len(prefix))
@@ -91,7 +91,7 @@ def _route(directory: Directory):
     bucket_of, owners, shift = directory.bucket, directory.owners, np.uint64(64 - directory.depth)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for n, batch in enumerate(batches):
+        for n, batch in enumerate(slices(batches)):
             _, keys = _normal(batch)
             bucket = bucket_of[(keys >> shift).astype(np.int64)] if directory.depth else np.zeros(len(keys), dtype=np.int32)
             salt = (np.arange(len(keys)) + n * 7919) % owners[bucket]

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_or_empty
+from .common import slices, stored, text_or_empty
 
 LENGTH = 1024
 END = 2
@@ -37,28 +37,31 @@ _PLAIN = re.compile("[^\x00-ɏ]|<\\|endoftext\\|>")
 
 
 @functools.cache
-def _encoders(vocabulary: str) -> tuple[Callable, Callable]:
-    """The tokenizer of ``vocabulary``, and a faster one with the same merges for plain texts."""
+def _whole(vocabulary: str) -> Callable[[str], list[int]]:
+    """The tokenizer of ``vocabulary``, loaded by a worker that meets a text which needs it."""
     from tokenizers import Tokenizer
 
-    whole = Tokenizer.from_file(vocabulary)
-    slow = lambda text: whole.encode(text, add_special_tokens=False).ids
-    try:
-        import public_tokenizers
-        import tiktoken
+    tokenizer = Tokenizer.from_file(vocabulary)
+    return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+
 
+@functools.cache
+def _plain(vocabulary: str) -> Callable[[str], list[int]]:
+    """A faster encoder with the same merges, where their rank file lies beside the vocabulary."""
+    import public_tokenizers
+    import tiktoken
+
+    try:
         with open(re.sub(r"\.json$", ".tiktoken", vocabulary), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        fast = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
     except FileNotFoundError:
-        fast = slow
-    return slow, fast
+        return _whole(vocabulary)
+    return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
 def encode(text: str, vocabulary: str) -> np.ndarray:
     """The ids of a text and the end token, as little-endian unsigned 32-bit integers."""
-    slow, fast = _encoders(vocabulary)
-    ids = slow(text) if _PLAIN.search(text) else fast(text)
+    ids = (_whole if _PLAIN.search(text) else _plain)(vocabulary)(text)
     ids.append(END)
     return np.array(ids, dtype="<u4")
 
@@ -71,7 +74,7 @@ def cut(n: int, length: int = LENGTH) -> list[tuple[int, int]]:
 
 def _pieces(vocabulary: str, length: int):
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 ids = encode(text.as_py(), vocabulary)

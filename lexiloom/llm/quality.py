@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored, text_or_empty
+from .common import slices, stored, text_or_empty
 
 STATISTICS = (
     "log_bytes", "log_words", "word_length", "upper", "digit", "space", "newline", "mark", "symbol", "exclamation", "pipe", "stop", "comma", "wide",
@@ -65,7 +65,7 @@ def statistics(text: str) -> list[float]:
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         at = batch.schema.get_field_index("text")
         values = np.array([statistics(x.as_py()) for x in batch.column(at)], dtype=np.float64).reshape(-1, len(STATISTICS))
         keys = [c for c in batch.schema.names if c != "text"]
@@ -170,7 +170,7 @@ def keep_quality(docs: DataFrame, labels: DataFrame, text: str = "text") -> Data
 
 
 def _with_statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         at = batch.schema.get_field_index("_text")
         values = np.array([statistics(x) for x in batch.column(at).field("text").to_pylist()], dtype=np.float64).reshape(-1, len(STATISTICS))
         struct = pa.StructArray.from_arrays([pa.array(values[:, i]) for i in range(len(STATISTICS))], names=list(STATISTICS))

@@ -16,10 +16,10 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, text_or_empty
+from .common import shared_dir, slices, text_or_empty
 
 KINDS = ("assign", "access", "hex")
 #: Changes whenever a pattern or a length below does: blobs are then scanned anew.
@@ -44,18 +44,8 @@ def span_string(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[kind]}:{start}:{end}" for start, kind, end in spans)
 
 
-def redact(text: str, spans: list[tuple[int, int]], mark: str = "[SECRET]") -> str:
-    """``text`` with each span, overlapping ones merged, replaced by ``mark``."""
-    out, at = [], 0
-    for start, end in sorted(spans):
-        if start >= at:
-            out += [text[at:start], mark]
-        at = max(at, end)
-    return "".join([*out, text[at:]])
-
-
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         rows = [find_spans(x) for x in batch.column("text").to_pylist()]
         joined = [span_string(x) for x in rows]
         counts = [[sum(kind == k for _, kind, _ in x) for x in rows] for k in range(3)]
@@ -109,22 +99,24 @@ class BlobLedger:
         return address(docs, text).select(key, "blob_id").join(known, "blob_id")
 
 
-def _redact_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        at = batch.schema.get_field_index("text")
-        texts = [redact(t or "", [tuple(map(int, x.split(":")[1:])) for x in s.split(",") if x]) for t, s in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True)]
-        yield batch.set_column(at, "text", pa.array(texts, pa.string()))
+def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
+    """``text`` with each span of a span string, overlapping ones merged, replaced by ``mark``."""
+    places = F.transform(F.split(spans, ","), lambda x: F.struct(F.split(x, ":")[1].cast("int").alias("start"), F.split(x, ":")[2].cast("int").alias("end")))
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+
+    def step(done: Column, span: Column) -> Column:
+        between = F.concat(done["out"], F.substr(text, done["at"] + 1, F.greatest(span["start"] - done["at"], F.lit(0))), F.lit(mark))
+        return F.struct(F.when(span["start"] >= done["at"], between).otherwise(done["out"]).alias("out"), F.greatest(done["at"], span["end"]).alias("at"))
+
+    return F.aggregate(places, start, step, lambda done: F.concat(done["out"], F.substr(text, done["at"] + 1)))
 
 
 def redact_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with every secret replaced by a mark; rows without one are unchanged. ``n_chars``, where there, follows."""
-    found = unseen_findings(docs, text).where("spans <> ''").select("blob_id", "spans")
-    joined = address(docs, text).join(found, "blob_id", "left")
-    kept = [c for c in docs.columns if c != text]
-    dirty = joined.where("spans is not null").select(*kept, F.col(text).alias("text"), "spans")
-    schema = dirty.schema
-    clean = joined.where("spans is null").select(*docs.columns)
-    masked = dirty.mapInArrow(_redact_rows, schema).drop("spans").withColumnRenamed("text", text)
-    if "n_chars" in kept:
-        masked = masked.withColumn("n_chars", F.char_length(text).cast(docs.schema["n_chars"].dataType))
-    return clean.unionByName(masked.select(*docs.columns))
+    found = unseen_findings(docs, text).where("spans <> ''").select("blob_id", F.col("spans").alias("_spans"))
+    own = docs.select(F.struct("*").alias("_row"), F.sha2(text_or_empty(text).cast("binary"), 256).alias("blob_id"))
+    joined = own.join(found, "blob_id", "left").withColumn("_text", F.when(F.col("_spans").isNotNull(), redact(F.col(f"_row.{text}"), F.col("_spans"))).otherwise(F.col(f"_row.{text}")))
+    value = {text: F.col("_text")}
+    if "n_chars" in docs.columns:
+        value["n_chars"] = F.when(F.col("_spans").isNotNull(), F.char_length("_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row.n_chars"))
+    return joined.select(*[value.get(c, F.col("_row").getField(c)).alias(c) for c in docs.columns])

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored, text_or_empty
+from .common import slices, stored, text_or_empty
 
 BITS, BUDGET, BLOCK = 64, 3, 16
 WIDTH = 3
@@ -58,7 +58,7 @@ def fingerprint(text: str) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         prints = np.array([fingerprint(x.as_py()) for x in batch.column("text")], dtype=np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints)], names=["doc_id", "fp"])
 
@@ -299,7 +299,7 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", no
 
 
 def _with_print(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         prints = np.array([fingerprint(x.as_py()) for x in batch.column("_text")], dtype=np.uint64).view(np.int64)
         yield batch.drop_columns(["_text"]).append_column("_fp", pa.array(prints))
 
