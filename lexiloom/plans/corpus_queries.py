@@ -206,7 +206,7 @@ def _(spark, sf):
 
 FACTS = MANIFEST + """, facts_ AS (SELECT m.path, m.sha256, m.chunk_count, p.title, p.source = 'src5' AS frontmatter_empty, coalesce(total, 0) AS total_chunks, coalesce(heads, 0) AS heading_chunks, coalesce(f.text, '') AS first_chunk_text
   FROM manifest_ m JOIN pages_ p USING (path) LEFT JOIN (SELECT path, count(*) AS total, count(*) FILTER (chunk_idx % 4 = 3) AS heads FROM chunks_ GROUP BY path) USING (path) LEFT JOIN (SELECT path, text FROM chunks_ WHERE chunk_idx = 0) f USING (path) WHERE p.lang <> 'es'),
- disk_ AS (SELECT path, CASE WHEN doc_id % 3 = 0 THEN NULL WHEN doc_id % 3 = 1 THEN upper(title) ELSE title || ' x' END AS h1 FROM pages_)"""
+ disk_ AS (SELECT path, CASE WHEN doc_id % 3 = 0 THEN NULL WHEN doc_id % 3 = 1 THEN '  ' || title ELSE title || ' x' END AS h1 FROM pages_)"""
 NORM = r"lower(regexp_replace(regexp_replace({0}, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g'))"
 DUP = "SELECT a.path, CASE WHEN a.path = lo THEN hi ELSE lo END || CASE WHEN n > 2 THEN ' and ' || (n - 2) || ' more' ELSE '' END AS other FROM {src} a JOIN (SELECT {key} AS k, count(*) AS n, min(path) AS lo, max(path) AS hi FROM {src} GROUP BY 1 HAVING n > 1) ON {key2} = k"
 FINDINGS = {
@@ -234,7 +234,7 @@ def facts(spark, sf):
 
 def disk(spark, sf):
     kind = F.col("doc_id") % 3
-    return pages(spark, sf).select("path", F.when(kind == 1, F.upper("title")).when(kind == 2, F.concat("title", F.lit(" x"))).alias("h1"))
+    return pages(spark, sf).select("path", F.when(kind == 1, F.concat(F.lit("  "), "title")).when(kind == 2, F.concat("title", F.lit(" x"))).alias("h1"))
 
 
 @query("d00_page_facts", f"WITH {FACTS} SELECT path, title, frontmatter_empty, chunk_count, sha256, heading_chunks, total_chunks, first_chunk_text FROM facts_")
@@ -287,7 +287,7 @@ CASES = """base_ AS (SELECT vec_id, label, vec_id % 50 = 0 AS asked, CAST(embedd
  shown_ AS (SELECT case_id, count(*) AS n FROM ranked_ GROUP BY case_id),
  results_ AS (SELECT case_id, query_class, answerable, """ + ", ".join(f"CASE WHEN answerable THEN round(coalesce({m}, 0), 6) END AS {m}" for m in ("recall_1", "recall_5", "recall_10", "candidate_recall", "mrr", "ndcg_5", "ndcg_10")) + """,
    coalesce(n, 0) = 0 AS empty, CASE WHEN answerable THEN coalesce(n, 0) > 0 AND NOT coalesce(top, false) ELSE coalesce(n, 0) > 0 END AS wrong_source FROM cases_ LEFT JOIN per_ USING (case_id) LEFT JOIN shown_ USING (case_id))"""
-SUMMARY = "count(case_id) AS cases, " + ", ".join(f"round(avg({m}), 6) AS {m}" for m in ("recall_1", "recall_5", "recall_10", "candidate_recall", "mrr", "ndcg_5", "ndcg_10")) + ", round(avg(CAST(empty AS DOUBLE)), 6) AS empty_rate, round(avg(CAST(wrong_source AS DOUBLE)), 6) AS wrong_source_rate"
+SUMMARY = "count(case_id) AS cases, " + ", ".join(f"round(sum(CAST(round({m} * 1e6) AS BIGINT)) / count({m}) / 1e6, 6) AS {m}" for m in ("recall_1", "recall_5", "recall_10", "candidate_recall", "mrr", "ndcg_5", "ndcg_10")) + ", round(avg(CAST(empty AS DOUBLE)), 6) AS empty_rate, round(avg(CAST(wrong_source AS DOUBLE)), 6) AS wrong_source_rate"
 
 
 def case_results(spark, sf, skip=0):

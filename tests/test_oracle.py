@@ -11,6 +11,11 @@ import __spark_entry__ as entry
 QUERIES, SQL = entry.registry.QUERIES, entry.registry.ORACLE_SQL
 
 
+@pytest.fixture(scope="module")
+def sf_dir():
+    return os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
+
+
 @pytest.fixture(scope="module")
 def duck(sf_dir):
     con = duckdb.connect()
