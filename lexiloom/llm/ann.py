@@ -3,8 +3,8 @@
 Coarse centroids and codebooks are fitted on a bounded sample; every distinct vector is indexed:
 its list and the codes of its residual. Lists are laid into blocks of bounded size (a large list
 into several), and each query goes to the blocks that hold one of its probed lists. There asymmetric
-distance tables score the codes, and the best of each block go on to exact reranking in double
-precision on the original vectors. How many lists are probed is set on the sample, for a recall
+distance tables score the codes, the best are reranked exactly, in double precision on the original
+vectors, and the nearest of each block go on. How many lists are probed is set on the sample, for a recall
 beyond the stated one.
 
 Equal vectors are indexed once, with their smallest ids, as many as any answer can hold; equal
@@ -116,17 +116,21 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dim: int, kind=np.float32) -> np
     return column.flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(-1, dim)
 
 
-def _encode(index: Index, dim: int, blocks: dict[int, list[int]] | None):
+def _lists(index: Index, dim: int):
+    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = _nearest(_matrix(batch.column("vector"), dim), index.centroids)
+            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32))], names=["list"])
+
+    return lists
+
+
+def _encode(index: Index, dim: int, blocks: dict[int, list[int]]):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own, codes = index.assign(_matrix(batch.column("vector"), dim))
-            node = batch.column("node").to_numpy()
-            columns = [batch.column("node"), pa.array(own.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary())]
-            names = ["node", "list", "codes"]
-            if blocks is not None:
-                columns.append(pa.array([blocks[w][n % len(blocks[w])] for w, n in zip(own.tolist(), node.tolist(), strict=True)], pa.int32()))
-                names.append("block")
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            block = [blocks[w][n % len(blocks[w])] for w, n in zip(own.tolist(), batch.column("node").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(block, pa.int32())], names=[*batch.schema.names, "list", "codes", "block"])
 
     return encode
 
@@ -144,15 +148,20 @@ def _route(index: Index, dim: int, blocks: dict[int, list[int]]):
     return route
 
 
-def _score(index: Index, dim: int, keep: int):
-    """Best ``keep`` of a block's vectors for each of its queries, by tables over the lists that the query probes."""
+def _score(index: Index, dim: int, keep: int, k: int):
+    """The ``k`` nearest of a block's vectors for each of its queries.
+
+    Tables over the codes of the lists that a query probes choose ``keep`` vectors; these are
+    compared exactly.
+    """
 
-    def score(codes: pa.Table, queries: pa.Table) -> pa.Table:
-        out = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)]
-        if codes.num_rows and queries.num_rows:
-            lists = codes.column("list").to_numpy()
-            code = np.frombuffer(b"".join(codes.column("codes").to_pylist()), np.uint8).reshape(len(lists), -1)
-            node, query = codes.column("node").to_numpy(), queries.column("query").to_numpy()
+    def score(nodes: pa.Table, queries: pa.Table) -> pa.Table:
+        out = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float64)]
+        if nodes.num_rows and queries.num_rows:
+            lists = nodes.column("list").to_numpy()
+            code = np.frombuffer(b"".join(nodes.column("codes").to_pylist()), np.uint8).reshape(len(lists), -1)
+            node, query = nodes.column("node").to_numpy(), queries.column("query").to_numpy()
+            x = _matrix(nodes.column("vector"), dim)
             found = []
             for at in range(0, len(query), 256):
                 q = _matrix(queries.column("vector").slice(at, 256), dim)
@@ -166,24 +175,17 @@ def _score(index: Index, dim: int, keep: int):
                             part += tables[j][asks][:, code[rows, j]]
                         total[np.ix_(asks, rows)] = part
                 top = np.argpartition(-total, min(keep, total.shape[1]) - 1, axis=1)[:, :keep]
-                best = np.take_along_axis(total, top, axis=1)
-                a, b = np.nonzero(best > -np.inf)
-                found.append((query[at + a], node[top[a, b]], best[a, b]))
-            out = [np.concatenate(x) for x in zip(*found, strict=True)]
-        return pa.table({"query": pa.array(out[0].astype(np.int64)), "node": pa.array(out[1].astype(np.int64)), "approx": pa.array(out[2].astype(np.float32))})
+                for i, own in enumerate(top):
+                    own = own[total[i, own] > -np.inf]
+                    exact = (x[own].astype(np.float64) * q[i].astype(np.float64)).sum(axis=1)
+                    best = np.lexsort((node[own], -exact))[:k]
+                    found.append((np.full(len(best), query[at + i]), node[own[best]], exact[best]))
+            out = [np.concatenate(c) for c in zip(*found, strict=True)]
+        return pa.table({"query": pa.array(out[0].astype(np.int64)), "node": pa.array(out[1].astype(np.int64)), "score": pa.array(out[2].astype(np.float64))})
 
     return score
 
 
-def _exact(dim: int):
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            score = (_matrix(batch.column("asked"), dim, np.float64) * _matrix(batch.column("vector"), dim, np.float64)).sum(axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column("query"), batch.column("ids"), pa.array(score)], names=["query", "ids", "score"])
-
-    return exact
-
-
 def _lay_out(counts: dict[int, int]) -> dict[int, list[int]]:
     """Blocks of each list: small lists share one, a large one is dealt over several."""
     blocks, block, room = {}, 0, BLOCK_ROWS
@@ -215,21 +217,19 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id",
         return spark.createDataFrame([], schema)
     drawn = nodes.select("vector").orderBy(F.xxhash64("vector")).limit(sample).toArrow()
     index = fit_index(_matrix(drawn.column("vector"), dim), n, k)
-    counts = nodes.select("node", "vector").mapInArrow(_encode(index, dim, None), "node long, list int, codes binary").groupBy("list").count()
+    counts = nodes.select("vector").mapInArrow(_lists(index, dim), "list int").groupBy("list").count()
     blocks = _lay_out({r.list: r["count"] for r in counts.collect()})  # at most MAX_LISTS rows
-    codes = nodes.select("node", "vector").mapInArrow(_encode(index, dim, blocks), "node long, list int, codes binary, block int")
+    codes = nodes.select("node", "vector").mapInArrow(_encode(index, dim, blocks), "node long, vector array<float>, list int, codes binary, block int")
     asked = stored(valid.where("asks").select("vec_id", "row", "vector").join(nodes.select("vector", "node"), "vector").select("vec_id", "row", "node"), "ann-queries")
     questions = nodes.select("node", "vector").join(asked.select("node").distinct(), "node")
     routed = questions.mapInArrow(_route(index, dim, blocks), "query long, vector array<float>, block int")
-    # Many queries are dealt over slices, each of which meets the block's codes once.
+    # Many queries are dealt over slices, each of which meets a block once.
     slices = max(1, -(-asked.count() // BLOCK_QUERIES))
     dealt = codes.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
     routed = routed.withColumn("slice", F.pmod(F.xxhash64("query"), F.lit(slices)).cast("int"))
-    keep = rerank * k
-    found = dealt.groupBy("block", "slice").cogroup(routed.groupBy("block", "slice")).applyInArrow(_score(index, dim, keep), "query long, node long, approx float")
-    best = found.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("approx"), "node"))).where(F.col("n") <= keep).select("query", "node")
-    pairs = best.join(nodes.select("node", "ids", "vector"), "node").join(nodes.select(F.col("node").alias("query"), F.col("vector").alias("asked")), "query")
-    scored = pairs.select("query", "ids", "asked", "vector").mapInArrow(_exact(dim), "query long, ids array<struct<vec_id:long,row:long>>, score double")
+    score = _score(index, dim, rerank * k, k + 1)
+    found = dealt.groupBy("block", "slice").cogroup(routed.groupBy("block", "slice")).applyInArrow(score, "query long, node long, score double")
+    scored = found.join(nodes.select("node", "ids"), "node")
     by_score = Window.partitionBy("query").orderBy(F.desc("score"), "id.vec_id", "id.row")
     top = scored.select("query", "score", F.explode("ids").alias("id")).withColumn("n", F.row_number().over(by_score)).where(F.col("n") <= k + 1)
     lists = top.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("n", "score", "id"))).alias("found"))
