@@ -97,6 +97,8 @@ def test_a_declared_article_is_extracted_whole(spark):
         ("<p>a <button>go</button> b</p>", "a b"),
         ("<main><aside>no</aside><header><h1>yes</h1></header></main><p>outside</p>", "yes"),
         ("<div role=navigation>n</div><section hidden>h</section><p style='display: none'>d</p><p>t</p>", "t"),
+        ("<header>site</header><div class='page-header'>top</div><p>t</p>", "t"),
+        ("<article><header><h1>h</h1></header><p>t</p><footer>f</footer></article>", "h\nt"),
         ("<p title='a > b'>x</p><form><input name=q>find</form>", "x"),
         ("<script>if (a<b) '<p>no</p>'</script>yes</div></p>", "yes"),
         ("a < b and 3<4", "a < b and 3<4"),
