@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
+from ..config import Settings
 from ..functions.text import canonical
 from ..operators import evaluation, evidence, fusion, health, maintenance
 from ..operators import pages as P
+from ..operators.store import IndexStore
 from ..streaming import changes
 from . import frames
 from .frames import CHUNKS, MANIFEST, PAGES, SNAPSHOTS, chunks, labelled_pages, manifest, pages, snapshots, table
@@ -124,6 +123,18 @@ def _(spark, sf):
     return maintenance.newest(history(spark, sf), 5).select("id", "path")
 
 
+@query("i20_stored_index", f"WITH {PAGES} SELECT path, sha256('---' || chr(10) || 'lang: ' || lang || chr(10) || '---' || chr(10) || text) AS sha256, regexp_matches(text, '\\S') AS has_chunks FROM pages_ WHERE source <> 'src1' UNION ALL SELECT path, sha256(text), regexp_matches(text, '\\S') FROM pages_ WHERE source = 'src1'")
+def _(spark, sf):
+    """All pages reconciled into a stored index, then those of one source saved anew with what they held as history."""
+    store = IndexStore(spark, frames.new_folder(spark, "index"), Settings(embedding_dims=16))
+    raw = pages(spark, sf).select("path", F.concat(F.lit("---\nlang: "), "lang", F.lit("\n---\n"), "text").alias("text"), F.lit(None).cast("timestamp").alias("modified"), "source")
+    raw = raw.withColumn("sha256", F.sha2(F.col("text").cast("binary"), 256))
+    store.reconcile(raw.drop("source"))
+    edited = pages(spark, sf).where("source = 'src1'").select("path", "text")
+    store.save(edited, raw.where("source = 'src1'").select("path", "text"))
+    return store.read("manifest").select("path", "sha256", (F.col("chunk_count") > 0).alias("has_chunks"))
+
+
 @query("i21_page_move", f"WITH {PAGES} SELECT doc_id, CASE WHEN path LIKE 'en/src1/%' THEN 'archive' || substr(path, 8) ELSE path END AS path FROM pages_")
 def _(spark, sf):
     return maintenance.moved(pages(spark, sf).select("doc_id", "path"), "en/src1", "archive")
@@ -410,8 +421,7 @@ def _(spark, sf):
     """The change log as a stream: each micro-batch is coalesced and appended, and the newest per path stands."""
     from ..streaming.changes import apply_batches, read_changes
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexiloom-stream-")
-    run = f"{base}/change-stream-{uuid.uuid4().hex}"
+    run = frames.new_folder(spark, "change-stream")
     log = change_log(spark, sf)
     events = table(spark, sf, "events")
     stream = read_changes(spark, f"{sf}/events.parque[t]", events.schema).select(F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("path"), F.col("event_type").alias("op"), "ts", F.col("event_id").alias("seq"))
