@@ -12,6 +12,7 @@ from .text import NUMBER, PERSON, PLACE, QUESTION_WORDS, STOPWORDS, YEAR
 
 CAP = 280
 _BREAK = re.compile(r"(?<=[.!?])\s+(?=[A-Z])|\n{2,}")
+_NOT_WORD = re.compile("[^a-z0-9_]")
 _SIGNS = {"when": re.compile(YEAR), "where": re.compile(PLACE), "who": re.compile(PERSON), "count": re.compile(NUMBER)}
 _IGNORED = frozenset((*STOPWORDS, *QUESTION_WORDS))
 
@@ -38,7 +39,8 @@ def _starts(text: str, terms: list[str]) -> list[int]:
 
 
 def _score(sentence: str, terms: list[str]) -> int:
-    return sum(bool(_starts(sentence, [t])) for t in terms)
+    line = " " + _NOT_WORD.sub(" ", sentence.lower())
+    return sum(" " + t in line for t in terms)
 
 
 def head(text: str, cap: int) -> str:

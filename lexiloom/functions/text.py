@@ -51,14 +51,15 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, SENTENCE_BREAK), strip), lambda s: s != "")
 
 
-def starts_a_word(text: Column, term: Column) -> Column:
-    """Whether ``term`` stands at the start of a word of the lower-case ``text``."""
-    return F.rlike(text, F.concat(F.lit("(?<![A-Za-z0-9_])"), term))
+def word_line(text: Column) -> Column:
+    """Lower-case ``text`` with a space before each word, so that ``" " + term`` finds words that start with it."""
+    return F.concat(F.lit(" "), F.regexp_replace(F.lower(text), "[^a-z0-9_]", " "))
 
 
 def sentence_score(sentence: Column, terms: Column) -> Column:
     """How many of the terms start a word of the sentence."""
-    return F.size(F.filter(terms, lambda t: starts_a_word(F.lower(sentence), t)))
+    # an array of one, so that the line is made once and not for each term
+    return F.transform(F.array(word_line(sentence)), lambda line: F.size(F.filter(terms, lambda t: F.contains(line, F.concat(F.lit(" "), t)))))[0]
 
 
 def intent(query: Column) -> Column:

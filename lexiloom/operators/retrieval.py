@@ -17,23 +17,34 @@ K1, B = 1.2, 0.75
 IDF_FLOOR = 1e-6
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """(term, chunk_id, positions) of (chunk_id, text)."""
-    tokens = chunks.select("chunk_id", F.posexplode(index_tokens(F.col("text"))).alias("pos", "term"))
-    return tokens.groupBy("term", "chunk_id").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+def tokens(chunks: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """(chunk_id, pos, term) of (chunk_id, text), only of ``terms`` if given."""
+    rows = chunks.select("chunk_id", F.posexplode(index_tokens(F.col("text"))).alias("pos", "term"))
+    return rows if terms is None else rows.join(terms.select("term").distinct(), "term", "left_semi")
+
+
+def postings(chunks: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """(term, chunk_id, tf): a plain count, so it combines map-side."""
+    return tokens(chunks, terms).groupBy("term", "chunk_id").agg(F.count("*").cast("int").alias("tf"))
 
 
 def chunk_lengths(chunks: DataFrame) -> DataFrame:
-    return chunks.select("chunk_id", F.size(index_tokens(F.col("text"))).alias("dl"))
+    return chunks.select("chunk_id", F.regexp_count("text", F.lit(r"[\p{L}\p{N}]+")).alias("dl"))
+
 
+def phrase_hits(queries: DataFrame, chunks: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """(query_id, phrase, chunk_id, tf) of (query_id, query): how often each phrase of a query occurs.
 
-def phrase_hits(queries: DataFrame, index: DataFrame) -> DataFrame:
-    """(query_id, phrase, chunk_id, tf) of (query_id, query): how often each phrase of a query occurs."""
+    Without a stored ``index`` the chunks are scanned, and only tokens of the queries are counted.
+    Phrases of several tokens need positions, which are taken from the chunks.
+    """
     phrases = queries.select("query_id", F.posexplode(match_phrases(F.col("query"))).alias("phrase", "tokens"))
     single = phrases.where(F.size("tokens") == 1).select("query_id", "phrase", F.col("tokens")[0].alias("term"))
-    alone = single.join(index, "term").select("query_id", "phrase", "chunk_id", F.size("positions").alias("tf"))
+    alone = single.join(postings(chunks, single) if index is None else index, "term").select("query_id", "phrase", "chunk_id", "tf")
     parts = phrases.where(F.size("tokens") > 1).select("query_id", "phrase", F.size("tokens").alias("n"), F.posexplode("tokens").alias("i", "term"))
-    placed = parts.join(index, "term").select("query_id", "phrase", "chunk_id", "n", "i", F.explode("positions").alias("pos"))
+    if parts.isEmpty():
+        return alone
+    placed = parts.join(tokens(chunks, parts), "term")
     runs = placed.groupBy("query_id", "phrase", "chunk_id", "n", (F.col("pos") - F.col("i")).alias("start")).agg(F.count_distinct("i").alias("met")).where("met = n")
     return alone.unionByName(runs.groupBy("query_id", "phrase", "chunk_id").agg(F.count("*").cast("int").alias("tf")))
 
@@ -43,7 +54,11 @@ def bm25(queries: DataFrame, chunks: DataFrame, k: int = 30, index: DataFrame |
 
     ``score`` is rounded to 9 digits, so that the order of additions decides nothing.
     """
-    hits = phrase_hits(queries, postings(chunks) if index is None else index)
+    return score_hits(phrase_hits(queries, chunks, index), chunks, k)
+
+
+def score_hits(hits: DataFrame, chunks: DataFrame, k: int = 30) -> DataFrame:
+    """BM25 of phrase hits."""
     lengths = chunk_lengths(chunks)
     stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     df = hits.groupBy("query_id", "phrase").agg(F.count("*").alias("df"))

@@ -18,12 +18,15 @@ from ..operators.chunking import chunk
 
 @dataclass(frozen=True)
 class Index:
-    """The tables a search reads: pages (path, title, frontmatter), chunks, postings, vectors."""
+    """The tables a search reads: pages (path, title, frontmatter), chunks, vectors, and stored postings.
+
+    Without stored postings a search scans the chunks for the terms of its queries.
+    """
 
     pages: DataFrame
     chunks: DataFrame
-    postings: DataFrame
     vectors: DataFrame
+    postings: DataFrame | None = None
 
 
 def build_index(pages: DataFrame, settings: Settings | None = None, embed: Callable[[DataFrame], DataFrame] | None = None) -> Index:
@@ -35,7 +38,7 @@ def build_index(pages: DataFrame, settings: Settings | None = None, embed: Calla
 
 def index_of(pages: DataFrame, chunks: DataFrame, settings: Settings, embed: Callable[[DataFrame], DataFrame] | None = None) -> Index:
     vectors = embed(chunks) if embed else chunks.withColumn("embedding", hash_embedding(F.col("text"), settings.embedding_dims))
-    return Index(pages, chunks, retrieval.postings(chunks), vectors.select("chunk_id", "embedding"))
+    return Index(pages, chunks, vectors.select("chunk_id", "embedding"))
 
 
 def retrieve(queries: DataFrame, index: Index, settings: Settings, planner=None, embed=None) -> DataFrame:

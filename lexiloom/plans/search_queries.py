@@ -39,9 +39,9 @@ BOOST = LISTS + r""", parts_ AS (SELECT c.*, p.path, p.text, list_filter(string_
 def lists(spark, sf):
     """Two ranked lists a query: BM25, and the longest chunks that hold any of its phrases."""
     own, asked = chunks(spark, sf), queries(spark, sf)
-    index = retrieval.postings(own)
-    lexical = retrieval.bm25(asked, own, 30, index).select("query_id", F.lit(0).alias("list_idx"), F.lit("bm25").alias("retriever"), F.lit(0.5).alias("weight"), "chunk_id", "rank")
-    hits = retrieval.phrase_hits(asked, index).select("query_id", "chunk_id").distinct().join(retrieval.chunk_lengths(own), "chunk_id")
+    found = retrieval.phrase_hits(asked, own)
+    lexical = retrieval.score_hits(found, own, 30).select("query_id", F.lit(0).alias("list_idx"), F.lit("bm25").alias("retriever"), F.lit(0.5).alias("weight"), "chunk_id", "rank")
+    hits = found.select("query_id", "chunk_id").distinct().join(retrieval.chunk_lengths(own), "chunk_id")
     longest = retrieval.top(hits.withColumn("score", F.col("dl")), 30).select("query_id", F.lit(1000).alias("list_idx"), F.lit("vector").alias("retriever"), F.lit(0.25).alias("weight"), "chunk_id", "rank")
     return lexical.unionByName(longest)
 
@@ -59,7 +59,7 @@ def ranked(spark, sf):
 
 @query("r00_postings", f"WITH {BM25} SELECT term, count(*) AS chunks, CAST(sum(tf) AS BIGINT) AS occurrences FROM post_ GROUP BY term")
 def _(spark, sf):
-    return retrieval.postings(chunks(spark, sf)).groupBy("term").agg(F.count("*").alias("chunks"), F.sum(F.size("positions")).alias("occurrences"))
+    return retrieval.postings(chunks(spark, sf)).groupBy("term").agg(F.count("*").alias("chunks"), F.sum("tf").alias("occurrences"))
 
 
 @query("r01_bm25", f"WITH {BM25} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM lex_")
@@ -78,7 +78,7 @@ def _(spark, sf):
     """The first two words of a passage as one phrase: adjacent positions in the index."""
     words = F.split("text", r"\s+")
     asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(words[0], F.lit("-"), words[1]).alias("query"))
-    return retrieval.phrase_hits(asked, retrieval.postings(chunks(spark, sf))).select("query_id", "chunk_id")
+    return retrieval.phrase_hits(asked, chunks(spark, sf)).select("query_id", "chunk_id")
 
 
 VECTORS = "q AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % 50 = 0), d AS (SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, round(list_distance(q.e, CAST(v.embedding AS DOUBLE[])), 9) AS distance FROM q, embeddings v), near_ AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS rank FROM d QUALIFY rank <= 10)"
