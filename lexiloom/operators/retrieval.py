@@ -32,41 +32,59 @@ def chunk_lengths(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", F.regexp_count("text", F.lit(r"[\p{L}\p{N}]+")).alias("dl"))
 
 
-def phrase_hits(queries: DataFrame, chunks: DataFrame, index: DataFrame | None = None) -> DataFrame:
-    """(query_id, phrase, chunk_id, tf) of (query_id, query): how often each phrase of a query occurs.
-
-    Without a stored ``index`` the chunks are scanned, and only tokens of the queries are counted.
-    Phrases of several tokens need positions, which are taken from the chunks.
-    """
+def _phrases(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(query_id, phrase, term) of phrases of one token, and (query_id, phrase, n, i, term) of longer ones."""
     phrases = queries.select("query_id", F.posexplode(match_phrases(F.col("query"))).alias("phrase", "tokens"))
     single = phrases.where(F.size("tokens") == 1).select("query_id", "phrase", F.col("tokens")[0].alias("term"))
-    alone = single.join(postings(chunks, single) if index is None else index, "term").select("query_id", "phrase", "chunk_id", "tf")
-    parts = phrases.where(F.size("tokens") > 1).select("query_id", "phrase", F.size("tokens").alias("n"), F.posexplode("tokens").alias("i", "term"))
-    if parts.isEmpty():
-        return alone
+    return single, phrases.where(F.size("tokens") > 1).select("query_id", "phrase", F.size("tokens").alias("n"), F.posexplode("tokens").alias("i", "term"))
+
+
+def _runs(parts: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(query_id, phrase, chunk_id, tf) of phrases of several tokens: adjacent positions."""
     placed = parts.join(tokens(chunks, parts), "term")
     runs = placed.groupBy("query_id", "phrase", "chunk_id", "n", (F.col("pos") - F.col("i")).alias("start")).agg(F.count_distinct("i").alias("met")).where("met = n")
-    return alone.unionByName(runs.groupBy("query_id", "phrase", "chunk_id").agg(F.count("*").cast("int").alias("tf")))
+    return runs.groupBy("query_id", "phrase", "chunk_id").agg(F.count("*").cast("int").alias("tf"))
 
 
-def bm25(queries: DataFrame, chunks: DataFrame, k: int = 30, index: DataFrame | None = None) -> DataFrame:
-    """(query_id, chunk_id, score, rank): the ``k`` best chunks of each query; equal scores by chunk_id.
+def phrase_hits(queries: DataFrame, chunks: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """(query_id, phrase, chunk_id, tf) of (query_id, query): how often each phrase of a query occurs.
 
-    ``score`` is rounded to 9 digits, so that the order of additions decides nothing.
+    Without a stored ``index`` the chunks are scanned, and only tokens of the queries are counted.
+    Phrases of several tokens need positions, which are taken from the chunks.
     """
-    return score_hits(phrase_hits(queries, chunks, index), chunks, k)
+    single, parts = _phrases(queries)
+    alone = single.join(postings(chunks, single) if index is None else index, "term").select("query_id", "phrase", "chunk_id", "tf")
+    return alone if parts.isEmpty() else alone.unionByName(_runs(parts, chunks))
 
 
-def score_hits(hits: DataFrame, chunks: DataFrame, k: int = 30) -> DataFrame:
-    """BM25 of phrase hits."""
+def _weighed(hits: DataFrame, by: list[str], chunks: DataFrame) -> DataFrame:
+    """Hits (by..., chunk_id, tf) with ``part``, what each adds to BM25; ``by`` names a phrase."""
     lengths = chunk_lengths(chunks)
     stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    df = hits.groupBy("query_id", "phrase").agg(F.count("*").alias("df"))
+    df = hits.groupBy(*by).agg(F.count("*").alias("df"))
     raw = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighed = hits.join(df, ["query_id", "phrase"]).join(lengths, "chunk_id").crossJoin(F.broadcast(stats))  # stats: one row
     part = F.when(raw > 0, raw).otherwise(F.lit(IDF_FLOOR)) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = weighed.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 9).alias("score"))
-    return top(scored, k)
+    joined = hits.join(df, by).join(lengths, "chunk_id").crossJoin(F.broadcast(stats))  # stats: one row
+    return joined.select(*by, "chunk_id", part.alias("part"))
+
+
+def bm25_scores(queries: DataFrame, chunks: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """(query_id, chunk_id, score) of every chunk that holds a phrase of a query.
+
+    Postings are weighed once a term, before they meet the queries that share it.
+    ``score`` is rounded to 9 digits, so that the order of additions decides nothing.
+    """
+    single, parts = _phrases(queries)
+    own = postings(chunks, single) if index is None else index.join(single.select("term").distinct(), "term", "left_semi")
+    scored = single.join(_weighed(own, ["term"], chunks), "term").select("query_id", "chunk_id", "part")
+    if not parts.isEmpty():
+        scored = scored.unionByName(_weighed(_runs(parts, chunks), ["query_id", "phrase"], chunks).select("query_id", "chunk_id", "part"))
+    return scored.groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), 9).alias("score"))
+
+
+def bm25(queries: DataFrame, chunks: DataFrame, k: int = 30, index: DataFrame | None = None) -> DataFrame:
+    """(query_id, chunk_id, score, rank): the ``k`` best chunks of each query; equal scores by chunk_id."""
+    return top(bm25_scores(queries, chunks, index), k)
 
 
 def top(scored: DataFrame, k: int, order: Column | None = None) -> DataFrame:

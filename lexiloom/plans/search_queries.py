@@ -39,9 +39,9 @@ BOOST = LISTS + r""", parts_ AS (SELECT c.*, p.path, p.text, list_filter(string_
 def lists(spark, sf):
     """Two ranked lists a query: BM25, and the longest chunks that hold any of its phrases."""
     own, asked = chunks(spark, sf), queries(spark, sf)
-    found = retrieval.phrase_hits(asked, own)
-    lexical = retrieval.score_hits(found, own, 30).select("query_id", F.lit(0).alias("list_idx"), F.lit("bm25").alias("retriever"), F.lit(0.5).alias("weight"), "chunk_id", "rank")
-    hits = found.select("query_id", "chunk_id").distinct().join(retrieval.chunk_lengths(own), "chunk_id")
+    found = retrieval.bm25_scores(asked, own)
+    lexical = retrieval.top(found, 30).select("query_id", F.lit(0).alias("list_idx"), F.lit("bm25").alias("retriever"), F.lit(0.5).alias("weight"), "chunk_id", "rank")
+    hits = found.select("query_id", "chunk_id").join(retrieval.chunk_lengths(own), "chunk_id")
     longest = retrieval.top(hits.withColumn("score", F.col("dl")), 30).select("query_id", F.lit(1000).alias("list_idx"), F.lit("vector").alias("retriever"), F.lit(0.25).alias("weight"), "chunk_id", "rank")
     return lexical.unionByName(longest)
 
