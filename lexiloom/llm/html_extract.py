@@ -7,14 +7,20 @@ a leaf whose content recurs on most of its pages has low content importance (ent
 over the pages). A branch's importance combines both from the leaves up, and branches under the
 threshold go.
 
-Elements that declare what they are get a fixed importance and are not descended into: navigation,
-asides, footers, forms, scripts, adverts, notices, comments and the like zero, the page's article
-one. What stands outside the article of a page that has one is not its main text. Entropy decides
-wherever a page declares nothing.
+Elements that declare themselves navigation, asides, footers, forms, scripts, adverts, notices,
+comments and the like have importance zero and are not descended into. Entropy decides on the rest.
+
+A declared article (article, main) has a high prior only: it is the main text if the important text
+in it, weighed ``PRIOR`` times, is at least the important text outside of it; else the whole page is
+taken. The number of its paragraphs differs from page to page, so inside it a place is told by the
+path of tags and classes alone, and what goes are leaves of low content importance: a list or table
+only as a whole, a heading only with what follows it, a title (h1) never. A page of whose article more than half would go
+is a near copy of others, and keeps it.
 
 Defined cases: null html is the empty text; unclosed and stray tags are tolerated; a null url counts
-as a host of its own; repeated rows are extracted each, and count in the tree each; a place seen on
-fewer than ``MIN_PAGES`` pages is important; an empty table gives no rows; other columns are ignored.
+as a host of its own; repeated rows are extracted each; pages of a host whose declared text is equal
+count in the tree once; a place seen on fewer than ``MIN_PAGES`` pages is important; an empty table
+gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,6 +40,8 @@ from .common import slices, stored
 from .url_filter import url_host
 
 THRESHOLD, DECAY, MIN_PAGES = 0.3, 0.9, 5
+#: What a character of a declared article weighs against one outside of it.
+PRIOR = 4
 
 # What HTML itself fixes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -49,6 +57,8 @@ NOISE_WORDS = frozenset(
 )
 #: Declared noise outside of the article only: inside, a header holds the title.
 HEADER_WORDS = frozenset("header masthead".split())
+#: Inside an article, what repeats in these goes only with all of the element.
+UNITS, HEADINGS = frozenset("ul ol dl table figure".split()), frozenset("h1 h2 h3 h4 h5 h6".split())
 ARTICLE_TAGS, ARTICLE_ROLES = frozenset(("article", "main")), frozenset(("article", "main"))
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:_-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>|<[!?][^>]*>", re.DOTALL)
@@ -168,17 +178,36 @@ def walk(root: Node) -> Iterator[tuple[int, int, Node | str, bool]]:
 
 
 def main_text(root: Node, dropped: frozenset[int] = frozenset()) -> str:
-    """Blocks of the article, or of the whole page where none is declared, without the ``dropped`` branches outside of it."""
-    nodes = list(walk(root))
-    only = any(inside for *_, inside in nodes)
+    """Blocks of the article, or of the whole page where none holds its text, without the ``dropped`` branches."""
     low: set[int] = set()
-    out = []
-    for number, parent, x, inside in nodes:
-        if not inside and (number in dropped or parent in low):
+    tags: dict[int, str] = {}  # of the nodes inside the article
+    units: dict[int, int] = {}  # outermost list or table
+    outer: list[tuple[int, str]] = []
+    leaves: list[tuple[int, str, int, str]] = []
+    for number, parent, x, inside in walk(root):
+        if inside:
+            if isinstance(x, Node):
+                tags[number] = x.tag
+                if parent in units or x.tag in UNITS:
+                    units[number] = units.get(parent, number)
+            elif block := _clean(x):
+                leaves.append((number, block, units.get(parent, number), tags.get(parent, "")))
+        elif number in dropped or parent in low:
             low.add(number)
-        elif isinstance(x, str) and inside >= only and (block := _clean(x)):
-            out.append(block)
-    return "\n".join(out)
+        elif isinstance(x, str) and (block := _clean(x)):
+            outer.append((number, block))
+    whole = {unit for number, _, unit, _ in leaves if number not in dropped}
+    inner: list[tuple[int, str]] = []
+    stays = False  # whether the block after this one does
+    for number, block, unit, tag in reversed(leaves):
+        stays = unit in whole or tag == "h1" or (tag in HEADINGS and stays)
+        if stays:
+            inner.append((number, block))
+    total, kept, other = (sum(len(block) for _, block, *_ in x) for x in (leaves, inner, outer))
+    if 2 * kept < total and total * PRIOR >= other:
+        inner = [leaf[:2] for leaf in leaves]
+        kept = total
+    return "\n".join(block for _, block in (sorted(inner) if leaves and kept * PRIOR >= other else sorted(inner + outer)))
 
 
 def extract(page: str) -> str:
@@ -190,17 +219,28 @@ def _hash(*parts) -> int:
     return xxhash.xxh64_intdigest("\x00".join(map(str, parts))) >> 1
 
 
-ELEMENT, LEAF, FIXED = 0, 1, 2
+ELEMENT, LEAF, FIXED, ARTICLE = 0, 1, 2, 3
 
 
 def style_rows(root: Node, host: str) -> Iterator[tuple[int, int, int, int, int]]:
-    """(number, parent, place in the host's style tree, kind, value) of every node outside declared branches.
+    """(number, parent, place in the host's style tree, kind, value) of every node outside declared noise.
 
-    The value of an element is its style, of a leaf its content, of a declared branch its importance.
+    The value of an element is its style, of a leaf its content, of declared noise its importance. The
+    leaves of an article are its children, their places the paths of tags and classes.
     """
     place, style, seen = {-1: _hash(host)}, {-1: 0}, {-1: 0}
-    for number, parent, x, _ in walk(root):
-        if parent not in place:
+    within: dict[int, tuple[int, int]] = {}  # nodes of an article: its number, the place
+    for number, parent, x, inside in walk(root):
+        if parent in within:
+            article, path = within[parent]
+            if not isinstance(x, str):
+                within[number] = article, _hash(path, x.tag, x.key)
+            elif block := _clean(x):
+                yield number, article, _hash(path, "#text"), LEAF, _hash(block)
+            continue
+        if inside:
+            within[number] = number, _hash(host, x.tag, "#article")
+            yield number, parent, within[number][1], ARTICLE, 0
             continue
         at = seen[parent] = seen[parent] + 1
         if isinstance(x, str):
@@ -216,30 +256,39 @@ def style_rows(root: Node, host: str) -> Iterator[tuple[int, int, int, int, int]
         yield number, parent, own, ELEMENT, style[number]
 
 
-_ROWS = "page long, number int, parent int, place long, kind int, value long"
+_ROWS = "page long, body long, number int, parent int, place long, kind int, value long"
 
 
 def _merge_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
-        rows = [(page, *row) for page, host, text in zip(batch.column("page").to_pylist(), batch.column("host").to_pylist(), batch.column("html"), strict=True) for row in style_rows(parse(text.as_py()), host)]
-        columns = list(zip(*rows, strict=True)) or [()] * 6
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["page", "number", "parent", "place", "kind", "value"])
+        rows = []
+        for page, host, text in zip(batch.column("page").to_pylist(), batch.column("host").to_pylist(), batch.column("html"), strict=True):
+            root = parse(text.as_py())
+            body = _hash(main_text(root))
+            rows += [(page, body, *row) for row in style_rows(root, host)]
+        columns = list(zip(*rows, strict=True)) or [()] * 7
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["page", "body", "number", "parent", "place", "kind", "value"])
+
+
+def _parents(page, number, parent) -> np.ndarray:
+    """Where each row's parent is, -1 for none; arrays hold whole pages, by page and number."""
+    wide = int(number.max(initial=0)) + 2
+    rank = np.unique(page, return_inverse=True)[1] * wide
+    up = np.searchsorted(rank + number, rank + parent)
+    return np.where(parent < 0, -1, np.minimum(up, len(page) - 1))
 
 
 def branch_importance(page, number, parent, kind, value, pages, same, styles, entropy) -> np.ndarray:
     """Importance of each row's branch; arrays hold whole pages, by page and number.
 
-    pages: on how many pages the place is; same: on how many with this value; styles: how many values
+    An article's own importance is one. pages: on how many pages the place is; same: on how many with this value; styles: how many values
     it has; entropy: sum of n ln n over their counts n.
     """
     log = np.log(np.maximum(pages, 2))
     own = np.where(kind == ELEMENT, (log - entropy / np.maximum(pages, 1)) / log, 1 - np.log(np.maximum(same, 1)) / log)
-    own = np.where(kind == FIXED, value, np.where(pages < MIN_PAGES, 1.0, own))
-    wide = int(number.max(initial=0)) + 2
-    rank = np.unique(page, return_inverse=True)[1] * wide
-    up = np.searchsorted(rank + number, rank + parent)
-    up = np.where(parent < 0, -1, np.minimum(up, len(page) - 1))
+    own = np.where(kind == FIXED, value, np.where((pages < MIN_PAGES) | (kind == ARTICLE), 1.0, own))
+    up = _parents(page, number, parent)
     depth = np.where(up < 0, 0, -1)
     while (depth < 0).any():
         depth = np.where((depth < 0) & (depth[up] >= 0), depth[up] + 1, depth)
@@ -247,7 +296,7 @@ def branch_importance(page, number, parent, kind, value, pages, same, styles, en
     decay = DECAY ** np.maximum(styles, 1)
     for level in range(int(depth.max(initial=0)), -1, -1):
         at = np.flatnonzero(depth == level)
-        inner = at[(kind[at] == ELEMENT) & (children[at] > 0)]
+        inner = at[np.isin(kind[at], (ELEMENT, ARTICLE)) & (children[at] > 0)]
         own[inner] = (1 - decay[inner]) * own[inner] + decay[inner] * total[inner] / children[inner]
         if level:
             np.add.at(total, up[at], own[at])
@@ -266,18 +315,31 @@ def _low_branches(threshold: float):
         first = np.concatenate([[True], (np.diff(c["page"][order]) != 0) | (np.diff(c["number"][order]) != 0)])  # repeated pages meet
         c = {n: v[order[first]] for n, v in c.items()}
         value = branch_importance(*(c[n] for n in ("page", "number", "parent", "kind", "value", "pages", "same", "styles", "entropy")))
-        gone = (value < threshold) & (c["kind"] != FIXED) & (c["parent"] >= 0)
+        gone = (value < threshold) & np.isin(c["kind"], (ELEMENT, LEAF)) & (c["parent"] >= 0)
+        # An article stays in a low branch. Only leaves are listed, so that a page that loses no text isn't.
+        up = _parents(c["page"], c["number"], c["parent"])
+        for _ in range(len(up)):
+            more = ~gone & (up >= 0) & gone[up] & np.isin(c["kind"], (ELEMENT, LEAF))
+            if not more.any():
+                break
+            gone |= more
+        gone &= c["kind"] == LEAF
         yield pa.RecordBatch.from_arrays([pa.array(c["page"][gone]), pa.array(c["number"][gone])], names=["page", "number"])
 
     return low
 
 
 def low_branches(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(page, numbers) of the branches that the style trees of (page, host, html) find unimportant."""
-    rows = pages.mapInArrow(_merge_rows, _ROWS)
-    merged = rows.where(F.col("kind") != FIXED).groupBy("place", "value").agg(F.count("*").alias("same"))
-    places = merged.groupBy("place").agg(F.sum("same").alias("pages"), F.count("*").alias("styles"), F.sum(F.col("same") * F.log("same")).alias("entropy"))
-    known = rows.join(merged.join(places, "place"), ["place", "value"], "left")
+    """(page, numbers) of the leaves in branches that the style trees of (page, host, html) find unimportant."""
+    rows = stored(pages.mapInArrow(_merge_rows, _ROWS), "style-tree-rows")  # parsed once for all that follows
+    seen = rows.where(F.col("kind").isin(ELEMENT, LEAF))
+    merged = seen.groupBy("place", "kind", "value").agg(F.count_distinct("body").alias("same"))
+    # Inside an article a place holds many leaves of a page.
+    wide = seen.groupBy("place").agg(F.count_distinct("body").alias("pages"))
+    places = merged.groupBy("place").agg(F.count("*").alias("styles"), F.sum(F.col("same") * F.log("same")).alias("entropy")).join(wide, "place")
+    # A content that one page alone has is important at any place.
+    shared = merged.where((F.col("same") > 1) | (F.col("kind") == ELEMENT)).drop("kind").join(places, "place")
+    known = rows.join(shared, ["place", "value"], "left")
     numbers = [F.coalesce(F.col(c), F.lit(1)).cast(t).alias(c) for c, t in (("pages", "long"), ("same", "long"), ("styles", "long"), ("entropy", "double"))]
     known = known.select("page", "number", "parent", "kind", "value", *numbers).repartition("page")
     return known.mapInArrow(_low_branches(threshold), "page long, number int").groupBy("page").agg(F.collect_set("number").alias("numbers"))

@@ -122,6 +122,32 @@ def test_style_tree_finds_what_a_host_repeats(spark):
     assert all(found[100 + i] == "Welcome to our site" for i in range(10))  # one page a host repeats nothing
 
 
+def test_style_tree_reaches_into_articles(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    texts = [[" ".join(word() for _ in range(30)) for _ in range(rng.choice([2, 3, 4, 5]))] for _ in range(30)]
+    box = "<p>Call us today</p><div class=who><h3>About the writer</h3><p>Ann writes here.</p></div>"
+    page = lambda i, t: f"<main><h2>Summary</h2>{''.join(f'<p>{x}</p>' for x in t)}<table><tr><td>yes<td>{i}</table>{box}</main>"
+    rows = [(i, f"http://one.org/{i}", page(i, t)) for i, t in enumerate(texts)]
+    rows += [(100 + i, f"http://copies.org/{i}", f"<div>{word()}</div><article><p>{texts[0][0]}</p><p>Same</p></article>") for i in range(10)]
+    rows += [(200 + i, f"http://near.org/{i}", f"<article><p>{texts[0][0]}</p><p>{texts[0][1]}</p><p>{word()}</p></article>") for i in range(10)]
+    found = {r.page_id: r.text for r in html_extract.extract_pages(pages(spark, rows)).collect()}
+    assert [found[i] for i in range(30)] == ["\n".join(["Summary", *t, "yes", str(i)]) for i, t in enumerate(texts)]
+    assert all(found[100 + i] == f"{texts[0][0]}\nSame" for i in range(10))  # copies of an article count once
+    assert all(found[200 + i].startswith("\n".join(texts[0][:2])) for i in range(10))  # near copies keep their text
+
+
+def test_a_teaser_is_not_the_main_text(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    texts = [" ".join(word() for _ in range(60)) for _ in range(10)]
+    rows = [(i, f"http://one.org/{i}", f"<div class=body><p>{t}</p></div><article><p>Read this as well</p></article>") for i, t in enumerate(texts)]
+    rows += [(100, "http://two.org/", f"<div><p>{texts[0]}</p></div><article>Read this</article>")]
+    found = {r.page_id: r.text for r in html_extract.extract_pages(pages(spark, rows)).collect()}
+    assert [found[i] for i in range(10)] == texts
+    assert found[100] == f"{texts[0]}\nRead this"
+
+
 def brute_importance(roots):
     """Importance of every branch by the definition, on nested dictionaries; roots: [(page, tree)]."""
     from collections import Counter, defaultdict
