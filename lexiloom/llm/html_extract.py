@@ -8,7 +8,10 @@ over the pages). A branch's importance combines both from the leaves up, and bra
 threshold go.
 
 Elements that declare themselves navigation, asides, footers, forms, scripts, adverts, notices,
-comments and the like have importance zero and are not descended into. Entropy decides on the rest.
+comments and the like have importance zero and are not descended into. Inside an article only tags,
+roles and whole class names of comments, adverts and notices declare that, and never an id, which may
+be the slug of a heading; outside of it words of class and id do, but for ids of headings and sections.
+Entropy decides on the rest.
 
 A declared article (article, main) has a high prior only: it is the main text if the important text
 in it, weighed ``PRIOR`` times, is at least the important text outside of it; else the whole page is
@@ -45,16 +48,18 @@ PRIOR = 4
 
 # What HTML itself fixes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
+RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br math mi mn mo ms mtext mrow mfrac msup msub msubsup msqrt mroot mover munder munderover mstyle mpadded mphantom menclose merror mspace mmultiscripts semantics mtable mtr mtd".split())
 #: An opening tag closes these open ones when they are the innermost block.
 CLOSES = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"tr", "td", "th", "thead"}, "tfoot": {"tr", "td", "th", "tbody"}}
 # Elements that declare themselves: tags, roles, and words of class and id.
-NOISE_TAGS = frozenset("head nav footer aside form script style noscript template iframe svg math button select textarea dialog menu object embed canvas audio video fieldset input title".split())
+NOISE_TAGS = frozenset("head nav footer aside form script style noscript template iframe svg annotation annotation-xml button select textarea dialog menu object embed canvas audio video fieldset input title".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 NOISE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs footer cookie cookies consent gdpr notice notices alert alerts announcement popup modal overlay newsletter subscribe subscription share sharing social related recommended comment comments commentlist discussion replies disqus widget toolbar pagination pager skip login signin signup search topbar".split()
 )
+#: Whole class names that are declared noise inside an article too.
+ARTICLE_NOISE = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion comment comments comment-list commentlist comments-area comments-section disqus notice notices cookie-notice consent gdpr".split())
 #: Declared noise outside of the article only: inside, a header holds the title.
 HEADER_WORDS = frozenset("header masthead".split())
 #: Inside an article, what repeats in these goes only with all of the element.
@@ -75,7 +80,7 @@ class Node:
 
 
 #: Declared noise that stands within a line and doesn't part a block.
-_IN_LINE_NOISE = frozenset("button select audio video canvas object embed input".split())
+_IN_LINE_NOISE = frozenset("annotation annotation-xml button select audio video canvas object embed input".split())
 
 
 def _declared(tag: str, attributes: str, inside: bool) -> tuple[str, int | None]:
@@ -85,9 +90,14 @@ def _declared(tag: str, attributes: str, inside: bool) -> tuple[str, int | None]
         return "", 1 if tag in ARTICLE_TAGS else 0 if tag in NOISE_TAGS or header else None
     at = {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(attributes)}
     key = f"{at.get('class', '')}#{at.get('id', '')}"
-    words, role = set(re.split(r"[^a-z0-9]+", key.lower())), at.get("role", "").lower()
-    hidden = "hidden" in at or at.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", at.get("style", ""), re.I)
-    if tag not in ("html", "body") and (hidden or header or tag in NOISE_TAGS or role in NOISE_ROLES or words & NOISE_WORDS or (words & HEADER_WORDS and not inside)):
+    classes, role = at.get("class", "").lower(), at.get("role", "").lower()
+    if inside:
+        noise = not ARTICLE_NOISE.isdisjoint(classes.split())
+    else:
+        words = set(re.split(r"[^a-z0-9]+", classes if tag in HEADINGS or tag == "section" else key.lower()))
+        noise = bool(words & NOISE_WORDS or words & HEADER_WORDS)
+    hidden = not inside and ("hidden" in at or at.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", at.get("style", ""), re.I))
+    if tag not in ("html", "body") and (hidden or header or tag in NOISE_TAGS or role in NOISE_ROLES or noise):
         return key, 0
     return key, 1 if tag in ARTICLE_TAGS or role in ARTICLE_ROLES or at.get("itemprop") == "articleBody" else None
 

@@ -111,6 +111,19 @@ def test_extraction_of_small_pages(page, text):
     assert html_extract.extract(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<article><h2 id=comment-syntax>Syntax</h2><section id=discussion><p>a</p></section><p id=search-results>b</p><ul class=menu><li>soup</ul></article>", "Syntax\na\nb\nsoup"),
+        ("<h2 id=comment-syntax>Syntax</h2><section id=notice-period>a</section>", "Syntax\na"),
+        ("<article><p>so <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds</p><div hidden>more</div><p aria-hidden=true>c</p></article>", "so x=2 holds\nmore\nc"),
+        ("<article><p>a</p><div class='box comments'>c</div><div class=ad>d</div><p class='notice'>n</p><div role=search>s</div><p class=comment-syntax>b</p></article>", "a\nb"),
+    ],
+)
+def test_ids_and_words_do_not_take_text_of_an_article(page, text):
+    assert html_extract.extract(page) == text
+
+
 def test_style_tree_finds_what_a_host_repeats(spark):
     rng = random.Random(1)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
