@@ -4,8 +4,9 @@ Coarse centroids and codebooks are fitted on a bounded sample; every distinct ve
 its list and the codes of its residual. Lists are laid into blocks of bounded size (a large list
 into several), and each query goes to the blocks that hold one of its probed lists. There asymmetric
 distance tables score the codes, the best are reranked exactly, in double precision on the original
-vectors, and the nearest of each block go on. How many lists are probed is set on the sample, for a recall
-beyond the stated one.
+vectors, and so is every vector whose score plus its quantisation error could reach the k-th nearest
+found so far; the nearest of each block go on. So nothing in a probed list is missed, and recall rests on
+the lists alone: how many are probed is set on the sample, for a recall beyond the stated one.
 
 Equal vectors are indexed once, with their smallest ids, as many as any answer can hold; equal
 query vectors are searched once. So a vector that a third of the rows share is one entry.
@@ -33,8 +34,10 @@ from .common import stored
 SAMPLE = 20_000
 #: Vectors a list, lists at most, vectors and queries a block.
 LIST_ROWS, MAX_LISTS, BLOCK_ROWS, BLOCK_QUERIES = 400, 4096, 20_000, 4_096
-#: Candidates of a query that are reranked, for each neighbour asked.
-RERANK = 10
+#: Candidates of a query that are reranked first, for each neighbour asked; vectors compared exactly at once.
+RERANK, RERANK_ROWS = 10, 4_096
+#: What rounding in single precision may add to a score's error, as a share of the two vectors' norms.
+ROUNDING = 1e-5
 RECALL = 0.97
 
 
@@ -68,6 +71,11 @@ class Index:
         residual = self._parts(x - self.centroids[own])
         return own, np.stack([_nearest(residual[:, j], self.codebooks[j]) for j in range(len(self.codebooks))], axis=1).astype(np.uint8)
 
+    def errors(self, x: np.ndarray, own: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """What a vector's table score may be wrong by, for a query of norm one."""
+        lost = self._parts(x - self.centroids[own]) - self.codebooks[np.arange(codes.shape[1]), codes]
+        return np.sqrt((lost.astype(np.float64) ** 2).sum((1, 2))) + ROUNDING * np.sqrt((x.astype(np.float64) ** 2).sum(1))
+
     def _parts(self, x: np.ndarray) -> np.ndarray:
         parts, _, width = self.codebooks.shape
         return np.pad(x, ((0, 0), (0, parts * width - x.shape[1]))).reshape(len(x), parts, width)
@@ -128,9 +136,10 @@ def _lists(index: Index, dim: int):
 def _encode(index: Index, dim: int, blocks: dict[int, list[int]]):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own, codes = index.assign(_matrix(batch.column("vector"), dim))
+            x = _matrix(batch.column("vector"), dim)
+            own, codes = index.assign(x)
             block = [blocks[w][n % len(blocks[w])] for w, n in zip(own.tolist(), batch.column("node").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(block, pa.int32())], names=[*batch.schema.names, "list", "codes", "block"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(index.errors(x, own, codes)), pa.array(block, pa.int32())], names=[*batch.schema.names, "list", "codes", "error", "block"])
 
     return encode
 
@@ -152,16 +161,22 @@ def _score(index: Index, dim: int, keep: int, k: int):
     """The ``k`` nearest of a block's vectors for each of its queries.
 
     Tables over the codes of the lists that a query probes choose ``keep`` vectors; these are
-    compared exactly.
+    compared exactly, then all others that could be nearer than the ``k``-th of them, likeliest first.
     """
 
+    def exactly(x, node, q, own, best):
+        exact = (x[own].astype(np.float64) * q).sum(axis=1)
+        ids, scores = np.concatenate([best[0], node[own]]), np.concatenate([best[1], exact])
+        first = np.lexsort((ids, -scores))[:k]
+        return ids[first], scores[first]
+
     def score(nodes: pa.Table, queries: pa.Table) -> pa.Table:
         out = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float64)]
         if nodes.num_rows and queries.num_rows:
             lists = nodes.column("list").to_numpy()
             code = np.frombuffer(b"".join(nodes.column("codes").to_pylist()), np.uint8).reshape(len(lists), -1)
             node, query = nodes.column("node").to_numpy(), queries.column("query").to_numpy()
-            x = _matrix(nodes.column("vector"), dim)
+            x, error = _matrix(nodes.column("vector"), dim), nodes.column("error").to_numpy()
             found = []
             for at in range(0, len(query), 256):
                 q = _matrix(queries.column("vector").slice(at, 256), dim)
@@ -177,9 +192,19 @@ def _score(index: Index, dim: int, keep: int, k: int):
                 top = np.argpartition(-total, min(keep, total.shape[1]) - 1, axis=1)[:, :keep]
                 for i, own in enumerate(top):
                     own = own[total[i, own] > -np.inf]
-                    exact = (x[own].astype(np.float64) * q[i].astype(np.float64)).sum(axis=1)
-                    best = np.lexsort((node[own], -exact))[:k]
-                    found.append((np.full(len(best), query[at + i]), node[own[best]], exact[best]))
+                    ask = q[i].astype(np.float64)
+                    best = exactly(x, node, ask, own, (np.zeros(0, np.int64), np.zeros(0, np.float64)))
+                    # All but these whose score could still reach the k-th; fewer than k means that no other is left.
+                    reach = total[i] + np.sqrt(ask @ ask) * error
+                    reach[own] = -np.inf
+                    rest = np.flatnonzero(reach >= best[1][-1]) if len(best[1]) == k else np.flatnonzero(reach > -np.inf)
+                    rest = rest[np.argsort(-reach[rest])]
+                    for start in range(0, len(rest), RERANK_ROWS):
+                        own = rest[start : start + RERANK_ROWS]
+                        if len(best[1]) == k and reach[own[0]] < best[1][-1]:
+                            break
+                        best = exactly(x, node, ask, own, best)
+                    found.append((np.full(len(best[0]), query[at + i]), *best))
             out = [np.concatenate(c) for c in zip(*found, strict=True)]
         return pa.table({"query": pa.array(out[0].astype(np.int64)), "node": pa.array(out[1].astype(np.int64)), "score": pa.array(out[2].astype(np.float64))})
 
@@ -219,7 +244,7 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id",
     index = fit_index(_matrix(drawn.column("vector"), dim), n, k)
     counts = nodes.select("vector").mapInArrow(_lists(index, dim), "list int").groupBy("list").count()
     blocks = _lay_out({r.list: r["count"] for r in counts.collect()})  # at most MAX_LISTS rows
-    codes = nodes.select("node", "vector").mapInArrow(_encode(index, dim, blocks), "node long, vector array<float>, list int, codes binary, block int")
+    codes = nodes.select("node", "vector").mapInArrow(_encode(index, dim, blocks), "node long, vector array<float>, list int, codes binary, error double, block int")
     asked = stored(valid.where("asks").select("vec_id", "row", "vector").join(nodes.select("vector", "node"), "vector").select("vec_id", "row", "node"), "ann-queries")
     questions = nodes.select("node", "vector").join(asked.select("node").distinct(), "node")
     routed = questions.mapInArrow(_route(index, dim, blocks), "query long, vector array<float>, block int")

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
@@ -66,6 +67,36 @@ def test_recall_holds_on_plain_random_vectors(spark):
     assert len(found.merge(exact, on=["query_id", "vec_id"])) / len(exact) >= 0.9
 
 
+def test_near_equal_vectors_are_told_apart(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(6000, 32))
+    x[::3] = x[0] + 0.002 * rng.normal(size=(2000, 32))
+    x = x.astype(np.float32)
+    table = pd.DataFrame({"vec_id": np.arange(6000), "embedding": x.tolist()})
+    frame = vectors(spark, [(i, v, 0, "r") for i, v in enumerate(x.tolist())])
+    found = ann.nearest(frame, frame["vec_id"] % 50 == 0).toPandas()
+    exact = ann.brute_force(table, table["vec_id"][::50])
+    hot = exact[exact["query_id"] % 3 == 0]
+    assert len(found.merge(exact, on=["query_id", "vec_id"])) / len(exact) >= 0.9
+    assert len(found.merge(hot, on=["query_id", "vec_id"])) / len(hot) >= 0.9
+
+
+def test_equal_codes_do_not_hide_the_nearest():
+    rng = np.random.default_rng(6)
+    x = (1 + 0.002 * rng.normal(size=(1500, 8))).astype(np.float32)
+    index = ann.Index(np.ones((1, 8), np.float32), np.zeros((8, 256, 1), np.float32), 1)
+    own, codes = index.assign(x)
+    kind = pa.list_(pa.float32())
+    error = np.sqrt(((x - 1.0) ** 2).sum(1)) + 1e-4
+    nodes = pa.table({"node": np.arange(1500), "vector": pa.array(x.tolist(), kind), "list": own.astype(np.int32), "codes": pa.array([c.tobytes() for c in codes]), "error": error})
+    asks = pa.table({"query": np.arange(5), "vector": pa.array(x[:5].tolist(), kind)})
+    found = ann._score(index, 8, 200, 21)(nodes, asks).to_pandas()
+    for q in range(5):
+        exact = np.lexsort((np.arange(1500), -(x.astype(np.float64) @ x[q].astype(np.float64))))[:21]
+        assert set(found[found["query"] == q]["node"]) == set(exact)
+    assert (index.errors(x, own, codes) >= np.sqrt(((x - 1.0) ** 2).sum(1))).all()
+
+
 def test_hot_vectors_ties_and_bad_rows(spark, monkeypatch):
     monkeypatch.setattr(ann, "BLOCK_ROWS", 50)
     monkeypatch.setattr(ann, "BLOCK_QUERIES", 8)
