@@ -19,20 +19,59 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, local mode) a temporary folder is made and set.
+    Only a local session that names none (tests) gets a temporary folder; on a cluster that is an error.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="lexiloom-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back: lineage ends at files that outlive any executor."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+def hadoop_path(spark: SparkSession, path: str):
+    """(path, its file system) of Hadoop, so any store will do."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def stored(df: DataFrame, name: str, instead: DataFrame | None = None) -> DataFrame:
+    """``df`` written once to the shared folder and read back: lineage ends at files that outlive any executor.
+
+    ``instead``: a frame stored before that nothing reads any more; its files go once the new ones are there.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if instead is not None:
+        old, store = hadoop_path(spark, instead.stored_at)
+        store.delete(old, True)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+#: Keys that are joined by broadcast at most: those that hold more than this share of all rows.
+HEAVY = 1000
+
+
+def join_classes(rows: DataFrame, classes: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of ``classes``, which has one row a ``key`` and, in ``n``, how many rows hold it.
+
+    A key with more than a thousandth of all rows is joined by broadcast, so its rows stay where they
+    are; as the counts add up to the rows there are under a thousand of those. All others shuffle.
+    ``how``: inner, or left for rows whose key has no class; rows without a key have none. Both frames
+    are read more than once, so they should be stored.
+    """
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    often = F.col("n") * HEAVY > total
+    heavy, light = classes.where(often).drop("n"), classes.where(~often).drop("n")
+    if heavy.isEmpty():
+        return rows.join(light, key, how)
+    far = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light, key, how)
+    return far.unionByName(rows.join(F.broadcast(heavy), key))
 
 
 #: Rows that a Python task holds as objects at once.

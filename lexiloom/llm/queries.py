@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -9,12 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, bpe, exact_dedup, html_extract, packing, quality, secrets, simhash, tool_chat, url_filter
-from .common import table
+from .common import shared_dir, table
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.scan_secrets(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "blob_id")
+    """A new ledger takes in all documents as two deliveries, the English ones first, and reports on every path."""
+    docs = table(spark, sf_dir, "documents")
+    ledger = secrets.BlobLedger(spark, f"{shared_dir(spark)}/op1-ledger-{uuid.uuid4().hex}")
+    for delivery in (docs.where("lang <=> 'en'"), docs.where("not lang <=> 'en'")):
+        ledger.scan(delivery)
+    return ledger.report().select(F.col("path").cast("long").alias("doc_id"), "n_assign", "n_access", "n_hex", "base_sha256", "spans", "blob_id")
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +68,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_secret_scan, op2_best_fit_packing, op3_url_filter, op4_exact_dedup, op5_simhash_near_dedup, op6_quality_classifier, op7_bpe_codec, op8_nearest_neighbours, op9_html_extraction, op10_chat_format)
 } | {"pipeline": _pipeline}
 
+def _spans_sql() -> str:
+    """Matches of each kind with where they start: the lengths of all that stands between matches, and of the matches before."""
+    any_case = "|".join("".join(c if not c.isalpha() else f"[{c.upper()}{c}]" for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+    kinds = (("assign", f"({any_case})[\"'']? *[:=] *[\"'']?([A-Za-z0-9+/_.=-]+)", 2, 12), ("access", "AKIA[A-Z0-9]+", 0, 18), ("hex", "[0-9a-f]+", 0, 16))
+    each = [f"""SELECT r, {i} AS kind, '{name}' AS name, i, length(m) AS n, least_n, start FROM (
+          SELECT r, i, m, length(g) >= {least} AS least_n, sum(length(s)) OVER before + sum(length(m)) OVER before - length(m) AS start
+          FROM (SELECT r, unnest(range(len(ms))) AS i, unnest(ms) AS m, unnest(regexp_extract_all(t, '{p}', {group})) AS g, unnest(string_split_regex(t, '{p}')[:len(ms)]) AS s
+            FROM (SELECT r, t, regexp_extract_all(t, '{p}') AS ms FROM d) WHERE len(ms) > 0) WINDOW before AS (PARTITION BY r ORDER BY i))""" for i, (name, p, group, least) in enumerate(kinds)]
+    return " UNION ALL ".join(each)
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_secret_scan": f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents), all_ AS ({_spans_sql()}),
+        found AS (SELECT r, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, string_agg(name || ':' || start || ':' || (start + n), ',' ORDER BY start, kind) AS spans FROM all_ WHERE least_n GROUP BY r)
+        SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans, sha256(t) AS blob_id FROM d LEFT JOIN found USING (r)
+    """,
     "op4_exact_dedup": """
         WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
         g AS (SELECT doc_id, t, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size FROM d)

@@ -1,8 +1,9 @@
 """Incremental secret scan over a content-addressed blob ledger.
 
 Every version of every path is addressed by the SHA-256 of its text. The ledger remembers which
-(blob, rule version) pairs have been scanned and what was found; a run scans each unseen pair once,
-appends it, and joins the findings back to all paths that ever held the blob.
+paths held which blob in which version, which (blob, rule version) pairs have been scanned, and what
+was found; a run scans each unseen pair once, appends it, and the report joins the findings back to
+all paths and versions that ever held the blob.
 
 Defined cases: a null text is the empty text; empty texts have no findings; repeated rows and equal
 texts share one scan and each row gets the findings; null ids are kept; an empty table gives no
@@ -13,13 +14,14 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, slices, text_or_empty
+from .common import hadoop_path, join_classes, shared_dir, slices, stored, text_or_empty
 
 KINDS = ("assign", "access", "hex")
 #: Changes whenever a pattern or a length below does: blobs are then scanned anew.
@@ -30,6 +32,7 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 
 FINDINGS = "blob_id string, rule_version string, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
+VERSIONS = "path string, version long, blob_id string"
 
 
 def find_spans(text: str) -> list[tuple[int, int, int]]:
@@ -50,8 +53,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         joined = [span_string(x) for x in rows]
         counts = [[sum(kind == k for _, kind, _ in x) for x in rows] for k in range(3)]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("blob_id"), pa.array([RULE_VERSION] * len(rows), pa.string()), *(pa.array(x, pa.int64()) for x in counts), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in joined], pa.string()), pa.array(joined, pa.string())],
-            names=["blob_id", "rule_version", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
+            [batch.column("blob_id"), pa.array([RULE_VERSION] * len(rows), pa.string()), *(pa.array(x, pa.int64()) for x in counts), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in joined], pa.string()), pa.array(joined, pa.string()), batch.column("n")],
+            names=["blob_id", "rule_version", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n"],
         )
 
 
@@ -60,43 +63,59 @@ def address(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn("blob_id", F.sha2(text_or_empty(text).cast("binary"), 256))
 
 
-def unseen_findings(docs: DataFrame, text: str = "text", ledger: DataFrame | None = None) -> DataFrame:
-    """Scan every blob of ``docs`` that ``ledger`` lacks under the current rules; one ledger row each."""
-    blobs = docs.select(text_or_empty(text).alias("text")).withColumn("blob_id", F.sha2(F.col("text").cast("binary"), 256))
-    if ledger is not None:
-        blobs = blobs.join(ledger.where(F.col("rule_version") == RULE_VERSION).select("blob_id"), "blob_id", "left_anti")
+def unseen_findings(docs: DataFrame, text: str = "text", known: DataFrame | None = None) -> DataFrame:
+    """Scan every blob of ``docs`` that is not among the ``known`` (blob_id); a row each, with the rows ``n`` that hold it."""
+    own = docs.select(text_or_empty(text).alias("text")).withColumn("blob_id", F.sha2(F.col("text").cast("binary"), 256))
     # copies meet map-side first, so a blob that a third of the rows share moves once per task
-    return blobs.groupBy("blob_id").agg(F.first("text").alias("text")).mapInArrow(_scan, FINDINGS)
-
-
-def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", ledger: DataFrame | None = None) -> DataFrame:
-    """One row per row of ``docs``: the key, its blob and the blob's findings, old or new."""
-    found = unseen_findings(docs, text, ledger)
-    if ledger is not None:
-        found = found.unionByName(ledger.where(F.col("rule_version") == RULE_VERSION).select(*found.columns))
-    return address(docs, text).select(key, "blob_id").join(found, "blob_id")
+    blobs = own.groupBy("blob_id").agg(F.first("text").alias("text"), F.count("*").alias("n"))
+    if known is not None:
+        blobs = blobs.join(known.select("blob_id"), "blob_id", "left_anti")
+    return blobs.select("blob_id", "text", "n").mapInArrow(_scan, f"{FINDINGS}, n long")
 
 
 class BlobLedger:
-    """The ledger as an append-only Parquet table in a folder that all executors share.
+    """Two append-only Parquet tables in a folder that all executors share.
 
-    ``scan`` may be run again after a failure: rows are appended by one job, and a pair that two
-    interrupted runs both appended counts once.
+    ``findings`` holds a row per scanned blob, below a folder per rule version; ``versions`` holds
+    (path, version, blob_id) of every row ever handed in. Each run appends a folder to both, which
+    counts once Spark has marked it complete: a run that is lost or repeated leaves nothing that is
+    read, and no pair is ever there twice. One run writes at a time.
     """
 
     def __init__(self, spark, path: str | None = None):
-        self.spark, self.path = spark, path or f"{shared_dir(spark)}/secret-ledger"
+        self.spark, self.path = spark, (path or f"{shared_dir(spark)}/secret-ledger").rstrip("/")
 
-    def read(self) -> DataFrame | None:
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        if not hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+    def _read(self, table: str, schema: str) -> DataFrame | None:
+        folder, store = hadoop_path(self.spark, f"{self.path}/{table}")
+        if not store.exists(folder):
             return None
-        return self.spark.read.schema(FINDINGS).parquet(self.path).dropDuplicates(["blob_id", "rule_version"])
-
-    def scan(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-        unseen_findings(docs, text, self.read()).write.mode("append").parquet(self.path)
-        known = self.read().where(F.col("rule_version") == RULE_VERSION)
-        return address(docs, text).select(key, "blob_id").join(known, "blob_id")
+        runs = [s.getPath().toString() for s in store.listStatus(folder)]
+        done = [r for r in runs if store.exists(hadoop_path(self.spark, f"{r}/_SUCCESS")[0])]
+        return self.spark.read.schema(schema).parquet(*done) if done else None
+
+    def findings(self) -> DataFrame | None:
+        """What was found in every blob that the current rules have seen."""
+        return self._read(f"findings/{RULE_VERSION}", FINDINGS)
+
+    def versions(self) -> DataFrame | None:
+        return self._read("versions", VERSIONS)
+
+    def scan(self, docs: DataFrame, key: str = "doc_id", text: str = "text", version: int = 0) -> int:
+        """Record what every path ``key`` holds in ``version`` and scan the blobs not seen yet; returns their number."""
+        run = uuid.uuid4().hex
+        found = unseen_findings(docs, text, self.findings()).drop("n")
+        found.write.parquet(f"{self.path}/findings/{RULE_VERSION}/{run}")
+        held = address(docs, text).select(F.col(key).cast("string").alias("path"), F.lit(version).cast("long").alias("version"), "blob_id")
+        held.write.parquet(f"{self.path}/versions/{run}")
+        return self.spark.read.schema(FINDINGS).parquet(f"{self.path}/findings/{RULE_VERSION}/{run}").count()
+
+    def report(self) -> DataFrame:
+        """One row per (path, version) ever handed in, with the findings of its blob; none for blobs that only other rules have seen."""
+        versions, found = self.versions(), self.findings()
+        if versions is None or found is None:
+            return self.spark.createDataFrame([], f"path string, version long, {FINDINGS}")
+        classes = stored(found.join(versions.groupBy("blob_id").agg(F.count("*").alias("n")), "blob_id"), "secret-classes")
+        return join_classes(versions, classes, "blob_id").select("path", "version", *classes.drop("n").columns)
 
 
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
@@ -113,10 +132,11 @@ def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
 
 def redact_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with every secret replaced by a mark; rows without one are unchanged. ``n_chars``, where there, follows."""
-    found = unseen_findings(docs, text).where("spans <> ''").select("blob_id", F.col("spans").alias("_spans"))
-    own = docs.select(F.struct("*").alias("_row"), F.sha2(text_or_empty(text).cast("binary"), 256).alias("blob_id"))
-    joined = own.join(found, "blob_id", "left").withColumn("_text", F.when(F.col("_spans").isNotNull(), redact(F.col(f"_row.{text}"), F.col("_spans"))).otherwise(F.col(f"_row.{text}")))
-    value = {text: F.col("_text")}
+    found = stored(unseen_findings(docs, text).select("blob_id", F.nullif("spans", F.lit("")).alias("spans"), "n"), "secret-spans")
+    own = docs.select(F.struct("*").alias("row"), F.sha2(text_or_empty(text).cast("binary"), 256).alias("blob_id"))
+    before = F.col("row").getField(text)
+    joined = join_classes(own, found, "blob_id").withColumn("masked", F.when(F.col("spans").isNotNull(), redact(before, F.col("spans"))).otherwise(before))
+    value = {text: F.col("masked")}
     if "n_chars" in docs.columns:
-        value["n_chars"] = F.when(F.col("_spans").isNotNull(), F.char_length("_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row.n_chars"))
-    return joined.select(*[value.get(c, F.col("_row").getField(c)).alias(c) for c in docs.columns])
+        value["n_chars"] = F.when(F.col("spans").isNotNull(), F.char_length("masked").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row").getField("n_chars"))
+    return joined.select(*[value.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])

@@ -54,11 +54,16 @@ def test_whole_tables_equal_brute_force(spark, sf_dir, documents):
         assert (r.host, r.path, r.rule) == (host, path, best and best[1]) and (best is None or r.verdict == best[0])
 
 
-def test_sql_says_the_same(spark, sf_dir):
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_sql_says_the_same(spark, sf_dir, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
-    expected = con.execute(queries.ORACLE_SQL["op4_exact_dedup"]).fetchall()
-    assert sorted(map(tuple, queries.QUERIES["op4_exact_dedup"](spark, sf_dir).collect())) == sorted(expected)
+    for table_name in ("documents", "pages", "conversations"):
+        con.execute(f"CREATE VIEW {table_name} AS SELECT * FROM '{sf_dir}/{table_name}.parquet'")
+    cursor = con.execute(queries.ORACLE_SQL[name])
+    found = queries.QUERIES[name](spark, sf_dir)
+    assert found.columns == [d[0] for d in cursor.description]
+    order = lambda r: repr(r)
+    assert sorted(map(tuple, found.collect()), key=order) == sorted(cursor.fetchall(), key=order)
 
 
 def test_held_out_accuracy(spark):

@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lexiloom.llm import packing, quality, secrets
@@ -36,16 +37,23 @@ TEXTS = [
 ]
 
 
-def test_secret_scan_equals_brute_force(spark):
+def report(spark, tmp_path, *deliveries):
+    ledger = secrets.BlobLedger(spark, str(tmp_path / "ledger"))
+    for rows in deliveries:
+        ledger.scan(rows)
+    return ledger.report().withColumn("doc_id", F.col("path").cast("long"))
+
+
+def test_secret_scan_equals_brute_force(spark, tmp_path):
     rows = [*enumerate(TEXTS), (3, TEXTS[3]), (900, TEXTS[2])]
-    found = secrets.scan_secrets(docs(spark, rows)).collect()
+    found = report(spark, tmp_path, docs(spark, rows)).collect()
     expected = []
     for i, t in rows:
         spans = brute_spans(t or "")
         joined = ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in spans)
         expected.append((i, *(sum(k == x for _, k, _ in spans) for x in range(3)), hashlib.sha256(joined.encode()).hexdigest(), joined))
     assert sorted((r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256, r.spans) for r in found) == sorted(expected)
-    assert secrets.scan_secrets(docs(spark, [])).count() == 0
+    assert report(spark, tmp_path / "none", docs(spark, [])).count() == 0 == secrets.BlobLedger(spark, str(tmp_path / "new")).report().count()
 
 
 def test_random_texts_have_the_stated_spans():
@@ -58,20 +66,45 @@ def test_random_texts_have_the_stated_spans():
 
 def test_ledger_scans_each_blob_once_and_reaches_all_paths(spark, tmp_path):
     ledger = secrets.BlobLedger(spark, str(tmp_path / "ledger"))
-    first = ledger.scan(docs(spark, [(1, TEXTS[2]), (2, "clean"), (3, TEXTS[2])])).collect()
-    assert sorted((r.doc_id, r.n_assign) for r in first) == [(1, 1), (2, 0), (3, 1)]
-    assert ledger.read().count() == 2
-    versions = docs(spark, [(1, "clean"), (2, "new"), (4, TEXTS[2])])
-    assert secrets.unseen_findings(versions, ledger=ledger.read()).count() == 1
-    second = ledger.scan(versions).collect()
-    assert sorted((r.doc_id, r.n_assign) for r in second) == [(1, 0), (2, 0), (4, 1)]
-    assert ledger.read().count() == 3 and spark.read.parquet(ledger.path).count() == 3
-
-
-def test_redaction_masks_secrets_only(spark):
-    rows = spark.createDataFrame([(1, TEXTS[2] + " tail", 5), (2, "clean", 5), (3, None, None)], "doc_id long, text string, n_chars long")
-    found = {r.doc_id: (r.text, r.n_chars) for r in secrets.redact_secrets(rows).collect()}
-    assert found == {1: ('[SECRET]" tail', 14), 2: ("clean", 5), 3: (None, None)}
+    first = docs(spark, [(1, TEXTS[2]), (2, "clean"), (3, TEXTS[2]), (None, None)])
+    assert ledger.scan(first, version=1) == 3
+    assert secrets.unseen_findings(first, known=ledger.findings()).count() == 0
+    assert ledger.scan(docs(spark, [(1, "clean"), (2, "new"), (4, TEXTS[2])]), version=2) == 1
+    assert ledger.scan(docs(spark, [(5, "new")]), version=3) == 0
+    found = sorted((int(r.path or -1), r.version, r.n_assign) for r in ledger.report().collect())
+    assert found == [(-1, 1, 0), (1, 1, 1), (1, 2, 0), (2, 1, 0), (2, 2, 0), (3, 1, 1), (4, 2, 1), (5, 3, 0)]
+    assert ledger.findings().count() == 4 == ledger.findings().select("blob_id").distinct().count()
+
+
+def test_a_lost_run_leaves_nothing_that_is_read(spark, tmp_path, monkeypatch):
+    ledger = secrets.BlobLedger(spark, str(tmp_path / "ledger"))
+    rows = docs(spark, [(1, TEXTS[2]), (2, "clean")])
+    with monkeypatch.context() as broken, pytest.raises(Exception):  # noqa: B017  whatever Spark raises
+        broken.setattr(secrets, "address", lambda d, text: d.withColumn("blob_id", F.raise_error(F.lit("lost")).cast("string")))
+        ledger.scan(rows)
+    assert ledger.report().count() == 0
+    assert ledger.scan(rows) == 0  # its blobs were scanned before the run was lost
+    assert sorted((r.path, r.n_assign) for r in ledger.report().collect()) == [("1", 1), ("2", 0)]
+
+
+def test_another_rule_version_scans_anew(spark, tmp_path, monkeypatch):
+    ledger = secrets.BlobLedger(spark, str(tmp_path / "ledger"))
+    rows = docs(spark, [(1, "clean"), (2, "clean")])
+    assert ledger.scan(rows) == 1
+    monkeypatch.setattr(secrets, "RULE_VERSION", "other")
+    assert ledger.findings() is None and ledger.scan(rows) == 1
+
+
+@pytest.mark.parametrize("copies", [1, 3000])
+def test_redaction_masks_secrets_only(spark, copies):
+    names = "doc_id long, text string, n_chars long, blob_id string, spans string, masked string, row string, n string"
+    other = ("b", "s", "m", "r", "n")
+    rows = spark.createDataFrame([(1, TEXTS[2] + " tail", 5, *other), *[(2, "clean", 5, *other)] * copies, (3, None, None, *other)], names)
+    out = secrets.redact_secrets(rows)
+    assert out.schema.simpleString() == rows.schema.simpleString()
+    found = [tuple(r) for r in out.collect()]
+    assert len(found) == copies + 2
+    assert set(found) == {(1, '[SECRET]" tail', 14, *other), (2, "clean", 5, *other), (3, None, None, *other)}
 
 
 PACK_TEXTS = [None, "", "a", "Hello world, it's 3 o'clock\n\n  two", "<|endoftext|> is special", "日本語 テスト 😀", "word " * 1023, "word " * 1024, "word " * 5000, "naïve façade " * 400, " \n \t x"]
