@@ -5,7 +5,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,13 +46,19 @@ def stored(df: DataFrame, name: str, instead: DataFrame | None = None) -> DataFr
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     if instead is not None:
-        old, store = hadoop_path(spark, instead.stored_at)
-        store.delete(old, True)
+        forget(instead)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
 
 
+def forget(*frames: DataFrame) -> None:
+    """Delete the files of stored frames that nothing reads any more."""
+    for df in frames:
+        path, store = hadoop_path(df.sparkSession, df.stored_at)
+        store.delete(path, True)
+
+
 #: Keys that are joined by broadcast at most: those that hold more than this share of all rows.
 HEAVY = 1000
 
@@ -65,11 +71,11 @@ def join_classes(rows: DataFrame, classes: DataFrame, key: str, how: str = "inne
     ``how``: inner, or left for rows whose key has no class; rows without a key have none. Both frames
     are read more than once, so they should be stored.
     """
-    total = classes.agg(F.sum("n")).first()[0] or 0
+    total, most = classes.agg(F.sum("n"), F.max("n")).first()
+    if not total or most * HEAVY <= total:
+        return rows.join(classes.drop("n"), key, how)
     often = F.col("n") * HEAVY > total
     heavy, light = classes.where(often).drop("n"), classes.where(~often).drop("n")
-    if heavy.isEmpty():
-        return rows.join(light, key, how)
     far = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light, key, how)
     return far.unionByName(rows.join(F.broadcast(heavy), key))
 
@@ -94,3 +100,15 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
 
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+def set_aside(docs: DataFrame, *apart: str) -> tuple[Column, Callable[[dict[str, Column]], list[Column]]]:
+    """(``rest``: all columns but ``apart`` as one struct, its fields named by place; what turns it back).
+
+    So no column of ``docs`` can clash with a name that an operator uses. The second is a function of
+    the columns set ``apart`` that gives all columns of ``docs``, in order.
+    """
+    quoted = lambda c: f"`{c.replace('`', '``')}`"
+    place = {c: f"f{i}" for i, c in enumerate(c for c in docs.columns if c not in apart)}
+    rest = F.struct(F.lit(True).alias("f"), *[F.col(quoted(c)).alias(f) for c, f in place.items()]).alias("rest")
+    return rest, lambda given: [(given[c] if c in given else F.col(f"rest.{place[c]}")).alias(c) for c in docs.columns]

@@ -2,10 +2,11 @@
 
 Texts are equal when they are identical after lower-casing A-Z. The key is the XXH64 of the
 normalised text. A histogram of key prefixes sets up the directory: a bucket that holds more bytes
-than its capacity splits, doubling the directory where needed. Owner tasks then take the buckets
-(ranges of keys), chain the rows of equal key, compare bytes, and write bucket pages to the shared
-folder. A range that cannot split further because one key overfills it is dealt over several owners
-by salt; their chains meet once more, each distinct text once per owner.
+than its capacity splits, doubling the directory where needed. Each bucket (a range of keys) has an
+owner task, so a task's share is a bucket's capacity at any size of input; it chains the rows of
+equal key, compares bytes, and writes the bucket's page to the shared folder. A range that cannot
+split further because one key overfills it is dealt over several owners by salt. Their chains meet
+in one aggregate by key and SHA-256, to which each owner gives a digest per distinct text, no text.
 
 Defined cases: a null text is the empty text; a null id is smaller than any other; among repeated
 rows with the same largest id exactly one is kept; an empty table gives no rows; other columns are
@@ -25,14 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, stored, text_or_empty
+from .common import set_aside, slices, stored, text_or_empty
 
 #: Bits of the key that the histogram resolves; the directory uses as many of them as it needs.
 PREFIX_BITS = 24
 #: A bucket splits beyond so many bytes of text.
 BUCKET_BYTES = 16 << 20
 _ROW_BYTES = 64
-PAGES = "bucket int, salt int, chain int, key long, doc_id long, keep_id long, group_size long, kept boolean, text_sha256 string, text string"
+PAGES = "page int, chain int, key long, doc_id long, keep_id long, group_size long, kept boolean, dealt boolean, text_sha256 string"
 
 
 def _normal(batch: pa.RecordBatch) -> tuple[pa.Array, np.ndarray]:
@@ -74,32 +75,43 @@ class Directory:
             width = 1 << (self.depth - depth)
             self.bucket[prefix * width : (prefix + 1) * width] = i
             self.owners[i] = max(1, -(-held // capacity))
+        #: Owners are numbered through; a bucket's first one.
+        self.first = (np.cumsum(self.owners) - self.owners).astype(np.int32)
 
 
 def build_directory(texts: DataFrame, capacity: int = BUCKET_BYTES) -> Directory:
-    """Two numbers per prefix reach the driver, for at most eight prefixes a bucket."""
+    """Two numbers per prefix reach the driver, for at most eight prefixes a bucket and 2 ** PREFIX_BITS in all."""
     fine = stored(texts.mapInArrow(_histogram, "prefix long, bytes long").groupBy("prefix").agg(F.sum("bytes").alias("bytes")), "dedup-histogram")
     total = fine.agg(F.sum("bytes")).first()[0] or 0
     depth = min(PREFIX_BITS, max(1, -(-total // capacity) - 1).bit_length() + 3)
+    coarse = fine.groupBy(F.shiftright("prefix", PREFIX_BITS - depth).alias("prefix")).agg(F.sum("bytes").alias("bytes")).toArrow()
     sizes = np.zeros(1 << depth)
-    for row in fine.groupBy(F.shiftright("prefix", PREFIX_BITS - depth).alias("prefix")).agg(F.sum("bytes").alias("bytes")).toLocalIterator():
-        sizes[row.prefix] = row.bytes
+    sizes[coarse.column("prefix").to_numpy()] = coarse.column("bytes").to_numpy()
     return Directory(sizes, capacity)
 
 
-def _route(directory: Directory):
-    bucket_of, owners, shift = directory.bucket, directory.owners, np.uint64(64 - directory.depth)
+def _route(held):
+    """``held``: the directory, broadcast: four bytes a prefix and eight a bucket."""
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        directory = held.value
         for n, batch in enumerate(slices(batches)):
             _, keys = _normal(batch)
-            bucket = bucket_of[(keys >> shift).astype(np.int64)] if directory.depth else np.zeros(len(keys), dtype=np.int32)
-            salt = (np.arange(len(keys)) + n * 7919) % owners[bucket]
-            yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(salt.astype(np.int32)), pa.array(keys.view(np.int64)), *batch.columns], names=["bucket", "salt", "key", *batch.schema.names])
+            bucket = directory.bucket[(keys >> np.uint64(64 - directory.depth)).astype(np.int64)] if directory.depth else np.zeros(len(keys), dtype=np.int32)
+            salt = (np.arange(len(keys)) + n * 7919) % directory.owners[bucket]
+            owner, dealt = directory.first[bucket] + salt, directory.owners[bucket] > 1
+            yield pa.RecordBatch.from_arrays([pa.array(owner.astype(np.int32)), pa.array(dealt), pa.array(keys.view(np.int64)), *batch.columns], names=["owner", "dealt", "key", *batch.schema.names])
 
     return route
 
 
+def _owned(rows: DataFrame, directory: Directory) -> DataFrame:
+    """``rows`` (doc_id, text, …), each in the partition of its key's owner."""
+    held = rows.sparkSession.sparkContext.broadcast(directory)
+    schema = T.StructType([T.StructField("owner", T.IntegerType()), T.StructField("dealt", T.BooleanType()), T.StructField("key", T.LongType()), *rows.schema.fields])
+    return rows.mapInArrow(_route(held), schema).repartitionById(int(directory.owners.sum()), F.col("owner"))
+
+
 def _chains(keys: list[int], texts: list) -> list[int]:
     """Number of each row's class: rows of one key are chained, and bytes decide."""
     heads: dict[int, list[int]] = {}
@@ -130,43 +142,44 @@ def _classes(page: pa.Table) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
     return texts, chain, row, size
 
 
-def _own(owners: np.ndarray):
-    """The index page of one owner: every row with its class; a dealt bucket's winners keep their texts for the merge."""
-
-    def own(page: pa.Table) -> pa.Table:
-        texts, chain, row, size = _classes(page)
-        kept = np.zeros(len(chain), dtype=bool)
-        kept[row] = True
-        alone = owners[page.column("bucket")[0].as_py()] == 1
-        digest = [hashlib.sha256(texts[r]).hexdigest() if alone else None for r in row]
-        return pa.table(
-            {
-                "bucket": page.column("bucket"), "salt": page.column("salt"), "chain": pa.array(chain, pa.int32()), "key": page.column("key"), "doc_id": page.column("doc_id"),
-                "keep_id": page.column("doc_id").take(pa.array(row[chain])), "group_size": pa.array(size[chain]), "kept": pa.array(kept), "text_sha256": pa.array([digest[c] for c in chain], pa.string()),
-                "text": pc.if_else(pa.array(kept & (not alone)), page.column("text"), pa.scalar(None, pa.string())),
-            }
-        )
-
-    return own
-
-
-def _merge(heads: pa.Table) -> pa.Table:
-    """Chains of one key from several owners: one row per owner and distinct text."""
-    texts, chain, row, _ = _classes(heads)
-    size = np.bincount(chain, heads.column("group_size").to_numpy(), len(row)).astype(np.int64)
-    wins = np.zeros(len(chain), dtype=bool)
-    wins[row] = True
+def _pages(emit):
+    """``emit`` over the whole page of an owner, which the bucket's capacity bounds."""
+
+    def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        page = pa.Table.from_batches(held) if (held := [b for b in batches if b.num_rows]) else None
+        if page is not None:
+            yield from emit(page.combine_chunks()).to_batches()
+
+    return pages
+
+
+def _index(page: pa.Table) -> pa.Table:
+    """Every row of a page with its class."""
+    texts, chain, row, size = _classes(page)
+    kept = np.zeros(len(chain), dtype=bool)
+    kept[row] = True
     digest = [hashlib.sha256(texts[r]).hexdigest() for r in row]
-    return pa.table({"bucket": heads.column("bucket"), "salt": heads.column("salt"), "chain": heads.column("chain"), "keep_id": heads.column("doc_id").take(pa.array(row[chain])), "group_size": pa.array(size[chain]), "wins": pa.array(wins), "text_sha256": pa.array([digest[c] for c in chain], pa.string())})
+    return pa.table(
+        {
+            "page": pa.array(np.full(len(chain), page.column("owner")[0].as_py(), np.int32)), "chain": pa.array(chain, pa.int32()), "key": page.column("key"), "doc_id": page.column("doc_id"), "keep_id": page.column("doc_id").take(pa.array(row[chain])),
+            "group_size": pa.array(size[chain]), "kept": pa.array(kept), "dealt": page.column("dealt"), "text_sha256": pa.array([digest[c] for c in chain], pa.string()),
+        }
+    )
 
 
 def _first(page: pa.Table) -> pa.Table:
-    """The winning row of each class."""
-    _, _, row, _ = _classes(page)
-    return page.take(pa.array(np.sort(row)))
+    """The winning row of each class, with its digest."""
+    texts, _, row, _ = _classes(page)
+    row = np.sort(row)
+    own = page.take(pa.array(row))
+    added = {"page": pa.array(np.full(len(row), page.column("owner")[0].as_py(), np.int32)), "chain": pa.array(np.arange(len(row)), pa.int32()), "text_sha256": pa.array([hashlib.sha256(texts[r]).hexdigest() for r in row], pa.string())}
+    return pa.table(added | {c: own.column(c) for c in own.column_names})
 
 
-_ROUTED = "bucket int, salt int, key long, doc_id long, text string"
+def _met(heads: DataFrame) -> DataFrame:
+    """(key, text_sha256, best) of the heads (page, chain, key, doc_id, text_sha256, group_size) of dealt buckets: the row that stays."""
+    best = F.max(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "page", "chain")).alias("best")
+    return heads.groupBy("key", "text_sha256").agg(best, F.sum("group_size").alias("total"))
 
 
 def _inputs(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -177,29 +190,26 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", capaci
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
     rows = _inputs(docs, key, text)
     directory = build_directory(rows.select("text"), capacity)
-    routed = rows.mapInArrow(_route(directory), _ROUTED)
-    index = stored(routed.groupBy("bucket", "salt").applyInArrow(_own(directory.owners), PAGES), "dedup-index")
+    index = stored(_owned(rows, directory).mapInArrow(_pages(_index), PAGES), "dedup-index")
     out = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
     if not (directory.owners > 1).any():
         return index.select(*out)
-    whole = F.col("bucket").isin([int(x) for x in np.flatnonzero(directory.owners > 1)])
-    heads = index.where(whole & F.col("kept")).select("bucket", "salt", "chain", "key", "doc_id", "group_size", "text")
-    merged = heads.groupBy("bucket", "key").applyInArrow(_merge, "bucket int, salt int, chain int, keep_id long, group_size long, wins boolean, text_sha256 string")
-    joined = index.where(whole).select("bucket", "salt", "chain", "doc_id", "kept").join(merged, ["bucket", "salt", "chain"])
-    return index.where(~whole).select(*out).unionByName(joined.withColumn("kept", F.col("kept") & F.col("wins")).select(*out))
+    heads = index.where("dealt and kept").select("page", "chain", "key", "doc_id", "text_sha256", "group_size")
+    wins = (F.col("page") == F.col("best.page")) & (F.col("chain") == F.col("best.chain"))
+    met = heads.join(_met(heads), ["key", "text_sha256"]).select("page", "chain", F.col("best.doc_id").alias("keep_id"), F.col("total").alias("group_size"), wins.alias("wins"))
+    joined = index.where("dealt").select("page", "chain", "doc_id", "kept", "text_sha256").join(met, ["page", "chain"])
+    return index.where("not dealt").select(*out).unionByName(joined.withColumn("kept", F.col("kept") & F.col("wins")).select(*out))
 
 
 def drop_exact_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = BUCKET_BYTES) -> DataFrame:
-    """``docs`` with one row of each class of equal texts, the one of the largest id; whole rows travel once."""
+    """``docs`` with one row of each class of equal texts, the one of the largest id; whole rows travel once, into the index."""
     directory = build_directory(_inputs(docs, key, text).select("text"), capacity)
-    carried = _inputs(docs.select(key, text), key, text).schema
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), text_or_empty(text).alias("text"), F.struct(*[F.col(c) for c in docs.columns if c not in (key, text)], F.col(text).isNull().alias("_null_text")).alias("rest"))
-    routed = rows.schema
-    schema = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("salt", T.IntegerType()), T.StructField("key", T.LongType()), *carried.fields, routed["rest"]])
-    kept = rows.mapInArrow(_route(directory), schema).groupBy("bucket", "salt").applyInArrow(_first, schema)
+    rest, whole = set_aside(docs, key, text)
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), text_or_empty(text).alias("text"), F.col(text).isNull().alias("no_text"), rest)
+    owned = _owned(rows, directory)
+    schema = T.StructType([T.StructField("page", T.IntegerType()), T.StructField("chain", T.IntegerType()), T.StructField("text_sha256", T.StringType()), *owned.schema.fields])
+    kept = stored(owned.mapInArrow(_pages(_first), schema), "dedup-index")
     if (directory.owners > 1).any():
-        kept = stored(kept, "dedup-kept")
-        whole = F.col("bucket").isin([int(x) for x in np.flatnonzero(directory.owners > 1)])
-        kept = kept.where(~whole).unionByName(kept.where(whole).groupBy("bucket", "key").applyInArrow(_first, kept.schema))
-    value = {key: F.col("doc_id").cast(docs.schema[key].dataType), text: F.when(~F.col("rest._null_text"), F.col("text"))}
-    return kept.select(*[value.get(c, F.col("rest").getField(c)).alias(c) for c in docs.columns])
+        met = _met(kept.where("dealt").select("page", "chain", "key", "doc_id", "text_sha256", F.lit(1).alias("group_size"))).select("best.page", "best.chain")
+        kept = kept.where("not dealt").unionByName(kept.where("dealt").join(met, ["page", "chain"], "left_semi").select(*kept.columns))
+    return kept.select(*whole({key: F.col("doc_id").cast(docs.schema[key].dataType), text: F.when(~F.col("no_text"), F.col("text"))}))

@@ -4,15 +4,18 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from lexiloom.llm import exact_dedup, simhash
 
 ASCII = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-SCHEMA = "doc_id long, text string, bucket int, salt string, fp string"
+OTHERS = ["bucket", "salt", "fp", "_text", "_fp", "_first", "_null_text", "rest", "row", "f", "f0", "owner", "n", "key", "a.b"]
 
 
 def docs(spark, rows):
-    return spark.createDataFrame([(i, t, 1, "x", "y") for i, t in rows], SCHEMA)
+    """Documents with columns named like the ones that operators use."""
+    names = ", ".join(f"`{x}` string" for x in OTHERS)
+    return spark.createDataFrame([(i, t, *OTHERS) for i, t in rows], f"doc_id long, text string, {names}")
 
 
 def brute_exact(rows):
@@ -38,8 +41,10 @@ def test_exact_dedup_equals_brute_force(spark, capacity):
 @pytest.mark.parametrize("capacity", [1 << 24, 2_000])
 def test_drop_exact_copies_keeps_whole_rows(spark, capacity):
     kept = exact_dedup.drop_exact_copies(docs(spark, ROWS), capacity=capacity)
-    assert kept.columns == ["doc_id", "text", "bucket", "salt", "fp"]
-    got = sorted((r.doc_id, r.text) for r in kept.collect())
+    assert kept.schema.simpleString() == docs(spark, []).schema.simpleString()
+    rows = kept.collect()
+    assert all(tuple(r)[2:] == tuple(OTHERS) for r in rows)
+    got = sorted((r.doc_id, r.text) for r in rows)
     assert got == sorted([(2, "aBC"), (4, ""), (5, "É"), (6, "é"), (8, "X" * 300_000), (9, " abc"), (399, "Same")])
 
 
@@ -52,6 +57,19 @@ def test_directory_splits_until_buckets_fit_and_deals_what_cannot_split():
     directory = exact_dedup.Directory(sizes, 12)
     held = np.bincount(directory.bucket[np.arange(8) >> (3 - directory.depth)], sizes)
     assert all(h <= 12 * o for h, o in zip(held, directory.owners, strict=True)) and directory.owners.max() == 9
+    assert directory.first.tolist() == [sum(directory.owners[:i]) for i in range(len(directory.owners))]
+
+
+def test_tasks_hold_a_bucket_at_any_size(spark):
+    rows = docs(spark, [(i, f"text {i} " * 20) for i in range(600)] + [(1000 + i, "hot " * 40) for i in range(300)])
+    inputs = exact_dedup._inputs(rows, "doc_id", "text")
+    for times in (1, 4):
+        many = inputs
+        for k in range(1, times):
+            many = many.unionByName(inputs.withColumn("text", F.concat("text", F.lit(f" {k}"))))
+        directory = exact_dedup.build_directory(many.select("text"), 20_000)
+        sizes = exact_dedup._owned(many, directory).groupBy(F.spark_partition_id()).agg(F.sum(F.length("text") + 64).alias("held"), F.count_distinct("owner").alias("owners")).collect()
+        assert max(r.held for r in sizes) < 40_000 and {r.owners for r in sizes} == {1}
 
 
 def test_dedup_of_an_empty_table(spark):
@@ -129,7 +147,8 @@ def test_drop_near_copies_keeps_the_smallest_id_of_each_component(spark):
     rows = near_rows()
     expected = {c for _, _, c in brute_components([(i, slow_fingerprint(t or "")) for i, t in rows])}
     kept = simhash.drop_near_copies(docs(spark, rows))
-    assert kept.columns == ["doc_id", "text", "bucket", "salt", "fp"]
+    assert kept.schema.simpleString() == docs(spark, []).schema.simpleString()
+    assert all(tuple(r)[2:] == tuple(OTHERS) for r in kept.collect())
     assert sorted(r.doc_id for r in kept.collect()) == sorted(expected)
 
 
