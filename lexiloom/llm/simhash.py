@@ -6,7 +6,8 @@ built in four rotations and each descent starts at the pairs (node, node) of dep
 unspent. From there node pairs are walked together, a level a step, whole levels at a time in
 numpy: the bits in which the two prefixes differ accumulate and a pair beyond the budget is pruned.
 Owners of very full depth-16 nodes share them: such a node is opened further and its child pairs
-are dealt out, so no task holds more than a bounded share.
+are dealt out. The number of tasks follows the number of rows, and a task walks its node pairs one
+after another, so it holds ``WALK_ROWS`` fingerprints or the two nodes of one pair.
 
 A pair of nodes whose leaves are all known to be connected is pruned too, so thousands of near
 copies don't make all their pairs. Tasks hand on at most one link a fingerprint; components are then
@@ -20,6 +21,7 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,13 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, stored, text_or_empty
+from .common import forget, join_classes, set_aside, slices, stored, text_or_empty
 
 BITS, BUDGET, BLOCK = 64, 3, 16
 WIDTH = 3
 SEED = 42
 #: Fingerprints of one depth-16 node beyond which it is opened further and dealt out.
 NODE_ROWS = 50_000
+#: Rows that are walked at once, and those that a task gets.
+WALK_ROWS, TASK_ROWS = 200_000, 400_000
 _PART = 1 << 16
 
 
@@ -194,10 +198,26 @@ def _unite_flips(values, lo, hi, level, forest) -> None:
 
 
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All units of one partition, walked together; a link from each fingerprint to its set's first."""
-    table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
-    if table is None or not table.num_rows:
-        return
+    """Walks the units of one partition, which come in order, whole units at a time."""
+    held, rows = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held, rows = [*held, batch], rows + batch.num_rows
+        if rows < WALK_ROWS:
+            continue
+        table = pa.Table.from_batches(held)
+        unit = table.column("unit").to_numpy()
+        last = int(np.searchsorted(unit, unit[-1]))  # the last unit may go on
+        if last:
+            yield _walked(table.slice(0, last))
+        held, rows = table.slice(last).to_batches(), len(unit) - last
+    if rows:
+        yield _walked(pa.Table.from_batches(held))
+
+
+def _walked(table: pa.Table) -> pa.RecordBatch:
+    """A link from each fingerprint to the first of its set."""
     unit, second, depth = (table.column(c).to_numpy().astype(np.int64) for c in ("unit", "second", "depth"))
     turn, value = table.column("turn").to_numpy().astype(np.uint64), table.column("value").to_numpy().view(np.uint64)
     order = np.lexsort((value, second, unit))
@@ -205,7 +225,7 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     root = trie_links(value, unit, depth, second)
     linked = root != np.arange(len(root))
     back = _rotate(value, (np.uint64(BITS) - turn) % np.uint64(BITS))
-    yield pa.RecordBatch.from_arrays([pa.array(back[linked].view(np.int64)), pa.array(back[root[linked]].view(np.int64))], names=["a", "b"])
+    return pa.RecordBatch.from_arrays([pa.array(back[linked].view(np.int64)), pa.array(back[root[linked]].view(np.int64))], names=["a", "b"])
 
 
 def _rotate(value: np.ndarray, by) -> np.ndarray:
@@ -225,22 +245,35 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([_turned(own, k)[1] for k in range(BITS // BLOCK)]))], names=["node"])
 
 
+@functools.cache
+def _flips(bits: int) -> np.ndarray:
+    """In which of the further ``bits`` two children may differ within the budget."""
+    x = np.arange(1 << bits)
+    return x[np.bitwise_count(x) <= BUDGET]
+
+
 def _units(full: dict[int, int]):
     """``full``: by node, how many more bits it is opened. Such a node's units are pairs of its children."""
+    nodes = np.array(sorted(full), dtype=np.int64)
+    bits = np.array([full[n] for n in nodes.tolist()], dtype=np.int64)
 
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = batch.column("fp").to_numpy().view(np.uint64)
             for k in range(BITS // BLOCK):
                 value, node = _turned(own, k)
-                opened = np.isin(node, list(full))
-                yield _unit_rows(k, node[~opened] | (1 << 60), 0, BLOCK, value[~opened])
-                for n in np.unique(node[opened]).tolist():
-                    wider, v = full[n], value[node == n]
-                    child = (v >> np.uint64(BITS - BLOCK - wider)).astype(np.int64) & ((1 << wider) - 1)
-                    for flip in (x for x in range(1 << wider) if x.bit_count() <= BUDGET):
-                        first = np.minimum(child, child ^ flip)
-                        yield _unit_rows(k, n << 40 | first << 20 | (first ^ flip), child != first, BLOCK + wider, v)
+                wider = np.zeros(len(node), dtype=np.int64)
+                if len(nodes):
+                    at = np.minimum(np.searchsorted(nodes, node), len(nodes) - 1)
+                    wider = np.where(nodes[at] == node, bits[at], 0)
+                yield _unit_rows(k, node[wider == 0] | (1 << 60), 0, BLOCK, value[wider == 0])
+                for w in np.unique(wider[wider > 0]).tolist():
+                    v, n = value[wider == w], node[wider == w]
+                    child = (v >> np.uint64(BITS - BLOCK - w)).astype(np.int64) & ((1 << w) - 1)
+                    for flips in np.array_split(_flips(w), -(-len(_flips(w)) * len(v) // _PART)):  # a bounded batch at a time
+                        one, other = (np.repeat(child, len(flips)), (child[:, None] ^ flips).ravel())
+                        first = np.minimum(one, other)
+                        yield _unit_rows(k, np.repeat(n, len(flips)) << 40 | first << 20 | (one ^ other ^ first), one != first, BLOCK + w, np.repeat(v, len(flips)))
 
     return units
 
@@ -255,59 +288,71 @@ def links(prints: DataFrame, node_rows: int = NODE_ROWS) -> DataFrame:
     """Links (a, b) of distinct fingerprints ``fp``: not all pairs, but any two within the budget end up connected."""
     counts = prints.select("fp").mapInArrow(_nodes, "node long").groupBy("node").count().where(F.col("count") > node_rows)
     # at most 4 * 65536 nodes exist, whatever the input
-    full = {r.node: min(16, (r["count"] // node_rows).bit_length() + 2) for r in counts.toLocalIterator()}
+    held = {r.node: r["count"] for r in counts.toLocalIterator()}
+    full = {node: min(16, (n // node_rows).bit_length() + 2) for node, n in held.items()}
     units = prints.select("fp").mapInArrow(_units(full), "turn int, unit long, second int, depth int, value long")
-    return units.repartition(F.col("unit")).mapInArrow(_walk, "a long, b long")
+    # an opened node's rows come once for each pair of children
+    rows = BITS // BLOCK * prints.count() + sum(n * len(_flips(full[node])) for node, n in held.items())
+    return units.repartition(max(1, -(-rows // TASK_ROWS)), F.col("unit")).sortWithinPartitions("unit").mapInArrow(_walk, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges``: the smallest node that can be reached.
 
     Each round hooks every node to the smallest root around it and jumps pointers once; rounds grow
-    with the logarithm of a component's width. Sums meet map-side, so a hub costs a row per task.
+    with the logarithm of a component's width. Sums meet map-side, so a hub costs a row per task, and
+    roots that many nodes share are joined by broadcast (``join_classes``), so a component of any
+    size stays spread.
     """
     both = stored(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), "component-edges")
-    state = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root")), "component-state")
+    state = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root"), F.count("*").alias("n")), "component-state")
     while True:
-        around = both.join(state.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        hooked = state.join(around, "node").select("node", "root", F.least("root", "near").alias("low"))
+        # how many edges a node has is how many rows look it up
+        around = join_classes(both, state.select(F.col("node").alias("b"), "root", "n"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
+        hooked = stored(state.join(around, "node").select("node", "n", "root", F.least("root", "near").alias("low")), "component-hooked")
         # a root learns the smallest root that any of its members saw
-        root_low = hooked.groupBy("root").agg(F.min("low").alias("root_low"))
-        moved = hooked.join(root_low, "root").select("node", "root", F.least("low", "root_low").alias("next"))
-        jump = moved.select(F.col("node").alias("next"), F.col("next").alias("next_root"))
-        new = stored(moved.join(jump, "next", "left").select("node", F.col("root").alias("old"), F.least("next", F.coalesce("next_root", "next")).alias("root")), "component-state")
+        root_low = hooked.groupBy("root").agg(F.min("low").alias("root_low"), F.count("*").alias("n"))
+        size = stored(root_low, "component-roots")
+        moved = stored(join_classes(hooked.withColumnRenamed("n", "edges"), size, "root").select("node", "edges", "root", F.least("low", "root_low").alias("next")), "component-moved", instead=hooked)
+        ahead = moved.groupBy("next").agg(F.count("*").alias("n")).join(moved.select(F.col("node").alias("next"), F.col("next").alias("next_root")), "next", "left")
+        jump = stored(ahead, "component-jump", instead=size)
+        new = join_classes(moved, jump, "next").select("node", F.col("root").alias("old"), F.least("next", F.coalesce("next_root", "next")).alias("root"), F.col("edges").alias("n"))
+        new = stored(new, "component-state", instead=state)
+        forget(moved, jump)
         if new.where("root <> old").isEmpty():
+            forget(both)
             return new.select("node", "root")
-        state = new.select("node", "root")
+        state = new
 
 
 def print_classes(prints: DataFrame, node_rows: int = NODE_ROWS) -> DataFrame:
-    """(fp, component_id, stays) for every distinct ``fp`` of (doc_id, fp). One ``fp`` of a component stays."""
+    """(fp, n, component_id, stays) for every distinct ``fp`` of (doc_id, fp). One ``fp`` of a component stays; ``n`` rows hold it."""
     # copies meet map-side; from here on a group of copies is one row
-    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
+    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "simhash-distinct")
     root = components(links(distinct, node_rows))
-    linked = distinct.join(root.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    best = linked.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull(), "first_id", "fp")).alias("best"))
-    return linked.join(best, "root").select("fp", F.col("best.first_id").alias("component_id"), (F.col("fp") == F.col("best.fp")).alias("stays"))
+    linked = stored(distinct.join(root.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "simhash-linked")
+    best = linked.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull(), "first_id", "fp")).alias("best"), F.count("*").alias("n"))
+    met = join_classes(linked.withColumnRenamed("n", "rows"), stored(best, "simhash-best"), "root")
+    return stored(met.select("fp", F.col("rows").alias("n"), F.col("best.first_id").alias("component_id"), (F.col("fp") == F.col("best.fp")).alias("stays")), "simhash-classes")
 
 
 def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", node_rows: int = NODE_ROWS) -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id (smallest id reachable)."""
     rows = stored(fingerprints(docs, key, text), "simhash-fingerprints")
-    classes = print_classes(rows, node_rows)
-    return rows.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return join_classes(rows, print_classes(rows, node_rows), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def _with_print(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
-        prints = np.array([fingerprint(x.as_py()) for x in batch.column("_text")], dtype=np.uint64).view(np.int64)
-        yield batch.drop_columns(["_text"]).append_column("_fp", pa.array(prints))
+        prints = np.array([fingerprint(x.as_py() or "") for x in batch.column("text")], dtype=np.uint64).view(np.int64)
+        yield batch.append_column("fp", pa.array(prints))
 
 
 def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", node_rows: int = NODE_ROWS) -> DataFrame:
     """``docs`` with one row of each component, one of the smallest id."""
-    rows = stored(docs.withColumn("_text", text_or_empty(text)).mapInArrow(_with_print, T.StructType([*docs.schema.fields, T.StructField("_fp", T.LongType())])), "simhash-rows")
-    classes = print_classes(rows.select(F.col(key).cast("long").alias("doc_id"), F.col("_fp").alias("fp")), node_rows)
-    stay = classes.where("stays").select(F.col("fp").alias("_fp"), F.col("component_id").alias("_first"))
-    kept = rows.join(stay, "_fp").where(F.col(key).cast("long").eqNullSafe(F.col("_first")))
-    return kept.dropDuplicates(["_fp"]).select(*docs.columns)
+    rest, whole = set_aside(docs, text)
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), rest)
+    rows = stored(rows.mapInArrow(_with_print, T.StructType([*rows.schema.fields, T.StructField("fp", T.LongType())])), "simhash-rows")
+    classes = print_classes(rows.select("doc_id", "fp"), node_rows)
+    kept = join_classes(rows, classes, "fp").where("stays and doc_id <=> component_id")
+    return kept.dropDuplicates(["fp"]).select(*whole({text: F.col("text").cast(docs.schema[text].dataType)}))
