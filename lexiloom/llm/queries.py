@@ -85,6 +85,11 @@ ORACLE_SQL: dict[str, str] = {
         found AS (SELECT r, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, string_agg(name || ':' || start || ':' || (start + n), ',' ORDER BY start, kind) AS spans FROM all_ WHERE least_n GROUP BY r)
         SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans, sha256(t) AS blob_id FROM d LEFT JOIN found USING (r)
     """,
+    # The given conversations make no tool calls; a table that does is beyond SQL's JSON functions.
+    "op10_chat_format": """
+        SELECT c.conv_id, c.turn, c.role, to_json({'content': c.text, 'role': c.role})::VARCHAR AS message, 0::BIGINT AS n_calls, 0::BIGINT AS n_valid, p.turn AS links_to, c.turn::BIGINT * 1048576 AS position, true AS ordered
+        FROM conversations c LEFT JOIN (SELECT DISTINCT conv_id, turn FROM conversations) p ON c.role = 'assistant' AND p.conv_id = c.conv_id AND p.turn = c.turn - 1
+    """,
     "op4_exact_dedup": """
         WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
         g AS (SELECT doc_id, t, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size FROM d)
