@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,21 +64,44 @@ def forget(*frames: DataFrame) -> None:
 HEAVY = 1000
 
 
-def join_classes(rows: DataFrame, classes: DataFrame, key: str, how: str = "inner") -> DataFrame:
+def join_classes(rows: DataFrame, classes: DataFrame, key: str | list[str], how: str = "inner", sparse: str | None = None) -> DataFrame:
     """``rows`` with the columns of ``classes``, which has one row a ``key`` and, in ``n``, how many rows hold it.
 
     A key with more than a thousandth of all rows is joined by broadcast, so its rows stay where they
     are; as the counts add up to the rows there are under a thousand of those. All others shuffle.
-    ``how``: inner, or left for rows whose key has no class; rows without a key have none. Both frames
-    are read more than once, so they should be stored.
+    ``how``: inner, or left for rows whose key has no class; rows without a key have none. With left,
+    classes whose ``sparse`` column is null are as good as none. Both frames are read more than once,
+    so they should be stored.
     """
+    keys = [key] if isinstance(key, str) else key
     total, most = classes.agg(F.sum("n"), F.max("n")).first()
+    some = F.lit(True) if sparse is None else F.col(sparse).isNotNull()
     if not total or most * HEAVY <= total:
-        return rows.join(classes.drop("n"), key, how)
+        return rows.join(classes.where(some).drop("n"), keys, how)
     often = F.col("n") * HEAVY > total
-    heavy, light = classes.where(often).drop("n"), classes.where(~often).drop("n")
-    far = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light, key, how)
-    return far.unionByName(rows.join(F.broadcast(heavy), key))
+    heavy, light = F.broadcast(classes.where(often).drop("n")), classes.where(~often & some).drop("n")
+    far = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(light, keys, how)
+    return far.unionByName(rows.join(heavy, keys))
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], column: str, rows: int) -> Iterator[pa.Table]:
+    """Batches that come in the order of ``column`` as tables of about ``rows`` rows that part no value of it."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held, n = [*held, batch], n + batch.num_rows
+        if n < rows:
+            continue
+        table = pa.Table.from_batches(held)
+        own = table.column(column).to_numpy()
+        last = int(np.searchsorted(own, own[-1]))  # the last value may go on
+        if last:
+            yield table.slice(0, last)
+        held, n = table.slice(last).to_batches(), len(own) - last
+    if n:
+        yield pa.Table.from_batches(held)
 
 
 #: Rows that a Python task holds as objects at once.

@@ -28,8 +28,10 @@ gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -39,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored
+from .common import join_classes, slices, stored, whole_groups
 from .url_filter import url_host
 
 THRESHOLD, DECAY, MIN_PAGES = 0.3, 0.9, 5
@@ -103,19 +105,40 @@ def _declared(tag: str, attributes: str, inside: bool) -> tuple[str, int | None]
 
 
 def parse(page: str) -> Node:
-    """The tree of blocks of a page: inline tags dissolve, what is declared noise keeps no text."""
+    """The tree of blocks of a page: inline tags dissolve, what is declared noise keeps no text. Linear in the page."""
     root = Node("html")
     open_: list[Node] = [root]
+    tags: Counter[str] = Counter()  # of the open nodes
+    articles = 0  # open ones
+    block: list[str] = []  # text at the end of the innermost open node
     at, n = 0, len(page)
     muted: list[str] = []  # open tags below a noise element that must end before it does
+    muted_tags: Counter[str] = Counter()
 
     def text(s: str) -> None:
         if s and not muted:
-            top = open_[-1].children
-            if top and isinstance(top[-1], str):
-                top[-1] += s
-            else:
-                top.append(s)
+            block.append(s)
+
+    def end_block() -> None:
+        if block:
+            open_[-1].children.append("".join(block))
+            block.clear()
+
+    def close() -> str:
+        nonlocal articles
+        end_block()
+        node = open_.pop()
+        tags[node.tag] -= 1
+        articles -= node.fixed == 1
+        return node.tag
+
+    def mute(tag: str) -> None:
+        muted.append(tag)
+        muted_tags[tag] += 1
+
+    def unmute() -> str:
+        muted_tags[muted[-1]] -= 1
+        return muted.pop()
 
     while at < n:
         m = _TOKEN.search(page, at)
@@ -129,47 +152,55 @@ def parse(page: str) -> Node:
             continue
         if m[1]:  # a closing tag
             if muted:
-                if tag in muted:
-                    while muted.pop() != tag:
+                if muted_tags[tag]:
+                    while unmute() != tag:
                         pass
-            elif tag not in INLINE and any(x.tag == tag for x in open_[1:]):
-                while open_.pop().tag != tag:
+            elif tag not in INLINE and tags[tag]:
+                while close() != tag:
                     pass
             continue
         if tag in RAW and tag not in VOID:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            end = _raw_end(tag).search(page, at)
             at = end.end() if end else n
             continue
         if muted:
             if tag not in VOID:
                 if tag in CLOSES and muted[-1] in CLOSES[tag] and len(muted) > 1:
-                    muted.pop()
-                muted.append(tag)
+                    unmute()
+                mute(tag)
             continue
-        key, fixed = _declared(tag, m[3], any(x.fixed == 1 for x in open_))
+        key, fixed = _declared(tag, m[3], articles > 0)
         if tag == "br" or tag in VOID:
             text(" " if tag in INLINE else "")
             if tag == "hr":
+                end_block()
                 open_[-1].children.append(Node("hr"))
             continue
         if tag in INLINE and fixed is None:
             continue
-        if fixed == 0:
-            if tag not in INLINE | _IN_LINE_NOISE:
-                while len(open_) > 1 and open_[-1].tag in CLOSES.get(tag, {"p"}):
-                    open_.pop()
-                open_[-1].children.append(Node(tag, key, 0))
-            muted.append(tag)
+        if fixed == 0 and tag in INLINE | _IN_LINE_NOISE:
+            mute(tag)
             continue
-        closes = CLOSES.get(tag, {"p"})
-        while len(open_) > 1 and open_[-1].tag in closes:
-            open_.pop()
+        while len(open_) > 1 and open_[-1].tag in CLOSES.get(tag, {"p"}):
+            close()
+        end_block()
         node = Node(tag, key, fixed)
         open_[-1].children.append(node)
-        open_.append(node)
+        if fixed == 0:
+            mute(tag)
+        else:
+            open_.append(node)
+            tags[tag] += 1
+            articles += fixed == 1
+    end_block()
     return root
 
 
+@functools.cache
+def _raw_end(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}\s*>", re.I)
+
+
 def _clean(s: str) -> str:
     return _SPACE.sub(" ", s).strip()
 
@@ -229,7 +260,8 @@ def _hash(*parts) -> int:
     return xxhash.xxh64_intdigest("\x00".join(map(str, parts))) >> 1
 
 
-ELEMENT, LEAF, FIXED, ARTICLE = 0, 1, 2, 3
+#: Kinds of style rows; the last counts a page's rows.
+ELEMENT, LEAF, FIXED, ARTICLE, TIMES = 0, 1, 2, 3, 4
 
 
 def style_rows(root: Node, host: str) -> Iterator[tuple[int, int, int, int, int]]:
@@ -267,18 +299,29 @@ def style_rows(root: Node, host: str) -> Iterator[tuple[int, int, int, int, int]
 
 
 _ROWS = "page long, body long, number int, parent int, place long, kind int, value long"
+#: Rows of whole pages whose branches are weighed at once.
+WEIGHED_ROWS = 200_000
 
 
 def _merge_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The style rows of each page, once a task, and how often the task met it."""
+    times: Counter[int] = Counter()
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64())
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) or [()] * 7
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["page", "body", "number", "parent", "place", "kind", "value"])
+
     for batch in slices(batches):
         rows = []
         for page, host, text in zip(batch.column("page").to_pylist(), batch.column("host").to_pylist(), batch.column("html"), strict=True):
-            root = parse(text.as_py())
-            body = _hash(main_text(root))
-            rows += [(page, body, *row) for row in style_rows(root, host)]
-        columns = list(zip(*rows, strict=True)) or [()] * 7
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["page", "body", "number", "parent", "place", "kind", "value"])
+            times[page] += 1
+            if times[page] == 1:
+                root = parse(text.as_py())
+                body = _hash(main_text(root))
+                rows += [(page, body, *row) for row in style_rows(root, host)]
+        yield batch_of(rows)
+    yield batch_of([(page, 0, -1, -1, 0, TIMES, n) for page, n in times.items()])
 
 
 def _parents(page, number, parent) -> np.ndarray:
@@ -299,13 +342,17 @@ def branch_importance(page, number, parent, kind, value, pages, same, styles, en
     own = np.where(kind == ELEMENT, (log - entropy / np.maximum(pages, 1)) / log, 1 - np.log(np.maximum(same, 1)) / log)
     own = np.where(kind == FIXED, value, np.where((pages < MIN_PAGES) | (kind == ARTICLE), 1.0, own))
     up = _parents(page, number, parent)
-    depth = np.where(up < 0, 0, -1)
-    while (depth < 0).any():
-        depth = np.where((depth < 0) & (depth[up] >= 0), depth[up] + 1, depth)
+    # depths by pointer jumping, so that a page of any depth takes few steps
+    above, depth = np.where(up < 0, np.arange(len(page)), up), (up >= 0).astype(np.int64)
+    while (above[above] != above).any():
+        depth += depth[above]
+        above = above[above]
     total, children = np.zeros(len(page)), np.zeros(len(page))
     decay = DECAY ** np.maximum(styles, 1)
-    for level in range(int(depth.max(initial=0)), -1, -1):
-        at = np.flatnonzero(depth == level)
+    by_depth = np.argsort(depth, kind="stable")
+    edge = np.searchsorted(depth[by_depth], np.arange(int(depth.max(initial=0)) + 2))
+    for level in range(len(edge) - 2, -1, -1):
+        at = by_depth[edge[level] : edge[level + 1]]
         inner = at[np.isin(kind[at], (ELEMENT, ARTICLE)) & (children[at] > 0)]
         own[inner] = (1 - decay[inner]) * own[inner] + decay[inner] * total[inner] / children[inner]
         if level:
@@ -316,43 +363,42 @@ def branch_importance(page, number, parent, kind, value, pages, same, styles, en
 
 def _low_branches(threshold: float):
     def low(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        if not held or not sum(b.num_rows for b in held):
-            return
-        table = pa.Table.from_batches(held)
-        c = {n: table.column(n).to_numpy() for n in table.column_names}
-        order = np.lexsort((c["number"], c["page"]))
-        first = np.concatenate([[True], (np.diff(c["page"][order]) != 0) | (np.diff(c["number"][order]) != 0)])  # repeated pages meet
-        c = {n: v[order[first]] for n, v in c.items()}
-        value = branch_importance(*(c[n] for n in ("page", "number", "parent", "kind", "value", "pages", "same", "styles", "entropy")))
-        gone = (value < threshold) & np.isin(c["kind"], (ELEMENT, LEAF)) & (c["parent"] >= 0)
-        # An article stays in a low branch. Only leaves are listed, so that a page that loses no text isn't.
-        up = _parents(c["page"], c["number"], c["parent"])
-        for _ in range(len(up)):
-            more = ~gone & (up >= 0) & gone[up] & np.isin(c["kind"], (ELEMENT, LEAF))
-            if not more.any():
-                break
-            gone |= more
-        gone &= c["kind"] == LEAF
-        yield pa.RecordBatch.from_arrays([pa.array(c["page"][gone]), pa.array(c["number"][gone])], names=["page", "number"])
+        for table in whole_groups(batches, "page", WEIGHED_ROWS):
+            c = {n: table.column(n).to_numpy() for n in table.column_names}
+            order = np.lexsort((c["number"], c["page"]))
+            first = np.concatenate([[True], (np.diff(c["page"][order]) != 0) | (np.diff(c["number"][order]) != 0)])  # repeated pages meet
+            c = {n: v[order[first]] for n, v in c.items()}
+            value = branch_importance(*(c[n] for n in ("page", "number", "parent", "kind", "value", "pages", "same", "styles", "entropy")))
+            gone = (value < threshold) & np.isin(c["kind"], (ELEMENT, LEAF)) & (c["parent"] >= 0)
+            # An article stays in a low branch. Only leaves are listed, so that a page that loses no text isn't.
+            up = _parents(c["page"], c["number"], c["parent"])
+            above = np.where(np.isin(c["kind"], (ELEMENT, LEAF)) & (up >= 0), up, np.arange(len(up)))
+            while True:
+                gone |= gone[above]
+                if (above[above] == above).all():
+                    break
+                above = above[above]
+            gone &= c["kind"] == LEAF
+            yield pa.RecordBatch.from_arrays([pa.array(c["page"][gone]), pa.array(c["number"][gone])], names=["page", "number"])
 
     return low
 
 
 def low_branches(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(page, numbers) of the leaves in branches that the style trees of (page, host, html) find unimportant."""
+    """(page, n, numbers) of every page of (page, host, html): its rows, and the leaves in branches that its host's style tree finds unimportant, if any."""
     rows = stored(pages.mapInArrow(_merge_rows, _ROWS), "style-tree-rows")  # parsed once for all that follows
-    seen = rows.where(F.col("kind").isin(ELEMENT, LEAF))
-    merged = seen.groupBy("place", "kind", "value").agg(F.count_distinct("body").alias("same"))
+    seen, nodes = rows.where(F.col("kind").isin(ELEMENT, LEAF)), rows.where(F.col("kind") != TIMES)
+    merged = stored(seen.groupBy("place", "kind", "value").agg(F.count_distinct("body").alias("same"), F.count("*").alias("n")), "style-tree")
     # Inside an article a place holds many leaves of a page.
     wide = seen.groupBy("place").agg(F.count_distinct("body").alias("pages"))
     places = merged.groupBy("place").agg(F.count("*").alias("styles"), F.sum(F.col("same") * F.log("same")).alias("entropy")).join(wide, "place")
     # A content that one page alone has is important at any place.
-    shared = merged.where((F.col("same") > 1) | (F.col("kind") == ELEMENT)).drop("kind").join(places, "place")
-    known = rows.join(shared, ["place", "value"], "left")
+    shared = stored(merged.where((F.col("same") > 1) | (F.col("kind") == ELEMENT)).drop("kind").join(places, "place"), "style-tree-shared")
+    known = join_classes(nodes, shared, ["place", "value"], "left")
     numbers = [F.coalesce(F.col(c), F.lit(1)).cast(t).alias(c) for c, t in (("pages", "long"), ("same", "long"), ("styles", "long"), ("entropy", "double"))]
-    known = known.select("page", "number", "parent", "kind", "value", *numbers).repartition("page")
-    return known.mapInArrow(_low_branches(threshold), "page long, number int").groupBy("page").agg(F.collect_set("number").alias("numbers"))
+    known = known.select("page", "number", "parent", "kind", "value", *numbers).repartition("page").sortWithinPartitions("page")
+    gone = known.mapInArrow(_low_branches(threshold), "page long, number int").groupBy("page").agg(F.collect_set("number").alias("numbers"))
+    return rows.where(F.col("kind") == TIMES).groupBy("page").agg(F.sum("value").alias("n")).join(gone, "page", "left")
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -365,6 +411,6 @@ def extract_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html
     """One row per page: page_id, url, text, n_chars."""
     host = url_host(F.col(url)) if host is None else host
     rows = pages.select(F.xxhash64(key, url, html).alias("page"), F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), host.alias("host"), F.coalesce(F.col(html), F.lit("")).alias("html"))
-    # Few branches go where pages declare their parts; Spark broadcasts the list only if its stored size is small.
     gone = stored(low_branches(rows.select("page", "host", "html"), threshold), "style-tree-branches")
-    return rows.join(gone, "page", "left").select("page_id", "url", "html", "numbers").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    # Few pages lose branches where they declare their parts; Spark broadcasts these only if their stored size is small.
+    return join_classes(rows, gone, "page", "left", sparse="numbers").select("page_id", "url", "html", "numbers").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")

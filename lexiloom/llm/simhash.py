@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import forget, join_classes, set_aside, slices, stored, text_or_empty
+from .common import forget, join_classes, set_aside, slices, stored, text_or_empty, whole_groups
 
 BITS, BUDGET, BLOCK = 64, 3, 16
 WIDTH = 3
@@ -199,21 +199,8 @@ def _unite_flips(values, lo, hi, level, forest) -> None:
 
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Walks the units of one partition, which come in order, whole units at a time."""
-    held, rows = [], 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held, rows = [*held, batch], rows + batch.num_rows
-        if rows < WALK_ROWS:
-            continue
-        table = pa.Table.from_batches(held)
-        unit = table.column("unit").to_numpy()
-        last = int(np.searchsorted(unit, unit[-1]))  # the last unit may go on
-        if last:
-            yield _walked(table.slice(0, last))
-        held, rows = table.slice(last).to_batches(), len(unit) - last
-    if rows:
-        yield _walked(pa.Table.from_batches(held))
+    for table in whole_groups(batches, "unit", WALK_ROWS):
+        yield _walked(table)
 
 
 def _walked(table: pa.Table) -> pa.RecordBatch:

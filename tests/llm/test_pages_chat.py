@@ -209,6 +209,90 @@ def test_branch_importance_equals_the_definition(spark):
     assert np.allclose(got, [expected[r[0], r[1]] for r in rows])
 
 
+def brute_texts(rows):
+    """Texts by the definition: style trees of whole hosts in dictionaries, branches weighed by recursion. rows: (page_id, url, html)."""
+    hosts = {}
+    for row in rows:
+        root = html_extract.parse(row[2] or "")
+        hosts.setdefault(brute_url(row[1])[0], []).append((row, root, html_extract.main_text(root)))
+    out = []
+    for host, own in hosts.items():
+        nodes = [{r[0]: r for r in html_extract.style_rows(root, host)} for _, root, _ in own]
+        met = {}  # bodies by place and value
+        for (_, _, body), tree in zip(own, nodes, strict=True):
+            for _, _, place, kind, value in tree.values():
+                if kind in (html_extract.ELEMENT, html_extract.LEAF):
+                    met.setdefault(place, {}).setdefault(value, set()).add(body)
+
+        def weigh(tree, number, below):
+            _, _, place, kind, value = tree[number]
+            if kind == html_extract.FIXED:
+                return float(value)
+            if kind == html_extract.ARTICLE:
+                own, styles = 1.0, 1
+            else:
+                counts = [len(x) for x in met[place].values()]
+                m, styles = len(set().union(*met[place].values())), len(counts)
+                if m < html_extract.MIN_PAGES or (kind == html_extract.LEAF and len(met[place][value]) == 1):
+                    own = 1.0
+                elif kind == html_extract.LEAF:
+                    own = 1 - np.log(len(met[place][value])) / np.log(m)
+                else:
+                    own = (np.log(m) - sum(c * np.log(c) for c in counts) / m) / np.log(m)
+            if not below[number] or kind == html_extract.LEAF:
+                return own
+            decay = html_extract.DECAY**styles
+            return (1 - decay) * own + decay * np.mean([weigh(tree, c, below) for c in below[number]])
+
+        for (row, root, _), tree in zip(own, nodes, strict=True):
+            below = {n: [] for n in tree}
+            for r in tree.values():
+                if r[1] in below:
+                    below[r[1]].append(r[0])
+            free = (html_extract.ELEMENT, html_extract.LEAF)
+            gone = set()
+            for n in sorted(tree):  # parents come first
+                if tree[n][3] in free and ((tree[n][1] >= 0 and weigh(tree, n, below) < html_extract.THRESHOLD) or tree[n][1] in gone):
+                    gone.add(n)
+            out.append((row[0], row[1], html_extract.main_text(root, frozenset(n for n in gone if tree[n][3] == html_extract.LEAF))))
+    return out
+
+
+def neutral_pages(rng, n):
+    """Pages of one host whose boilerplate carries no telling tag, class or id."""
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    bodies = [[" ".join(word() for _ in range(25)) for _ in range(rng.choice([2, 3, 4]))] for _ in range(n)]
+    page = lambda i, t: f"<div class=a1><p>Good prices every day</p></div><div class=a2>{'<article>' if i % 2 else '<div>'}{''.join(f'<p>{x}</p>' for x in t)}<p>Write to our desk</p>{'</article>' if i % 2 else '</div>'}</div><div class=a3>{'<p>Terms hold</p>' * (1 + i % 2)}</div>"
+    return bodies, [(i, f"http://plain.org/{i}", page(i, t)) for i, t in enumerate(bodies)]
+
+
+def test_whole_query_equals_brute_force(spark, sf_dir):
+    _, rows = neutral_pages(random.Random(7), 40)
+    rows += [(1000 + r.page_id, r.url, r.html) for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()] + rows[:3] + [(2000, None, None), (2001, "x", "")]
+    found = [(r.page_id, r.url, r.text) for r in html_extract.extract_pages(pages(spark, rows)).collect()]
+    order = lambda r: (r[0], r[2])
+    assert sorted(found, key=order) == sorted(brute_texts(rows), key=order)
+
+
+def test_noise_without_telling_names_goes_by_the_tree_alone(spark):
+    bodies, rows = neutral_pages(random.Random(8), 40)
+    found = {r.page_id: r.text for r in html_extract.extract_pages(pages(spark, rows)).collect()}
+    assert [found[i] for i in range(40)] == ["\n".join(t) for t in bodies]
+    assert all("Write to our desk" in html_extract.extract(h) for _, _, h in rows)  # a page alone can't tell
+
+
+def test_deep_and_wide_pages_take_linear_time(spark):
+    import time
+
+    deep, wide = "<div>" * 40_000 + "x" + "</div>" * 40_000, "<p>" + "a <b>b</b> &amp; " * 60_000
+    began = time.time()
+    assert html_extract.extract(deep) == "x" and len(html_extract.extract(wide)) > 300_000
+    assert html_extract.extract("<nav>" + "<div>" * 40_000 + "</i></div>" * 40_000 + "</nav>y") == "y"
+    rows = [(i, f"http://deep.org/{i}", deep) for i in range(3)]
+    assert [r.text for r in html_extract.extract_pages(pages(spark, rows)).collect()] == ["x"] * 3
+    assert time.time() - began < 60
+
+
 CHAT = "conv_id long, turn long, role string, text string, level string, id string"
 
 
@@ -216,31 +300,86 @@ def chat(spark, rows):
     return spark.createDataFrame([(*r, "l", "i") for r in rows], CHAT)
 
 
+def call(*calls):
+    return json.dumps({"tool_calls": [{"id": i, "name": n, "arguments": a, **({"depends_on": d} if d else {})} for i, n, a, d in calls]})
+
+
+def result(call_id, content="x"):
+    return json.dumps({"tool_call_id": call_id, "content": content})
+
+
 def test_tool_calls_are_linked_ordered_validated_and_serialised(spark):
-    call = lambda *calls: json.dumps({"tool_calls": [{"id": i, "name": n, "arguments": a, **({"depends_on": d} if d else {})} for i, n, a, d in calls]})
     rows = [
         (1, 0, "user", "find é \"x\""),
-        (1, 1, "assistant", call(("c1", "search", {"query": "x", "limit": 3}, None), ("c2", "get_page", {"path": 7}, ["c1"]))),
-        (1, 2, "tool", json.dumps({"tool_call_id": "c1", "content": '{"b": 1, "a": [1, 2]}'})),
-        (1, 3, "tool", json.dumps({"tool_call_id": "c2", "content": "plain"})),
-        (1, 4, "tool", json.dumps({"tool_call_id": "none", "content": "x"})),
+        (1, 1, "assistant", call(("c2", "weather", {"city": 7}, ["c1"]), ("c1", "search", {"query": "x", "limit": 3}, None))),
+        (1, 2, "tool", result("c2", "plain")),
+        (1, 3, "tool", result("c1", '{"b": 1, "a": [1, 2]}')),
+        (1, 4, "tool", result("none")),
         (1, 5, "assistant", "done"),
-        (2, 0, "assistant", call(("c1", "write_page", {"path": "p"}, ["c9"]), ("c9", "nope", {}, ["c1"]))),
+        (2, 0, "assistant", call(("c1", "send_mail", {"to": "p"}, ["c9"]), ("c9", "nope", {}, ["c1"]))),
         (2, 1, "tool", '{"tool_call_id": "c1"'),
+        (2, 2, "tool", result("c9")),
+        (3, 0, "assistant", call(("a", "search", {"query": "x"}, ["gone"]))),
         (None, 0, "user", None),
+        (4, None, "assistant", call(("a", "search", {"query": "x"}, None))),
     ]
     out = {(r.conv_id, r.turn): r for r in tool_chat.format_chat(chat(spark, rows), tool_chat.schema_table(spark)).collect()}
     assert len(out) == len(rows)
     assert out[1, 0].message == '{"content":"find é \\"x\\"","role":"user"}'
-    assert out[1, 1].message == '{"role":"assistant","tool_calls":[{"arguments":{"limit":3,"query":"x"},"id":"c1","name":"search"},{"arguments":{"path":7},"id":"c2","name":"get_page"}]}'
-    assert (out[1, 1].n_calls, out[1, 1].n_valid, out[1, 1].level) == (2, 1, 1)
-    assert out[1, 2].message == '{"content":{"a":[1,2],"b":1},"role":"tool","tool_call_id":"c1"}'
-    assert (out[1, 2].links_to, out[1, 2].level, out[1, 2].anchor) == (1, 0, 1)
-    assert (out[1, 3].links_to, out[1, 3].level, out[1, 3].message) == (1, 1, '{"content":"plain","role":"tool","tool_call_id":"c2"}')
-    assert out[1, 4].links_to is None and out[1, 5].links_to is None
-    assert (out[2, 0].n_calls, out[2, 0].n_valid, out[2, 0].level) == (2, 0, None)
+    assert out[1, 1].message == '{"role":"assistant","tool_calls":[{"arguments":{"limit":3,"query":"x"},"id":"c1","name":"search"},{"arguments":{"city":7},"id":"c2","name":"weather"}]}'
+    assert (out[1, 1].n_calls, out[1, 1].n_valid) == (2, 1)
+    assert (out[1, 3].links_to, out[1, 3].message) == (1, '{"content":{"a":[1,2],"b":1},"role":"tool","tool_call_id":"c1"}')
+    assert (out[1, 2].links_to, out[1, 2].message) == (1, '{"content":"plain","role":"tool","tool_call_id":"c2"}')
+    assert [turn for turn in sorted(range(6), key=lambda t: out[1, t].position)] == [0, 1, 3, 2, 4, 5]
+    assert out[1, 4].links_to is None and out[1, 5].links_to is None and all(out[1, t].ordered for t in range(6))
+    assert (out[2, 0].n_calls, out[2, 0].n_valid, out[2, 0].ordered, out[2, 0].position) == (2, 0, True, 0)
+    assert (out[2, 2].links_to, out[2, 2].ordered) == (0, False)
     assert out[2, 1].message == '{"content":"{\\"tool_call_id\\": \\"c1\\"","role":"tool"}'
+    assert (out[3, 0].ordered, out[3, 0].n_valid) == (True, 1)
     assert out[None, 0].message == '{"content":null,"role":"user"}'
+    assert out[4, None].position is None
+
+
+def test_positions_are_a_linear_extension_of_random_graphs(spark):
+    rng = random.Random(9)
+    rows, before = [], []
+    for conv in range(60):
+        n = rng.randrange(2, 9)
+        ids = [f"c{i}" for i in range(n)]
+        depends = {c: [ids[j] for j in range(i) if rng.random() < 0.3] for i, c in enumerate(ids)}
+        # neighbours in the order of dependence share messages, so no circle of messages arises
+        messages, left = [], list(ids)
+        while left:
+            take = rng.randrange(1, 4)
+            messages.append(left[:take])
+            left = left[take:]
+        items = [("m", tuple(m)) for m in messages] + [("r", c) for c in ids if rng.random() < 0.85] + [("u", k) for k in range(3)]
+        rng.shuffle(items)
+        turn = {x: t for t, x in enumerate(items)}
+        for x, t in turn.items():
+            if x[0] == "m":
+                own = list(x[1])
+                rng.shuffle(own)
+                rows.append((conv, t, "assistant", call(*((c, "search", {"query": "x"}, depends[c]) for c in own))))
+            else:
+                rows.append((conv, t, "tool" if x[0] == "r" else "user", result(x[1]) if x[0] == "r" else "text"))
+        of = {c: ("m", tuple(m)) for m in messages for c in m}
+        for c in ids:
+            for first, then in [(of[c], ("r", c)), *((y, x) for d in depends[c] for y in (("r", d), of[d]) for x in ((of[c], ("r", c)) if of[c] != of[d] else (("r", c),)))]:
+                if first in turn and then in turn:
+                    before.append((conv, turn[first], turn[then]))
+    out = {(r.conv_id, r.turn): r for r in tool_chat.format_chat(chat(spark, rows), tool_chat.schema_table(spark)).collect()}
+    assert len(before) > 300 and all(r.ordered for r in out.values())
+    assert all(out[c, a].position < out[c, b].position for c, a, b in before)
+    moved = {(c, b) for c, a, b in before if a > b}
+    still = [(c, t) for (c, t), r in out.items() if r.position == t << tool_chat.STEP_BITS]
+    assert moved and {k for k in out} - set(still) >= moved  # and what no call concerns stays where it is
+    assert all((r.conv_id, r.turn) in still for r in out.values() if r.role == "user")
+    for r in out.values():
+        if r.n_calls:
+            told = [c["id"] for c in json.loads(r.message)["tool_calls"]]
+            source = {c["id"]: c.get("depends_on", []) for c in json.loads(next(x[3] for x in rows if x[:2] == (r.conv_id, r.turn)))["tool_calls"]}
+            assert all(d not in told or told.index(d) < told.index(c) for c, own in source.items() for d in own)
 
 
 def test_plain_turns_link_to_the_turn_before(spark):
