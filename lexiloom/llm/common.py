@@ -64,17 +64,21 @@ def forget(*frames: DataFrame) -> None:
 HEAVY = 1000
 
 
-def join_classes(rows: DataFrame, classes: DataFrame, key: str | list[str], how: str = "inner", sparse: str | None = None) -> DataFrame:
+def class_counts(classes: DataFrame) -> tuple[int, int]:
+    return tuple(classes.agg(F.sum("n"), F.max("n")).first())
+
+
+def join_classes(rows: DataFrame, classes: DataFrame, key: str | list[str], how: str = "inner", sparse: str | None = None, counts: tuple[int, int] | None = None) -> DataFrame:
     """``rows`` with the columns of ``classes``, which has one row a ``key`` and, in ``n``, how many rows hold it.
 
     A key with more than a thousandth of all rows is joined by broadcast, so its rows stay where they
     are; as the counts add up to the rows there are under a thousand of those. All others shuffle.
     ``how``: inner, or left for rows whose key has no class; rows without a key have none. With left,
-    classes whose ``sparse`` column is null are as good as none. Both frames are read more than once,
-    so they should be stored.
+    classes whose ``sparse`` column is null are as good as none. ``counts``: sum and maximum of ``n``
+    where they are known. Both frames are read more than once, so they should be stored.
     """
     keys = [key] if isinstance(key, str) else key
-    total, most = classes.agg(F.sum("n"), F.max("n")).first()
+    total, most = counts or class_counts(classes)
     some = F.lit(True) if sparse is None else F.col(sparse).isNotNull()
     if not total or most * HEAVY <= total:
         return rows.join(classes.where(some).drop("n"), keys, how)

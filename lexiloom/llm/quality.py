@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, stored, text_or_empty
+from .common import set_aside, slices, stored, text_or_empty
 
 STATISTICS = (
     "log_bytes", "log_words", "word_length", "upper", "digit", "space", "newline", "mark", "symbol", "exclamation", "pipe", "stop", "comma", "wide",
@@ -34,6 +34,7 @@ STATISTICS = (
 )
 #: Training uses at most so many labelled rows, the ones of smallest hash; the model is small and more rows don't change it.
 MAX_TRAIN_ROWS = 100_000
+TRAIN_PARTITIONS = 16
 _MARKS = re.compile(rb"[#$%&*!|]+$")
 
 
@@ -64,12 +65,19 @@ def statistics(text: str) -> list[float]:
     ]
 
 
+def _values(texts: pa.Array) -> list[pa.Array]:
+    values = np.array([statistics(x.as_py() or "") for x in texts], dtype=np.float64).reshape(-1, len(STATISTICS))
+    return [pa.array(values[:, i]) for i in range(len(STATISTICS))]
+
+
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
-        at = batch.schema.get_field_index("text")
-        values = np.array([statistics(x.as_py()) for x in batch.column(at)], dtype=np.float64).reshape(-1, len(STATISTICS))
-        keys = [c for c in batch.schema.names if c != "text"]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keys), *(pa.array(values[:, i]) for i in range(len(STATISTICS)))], names=[*keys, *STATISTICS])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *_values(batch.column("text"))], names=["doc_id", *STATISTICS])
+
+
+def _with_statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        yield batch.append_column("stats", pa.StructArray.from_arrays(_values(batch.column("text")), names=list(STATISTICS)))
 
 
 def measured(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -148,7 +156,8 @@ def held_out() -> Column:
 def training_rows(stats: DataFrame, labels: DataFrame, target: str = "quality", max_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
     """The statistics of labelled rows that aren't held out; the smallest hashes where there are more than ``max_rows``."""
     wanted = labels.where(F.col("doc_id").isNotNull() & F.col(target).isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(target).cast("int").alias("label")).where(~held_out())
-    return stats.join(wanted, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    # the limit leaves one partition
+    return stats.join(wanted, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).repartition(TRAIN_PARTITIONS)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -159,20 +168,11 @@ def score_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-def keep_quality(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the classifier accepts, with all their columns; a row's own text decides."""
-    names = list(docs.columns)
-    stats = stored(measured(docs, "doc_id", text), "quality-statistics")
-    model = fit_rules(training_rows(stats, labels))
-    own = docs.select(*names, F.struct(text_or_empty(text).alias("text")).alias("_text"))
-    verdict = own.mapInArrow(_with_statistics, T.StructType([*docs.schema.fields, T.StructField("_stats", T.StructType([T.StructField(x, T.DoubleType()) for x in STATISTICS]))]))
-    return verdict.where(model.score("_stats.") >= 0.5).select(*names)
-
-
-def _with_statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
-        at = batch.schema.get_field_index("_text")
-        values = np.array([statistics(x) for x in batch.column(at).field("text").to_pylist()], dtype=np.float64).reshape(-1, len(STATISTICS))
-        struct = pa.StructArray.from_arrays([pa.array(values[:, i]) for i in range(len(STATISTICS))], names=list(STATISTICS))
-        names = [c for c in batch.schema.names if c != "_text"]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), struct], names=[*names, "_stats"])
+def keep_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the classifier accepts, with all their columns; each text is measured once."""
+    rest, whole = set_aside(docs, text)
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), rest)
+    stats = T.StructField("stats", T.StructType([T.StructField(x, T.DoubleType()) for x in STATISTICS]))
+    rows = stored(rows.mapInArrow(_with_statistics, T.StructType([*rows.schema.fields, stats])), "quality-rows")
+    model = fit_rules(training_rows(rows.select("doc_id", "stats.*"), labels))
+    return rows.where(model.score("stats.") >= 0.5).select(*whole({text: F.col("text").cast(docs.schema[text].dataType)}))

@@ -85,6 +85,16 @@ ORACLE_SQL: dict[str, str] = {
         found AS (SELECT r, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, string_agg(name || ':' || start || ':' || (start + n), ',' ORDER BY start, kind) AS spans FROM all_ WHERE least_n GROUP BY r)
         SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans, sha256(t) AS blob_id FROM d LEFT JOIN found USING (r)
     """,
+    # The given pages hold no link between hosts; where there are some, distrust spreads by iteration.
+    "op3_url_filter": """
+        WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+        h AS (SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+        j AS (SELECT *, CASE WHEN (host = 'www.example.com' OR host LIKE '%.www.example.com') AND path LIKE '/en/%' THEN 'www.example.com/en/' WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/en/%' THEN 'example.com/en/'
+            WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/es/%' THEN 'net/es/' WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/fr/%' THEN 'net/fr/' WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/%' THEN 'com/' END AS rule FROM h),
+        r AS (SELECT *, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS ruled FROM j),
+        s AS (SELECT host, count(*) FILTER (ruled = 'block') > 0.5 * count(*) AS blocked FROM r WHERE host <> '' GROUP BY host)
+        SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN blocked THEN 'block' END, 'allow') AS verdict FROM r LEFT JOIN s USING (host)
+    """,
     # The given conversations make no tool calls; a table that does is beyond SQL's JSON functions.
     "op10_chat_format": """
         SELECT c.conv_id, c.turn, c.role, to_json({'content': c.text, 'role': c.role})::VARCHAR AS message, 0::BIGINT AS n_calls, 0::BIGINT AS n_valid, p.turn AS links_to, c.turn::BIGINT * 1048576 AS position, true AS ordered

@@ -187,10 +187,14 @@ def test_quality_without_labels_or_rows(spark):
 
 def test_keep_quality_keeps_columns_and_clean_rows(spark):
     rows, labels = labelled(spark)
-    kept = quality.keep_quality(rows.withColumnRenamed("length", "upper"), labels)
-    assert kept.columns == ["doc_id", "text", "blob_id", "spans", "upper"]
-    ids = {r.doc_id for r in kept.collect()}
+    for name in ("_text", "_stats", "stats", "rest", "upper", "log_bytes", "label", "features"):
+        rows = rows.withColumn(name, F.lit(name))
+    kept = quality.keep_quality(rows, labels)
+    assert kept.schema.simpleString() == rows.schema.simpleString()
+    found = kept.collect()
+    ids = {r.doc_id for r in found}
     assert len([i for i in range(400) if i % 4 and i in ids]) >= 297 and not [i for i in range(0, 400, 4) if i in ids]
+    assert all(r._stats == "_stats" and r.upper == "upper" for r in found)
 
 
 def test_rules_are_paths_of_the_printed_forest():
