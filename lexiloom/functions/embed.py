@@ -17,8 +17,13 @@ def hash_embedding(text: Column, dims: int = 384) -> Column:
 
 
 def unit(vector: Column) -> Column:
-    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(vector, lambda x: x / F.when(norm == 0, 1.0).otherwise(norm))
+    """``vector`` over its length; of length zero it stays. Both are bound once, not computed for each element."""
+
+    def over_length(v: Column) -> Column:
+        norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+        return F.transform(F.array(F.when(norm == 0, 1.0).otherwise(norm)), lambda n: F.transform(v, lambda x: x / n))[0]
+
+    return F.transform(F.array(vector), over_length)[0]
 
 
 def embed_with(rows: DataFrame, load: Callable[[], Callable[[list[str]], list[list[float]]]], text: str = "text", batch: int = 100) -> DataFrame:

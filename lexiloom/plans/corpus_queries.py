@@ -9,6 +9,7 @@ from ..functions.text import canonical
 from ..operators import evaluation, evidence, fusion, health, maintenance
 from ..operators import pages as P
 from ..operators.store import IndexStore
+from ..storage import new_folder
 from ..streaming import changes
 from . import frames
 from .frames import CHUNKS, MANIFEST, PAGES, SNAPSHOTS, chunks, labelled_pages, manifest, pages, snapshots, table
@@ -126,7 +127,7 @@ def _(spark, sf):
 @query("i20_stored_index", f"WITH {PAGES} SELECT path, sha256('---' || chr(10) || 'lang: ' || lang || chr(10) || '---' || chr(10) || text) AS sha256, regexp_matches(text, '\\S') AS has_chunks FROM pages_ WHERE source <> 'src1' UNION ALL SELECT path, sha256(text), regexp_matches(text, '\\S') FROM pages_ WHERE source = 'src1'")
 def _(spark, sf):
     """All pages reconciled into a stored index, then those of one source saved anew with what they held as history."""
-    store = IndexStore(spark, frames.new_folder(spark, "index"), Settings(embedding_dims=16))
+    store = IndexStore(spark, new_folder(spark, "index"), Settings())
     raw = pages(spark, sf).select("path", F.concat(F.lit("---\nlang: "), "lang", F.lit("\n---\n"), "text").alias("text"), F.lit(None).cast("timestamp").alias("modified"), "source")
     raw = raw.withColumn("sha256", F.sha2(F.col("text").cast("binary"), 256))
     store.reconcile(raw.drop("source"))
@@ -371,7 +372,7 @@ def _(spark, sf):
     return evaluation.violations(cases)
 
 
-EVIDENCE = LISTS + r""", shown_ AS (SELECT query_id, chunk_id, fused_rank AS rank, regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS t FROM cand_ JOIN chunks_ USING (chunk_id) WHERE path NOT LIKE '%3.md'),
+EVIDENCE = LISTS + r""", shown_ AS (SELECT query_id, chunk_id, fused_rank AS rank, regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS t FROM cand_ JOIN chunks_ USING (chunk_id) WHERE path NOT LIKE 'fr/%'),
  n_ AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n FROM shown_ QUALIFY n <= 20), need_ AS (SELECT *, CAST(ceil(length(t) / 4) AS BIGINT) AS need FROM n_),
  used_ AS (SELECT *, coalesce(sum(need) OVER (PARTITION BY query_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM need_),
  fit_ AS (SELECT query_id, 'S' || n AS citation_id, chunk_id, rank, CASE WHEN need <= 300 - used THEN t ELSE regexp_replace(regexp_replace(substr(t, 1, CAST((300 - used) * 4 - 1 AS BIGINT)), '\s+$', ''), '[.…]+$', '') || '…' END AS text FROM used_ WHERE used < 300),
@@ -380,7 +381,7 @@ EVIDENCE = LISTS + r""", shown_ AS (SELECT query_id, chunk_id, fused_rank AS ran
 
 def passages(spark, sf):
     rows = fusion.fuse(lists(spark, sf)).join(chunks(spark, sf).select("chunk_id", "path", F.col("text").alias("snippet")), "chunk_id").withColumn("rank", F.col("fused_rank"))
-    return evidence.selected(rows, 300, allowed=chunks(spark, sf).where("path not like '%3.md'"))
+    return evidence.selected(rows, 300, allowed=chunks(spark, sf).where("path not like 'fr/%'"))
 
 
 @query("e01_e03_a10_evidence", f"WITH {EVIDENCE} SELECT query_id, citation_id, chunk_id, rank, text, tokens FROM evidence_")
@@ -421,7 +422,7 @@ def _(spark, sf):
     """The change log as a stream: each micro-batch is coalesced and appended, and the newest per path stands."""
     from ..streaming.changes import apply_batches, read_changes
 
-    run = frames.new_folder(spark, "change-stream")
+    run = new_folder(spark, "change-stream")
     log = change_log(spark, sf)
     events = table(spark, sf, "events")
     stream = read_changes(spark, f"{sf}/events.parque[t]", events.schema).select(F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("path"), F.col("event_type").alias("op"), "ts", F.col("event_id").alias("seq"))

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,12 +14,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share, below ``spark.checkpoint.dir``; a temporary one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexiloom-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as pages: path, text, given title (a short first line), title, attributes."""
     docs = table(spark, sf_dir, "documents")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,11 +14,12 @@ from ..functions.snippet import snippet
 from ..functions.text import result_title
 from ..operators import fusion, retrieval
 from ..operators.chunking import chunk
+from ..storage import stored
 
 
 @dataclass(frozen=True)
 class Index:
-    """The tables a search reads: pages (path, title, frontmatter), chunks, vectors, and stored postings.
+    """The tables a search reads: pages (path, title, frontmatter), chunks, vectors, stored postings and their statistics.
 
     Without stored postings a search scans the chunks for the terms of its queries.
     """
@@ -27,13 +28,15 @@ class Index:
     chunks: DataFrame
     vectors: DataFrame
     postings: DataFrame | None = None
+    stats: DataFrame | None = None
 
 
 def build_index(pages: DataFrame, settings: Settings | None = None, embed: Callable[[DataFrame], DataFrame] | None = None) -> Index:
-    """Index of (path, title, frontmatter, plain)."""
+    """Index of (path, title, frontmatter, plain). Chunks, vectors and postings are made once and stored."""
     settings = settings or Settings()
-    chunks = chunk(pages.select("path", "plain"), settings.chunk_size, settings.chunk_overlap)
-    return index_of(pages, chunks, settings, embed)
+    chunks = stored(chunk(pages.select("path", "plain"), settings.chunk_size, settings.chunk_overlap), "index-chunks")
+    index = index_of(pages, chunks, settings, embed)
+    return replace(index, vectors=stored(index.vectors, "index-vectors"), postings=stored(retrieval.postings(chunks), "index-postings"), stats=stored(retrieval.index_stats(chunks), "index-stats"))
 
 
 def index_of(pages: DataFrame, chunks: DataFrame, settings: Settings, embed: Callable[[DataFrame], DataFrame] | None = None) -> Index:
@@ -48,7 +51,7 @@ def retrieve(queries: DataFrame, index: Index, settings: Settings, planner=None,
     hits = []
     if settings.bm25_weight > 0:
         lexical = lists.where("arm = 'lexical'")
-        found = retrieval.bm25(lexical.select(F.col("list_id").alias("query_id"), F.col("text").alias("query")), index.chunks, settings.per_retriever, index.postings)
+        found = retrieval.bm25(lexical.select(F.col("list_id").alias("query_id"), F.col("text").alias("query")), index.chunks, settings.per_retriever, index.postings, index.stats)
         hits.append((found, lexical, "bm25", settings.bm25_weight, 0))
     if settings.vector_weight > 0:
         semantic = lists.where("arm = 'semantic'")

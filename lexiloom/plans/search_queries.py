@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..config import Settings
-from ..functions.text import match_phrases
+from ..functions.embed import hash_embedding
+from ..functions.text import QUESTION_WORDS, STOPWORDS, match_phrases
 from ..operators import fusion, retrieval
 from . import search
 from .frames import CHUNKS, QUERIES_SQL, chunks, labelled_pages, queries, table
 from .registry import query
 
+#: Dimensions of the vectors that the queries of fusion and ranking fuse; search itself (q00) uses the default.
 DIMS = 64
-_SETTINGS = Settings(embedding_dims=DIMS)
+
 
 BM25 = CHUNKS + ", " + QUERIES_SQL + r""",
  tok_ AS (SELECT chunk_id, path, text, regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+') AS w FROM chunks_),
@@ -23,13 +24,36 @@ BM25 = CHUNKS + ", " + QUERIES_SQL + r""",
  df_ AS (SELECT query_id, phrase, count(*) AS df FROM hit_ GROUP BY ALL),
  bm_ AS (SELECT query_id, chunk_id, round(sum((CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 9) AS score FROM hit_ JOIN df_ USING (query_id, phrase) JOIN len_ USING (chunk_id), st_ GROUP BY query_id, chunk_id),
  lex_ AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM bm_ QUALIFY rank <= 30)"""
-#: A second list for fusion: chunks by their share of distinct query letters would be contrived; length does, the longest hits first.
-LISTS = BM25 + """, long_ AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY dl DESC, chunk_id) AS rank FROM (SELECT DISTINCT query_id, chunk_id FROM hit_) JOIN len_ USING (chunk_id) QUALIFY rank <= 30),
- all_ AS (SELECT query_id, 0 AS list_idx, 'bm25' AS retriever, 0.5 AS weight, chunk_id, rank FROM lex_ UNION ALL SELECT query_id, 1000, 'vector', 0.25, chunk_id, rank FROM long_),
- fused_ AS (SELECT query_id, chunk_id, round(sum(weight / (10 + rank)), 12) AS score, string_agg(retriever, ',' ORDER BY list_idx) AS retrievers, min({'l': list_idx, 'r': rank}) AS seen FROM all_ GROUP BY query_id, chunk_id),
+
+
+def embedding_sql(text: str, dims: int = DIMS) -> str:
+    """The hash embedding in SQL: shorts of SHA-256 blocks over [-1, 1], scaled to length one."""
+    blocks = ", ".join(f"sha256('{i}|' || {text})" for i in range(0, dims, 16))
+    word = "CAST('0x' || substr(h, CAST(4 * k + 1 AS BIGINT), 4) AS INT) / 65535e0 * 2 - 1"
+    return f"(SELECT list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) FROM (SELECT list_transform(range({dims}), lambda k: {word}) AS v FROM (SELECT array_to_string([{blocks}], '') AS h)))"
+
+
+def vector_sql(dims: int = DIMS) -> str:
+    """The nearest chunks of every query by hash embedding."""
+    return f"""emb_ AS MATERIALIZED (SELECT chunk_id, {embedding_sql('text', dims)} AS e FROM chunks_), qemb_ AS MATERIALIZED (SELECT query_id, {embedding_sql('query', dims)} AS e FROM queries_),
+ vec_ AS (SELECT query_id, chunk_id, d, row_number() OVER (PARTITION BY query_id ORDER BY d, chunk_id) AS rank FROM (SELECT query_id, chunk_id, round(list_distance(q.e, c.e), 9) AS d FROM qemb_ q, emb_ c) QUALIFY rank <= 30)"""
+
+
+def fused_sql(vector_weight: float = 0.25) -> str:
+    return f"""all_ AS (SELECT query_id, 0 AS list_idx, 'bm25' AS retriever, 0.5 AS weight, chunk_id, rank FROM lex_ UNION ALL SELECT query_id, 1000, 'vector', {vector_weight}, chunk_id, rank FROM vec_),
+ fused_ AS (SELECT query_id, chunk_id, round(sum(weight / (10 + rank)), 12) AS score, string_agg(retriever, ',' ORDER BY list_idx) AS retrievers, min({{'l': list_idx, 'r': rank}}) AS seen FROM all_ GROUP BY query_id, chunk_id),
  cand_ AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seen, chunk_id) AS fused_rank FROM fused_ QUALIFY fused_rank <= 30)"""
-BOOST = LISTS + r""", parts_ AS (SELECT c.*, p.path, p.text, list_filter(string_split_regex(lower(regexp_replace(p.path, '\.[A-Za-z0-9]+$', '')), '[/_.-]+'), lambda t: t <> '') AS tokens,
-   list_distinct(list_filter(string_split_regex(lower(q.query || ' doc'), '[^a-z0-9_]+'), lambda w: length(w) >= 3 AND w NOT IN ('a','an','and','are','as','at','be','but','by','do','for','from','i','if','in','is','it','its','me','my','no','not','of','on','or','so','the','this','to','was','we','which','will','with','you','your','when','where','who','whom','how','what','why'))) AS terms
+
+
+LISTS = BM25 + ", " + vector_sql() + ", " + fused_sql()
+STOP = ", ".join(f"'{w}'" for w in dict.fromkeys((*STOPWORDS, *QUESTION_WORDS)))
+
+
+def terms_sql(query: str) -> str:
+    return f"list_distinct(list_filter(string_split_regex(lower({query}), '[^a-z0-9_]+'), lambda w: length(w) >= 3 AND w NOT IN ({STOP})))"
+
+
+BOOST = LISTS + rf""", parts_ AS (SELECT c.*, p.path, p.text, list_filter(string_split_regex(lower(regexp_replace(p.path, '\.[A-Za-z0-9]+$', '')), '[/_.-]+'), lambda t: t <> '') AS tokens, {terms_sql("q.query || ' doc'")} AS terms
    FROM cand_ c JOIN chunks_ p USING (chunk_id) JOIN queries_ q USING (query_id)),
  boost_ AS (SELECT *, round(score * (1 + CASE WHEN len(terms) > 0 THEN len(list_intersect(terms, tokens)) / len(terms) ELSE 0 END * 2), 12) AS path_score FROM parts_),
  final_ AS (SELECT *, round(path_score * (1 + CASE WHEN len(terms) > 0 THEN len(list_intersect(terms, string_split(lower('Doc ' || split_part(path, '/', 1)), ' '))) / len(terms) ELSE 0 END), 12) AS final_score FROM boost_),
@@ -37,13 +61,12 @@ BOOST = LISTS + r""", parts_ AS (SELECT c.*, p.path, p.text, list_filter(string_
 
 
 def lists(spark, sf):
-    """Two ranked lists a query: BM25, and the longest chunks that hold any of its phrases."""
+    """The two ranked lists of a query: BM25 and the nearest hash embeddings, over the same chunks."""
     own, asked = chunks(spark, sf), queries(spark, sf)
-    found = retrieval.bm25_scores(asked, own)
-    lexical = retrieval.top(found, 30).select("query_id", F.lit(0).alias("list_idx"), F.lit("bm25").alias("retriever"), F.lit(0.5).alias("weight"), "chunk_id", "rank")
-    hits = found.select("query_id", "chunk_id").join(retrieval.chunk_lengths(own), "chunk_id")
-    longest = retrieval.top(hits.withColumn("score", F.col("dl")), 30).select("query_id", F.lit(1000).alias("list_idx"), F.lit("vector").alias("retriever"), F.lit(0.25).alias("weight"), "chunk_id", "rank")
-    return lexical.unionByName(longest)
+    listed = lambda found, at, name, weight: found.select("query_id", F.lit(at).alias("list_idx"), F.lit(name).alias("retriever"), F.lit(weight).alias("weight"), "chunk_id", "rank")
+    vectors = own.select("chunk_id", hash_embedding(F.col("text"), DIMS).alias("embedding"))
+    near = retrieval.nearest(asked.select("query_id", hash_embedding(F.col("query"), DIMS).alias("embedding")), vectors, 30)
+    return listed(retrieval.bm25(asked, own), 0, "bm25", 0.5).unionByName(listed(near, 1000, "vector", 0.25))
 
 
 def candidates(spark, sf):
@@ -94,9 +117,14 @@ def _(spark, sf):
     return near(spark, sf).select("query_id", "chunk_id", F.round("distance", 6).alias("distance"), "rank")
 
 
-@query("r05_shown_scores", f"WITH {VECTORS} SELECT query_id, chunk_id, round(1 / (1 + distance), 6) AS vector_score, round(1 / (1 + abs(-rank)), 6) AS lexical_score FROM near_")
+@query("r05_shown_scores", f"WITH {BM25}, {vector_sql()} SELECT query_id, chunk_id, 'bm25' AS retriever, round(1 / (1 + abs(score)), 6) AS shown FROM lex_ UNION ALL SELECT query_id, chunk_id, 'vector', round(1 / (1 + d), 6) FROM vec_")
 def _(spark, sf):
-    return near(spark, sf).select("query_id", "chunk_id", F.round(retrieval.vector_score(F.col("distance")), 6).alias("vector_score"), F.round(retrieval.lexical_score(-F.col("rank")), 6).alias("lexical_score"))
+    own, asked = chunks(spark, sf), queries(spark, sf)
+    vectors = own.select("chunk_id", hash_embedding(F.col("text"), DIMS).alias("embedding"))
+    near = retrieval.nearest(asked.select("query_id", hash_embedding(F.col("query"), DIMS).alias("embedding")), vectors, 30)
+    shown = retrieval.bm25(asked, own).select("query_id", "chunk_id", F.lit("bm25").alias("retriever"), retrieval.lexical_score(F.col("score")).alias("shown"))
+    shown = shown.unionByName(near.select("query_id", "chunk_id", F.lit("vector").alias("retriever"), retrieval.vector_score(F.col("distance")).alias("shown")))
+    return shown.withColumn("shown", F.round("shown", 6))
 
 
 @query("r06_frontmatter_lookup", f"WITH {BM25} SELECT query_id, l.chunk_id, lang, source, quality FROM lex_ l JOIN chunks_ c ON l.chunk_id = c.chunk_id JOIN pages_ p ON c.path = p.path LEFT JOIN labels b ON p.doc_id = b.doc_id")
@@ -171,7 +199,7 @@ def _(spark, sf):
     return fusion.unnamed_lists(hits).select("query_id", "chunk_id", "weight", "retriever")
 
 
-@query("q12_lexical_tie_break", f"""WITH {LISTS}, tie_ AS (SELECT c.query_id, c.chunk_id, round(c.score, 3) AS score, c.fused_rank, lower(p.text) AS h, list_filter(list_distinct(string_split_regex(lower(q.query), '[^a-z0-9_]+')), lambda w: length(w) >= 3 AND w NOT IN ('and','are','but','for','from','its','not','the','this','was','which','will','with','you','your','when','where','who','whom','how','what','why')) AS terms FROM cand_ c JOIN chunks_ p USING (chunk_id) JOIN queries_ q USING (query_id)),
+@query("q12_lexical_tie_break", f"""WITH {LISTS}, tie_ AS (SELECT c.query_id, c.chunk_id, round(c.score, 3) AS score, c.fused_rank, lower(p.text) AS h, {terms_sql('q.query')} AS terms FROM cand_ c JOIN chunks_ p USING (chunk_id) JOIN queries_ q USING (query_id)),
  m_ AS (SELECT *, len(list_filter(terms, lambda t: contains(h, t))) / greatest(len(terms), 1) AS overlap, CAST(coalesce(list_sum(list_transform(terms, lambda t: (length(h) - length(replace(h, t, ''))) / length(t))), 0) AS BIGINT) AS frequency FROM tie_)
  SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, overlap DESC, frequency DESC, fused_rank) AS fused_rank FROM m_""")
 def _(spark, sf):
@@ -240,6 +268,5 @@ def _(spark, sf):
 def _(spark, sf):
     """End to end: chunk, index, embed, retrieve by both arms, fuse, boost, collapse pages, show snippets."""
     pages = labelled_pages(spark, sf).select("path", "title", "frontmatter", F.col("text").alias("plain"))
-    index = search.build_index(pages, _SETTINGS)
-    found = search.search(queries(spark, sf), index, _SETTINGS)
+    found = search.search(queries(spark, sf), search.build_index(pages))
     return found.select("query_id", "rank", "path", "title", "snippet", "score", "frontmatter", F.array_join("heading_path", " > ").alias("heading_path"), F.array_join("retrievers", ",").alias("retrievers"), "chunk_id")

@@ -33,9 +33,9 @@ def _(spark, sf):
     return p.select("path", T.extension(F.col("path")).alias("extension"))
 
 
-@query("s03_size_cap", f"WITH {PAGES} SELECT path, strlen(text) AS bytes FROM pages_ WHERE strlen(text) <= 20000")
+@query("s03_size_cap", f"WITH {PAGES} SELECT path, strlen(text) AS bytes FROM pages_ WHERE strlen(text) <= 5242880")
 def _(spark, sf):
-    return pages(spark, sf).select("path", F.octet_length("text").alias("bytes")).where("bytes <= 20000")
+    return pages(spark, sf).select("path", F.octet_length("text").alias("bytes")).where(F.col("bytes") <= files.MAX_FILE_BYTES)
 
 
 @query("s04_ignore_rules", f"WITH {PAGES} SELECT path FROM pages_ WHERE NOT (regexp_matches(path, '^de/src1[0-9]*(/.+)?$') OR (regexp_matches(path, '(^|.*/)[^/]*7\\.md(/.+)?$') AND NOT regexp_matches(path, '^en/src7/.*')))")
