@@ -2,7 +2,9 @@
 
 Coarse centroids and codebooks are fitted on a bounded sample; every distinct vector is indexed:
 its list and the codes of its residual. Lists are laid into blocks of bounded size (a large list
-into several), and each query goes to the blocks that hold one of its probed lists. There asymmetric
+into several), and each query goes to the blocks that hold one of its probed lists. A block goes to as
+many tasks as the queries routed to it need, so what is shuffled grows with the rows and with the
+queries' routes. There asymmetric
 distance tables score the codes, the best are reranked exactly, in double precision on the original
 vectors, and so is every vector whose score plus its quantisation error could reach the k-th nearest
 found so far; the nearest of each block go on. So nothing in a probed list is missed, and recall rests on
@@ -11,8 +13,8 @@ the lists alone: how many are probed is set on the sample, for a recall beyond t
 Equal vectors are indexed once, with their smallest ids, as many as any answer can hold; equal
 query vectors are searched once. So a vector that a third of the rows share is one entry.
 
-Defined cases: vectors that are null, zero, hold null or non-finite components, or are not of the
-commonest length take no part, and rows without an id neither; a query is not its own candidate, a
+Defined cases: vectors that are null, zero, or hold null or non-finite components take no part, and
+rows without an id neither; only vectors of one length are compared; a query is not its own candidate, a
 repeated row of it is; ties go to the smaller id; fewer candidates than asked are all returned; an
 empty table gives no rows; other columns are ignored.
 """
@@ -33,7 +35,7 @@ from .common import stored
 #: Vectors of smallest hash on which centroids and codebooks are fitted.
 SAMPLE = 20_000
 #: Vectors a list, lists at most, vectors and queries a block.
-LIST_ROWS, MAX_LISTS, BLOCK_ROWS, BLOCK_QUERIES = 400, 4096, 20_000, 4_096
+LIST_ROWS, MAX_LISTS, BLOCK_ROWS, BLOCK_QUERIES = 400, 8192, 20_000, 16_384
 #: Candidates of a query that are reranked first, for each neighbour asked; vectors compared exactly at once.
 RERANK, RERANK_ROWS = 10, 4_096
 #: What rounding in single precision may add to a score's error, as a share of the two vectors' norms.
@@ -86,8 +88,8 @@ class Index:
         return np.argpartition(-score, self.probes - 1, axis=1)[:, : self.probes]
 
     def tables(self, queries: np.ndarray) -> np.ndarray:
-        """Asymmetric distance tables: inner product of each query's part with each code, (parts, queries, codes)."""
-        return np.einsum("qpw,pcw->pqc", self._parts(queries), self.codebooks)
+        """Asymmetric distance tables: inner product of each code with each query's part, (parts, codes, queries)."""
+        return self.codebooks @ self._parts(queries).transpose(1, 2, 0)
 
 
 def fit_index(sample: np.ndarray, rows: int, k: int, recall: float = RECALL, seed: int = 11) -> Index:
@@ -133,26 +135,44 @@ def _lists(index: Index, dim: int):
     return lists
 
 
-def _encode(index: Index, dim: int, blocks: dict[int, list[int]]):
+def _encode(index: Index, dim: int, blocks: dict[int, list[int]], slices: dict[int, int]):
+    """A vector goes once to each slice of its block."""
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _matrix(batch.column("vector"), dim)
             own, codes = index.assign(x)
-            block = [blocks[w][n % len(blocks[w])] for w, n in zip(own.tolist(), batch.column("node").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(index.errors(x, own, codes)), pa.array(block, pa.int32())], names=[*batch.schema.names, "list", "codes", "error", "block"])
+            block = np.array([blocks[w][n % len(blocks[w])] for w, n in zip(own.tolist(), batch.column("node").to_pylist(), strict=True)], dtype=np.int32)
+            times = np.array([slices.get(b, 0) for b in block.tolist()], dtype=np.int64)
+            at = np.repeat(np.arange(len(block)), times)
+            columns = [*batch.columns, pa.array(own.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(index.errors(x, own, codes)), pa.array(block)]
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at)) for c in columns), pa.array((np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)).astype(np.int32))], names=[*batch.schema.names, "list", "codes", "error", "block", "slice"])
 
     return encode
 
 
-def _route(index: Index, dim: int, blocks: dict[int, list[int]]):
-    """A query goes once to each block that holds one of its lists."""
+def _routes(index: Index, dim: int, blocks: dict[int, list[int]], batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """(row, block): a query goes once to each block that holds one of its lists."""
+    to = [sorted({b for w in own for b in blocks.get(w, ())}) for own in index.probed(_matrix(batch.column("vector"), dim)).tolist()]
+    return np.repeat(np.arange(len(to)), [len(x) for x in to]), np.array([b for x in to for b in x], dtype=np.int32)
+
+
+def _load(index: Index, dim: int, blocks: dict[int, list[int]]):
+    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            block, n = np.unique(_routes(index, dim, blocks, batch)[1], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(n.astype(np.int64))], names=["block", "n"])
+
+    return load
+
 
+def _route(index: Index, dim: int, blocks: dict[int, list[int]], slices: dict[int, int]):
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            queries = _matrix(batch.column("vector"), dim)
-            to = [sorted({b for w in own for b in blocks.get(w, ())}) for own in index.probed(queries).tolist()]
-            at = np.repeat(np.arange(len(to)), [len(x) for x in to])
-            yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(at)), batch.column("vector").take(pa.array(at)), pa.array([b for x in to for b in x], pa.int32())], names=["query", "vector", "block"])
+            at, block = _routes(index, dim, blocks, batch)
+            node = batch.column("node").to_numpy()[at]
+            part = node % np.array([slices[b] for b in block.tolist()], dtype=np.int64) if len(at) else node
+            yield pa.RecordBatch.from_arrays([pa.array(node), batch.column("vector").take(pa.array(at)), pa.array(block), pa.array(part.astype(np.int32))], names=["query", "vector", "block", "slice"])
 
     return route
 
@@ -173,22 +193,29 @@ def _score(index: Index, dim: int, keep: int, k: int):
     def score(nodes: pa.Table, queries: pa.Table) -> pa.Table:
         out = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float64)]
         if nodes.num_rows and queries.num_rows:
+            nodes = nodes.sort_by("list")
             lists = nodes.column("list").to_numpy()
             code = np.frombuffer(b"".join(nodes.column("codes").to_pylist()), np.uint8).reshape(len(lists), -1)
             node, query = nodes.column("node").to_numpy(), queries.column("query").to_numpy()
             x, error = _matrix(nodes.column("vector"), dim), nodes.column("error").to_numpy()
+            starts = np.flatnonzero(np.concatenate([[True], lists[1:] != lists[:-1]]))
             found = []
             for at in range(0, len(query), 256):
                 q = _matrix(queries.column("vector").slice(at, 256), dim)
-                total = np.full((len(q), len(lists)), -np.inf, dtype=np.float32)
+                total = np.full((len(lists), len(q)), -np.inf, dtype=np.float32)
                 tables, coarse, probed = index.tables(q), q @ index.centroids.T, index.probed(q)
-                for w in np.unique(lists):
-                    rows, asks = np.flatnonzero(lists == w), np.flatnonzero((probed == w).any(1))
-                    if len(asks):
-                        part = np.repeat(coarse[asks, w][:, None], len(rows), axis=1)
+                for start, stop in zip(starts, [*starts[1:], len(lists)], strict=True):
+                    w = lists[start]
+                    asks = (probed == w).any(axis=1)
+                    # Where most queries probe a list, all are scored, for a code's entries then lie side by side.
+                    own = slice(None) if 2 * asks.sum() > len(q) else np.flatnonzero(asks)
+                    part = np.repeat(coarse[own, w][None], stop - start, axis=0)
+                    if part.size:
                         for j in range(code.shape[1]):
-                            part += tables[j][asks][:, code[rows, j]]
-                        total[np.ix_(asks, rows)] = part
+                            part += tables[j][:, own].take(code[start:stop, j], axis=0)
+                        total[start:stop, own] = part
+                    total[start:stop, ~asks] = -np.inf
+                total = np.ascontiguousarray(total.T)
                 top = np.argpartition(-total, min(keep, total.shape[1]) - 1, axis=1)[:, :keep]
                 for i, own in enumerate(top):
                     own = own[total[i, own] > -np.inf]
@@ -225,13 +252,16 @@ def _lay_out(counts: dict[int, int]) -> dict[int, list[int]]:
 
 def nearest(rows: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding", sample: int = SAMPLE, rerank: int = RERANK) -> DataFrame:
     """(query_id, rank, vec_id, score) of the ``k`` nearest found for every row where ``is_query`` holds."""
-    schema = "query_id long, rank int, vec_id long, score double"
-    spark = rows.sparkSession
     plain = rows.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("vector"), is_query.alias("asks")).where("vec_id is not null")
-    common = plain.where("size(vector) > 0").groupBy(F.size("vector").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    if common is None:
-        return spark.createDataFrame([], schema)
-    dim = common.dim
+    lengths = plain.where("size(vector) > 0 and asks").select(F.size("vector").alias("dim")).distinct().collect()  # as many rows as there are lengths
+    out = rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for found in filter(None, (_nearest_of(plain, r.dim, k, sample, rerank) for r in lengths)):
+        out = found if len(lengths) == 1 else out.unionByName(found)
+    return out
+
+
+def _nearest_of(plain: DataFrame, dim: int, k: int, sample: int, rerank: int) -> DataFrame | None:
+    """``nearest`` among (vec_id, vector, asks) of one length; none without vectors."""
     valid = stored(plain.where(_valid(F.col("vector"), dim)).withColumn("row", F.monotonically_increasing_id()), "ann-rows")
     # The first k+1 rows of each distinct vector, so that a query can leave itself out.
     first = F.row_number().over(Window.partitionBy("vector").orderBy("vec_id", "row"))
@@ -239,21 +269,19 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id",
     nodes = stored(firsts.withColumn("node", F.monotonically_increasing_id()), "ann-nodes")
     n = nodes.count()
     if not n:
-        return spark.createDataFrame([], schema)
+        return None
     drawn = nodes.select("vector").orderBy(F.xxhash64("vector")).limit(sample).toArrow()
     index = fit_index(_matrix(drawn.column("vector"), dim), n, k)
     counts = nodes.select("vector").mapInArrow(_lists(index, dim), "list int").groupBy("list").count()
     blocks = _lay_out({r.list: r["count"] for r in counts.collect()})  # at most MAX_LISTS rows
-    codes = nodes.select("node", "vector").mapInArrow(_encode(index, dim, blocks), "node long, vector array<float>, list int, codes binary, error double, block int")
     asked = stored(valid.where("asks").select("vec_id", "row", "vector").join(nodes.select("vector", "node"), "vector").select("vec_id", "row", "node"), "ann-queries")
     questions = nodes.select("node", "vector").join(asked.select("node").distinct(), "node")
-    routed = questions.mapInArrow(_route(index, dim, blocks), "query long, vector array<float>, block int")
-    # Many queries are dealt over slices, each of which meets a block once.
-    slices = max(1, -(-asked.count() // BLOCK_QUERIES))
-    dealt = codes.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    routed = routed.withColumn("slice", F.pmod(F.xxhash64("query"), F.lit(slices)).cast("int"))
+    load = questions.mapInArrow(_load(index, dim, blocks), "block int, n long").groupBy("block").agg(F.sum("n").alias("n"))
+    slices = {r.block: -(-r.n // BLOCK_QUERIES) for r in load.collect()}  # a row per block
+    codes = nodes.select("node", "vector").mapInArrow(_encode(index, dim, blocks, slices), "node long, vector array<float>, list int, codes binary, error double, block int, slice int")
+    routed = questions.mapInArrow(_route(index, dim, blocks, slices), "query long, vector array<float>, block int, slice int")
     score = _score(index, dim, rerank * k, k + 1)
-    found = dealt.groupBy("block", "slice").cogroup(routed.groupBy("block", "slice")).applyInArrow(score, "query long, node long, score double")
+    found = codes.groupBy("block", "slice").cogroup(routed.groupBy("block", "slice")).applyInArrow(score, "query long, node long, score double")
     scored = found.join(nodes.select("node", "ids"), "node")
     by_score = Window.partitionBy("query").orderBy(F.desc("score"), "id.vec_id", "id.row")
     top = scored.select("query", "score", F.explode("ids").alias("id")).withColumn("n", F.row_number().over(by_score)).where(F.col("n") <= k + 1)
