@@ -4,8 +4,9 @@ A text up to a chunk's length is encoded at once. A longer one is cut into overl
 different tasks pre-tokenise. A chunk that starts inside a pre-token is wrong at first, but once
 one of its boundaries is also a boundary of the chunk before, both go on alike; there the chunks
 are stitched. The stretches between stitches are encoded in parallel and their ids concatenated.
-Stitches follow a character that isn't white space, so that no look-ahead reaches over them. A text
-whose chunks don't meet within the overlap is encoded whole. Decoding concatenates raw bytes.
+Stitches follow a character that isn't white space, so that no look-ahead reaches over them. Texts
+whose chunks don't meet within the overlap go through again with wider chunks and overlaps; only a
+pre-token longer than those keeps a stretch long. Decoding concatenates raw bytes.
 
 Defined cases: a null text is the empty text: no ids, the hash of no bytes; equal long texts are
 encoded once; repeated rows each get their row; null ids are kept; an empty table gives no rows;
@@ -131,21 +132,26 @@ def _join(stretches: pa.Table) -> pa.Table:
 
 def encode_long(texts: DataFrame, ranks: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """(blob, n_tokens, ids_sha256, decoded_sha256) for distinct (blob, text)."""
-    pieces = stored(texts.mapInArrow(_cut(chunk, overlap), "blob string, chunk int, start long, text string").repartition("blob", "chunk"), "bpe-chunks")
-    split = stored(pieces.mapInArrow(_split(pattern, chunk, overlap), "blob string, chunk int, heads array<long>, tails array<long>"), "bpe-boundaries")
-    before = split.select("blob", (F.col("chunk") + 1).alias("chunk"), "tails")
-    meets = split.where("chunk > 0").select("blob", "chunk", "heads").join(before, ["blob", "chunk"], "left")
-    stitches = stored(meets.select("blob", "chunk", F.array_min(F.array_intersect("heads", "tails")).alias("begin")), "bpe-stitches")
-    astray = stitches.where("begin is null").select("blob").distinct()
-    begins = stitches.join(astray, "blob", "left_anti")
-    stretches = (
-        pieces.join(astray, "blob", "left_anti")
-        .join(begins, ["blob", "chunk"], "left")
-        .join(begins.select("blob", (F.col("chunk") - 1).alias("chunk"), F.col("begin").alias("end")), ["blob", "chunk"], "left")
-        .select("blob", "chunk", "start", "text", F.coalesce("begin", F.lit(0)).alias("begin"), "end")
-    )
-    done = stretches.mapInArrow(_encode_stretch(ranks, pattern), "blob string, chunk int, ids binary, raw binary").groupBy("blob").applyInArrow(_join, f"blob string, {_DIGEST}")
-    return done.unionByName(texts.join(astray, "blob", "left_semi").mapInArrow(_whole(ranks, pattern), f"blob string, {_DIGEST}"))
+    done = None
+    while True:
+        pieces = stored(texts.mapInArrow(_cut(chunk, overlap), "blob string, chunk int, start long, text string").repartition("blob", "chunk"), "bpe-chunks")
+        split = stored(pieces.mapInArrow(_split(pattern, chunk, overlap), "blob string, chunk int, heads array<long>, tails array<long>"), "bpe-boundaries")
+        before = split.select("blob", (F.col("chunk") + 1).alias("chunk"), "tails")
+        meets = split.where("chunk > 0").select("blob", "chunk", "heads").join(before, ["blob", "chunk"], "left")
+        stitches = stored(meets.select("blob", "chunk", F.array_min(F.array_intersect("heads", "tails")).alias("begin")), "bpe-stitches")
+        astray = stored(stitches.where("begin is null").select("blob").distinct(), "bpe-astray")
+        begins = stitches.join(astray, "blob", "left_anti")
+        stretches = (
+            pieces.join(astray, "blob", "left_anti")
+            .join(begins, ["blob", "chunk"], "left")
+            .join(begins.select("blob", (F.col("chunk") - 1).alias("chunk"), F.col("begin").alias("end")), ["blob", "chunk"], "left")
+            .select("blob", "chunk", "start", "text", F.coalesce("begin", F.lit(0)).alias("begin"), "end")
+        )
+        part = stretches.mapInArrow(_encode_stretch(ranks, pattern), "blob string, chunk int, ids binary, raw binary").groupBy("blob").applyInArrow(_join, f"blob string, {_DIGEST}")
+        done = part if done is None else done.unionByName(part)
+        if astray.isEmpty():
+            return done
+        texts, chunk, overlap = stored(texts.join(astray, "blob", "left_semi"), "bpe-texts"), 8 * chunk, 8 * overlap
 
 
 def encode_documents(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:

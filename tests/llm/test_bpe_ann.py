@@ -112,9 +112,19 @@ def test_hot_vectors_ties_and_bad_rows(spark, monkeypatch):
         expected = sorted([i for i in range(300) if i != q] + [40])[:20]
         assert own == (expected if q != 40 else own)
     forty = found[found["query_id"] == 40]
+    assert all(len(x) <= 20 for q, x in found[found["query_id"] != 40].groupby("query_id"))
     assert len(forty) == 40 and sorted(forty["vec_id"]) == sorted(sorted([*range(300)])[:20] * 2)
 
 
+def test_vectors_of_each_length_are_compared_among_themselves(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, rng.normal(size=4 + 4 * (i % 2)).astype(np.float32).tolist(), 0, "r") for i in range(90)] + [(100, [1.0], 0, "r")]
+    frame = vectors(spark, rows)
+    found = ann.nearest(frame, frame["vec_id"] % 5 == 0, k=50).toPandas()
+    assert {(q, len(x)) for q, x in found.groupby("query_id")} == {(q, 44) for q in range(0, 90, 5)}
+    assert ((found["query_id"] - found["vec_id"]) % 2 == 0).all()
+
+
 def test_fewer_candidates_than_asked(spark):
     frame = vectors(spark, [(0, [1.0, 0.0], 0, "r"), (1, [0.5, 0.5], 0, "r"), (2, [0.5, -0.5], 0, "r")])
     found = ann.nearest(frame, frame["vec_id"] % 20 == 0).collect()
