@@ -47,6 +47,16 @@ def pack(pieces: list[str], limit: int, joiner: str) -> list[str]:
     return [x for x in out if x]
 
 
+def pieces_of(text: Column, limit: int) -> Column:
+    """``split_text`` of a column, in Arrow batches."""
+
+    @F.pandas_udf("array<string>")
+    def split(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: split_text(t, limit) if t else [])
+
+    return split(text)
+
+
 def sections(pages: DataFrame) -> DataFrame:
     """(path, section, heading_path, text) of (path, plain): parts between headings, with the headings above them."""
     lines = pages.where(strip(F.col("plain")) != "").select("path", F.posexplode(F.split("plain", "\n")).alias("at", "line"))
@@ -71,12 +81,7 @@ def sections(pages: DataFrame) -> DataFrame:
 def chunk(pages: DataFrame, size: int = 512, overlap: float = 0.15, chars_per_token: int = 4) -> DataFrame:
     """(chunk_id, path, chunk_idx, text, heading_path) of (path, plain)."""
     limit = size * chars_per_token
-
-    @F.pandas_udf("array<string>")
-    def split(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: split_text(t, limit))
-
-    pieces = sections(pages).select("path", "section", "heading_path", F.posexplode(F.when(F.length("text") <= limit, F.array("text")).otherwise(split("text"))).alias("at", "text"))
+    pieces = sections(pages).select("path", "section", "heading_path", F.posexplode(F.when(F.length("text") <= limit, F.array("text")).otherwise(pieces_of(F.col("text"), limit))).alias("at", "text"))
     numbered = pieces.withColumn("chunk_idx", F.row_number().over(Window.partitionBy("path").orderBy("section", "at")) - 1)
     return overlapped(numbered, int(limit * overlap)).select(chunk_id(F.col("path"), F.col("chunk_idx")).alias("chunk_id"), "path", "chunk_idx", "text", "heading_path")
 

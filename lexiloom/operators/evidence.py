@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 from ..functions.text import estimate_tokens, fit_text, squash
 
 
+#: What a passage tells besides its text, where its candidate has it: where it stands, and the signals of its ranking.
+SIGNALS = ("path", "heading_path", "score", "retrievers", "retrieval_score", "reranker_score")
+
+
 def selected(candidates: DataFrame, budget: int, max_passages: int = 20, allowed: DataFrame | None = None) -> DataFrame:
-    """(query_id, chunk_id, snippet, rank) cut to passages: citation_id, text, tokens.
+    """(query_id, chunk_id, snippet, rank) cut to passages: citation_id, text, tokens, and the candidate's ``SIGNALS``.
 
     Only allowed chunks, each once, in order; a blank snippet ends the selection; the passage that
     crosses the budget is cut to what is left.
@@ -21,7 +25,7 @@ def selected(candidates: DataFrame, budget: int, max_passages: int = 20, allowed
     rows = rows.withColumn("need", estimate_tokens(F.col("snippet")))
     rows = rows.withColumn("used", F.coalesce(F.sum("need").over(before), F.lit(0))).withColumn("ended", F.coalesce(F.bool_or(F.col("need") == 0).over(before), F.lit(False)) | (F.col("need") == 0))
     rows = rows.where(~F.col("ended") & (F.col("used") < budget)).withColumn("text", fit_text(F.col("snippet"), F.least(F.lit(budget) - F.col("used"), F.col("need"))))
-    return rows.where("text <> ''").select("query_id", F.concat(F.lit("S"), F.col("n").cast("string")).alias("citation_id"), "chunk_id", "rank", "text", estimate_tokens(F.col("text")).alias("tokens"))
+    return rows.where("text <> ''").select("query_id", F.concat(F.lit("S"), F.col("n").cast("string")).alias("citation_id"), "chunk_id", "rank", "text", estimate_tokens(F.col("text")).alias("tokens"), *[c for c in SIGNALS if c in candidates.columns])
 
 
 def conflicts(claims: DataFrame, passages: DataFrame) -> DataFrame:

@@ -120,7 +120,7 @@ def boosted(fused: DataFrame, path_factor: float = 2.0, heading_factor: float =
     """
     terms = query_terms(F.col("query"))
     by_path = F.col("score") * (1 + (_share(terms, path_tokens(F.col("path"))) * path_factor if path_factor > 0 else F.lit(0.0)))
-    rows = fused.withColumn("path_score", F.round(by_path, 12))
+    rows = fused.withColumn("path_score", F.round(by_path, 12)).withColumn("path_match", _share(terms, path_tokens(F.col("path")))).withColumn("heading_match", _share(terms, heading_tokens(F.col("heading_path"))))
     by_heading = F.col("path_score") * (1 + (_share(terms, heading_tokens(F.col("heading_path"))) * heading_factor if heading_factor > 0 else F.lit(0.0)))
     rows = rows.withColumn("final_score", F.round(by_heading, 12))
     return rows.withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("final_score"), F.desc("path_score"), "fused_rank")))
@@ -150,7 +150,7 @@ def reranked(candidates: DataFrame, rerank: Callable[[DataFrame], DataFrame] | N
     except Exception as error:  # foreign code again
         return candidates, f"reranker_error:{type(error).__name__}"
     given = first_of(given, "chunk_id", order="rerank_pos").select("query_id", "chunk_id", "rerank_pos", F.col("final_score").alias("new_score"))
-    rows = candidates.join(given, ["query_id", "chunk_id"], "left").withColumn("final_score", F.coalesce(F.when(~F.isnan("new_score"), F.col("new_score")), F.col("final_score")))
+    rows = candidates.withColumn("signaled_score", F.col("final_score")).join(given, ["query_id", "chunk_id"], "left").withColumn("final_score", F.coalesce(F.when(~F.isnan("new_score"), F.col("new_score")), F.col("final_score")))
     order = Window.partitionBy("query_id").orderBy(F.col("rerank_pos").asc_nulls_last(), "position")
     return rows.withColumn("position", F.row_number().over(order)).drop("new_score", "rerank_pos"), None
 
@@ -162,9 +162,23 @@ def exact_phrase(query: Column, path: Column, headings: Column, snippet: Column)
     return (phrase != "") & (F.contains(spaced, phrase) | F.exists(headings, lambda h: F.contains(canonical(h), phrase)) | F.contains(canonical(snippet), phrase))
 
 
-def trace(fused: DataFrame) -> DataFrame:
-    """Per query: candidates, how many each retriever gave, ids in order."""
-    return fused.groupBy("query_id").agg(
-        F.count("*").alias("candidates"), F.count_if(F.array_contains("retrievers", "bm25")).alias("from_bm25"), F.count_if(F.array_contains("retrievers", "vector")).alias("from_vector"),
-        F.transform(F.sort_array(F.collect_list(F.struct("fused_rank", "chunk_id"))), lambda x: x["chunk_id"]).alias("candidate_ids"),
-    )
+def _ids(rows: DataFrame, order: str, name: str) -> DataFrame:
+    """Per query the chunk ids in order; at most ``candidates`` of them."""
+    return rows.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct(order, "chunk_id"))), lambda x: x["chunk_id"]).alias(name))
+
+
+def trace(fused: DataFrame, boosted_rows: DataFrame | None = None, reranked_rows: DataFrame | None = None, final: DataFrame | None = None) -> DataFrame:
+    """Per query: candidates, how many each retriever gave, and the ids in order: fused, and before and after reranking and in the end, where given."""
+    out = fused.groupBy("query_id").agg(F.count("*").alias("candidates"), *[F.count_if(F.array_contains("retrievers", r)).alias(f"from_{r}") for r in ("bm25", "vector")])
+    stages = ((fused, "fused_rank", "candidate_ids"), (boosted_rows, "position", "before_rerank_ids"), (reranked_rows, "position", "after_rerank_ids"), (final, "rank", "final_ids"))
+    for rows, order, name in stages:
+        if rows is not None:
+            out = out.join(_ids(rows, order, name), "query_id", "left")
+    return out
+
+
+def signal_trace(rows: DataFrame) -> DataFrame:
+    """Per candidate of the reranked ``rows`` (with ``query``, ``heading_path``, ``text``): its scores at each stage, matches and contributions."""
+    signaled = F.col("signaled_score") if "signaled_score" in rows.columns else F.col("final_score")
+    exact = exact_phrase(F.col("query"), F.col("path"), F.col("heading_path"), F.col("text"))
+    return rows.select("query_id", "chunk_id", F.col("score").alias("retrieval_score"), signaled.alias("signaled_score"), "final_score", exact.alias("exact_match"), "path_match", "heading_match", "contributions")

@@ -7,9 +7,15 @@ from pyspark.sql import functions as F
 
 from ..functions.text import canonical, strip
 
+# The names of the checks, in order, and of severities.
 CHECKS = ("not-indexed", "unfindable", "duplicate-body", "duplicate-title", "wall-of-prose", "no-structure", "thin-page", "no-frontmatter", "no-h1", "title-mismatch")
 SEVERITIES = ("error", "warn", "info")
 THIN = 200
+HINTS = {
+    "not-indexed": "index the folder, or look at its ignore rules and file extensions", "unfindable": "add text below the frontmatter", "duplicate-body": "delete or change the copies", "duplicate-title": "give each page a title of its own",
+    "wall-of-prose": "part the page by headings", "no-structure": "add a heading", "thin-page": "say more, or merge it into another page", "no-frontmatter": "add a title, a type or tags to filter by",
+    "no-h1": "open the page with a level-one heading", "title-mismatch": "let title and heading say the same",
+}
 
 
 def page_facts(manifest: DataFrame, pages: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -24,7 +30,8 @@ def page_facts(manifest: DataFrame, pages: DataFrame, chunks: DataFrame) -> Data
 
 def _found(rows: DataFrame, check: Column | str, severity: str, detail: Column | None = None) -> DataFrame:
     check = F.lit(check) if isinstance(check, str) else check
-    return rows.select(check.alias("check"), F.lit(severity).alias("severity"), "path", (F.lit(None).cast("string") if detail is None else detail).alias("detail"))
+    hint = F.create_map(*[F.lit(x) for kv in HINTS.items() for x in kv])[check]
+    return rows.select(check.alias("check"), F.lit(severity).alias("severity"), "path", (F.lit(None).cast("string") if detail is None else detail).alias("detail"), hint.alias("hint"))
 
 
 def not_indexed(disk: DataFrame, facts: DataFrame) -> DataFrame:
@@ -38,13 +45,27 @@ def unfindable(facts: DataFrame) -> DataFrame:
 def _shared(rows: DataFrame, key: Column) -> DataFrame:
     """Rows whose key others share, with the size of the group and one other path of it.
 
-    Any number of pages may share a key, so a finding names one other page and counts the rest.
+    Any number of pages may share a key, so a finding names one other page and counts the rest;
+    ``members`` lists them all, a row each.
     """
     keyed = rows.select("path", key.alias("key")).where("key is not null")
     size = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("path").alias("first_path"), F.max("path").alias("last_path")).where("n > 1")
     return keyed.join(size, "key").select("path", "n", F.when(F.col("path") == F.col("first_path"), F.col("last_path")).otherwise(F.col("first_path")).alias("other"))
 
 
+def members(rows: DataFrame, key: Column) -> DataFrame:
+    """(key, path) of all rows of (path, …) whose key others share."""
+    keyed = rows.select("path", key.alias("key")).where("key is not null")
+    return keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key", "left_semi")
+
+
+def duplicate_members(facts: DataFrame) -> DataFrame:
+    """(check, key, path): the full groups behind the findings of duplicate bodies and titles."""
+    bodies = members(facts.where("chunk_count > 0"), F.col("sha256")).select(F.lit("duplicate-body").alias("check"), "key", "path")
+    titles = members(facts.where(F.coalesce(F.col("title"), F.lit("")) != ""), canonical(F.col("title")))
+    return bodies.unionByName(titles.select(F.lit("duplicate-title").alias("check"), "key", "path"))
+
+
 def duplicate_bodies(facts: DataFrame) -> DataFrame:
     rows = _shared(facts.where("chunk_count > 0"), F.col("sha256"))
     return _found(rows, "duplicate-body", "error", _others("identical to ", rows))
@@ -99,10 +120,15 @@ def severity_counts(found: DataFrame) -> DataFrame:
     return all_.join(found.groupBy("severity").agg(F.count("*").alias("n")), "severity", "left").select("severity", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def failed(found: DataFrame, strict: bool = True) -> DataFrame:
+    """(failed,): in strict mode whether any finding is an error, else false."""
+    return found.agg(F.coalesce(F.bool_or(F.col("severity") == "error"), F.lit(False)).alias("failed")) if strict else found.agg(F.lit(False).alias("failed"))
+
+
 def report(found: DataFrame, each: int = 20) -> DataFrame:
     """At most ``each`` findings of a check, worst first."""
     from pyspark.sql import Window
 
     place = F.array_position(F.array(*map(F.lit, SEVERITIES)), F.col("severity"))
     n = F.row_number().over(Window.partitionBy("check").orderBy("path"))
-    return found.withColumn("n", n).where(F.col("n") <= each).orderBy(place, "check_order", "n").select("severity", "check", "path", "detail")
+    return found.withColumn("n", n).where(F.col("n") <= each).orderBy(place, "check_order", "n").select("severity", "check", "path", "detail", "hint")

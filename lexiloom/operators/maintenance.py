@@ -66,18 +66,19 @@ def vector_dim(vectors: DataFrame) -> DataFrame:
 
 
 def history_rows(pages: DataFrame, written_at: Column, first_id: int = 1) -> DataFrame:
-    """Snapshots (id, path, sha256, body, byte_size, written_at) to append; ids in order of time and path.
+    """Snapshots (id, path, sha256, body, frontmatter, byte_size, written_at) of (path, text, frontmatter?) to append; ids in order of time and path.
 
     Ids are numbered per range partition, so no task sorts the whole history.
     """
-    rows = pages.select("path", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"), F.col("text").alias("body"), F.octet_length("text").alias("byte_size"), written_at.alias("written_at"))
+    frontmatter = F.col("frontmatter") if "frontmatter" in pages.columns else F.lit(None).cast("string")
+    rows = pages.select("path", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"), F.col("text").alias("body"), frontmatter.alias("frontmatter"), F.octet_length("text").alias("byte_size"), written_at.alias("written_at"))
     placed = rows.repartitionByRange("written_at", "path").sortWithinPartitions("written_at", "path").withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id())
     sizes = {r.part: r.n for r in placed.groupBy("part").agg(F.count("*").alias("n")).collect()}
     start, at = {}, first_id
     for part in sorted(sizes):
         start[part], at = at, at + sizes[part]
     offsets = F.create_map(*[F.lit(x) for kv in start.items() for x in kv]) if start else F.create_map().cast("map<int,int>")
-    return placed.select((offsets[F.col("part")] + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).cast("long").alias("id"), "path", "sha256", "body", "byte_size", "written_at")
+    return placed.select((offsets[F.col("part")] + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).cast("long").alias("id"), "path", "sha256", "body", "frontmatter", "byte_size", "written_at")
 
 
 def newest(history: DataFrame, keep: int = HISTORY_KEEP) -> DataFrame:

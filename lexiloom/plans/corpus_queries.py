@@ -9,6 +9,7 @@ from ..functions.text import canonical
 from ..operators import evaluation, evidence, fusion, health, maintenance
 from ..operators import pages as P
 from ..operators.store import IndexStore
+from ..sources import files
 from ..storage import new_folder
 from ..streaming import changes
 from . import frames
@@ -102,9 +103,10 @@ def history(spark, sf):
 HISTORY_SQL = "history_ AS (SELECT event_id AS id, 'user-' || user_id AS path, sha256(props) AS sha256, strlen(props) AS byte_size, ts AS written_at FROM events)"
 
 
-@query("i16_history_append", "SELECT row_number() OVER (ORDER BY n_chars, lang || '/' || source || '/doc-' || doc_id || '.md') AS id, lang || '/' || source || '/doc-' || doc_id || '.md' AS path, sha256(coalesce(text, '')) AS sha256, strlen(coalesce(text, '')) AS byte_size FROM documents")
+@query("i16_history_append", "SELECT row_number() OVER (ORDER BY n_chars, lang || '/' || source || '/doc-' || doc_id || '.md') AS id, lang || '/' || source || '/doc-' || doc_id || '.md' AS path, sha256(coalesce(text, '')) AS sha256, strlen(coalesce(text, '')) AS byte_size, json_object('lang', lang)::VARCHAR AS frontmatter FROM documents")
 def _(spark, sf):
-    return maintenance.history_rows(pages(spark, sf), F.col("n_chars")).select("id", "path", "sha256", "byte_size")
+    own = pages(spark, sf).withColumn("frontmatter", F.to_json(F.struct("lang")))
+    return maintenance.history_rows(own, F.col("n_chars")).select("id", "path", "sha256", "byte_size", "frontmatter")
 
 
 @query("i17_history_newest", f"WITH {HISTORY_SQL} SELECT path, id FROM history_ WHERE path = (SELECT min(path) FROM history_) ORDER BY written_at DESC, id DESC LIMIT 10")
@@ -216,6 +218,14 @@ def _(spark, sf):
     return rows.crossJoin(total).select("path", P.next_cursor(F.col("t"), 20, 20).alias("cursor"))  # total: one row
 
 
+@query("p04_query_string", f"WITH {ATTRS} SELECT path FROM pages_ WHERE path IN (SELECT path FROM attrs_ WHERE key = 'lang' AND value = 'de') AND path IN (SELECT path FROM attrs_ WHERE key = 'quality' AND value = '1') ORDER BY path LIMIT 30 OFFSET 2")
+def _(spark, sf):
+    """Filters, limit and offset as a query string names them."""
+    params = {"filter[lang]": "de", "filter[quality]": "1", "limit": "30.9", "offset": " 2"}
+    limit, offset = P.parse_int(params["limit"], P.DEFAULT_PAGE, 1, P.MAX_PAGE), P.parse_int(params["offset"], 0, 0, 1 << 31)
+    return P.list_pages(labelled_pages(spark, sf), attrs(spark, sf), P.parse_filters(params), limit=limit, offset=offset).select("path")
+
+
 FACTS = MANIFEST + """, facts_ AS (SELECT m.path, m.sha256, m.chunk_count, p.title, p.source = 'src5' AS frontmatter_empty, coalesce(total, 0) AS total_chunks, coalesce(heads, 0) AS heading_chunks, coalesce(f.text, '') AS first_chunk_text
   FROM manifest_ m JOIN pages_ p USING (path) LEFT JOIN (SELECT path, count(*) AS total, count(*) FILTER (chunk_idx % 4 = 3) AS heads FROM chunks_ GROUP BY path) USING (path) LEFT JOIN (SELECT path, text FROM chunks_ WHERE chunk_idx = 0) f USING (path) WHERE p.lang <> 'es'),
  disk_ AS (SELECT path, CASE WHEN doc_id % 3 = 0 THEN NULL WHEN doc_id % 3 = 1 THEN '  ' || title ELSE title || ' x' END AS h1 FROM pages_)"""
@@ -231,7 +241,8 @@ FINDINGS = {
     "d07_no_frontmatter": "SELECT 'no-frontmatter' AS \"check\", 'info' AS severity, path, CAST(NULL AS VARCHAR) AS detail FROM facts_ WHERE frontmatter_empty AND chunk_count > 0",
     "d08_h1": f"SELECT CASE WHEN h1 IS NULL THEN 'no-h1' ELSE 'title-mismatch' END AS \"check\", 'info' AS severity, path, CASE WHEN h1 IS NOT NULL THEN 'frontmatter \"' || title || '\" != H1 \"' || h1 || '\"' END AS detail FROM disk_ JOIN facts_ USING (path) WHERE h1 IS NULL OR {NORM.format('title')} <> {NORM.format('h1')}",
 }
-FOUND = FACTS + ", found_ AS (" + " UNION ALL ".join(FINDINGS.values()) + ")"
+HINTS = "hints_ AS (" + " UNION ALL ".join(f"SELECT '{check}' AS \"check\", '{hint}' AS hint" for check, hint in health.HINTS.items()) + ")"
+FOUND = FACTS + f", {HINTS}, found_ AS (SELECT * FROM (" + " UNION ALL ".join(FINDINGS.values()) + ") JOIN hints_ USING (\"check\"))"
 
 
 def facts(spark, sf):
@@ -259,10 +270,10 @@ _CHECKS = {
     "d05_structure": lambda f, d: health.unstructured(f), "d06_thin_page": lambda f, d: health.thin(f), "d07_no_frontmatter": lambda f, d: health.no_frontmatter(f), "d08_h1": lambda f, d: health.h1_checks(d, f),
 }
 for _name, _check in _CHECKS.items():
-    query(_name, f"WITH {FACTS} {FINDINGS[_name]}")(lambda spark, sf, check=_check: check(facts(spark, sf), disk(spark, sf)))
+    query(_name, f"WITH {FACTS}, {HINTS} SELECT * FROM ({FINDINGS[_name]}) JOIN hints_ USING (\"check\")")(lambda spark, sf, check=_check: check(facts(spark, sf), disk(spark, sf)))
 
 
-@query("d09_u02_findings", f"WITH {FOUND} SELECT \"check\", severity, path, detail FROM found_")
+@query("d09_u02_findings", f"WITH {FOUND} SELECT \"check\", severity, path, detail, hint FROM found_")
 def _(spark, sf):
     return health.findings(facts(spark, sf), disk(spark, sf)).drop("check_order")
 
@@ -272,17 +283,32 @@ def _(spark, sf):
     return health.severity_counts(health.findings(facts(spark, sf), disk(spark, sf)))
 
 
-@query("d09_report", f"WITH {FOUND} SELECT severity, \"check\", path, detail FROM found_ QUALIFY row_number() OVER (PARTITION BY \"check\" ORDER BY path) <= 20")
+@query("d09_report", f"WITH {FOUND} SELECT severity, \"check\", path, detail, hint FROM found_ QUALIFY row_number() OVER (PARTITION BY \"check\" ORDER BY path) <= 20")
 def _(spark, sf):
     return health.report(health.findings(facts(spark, sf), disk(spark, sf)))
 
 
+@query("d09_strict_mode", f"WITH {FOUND} SELECT count(*) FILTER (severity = 'error') > 0 AS failed FROM found_")
+def _(spark, sf):
+    return health.failed(health.findings(facts(spark, sf), disk(spark, sf)))
+
+
+@query("d03_d04_members", f"WITH {FACTS}, keyed_ AS (SELECT 'duplicate-body' AS \"check\", sha256 AS key, path FROM facts_ WHERE chunk_count > 0 UNION ALL SELECT 'duplicate-title', {NORM.format('title')}, path FROM facts_ WHERE title <> '') SELECT * FROM keyed_ QUALIFY count(*) OVER (PARTITION BY \"check\", key) > 1")
+def _(spark, sf):
+    return health.duplicate_members(facts(spark, sf))
+
+
+@query("a05_group_members", f"WITH {PAGES} SELECT {NORM.format('title')} AS title, path FROM pages_ QUALIFY count(*) OVER (PARTITION BY {NORM.format('title')}) > 1")
+def _(spark, sf):
+    return health.members(pages(spark, sf), canonical(F.col("title"))).withColumnRenamed("key", "title")
+
+
 @query("a05_duplicate_groups", f"WITH {PAGES} SELECT {NORM.format('title')} AS title, count(*) AS pages FROM pages_ GROUP BY 1 HAVING count(*) > 1")
 def _(spark, sf):
     return pages(spark, sf).groupBy(canonical(F.col("title")).alias("title")).agg(F.count("*").alias("pages")).where("pages > 1")
 
 
-# Evaluation: a query is a vector, its relevant sources are the vectors of its label, graded by how close their ids are.
+# Evaluation: a query is a vector, its relevant sources are all other vectors of its label, in three grades.
 def cases_sql(skip: int = 0) -> str:
     """Results of the evaluation run that leaves out the first ``skip`` hits of every case."""
     return CASES.replace("{skip}", str(skip))
@@ -290,7 +316,7 @@ def cases_sql(skip: int = 0) -> str:
 
 CASES = """base_ AS (SELECT vec_id, label, vec_id % 50 = 0 AS asked, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
  cases_ AS (SELECT vec_id AS case_id, (['exact', 'semantic', 'ambiguous', 'multi_document', 'unanswerable'])[CAST(1 + (vec_id // 50) % 5 AS INT)] AS query_class, (vec_id // 50) % 5 <> 4 AS answerable, label, e FROM base_ WHERE asked),
- judged_ AS (SELECT case_id, 'v' || vec_id AS path, 1 + vec_id % 3 AS relevance FROM cases_ c JOIN base_ b USING (label) WHERE answerable AND vec_id <> case_id AND abs(vec_id - case_id) < 100),
+ judged_ AS (SELECT case_id, 'v' || vec_id AS path, 1 + vec_id % 3 AS relevance FROM cases_ c JOIN base_ b USING (label) WHERE answerable AND vec_id <> case_id),
  near_ AS (SELECT case_id, 'v' || vec_id AS path, row_number() OVER (PARTITION BY case_id ORDER BY round(list_distance(c.e, b.e), 9), vec_id) AS rank FROM cases_ c, base_ b),
  cand_ AS (SELECT case_id, path, rank - {skip} AS rank FROM near_ WHERE rank > {skip} AND rank <= 20), ranked_ AS (SELECT * FROM cand_ WHERE rank <= 10),
  j_ AS (SELECT j.*, r.rank, c.rank AS candidate, row_number() OVER (PARTITION BY j.case_id ORDER BY relevance DESC, path) AS ideal FROM judged_ j LEFT JOIN ranked_ r USING (case_id, path) LEFT JOIN cand_ c USING (case_id, path)),
@@ -307,14 +333,17 @@ def case_results(spark, sf, skip=0):
 
     base = table(spark, sf, "embeddings")
     names = F.array(*map(F.lit, ("exact", "semantic", "ambiguous", "multi_document", "unanswerable")))
-    nth = F.floor(F.col("vec_id") / 50) % 5
+    nth, grade = F.floor(F.col("vec_id") / 50) % 5, 1 + F.col("vec_id") % 3
     cases = base.where("vec_id % 50 = 0").select(F.col("vec_id").alias("case_id"), F.element_at(names, (1 + nth).cast("int")).alias("query_class"), (nth != 4).alias("answerable"), "label", "embedding")
-    other = base.select("vec_id", "label", F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("path"))
-    near_ids = F.explode(F.sequence(F.col("case_id") - 99, F.col("case_id") + 99)).alias("vec_id")
-    judged = cases.where("answerable").select("case_id", "label", near_ids).join(other, ["label", "vec_id"]).where("vec_id <> case_id").select("case_id", "path", (1 + F.col("vec_id") % 3).alias("relevance"))
+    # A label's sources are counted by grade, not listed by case; the case itself isn't one of its sources.
+    grades = base.groupBy("label", grade.alias("relevance")).agg(F.count("*").alias("held"))
+    own = (F.col("relevance") == 1 + F.col("case_id") % 3).cast("long")
+    graded = cases.where("answerable").select("case_id", "label").join(grades, "label").select("case_id", "relevance", (F.col("held") - own).alias("sources"))
     found = nearest(cases.select(F.col("case_id").alias("query_id"), "embedding"), base.select(F.col("vec_id").alias("chunk_id"), "embedding"), 20)
-    shown = found.select(F.col("query_id").alias("case_id"), F.concat(F.lit("v"), F.col("chunk_id").cast("string")).alias("path"), (F.col("rank") - skip).alias("rank")).where("rank > 0")
-    return evaluation.case_results(cases.select("case_id", "query_class", "answerable"), judged, evaluation.distinct_paths(shown, 10), shown)
+    shown = found.select(F.col("query_id").alias("case_id"), F.col("chunk_id").alias("vec_id"), F.concat(F.lit("v"), F.col("chunk_id").cast("string")).alias("path"), (F.col("rank") - skip).alias("rank")).where("rank > 0")
+    hits = shown.join(base.select("vec_id", "label", grade.alias("relevance")), "vec_id").join(cases.where("answerable").select("case_id", "label"), ["case_id", "label"]).where("vec_id <> case_id")
+    ranked = evaluation.distinct_paths(shown.drop("vec_id"), 10)
+    return evaluation.graded_results(cases.select("case_id", "query_class", "answerable"), graded, hits.select("case_id", "path", "relevance", "rank"), ranked)
 
 
 @query("v01_v05_case_metrics", f"WITH {cases_sql()} SELECT * FROM results_")
@@ -333,12 +362,15 @@ def _(spark, sf):
 
 
 DELTA = ", ".join(f"round(a.{m} - b.{m}, 6) AS {m}" for m in evaluation.METRICS)
+LATENCY = "SELECT quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, max(value) AS max FROM events"
 
 
-@query("v07_run_comparison", f"WITH b AS (WITH {cases_sql()} SELECT {SUMMARY} FROM results_), a AS (WITH {cases_sql(2)} SELECT {SUMMARY} FROM results_) SELECT {DELTA} FROM a, b")
+@query("v07_run_comparison", f"WITH b AS (WITH {cases_sql()} SELECT {SUMMARY} FROM results_), a AS (WITH {cases_sql(2)} SELECT {SUMMARY} FROM results_), lb AS ({LATENCY} WHERE event_type <> 'purchase'), la AS ({LATENCY} WHERE event_type = 'purchase') SELECT {DELTA}, round(la.p50 - lb.p50, 6) AS p50, round(la.p95 - lb.p95, 6) AS p95, round(la.max - lb.max, 6) AS max FROM a, b, la, lb")
 def _(spark, sf):
-    """A run against one that loses the first two hits of every case."""
-    return evaluation.compare(evaluation.summary(case_results(spark, sf)), evaluation.summary(case_results(spark, sf, 2)), [])
+    """A run against one that loses the first two hits of every case; the latencies are those of two kinds of events."""
+    events = table(spark, sf, "events")
+    run = lambda skip, own: evaluation.summary(case_results(spark, sf, skip)).crossJoin(evaluation.latency(own, "value"))  # one row each
+    return evaluation.compare(run(0, events.where("event_type <> 'purchase'")), run(2, events.where("event_type = 'purchase'")), [])
 
 
 @query("v08_distinct_paths", f"WITH {LISTS}, p AS (SELECT query_id AS case_id, path, min(rank) AS rank FROM lex_ JOIN chunks_ USING (chunk_id) GROUP BY ALL) SELECT case_id, path, row_number() OVER (PARTITION BY case_id ORDER BY rank, path) AS rank FROM p QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY rank, path) <= 10")
@@ -347,9 +379,19 @@ def _(spark, sf):
     return evaluation.distinct_paths(hits, 10)
 
 
-@query("v09_regression_gate", f"WITH b AS (WITH {cases_sql()} SELECT query_class, {SUMMARY} FROM results_ GROUP BY 1), a AS (WITH {cases_sql(2)} SELECT query_class, {SUMMARY} FROM results_ GROUP BY 1) SELECT query_class, round(a.recall_5 - b.recall_5, 6) AS recall_5 FROM a JOIN b USING (query_class) WHERE round(a.recall_5 - b.recall_5, 6) < -0.02")
+@query("v09_regression_gate", f"WITH b AS (WITH {cases_sql()}, r AS (SELECT * FROM results_ UNION ALL SELECT * REPLACE ('overall' AS query_class) FROM results_) SELECT query_class, {SUMMARY} FROM r GROUP BY 1), a AS (WITH {cases_sql(2)}, r AS (SELECT * FROM results_ UNION ALL SELECT * REPLACE ('overall' AS query_class) FROM results_) SELECT query_class, {SUMMARY} FROM r GROUP BY 1) SELECT query_class, round(a.recall_5 - b.recall_5, 6) AS recall_5 FROM a JOIN b USING (query_class) WHERE round(a.recall_5 - b.recall_5, 6) < -0.02")
+def _(spark, sf):
+    return evaluation.regressions(case_results(spark, sf), case_results(spark, sf, 2))
+
+
+@query("v09_comparable_runs", f"WITH {PAGES} SELECT unnest(['another corpus', 'other questions']) AS problem WHERE (SELECT count(*) FROM pages_ WHERE source = 'src1') > 0 AND (SELECT count(*) FROM benchmark) > 0")
 def _(spark, sf):
-    return evaluation.regressions(evaluation.class_summary(case_results(spark, sf)), evaluation.class_summary(case_results(spark, sf, 2)))
+    """A run over all pages and questions against one without the pages of a source, which asks in capitals."""
+    own = pages(spark, sf).select("path", "source", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("path"), F.sha2("text", 256).alias("sha256"), F.sha2(F.upper("text"), 256).alias("loud"))
+    run = lambda files_, questions: files.corpus_hash(files_).crossJoin(files.corpus_hash(questions).withColumnRenamed("corpus_hash", "questions_hash"))  # one row each
+    before = run(own.where("source <> 'src1'").select("path", "sha256"), asked.select("path", F.col("loud").alias("sha256")))
+    return evaluation.comparable(before, run(own.select("path", "sha256"), asked.select("path", "sha256")))
 
 
 @query("v10_rounding", "SELECT event_id, round(value, 6) AS value FROM events")
@@ -372,21 +414,23 @@ def _(spark, sf):
     return evaluation.violations(cases)
 
 
-EVIDENCE = LISTS + r""", shown_ AS (SELECT query_id, chunk_id, fused_rank AS rank, regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS t FROM cand_ JOIN chunks_ USING (chunk_id) WHERE path NOT LIKE 'fr/%'),
+EVIDENCE = LISTS + r""", shown_ AS (SELECT query_id, chunk_id, path, score, retrievers, fused_rank AS rank, regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS t FROM cand_ JOIN chunks_ USING (chunk_id) WHERE path NOT LIKE 'fr/%'),
  n_ AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n FROM shown_ QUALIFY n <= 20), need_ AS (SELECT *, CAST(ceil(length(t) / 4) AS BIGINT) AS need FROM n_),
  used_ AS (SELECT *, coalesce(sum(need) OVER (PARTITION BY query_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM need_),
- fit_ AS (SELECT query_id, 'S' || n AS citation_id, chunk_id, rank, CASE WHEN need <= 300 - used THEN t ELSE regexp_replace(regexp_replace(substr(t, 1, CAST((300 - used) * 4 - 1 AS BIGINT)), '\s+$', ''), '[.…]+$', '') || '…' END AS text FROM used_ WHERE used < 300),
+ fit_ AS (SELECT query_id, 'S' || n AS citation_id, chunk_id, rank, path, score::DOUBLE AS score, retrievers, split_part(path, '/', 2) AS heading_path, CASE WHEN need <= 300 - used THEN t ELSE regexp_replace(regexp_replace(substr(t, 1, CAST((300 - used) * 4 - 1 AS BIGINT)), '\s+$', ''), '[.…]+$', '') || '…' END AS text FROM used_ WHERE used < 300),
  evidence_ AS (SELECT *, CAST(ceil(length(text) / 4) AS BIGINT) AS tokens FROM fit_)"""
 
 
 def passages(spark, sf):
-    rows = fusion.fuse(lists(spark, sf)).join(chunks(spark, sf).select("chunk_id", "path", F.col("text").alias("snippet")), "chunk_id").withColumn("rank", F.col("fused_rank"))
+    """A page's source stands for its heading."""
+    shown = chunks(spark, sf).select("chunk_id", "path", F.array(F.split("path", "/")[1]).alias("heading_path"), F.col("text").alias("snippet"))
+    rows = fusion.fuse(lists(spark, sf)).join(shown, "chunk_id").withColumn("rank", F.col("fused_rank"))
     return evidence.selected(rows, 300, allowed=chunks(spark, sf).where("path not like 'fr/%'"))
 
 
-@query("e01_e03_a10_evidence", f"WITH {EVIDENCE} SELECT query_id, citation_id, chunk_id, rank, text, tokens FROM evidence_")
+@query("e01_e03_a10_evidence", f"WITH {EVIDENCE} SELECT query_id, citation_id, chunk_id, rank, text, tokens, path, heading_path, score, retrievers FROM evidence_")
 def _(spark, sf):
-    return passages(spark, sf)
+    return passages(spark, sf).withColumn("heading_path", F.array_join("heading_path", " > ")).withColumn("retrievers", F.array_join("retrievers", ","))
 
 
 @query("e04_conflicts", f"WITH {EVIDENCE}, claims_ AS (SELECT query_id, chunk_id, 'c' || (rank % 3) AS conflict_id FROM all_) SELECT query_id, conflict_id, string_agg(DISTINCT citation_id, ' ' ORDER BY citation_id) AS passage_ids FROM claims_ JOIN evidence_ USING (query_id, chunk_id) GROUP BY ALL HAVING count(DISTINCT citation_id) > 1")

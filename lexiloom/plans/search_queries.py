@@ -258,6 +258,45 @@ def _(spark, sf):
     return fusion.trace(fusion.fuse(lists(spark, sf))).withColumn("candidate_ids", F.array_join("candidate_ids", " "))
 
 
+def reranked(spark, sf):
+    return fusion.reranked(ranked(spark, sf), reverse_first_three)[0]
+
+
+RERANKED = BOOST + ", re_ AS (SELECT * REPLACE (CASE WHEN position <= least(3, n) THEN least(3, n) + 1 - position ELSE position END AS position) FROM (SELECT *, count(*) OVER (PARTITION BY query_id) AS n FROM pos_))"
+
+
+@query("q23_trace_stages", f"WITH {RERANKED}, a_ AS (SELECT query_id, string_agg(chunk_id, ' ' ORDER BY position) AS before_rerank_ids FROM pos_ GROUP BY 1), b_ AS (SELECT query_id, string_agg(chunk_id, ' ' ORDER BY position) AS after_rerank_ids FROM re_ GROUP BY 1), c_ AS (SELECT query_id, string_agg(chunk_id, ' ' ORDER BY position) AS final_ids FROM re_ WHERE position <= 10 GROUP BY 1) SELECT * FROM a_ JOIN b_ USING (query_id) JOIN c_ USING (query_id)")
+def _(spark, sf):
+    """What each stage of ranking leaves, with a reranker that turns the first three around."""
+    before, after = ranked(spark, sf), reranked(spark, sf)
+    stages = fusion.trace(fusion.fuse(lists(spark, sf)), before, after, fusion.final_top(after))
+    return stages.select("query_id", *[F.array_join(c, " ").alias(c) for c in ("before_rerank_ids", "after_rerank_ids", "final_ids")])
+
+
+@query("q23_candidate_signals", f"""WITH {BOOST}, s_ AS (SELECT *, list_aggregate(terms, 'string_agg', ' ') AS phrase, len(list_intersect(terms, tokens)) AS in_path, len(list_intersect(terms, string_split(lower('Doc ' || split_part(path, '/', 1)), ' '))) AS in_heading FROM pos_)
+ SELECT query_id, chunk_id, round(score, 9)::DOUBLE AS retrieval_score, round(final_score, 9)::DOUBLE AS final_score, CASE WHEN len(terms) > 0 THEN round(in_path / len(terms), 6) ELSE 0 END AS path_match, CASE WHEN len(terms) > 0 THEN round(in_heading / len(terms), 6) ELSE 0 END AS heading_match, retrievers,
+   coalesce(phrase, '') <> '' AND (contains(lower(regexp_replace(path, '[/_.-]+', ' ', 'g')), phrase) OR contains(lower('Doc ' || split_part(path, '/', 1)), phrase) OR contains(regexp_replace(regexp_replace(lower(text), '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g'), phrase)) AS exact_match FROM s_""")
+def _(spark, sf):
+    rows = fusion.signal_trace(ranked(spark, sf))
+    named = F.array_join(F.array_distinct(F.transform("contributions", lambda c: c["retriever"])), ",").alias("retrievers")
+    return rows.select("query_id", "chunk_id", *[F.round(c, 9).alias(c) for c in ("retrieval_score", "final_score")], *[F.round(c, 6).alias(c) for c in ("path_match", "heading_match")], named, "exact_match")
+
+
+@query("q02_raised_limits", f"WITH {BM25} SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM bm_ QUALIFY rank <= 40")
+def _(spark, sf):
+    """Asking for 40 results raises what each retriever gives to 40."""
+    per, _, _ = fusion.limits(k=40)
+    return retrieval.bm25(queries(spark, sf), chunks(spark, sf), per).select("query_id", "chunk_id", "rank")
+
+
+@query("q03_q11_weights_and_k", f"WITH {BM25}, {vector_sql()} SELECT query_id, chunk_id, round(0.5 / rank, 12)::DOUBLE AS score, rank AS fused_rank FROM vec_ WHERE rank <= 5")
+def _(spark, sf):
+    """A list of weight zero counts for nothing; with k = 0 a score is weight over rank."""
+    weights = {"bm25": fusion.check_weight("bm25", 0), "vector": fusion.check_weight("vector", 0.5)}
+    own = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])[F.col("retriever")]
+    return fusion.fuse(lists(spark, sf).withColumn("weight", own), k=0, candidates=5).select("query_id", "chunk_id", "score", "fused_rank")
+
+
 @query("q24_q26_ranked_output", f"WITH {BOOST}, one_ AS (SELECT * FROM pos_ QUALIFY row_number() OVER (PARTITION BY query_id, path ORDER BY position) = 1), r_ AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY position) AS rank FROM one_ QUALIFY rank <= 10) SELECT query_id, rank, path, title, round(final_score, 6)::DOUBLE AS score, retrievers, chunk_id FROM r_ JOIN (SELECT path, title FROM pages_) USING (path)")
 def _(spark, sf):
     top = fusion.final_top(fusion.first_of(ranked(spark, sf), "path")).join(labelled_pages(spark, sf).select("path", "title"), "path")

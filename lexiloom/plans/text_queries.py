@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.embed import hash_embedding
+from ..functions.embed import chunk_size_for, hash_embedding
 from ..functions.snippet import around_terms, head, snippet
 from ..operators import chunking
-from ..sources import files, markdown
+from ..sources import files, markdown, questions
+from ..storage import hadoop_path, new_folder
 from .frames import CHUNKS, PAGES, chunks, pages, table
 from .registry import query
 
@@ -38,6 +39,62 @@ def _(spark, sf):
     return pages(spark, sf).select("path", F.octet_length("text").alias("bytes")).where(F.col("bytes") <= files.MAX_FILE_BYTES)
 
 
+def content_folder(spark, sf) -> str:
+    """The pages as Markdown files in the shared folder: one a language and source, a page after the other."""
+    root = new_folder(spark, "content")
+    rows = pages(spark, sf).select("lang", "source", "doc_id", F.col("text").alias("value")).repartition("lang", "source").sortWithinPartitions("lang", "source", "doc_id")
+    rows.drop("doc_id").write.partitionBy("lang", "source").text(root)
+    path, store = hadoop_path(spark, root)
+    for lang in store.listStatus(path):
+        for source in store.listStatus(lang.getPath()) if lang.isDirectory() else ():
+            part = next(f.getPath() for f in store.listStatus(source.getPath()) if f.getPath().getName().startswith("part-"))
+            store.rename(part, hadoop_path(spark, f"{source.getPath()}/page.md")[0])
+    return root
+
+
+CONTENT = PAGES + ", files_ AS (SELECT 'lang=' || lang || '/source=' || source || '/page.md' AS path, string_agg(text || chr(10), '' ORDER BY doc_id) AS text FROM pages_ GROUP BY lang, source), small_ AS (SELECT * FROM files_ WHERE strlen(text) <= 5242880)"
+
+
+@query("s01_folder_walk", f"WITH {CONTENT} SELECT path, sha256(text) AS sha256, length(text) AS chars FROM small_")
+def _(spark, sf):
+    return files.walk(spark, content_folder(spark, sf)).select("path", "sha256", F.length("text").alias("chars"))
+
+
+@query("s05_binary_files", f"WITH {CONTENT} SELECT path, sha256(text) AS sha256, strlen(text) AS bytes, true AS no_text FROM small_")
+def _(spark, sf):
+    rows = files.walk(spark, content_folder(spark, sf), extensions=(), binary=(".MD",))
+    return rows.select("path", "sha256", F.length("bytes").alias("bytes"), F.col("text").isNull().alias("no_text"))
+
+
+@query("s06_one_file", f"WITH {CONTENT} SELECT path, sha256(text) AS sha256 FROM small_ WHERE path LIKE 'lang=en/source=src1/%'")
+def _(spark, sf):
+    return files.read_one(spark, content_folder(spark, sf), "lang=en/../lang=en/source=src1//page.md").select(F.lit("lang=en/source=src1/page.md").alias("path"), "sha256")
+
+
+@query("s21_disk_scan", f"WITH {CONTENT} SELECT path, length(text) AS chars FROM files_")
+def _(spark, sf):
+    return files.scan_disk(spark, content_folder(spark, sf)).select("path", F.length("text").alias("chars"))
+
+
+@query("s10_csv_pages", "SELECT c_custkey || ' | ' || c_name || ' | ' || c_nationkey AS line FROM customer")
+def _(spark, sf):
+    """Customers written as CSV, and the lines of the pages that its files make."""
+    folder = new_folder(spark, "csv")
+    table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey").write.csv(folder)
+    return markdown.csv_pages(spark, folder).select(F.explode(F.split("plain", "\n")).alias("line"))
+
+
+@query("s17_question_file", "SELECT CAST(vec_id AS VARCHAR) AS case_id, 'exact' AS query_class, 1 AS sources FROM embeddings WHERE vec_id % 10 <> 3 UNION ALL SELECT NULL, 'not JSON', 0 FROM embeddings WHERE vec_id % 10 = 3")
+def _(spark, sf):
+    """Questions made from embeddings as JSON lines, every tenth broken, with blank lines between."""
+    folder = new_folder(spark, "questions")
+    relevant = F.array(F.struct(F.concat(F.lit("v"), F.col("label").cast("string")).alias("path"), F.lit(2).alias("relevance")))
+    line = F.to_json(F.struct(F.col("vec_id").cast("string").alias("id"), F.lit("a query").alias("query"), F.lit("exact").alias("queryClass"), F.lit(True).alias("answerable"), relevant.alias("relevant")))
+    table(spark, sf, "embeddings").select(F.concat(F.when(F.col("vec_id") % 10 == 3, F.lit("{")).otherwise(F.lit("")), line, F.lit("\n \n"))).write.text(folder)
+    cases, bad = questions.read_questions(spark, folder)
+    return cases.select("case_id", "query_class", F.size("relevant").alias("sources")).unionByName(bad.select(F.lit(None).cast("string").alias("case_id"), F.lit("not JSON").alias("query_class"), F.lit(0).alias("sources")))
+
+
 @query("s04_ignore_rules", f"WITH {PAGES} SELECT path FROM pages_ WHERE NOT (regexp_matches(path, '^de/src1[0-9]*(/.+)?$') OR (regexp_matches(path, '(^|.*/)[^/]*7\\.md(/.+)?$') AND NOT regexp_matches(path, '^en/src7/.*')))")
 def _(spark, sf):
     rules = ["# a comment", "", "*7.md", "!/en/src7/**", "/de/src1*"]
@@ -99,7 +156,7 @@ def _(spark, sf):
     return chunks(spark, sf).select("chunk_id", T.clean_title(heading).alias("title"))
 
 
-@query("s19_corpus_hash", None)
+@query("s19_corpus_hash", f"WITH {PAGES}, h AS (SELECT sha256(path || chr(10) || sha256(text)) AS h FROM pages_), g AS (SELECT sha256(string_agg(h, '' ORDER BY h)) AS h FROM h GROUP BY substr(h, 1, 4)) SELECT sha256(string_agg(h, '' ORDER BY h)) AS corpus_hash FROM g")
 def _(spark, sf):
     return files.corpus_hash(pages(spark, sf).select("path", F.sha2(F.col("text").cast("binary"), 256).alias("sha256")))
 
@@ -260,8 +317,14 @@ def _(spark, sf):
 def _(spark, sf):
     """Texts without sentences or paragraphs are cut at a fixed width."""
     flat = F.regexp_replace("text", r"[.!?\s]", "")
-    split = F.udf(lambda t: chunking.split_text(t, 500) if t else [], "array<string>", useArrow=True)
-    return pages(spark, sf).select("path", F.posexplode(split(flat)).alias("piece", "text"))
+    return pages(spark, sf).select("path", F.posexplode(chunking.pieces_of(flat, 500)).alias("piece", "text"))
+
+
+@query("t06_model_window", f"WITH {PAGES} SELECT path, CAST(ceil(length(t) / 340) AS BIGINT) AS pieces FROM (SELECT path, regexp_replace(text, '[.!?\\s]', '', 'g') AS t FROM pages_)")
+def _(spark, sf):
+    """Pieces for a model that takes 100 tokens: 85 of them are filled, with four characters each."""
+    flat = F.regexp_replace("text", r"[.!?\s]", "")
+    return pages(spark, sf).select("path", F.size(chunking.pieces_of(flat, 4 * chunk_size_for(100))).alias("pieces"))
 
 
 @query("t04_overlap", rf"WITH {CHUNKS} SELECT chunk_id, CASE WHEN chunk_idx > 0 THEN right(lag(text) OVER (PARTITION BY path ORDER BY chunk_idx), 30) || chr(10) || chr(10) || text ELSE text END AS text FROM chunks_")
