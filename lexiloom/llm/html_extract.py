@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_classes, slices, stored, whole_groups
+from .common import HEAVY, class_counts, join_classes, slices, stored, whole_groups
 from .url_filter import url_host
 
 THRESHOLD, DECAY, MIN_PAGES = 0.3, 0.9, 5
@@ -384,8 +384,12 @@ def _low_branches(threshold: float):
     return low
 
 
-def low_branches(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(page, n, numbers) of every page of (page, host, html): its rows, and the leaves in branches that its host's style tree finds unimportant, if any."""
+def low_branches(pages: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, tuple[int, int]]:
+    """((page, n, numbers), (rows, most rows of a page)) of (page, host, html).
+
+    ``numbers``: the leaves in branches that the host's style tree finds unimportant. Listed are the
+    pages that have some, and those that very many rows repeat, ``n`` of them.
+    """
     rows = stored(pages.mapInArrow(_merge_rows, _ROWS), "style-tree-rows")  # parsed once for all that follows
     seen, nodes = rows.where(F.col("kind").isin(ELEMENT, LEAF)), rows.where(F.col("kind") != TIMES)
     merged = stored(seen.groupBy("place", "kind", "value").agg(F.count_distinct("body").alias("same"), F.count("*").alias("n")), "style-tree")
@@ -398,7 +402,10 @@ def low_branches(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     numbers = [F.coalesce(F.col(c), F.lit(1)).cast(t).alias(c) for c, t in (("pages", "long"), ("same", "long"), ("styles", "long"), ("entropy", "double"))]
     known = known.select("page", "number", "parent", "kind", "value", *numbers).repartition("page").sortWithinPartitions("page")
     gone = known.mapInArrow(_low_branches(threshold), "page long, number int").groupBy("page").agg(F.collect_set("number").alias("numbers"))
-    return rows.where(F.col("kind") == TIMES).groupBy("page").agg(F.sum("value").alias("n")).join(gone, "page", "left")
+    times = rows.where(F.col("kind") == TIMES).groupBy("page").agg(F.sum("value").alias("n"))
+    counts = class_counts(times)
+    listed = F.col("numbers").isNotNull() | (F.col("n") * HEAVY > (counts[0] or 0))
+    return stored(times.join(gone, "page", "left").where(listed), "style-tree-branches"), counts
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -411,6 +418,6 @@ def extract_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html
     """One row per page: page_id, url, text, n_chars."""
     host = url_host(F.col(url)) if host is None else host
     rows = pages.select(F.xxhash64(key, url, html).alias("page"), F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), host.alias("host"), F.coalesce(F.col(html), F.lit("")).alias("html"))
-    gone = stored(low_branches(rows.select("page", "host", "html"), threshold), "style-tree-branches")
-    # Few pages lose branches where they declare their parts; Spark broadcasts these only if their stored size is small.
-    return join_classes(rows, gone, "page", "left", sparse="numbers").select("page_id", "url", "html", "numbers").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    # Few pages are listed where they declare their parts; Spark broadcasts these only if their stored size is small.
+    gone, counts = low_branches(rows.select("page", "host", "html"), threshold)
+    return join_classes(rows, gone, "page", "left", sparse="numbers", counts=counts).select("page_id", "url", "html", "numbers").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
