@@ -1,13 +1,18 @@
 """The index as versioned Parquet tables: incremental reconcile, page edits with history, embedder changes.
 
-Every change writes new table versions beside the old ones and then one commit file that names the
-versions of all tables. Readers follow the latest commit, so they never see half a change, and a
-failed or lost job leaves only files that no commit names. Two writers on one commit number collide:
-the second fails instead of overwriting the first.
+Every change appends: it writes its new rows and the paths whose older rows it replaces, each to a
+folder of its own, and then one commit file that lists all folders. What a change costs follows the
+change, not the index. A row is current unless a later commit replaced its path. Every
+``COMPACT_AFTER`` commits the folders of a table are rewritten as one.
+
+Readers follow the latest commit, so they never see half a change, and a failed or lost job leaves
+only files that no commit names. Two writers on one commit number collide: the second fails instead
+of overwriting the first.
 """
 
 from __future__ import annotations
 
+import functools
 import json
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -19,6 +24,7 @@ from ..config import Settings
 from ..functions.embed import hash_embedding
 from ..functions.text import page_title
 from ..sources.markdown import parse_pages
+from ..storage import stored
 from . import maintenance
 from .chunking import chunk
 
@@ -27,11 +33,16 @@ SCHEMAS = {
     "chunks": "chunk_id string, path string, chunk_idx int, text string, heading_path array<string>",
     "vectors": "chunk_id string, path string, embedding array<double>",
     "manifest": "path string, sha256 string, chunk_count long, last_indexed timestamp",
-    "history": "id long, path string, sha256 string, body string, byte_size long, written_at timestamp",
+    "history": "id long, path string, sha256 string, body string, frontmatter string, byte_size long, written_at timestamp",
     "meta": "key string, value string",
 }
 
 
+#: Tables whose rows of a path are replaced as a whole; history only grows, and meta is one small table.
+PAGED = ("pages", "chunks", "vectors", "manifest")
+COMPACT_AFTER = 20
+
+
 @dataclass(frozen=True)
 class IndexResult:
     files_indexed: int
@@ -53,8 +64,8 @@ class IndexStore:
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def version(self) -> tuple[int, dict[str, str]]:
-        """(number of the latest commit, folder of each table); 0 for a new store."""
+    def version(self) -> tuple[int, dict[str, list]]:
+        """(number of the latest commit, the folders of each table with the commits that wrote them); 0 for a new store."""
         path, store = self._path("commits")
         if not store.exists(path):
             return 0, {}
@@ -68,27 +79,53 @@ class IndexStore:
         finally:
             stream.close()
 
+    def _rows(self, folders: list, schema: str) -> DataFrame:
+        """Rows of all folders, with the ``commit`` that wrote them."""
+        if not folders:
+            return self.spark.createDataFrame([], f"{schema}, commit long")
+        parts = [self.spark.read.schema(schema).parquet(f"{self.root}/{folder}").withColumn("commit", F.lit(n).cast("long")) for folder, n in folders]
+        return functools.reduce(DataFrame.unionByName, parts)
+
     def read(self, name: str) -> DataFrame:
-        folder = self.version()[1].get(name)
-        if folder is None:
-            return self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{folder}")
-
-    def commit(self, **tables: DataFrame) -> int:
-        """Write new versions of ``tables`` and make them current, all at once."""
-        number, folders = self.version()
-        for name, df in tables.items():
-            wanted = self.spark.createDataFrame([], SCHEMAS[name]).schema
-            folder = f"{name}/v{number + 1}"
+        """The current rows of a table; of history the newest of each path."""
+        return self._current(name, self.version()[1])
+
+    def _current(self, name: str, folders: dict[str, list]) -> DataFrame:
+        rows = self._rows(folders.get(name, []), SCHEMAS[name])
+        if name == "history":
+            return maintenance.newest(rows.drop("commit"), self.settings.history_keep)
+        first = min((n for _, n in folders.get(name, [])), default=0)
+        later = [(f, n) for f, n in folders.get("gone", []) if n > first] if name in PAGED else []
+        if later:  # a path that was replaced or removed after the row was written
+            gone = self._rows(later, "path string").groupBy("path").agg(F.max("commit").alias("until"))
+            rows = rows.join(gone, "path", "left").where("until is null or commit >= until").drop("until")
+        return rows.drop("commit")
+
+    def commit(self, gone: DataFrame | None = None, fresh: tuple[str, ...] = (), **tables: DataFrame) -> int:
+        """Append ``tables`` and replace what was there of the paths in ``gone``, all at once; ``fresh`` tables hold just the new rows."""
+        before, folders = self.version()
+        number = before + 1
+        folders = {name: [] if name in fresh else list(own) for name, own in folders.items()}
+        writes = {name: (df, SCHEMAS[name]) for name, df in tables.items()}
+        if gone is not None:
+            writes["gone"] = (gone.select("path").distinct(), "path string")
+        for name, (df, schema) in writes.items():
+            wanted = self.spark.createDataFrame([], schema).schema
+            folder = f"{name}/v{number}"
             df.select(*[F.col(f.name).cast(f.dataType) for f in wanted]).write.mode("overwrite").parquet(f"{self.root}/{folder}")
-            folders[name] = folder
-        path, store = self._path(f"commits/{number + 1}.json")
+            folders.setdefault(name, []).append([folder, number])
+        for name in (n for n in SCHEMAS if len(folders.get(n, [])) > COMPACT_AFTER):
+            self._current(name, folders).write.mode("overwrite").parquet(f"{self.root}/{name}/v{number}-whole")
+            folders[name] = [[f"{name}/v{number}-whole", number]]
+        oldest = min((n for name in PAGED for _, n in folders.get(name, [])), default=number)
+        folders["gone"] = [[f, n] for f, n in folders.get("gone", []) if n > oldest]
+        path, store = self._path(f"commits/{number}.json")
         out = store.create(path, False)
         try:
             out.write(bytearray(json.dumps(folders).encode()))
         finally:
             out.close()
-        return number + 1
+        return number
 
     # indexing
 
@@ -97,16 +134,15 @@ class IndexStore:
         state = maintenance.embedder_state(self.read("meta"), self.model, self.settings.embedding_dims).first()
         if state.changed or state.previous is None:
             meta = self.spark.createDataFrame([("embedder_model", self.model), ("embedder_dim", str(self.settings.embedding_dims))], SCHEMAS["meta"])
-            empty = {n: self.spark.createDataFrame([], SCHEMAS[n]) for n in ("chunks", "vectors", "manifest")} if state.changed else {}
-            self.commit(meta=meta, **empty)
+            self.commit(fresh=("meta", "chunks", "vectors", "manifest") if state.changed else ("meta",), meta=meta)
         return state.changed, state.previous
 
     def _index(self, files: DataFrame, now: Column) -> tuple[dict[str, DataFrame], DataFrame]:
-        """(new rows of each table, errors) of (path, text, modified, sha256)."""
-        good, errors = maintenance.split_errors(parse_pages(files))
+        """(new rows of each table, errors) of (path, text, modified, sha256); each file is parsed and chunked once."""
+        good, errors = maintenance.split_errors(stored(parse_pages(files).drop("text", "bytes"), "parsed-pages"))
         title = page_title(F.get_json_object("frontmatter", "$.title"), F.col("path"))
-        pages = good.select("path", title.alias("title"), "frontmatter", F.length("text").alias("size"), F.col("modified").alias("last_modified"), now.alias("last_indexed"))
-        chunks = chunk(good.select("path", "plain"), self.settings.chunk_size, self.settings.chunk_overlap)
+        pages = good.select("path", title.alias("title"), "frontmatter", "size", F.col("modified").alias("last_modified"), now.alias("last_indexed"))
+        chunks = stored(chunk(good.select("path", "plain"), self.settings.chunk_size, self.settings.chunk_overlap), "parsed-chunks")
         vectors = self.embed(chunks) if self.embed else chunks.withColumn("embedding", hash_embedding(F.col("text"), self.settings.embedding_dims))
         counted = chunks.groupBy("path").agg(F.count("*").alias("chunk_count"))
         manifest = good.select("path", "sha256").join(counted, "path", "left").select("path", "sha256", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), now.alias("last_indexed"))
@@ -119,39 +155,38 @@ class IndexStore:
         """
         self.check_embedder()
         now, manifest = F.current_timestamp(), self.read("manifest")
-        new, errors = self._index(maintenance.to_index(manifest, walked), now)
-        gone = maintenance.to_delete(manifest, walked).select("path")
-        done = new["pages"].select("path")
-        tables = {n: maintenance.delete(self.read(n), gone.union(done)).unionByName(df) for n, df in new.items()}
-        added = new["chunks"].count()
-        counts = walked.join(manifest.select("path", "sha256"), ["path", "sha256"], "left_semi").agg(F.count("*").alias("skipped")).first()
-        indexed, deleted = done.count(), gone.count()
-        self.commit(**tables)
-        return IndexResult(indexed, counts.skipped, deleted, added, errors)
+        todo = maintenance.to_index(manifest, walked)
+        new, errors = self._index(todo.withColumn("size", F.length("text")), now)
+        gone = stored(maintenance.to_delete(manifest, walked).select("path"), "gone-paths")
+        done, added, deleted = new["pages"].select("path"), new["chunks"].count(), gone.count()
+        indexed = done.count()
+        skipped = walked.join(manifest.select("path", "sha256"), ["path", "sha256"], "left_semi").count()
+        if indexed or deleted:
+            self.commit(gone=gone.union(done), **new)
+        return IndexResult(indexed, skipped, deleted, added, errors)
 
     def save(self, pages: DataFrame, current: DataFrame | None = None) -> IndexResult:
         """Index new texts (path, text) of pages; what those pages hold now, ``current`` (path, text), joins their history.
 
-        History keeps the newest ``history_keep`` snapshots of a page.
+        History keeps the newest ``history_keep`` snapshots of a page, with the frontmatter it had.
         """
-        now, old = F.current_timestamp(), self.read("history")
-        files = pages.select("path", "text", now.alias("modified"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
+        now = F.current_timestamp()
+        files = pages.select("path", "text", now.alias("modified"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"), F.length("text").alias("size"))
         tables = {}
         if current is not None:
-            first = (old.agg(F.max("id")).first()[0] or 0) + 1
-            snapshots = maintenance.history_rows(current.join(pages.select("path"), "path", "left_semi"), now, first)
-            tables["history"] = maintenance.newest(old.unionByName(snapshots), self.settings.history_keep)
+            first = (self._rows(self.version()[1].get("history", []), SCHEMAS["history"]).agg(F.max("id")).first()[0] or 0) + 1
+            held = current.join(pages.select("path"), "path", "left_semi").join(self.read("pages").select("path", "frontmatter"), "path", "left")
+            tables["history"] = maintenance.history_rows(held, now, first)
         new, errors = self._index(files, now)
-        tables |= {n: maintenance.delete(self.read(n), files).unionByName(df) for n, df in new.items()}
         indexed, chunks = new["pages"].count(), new["chunks"].count()
-        self.commit(**tables)
+        self.commit(gone=new["pages"].select("path"), **new, **tables)
         return IndexResult(indexed, 0, 0, chunks, errors)
 
     def remove(self, paths: DataFrame) -> int:
         """Drop pages; returns how many chunks went. Their history stays."""
-        gone = self.read("chunks").join(paths.select("path"), "path", "left_semi").count()
-        self.commit(**{n: maintenance.delete(self.read(n), paths) for n in ("pages", "chunks", "vectors", "manifest")})
-        return gone
+        lost = self.read("chunks").join(paths.select("path"), "path", "left_semi").count()
+        self.commit(gone=paths)
+        return lost
 
     def remove_folder(self, folder: str) -> int:
         return self.remove(maintenance.under_folder(self.read("manifest"), folder))

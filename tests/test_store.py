@@ -76,6 +76,41 @@ def test_edits_history_and_folders(spark, tmp_path):
     assert store.read("history").count() == 4
 
 
+def folder_bytes(root):
+    return sum(f.stat().st_size for f in root.rglob("*.parquet"))
+
+
+def test_a_change_writes_only_itself(spark, tmp_path):
+    store = store_at(spark, tmp_path)
+    rows = [(f"p{i}.md", f"---\nn: {i}\n---\n" + " ".join(f"word{i}-{k}" for k in range(400))) for i in range(120)]
+    walked = lambda own: spark.createDataFrame([(p, t, None) for p, t in own], "path string, text string, modified timestamp").withColumn("sha256", F.sha2("text", 256))
+    store.reconcile(walked(rows))
+    whole = folder_bytes(tmp_path / "index")
+    before = store.version()[0]
+    assert counts(store.reconcile(walked(rows))) == (0, 120, 0) and store.version()[0] == before  # nothing changed, nothing is written
+    page = spark.createDataFrame([("p7.md", "---\nn: 8\n---\nnew text")], "path string, text string")
+    store.save(page, spark.createDataFrame([rows[7]], "path string, text string"))
+    assert folder_bytes(tmp_path / "index") - whole < whole / 3
+    assert store.read("chunks").where("path = 'p7.md'").first().text == "new text" and store.read("pages").count() == 120
+    old = store.read("history").first()
+    assert (old.path, old.frontmatter, old.body) == ("p7.md", '{"n": 7}', rows[7][1])
+    assert counts(store.reconcile(walked(rows[:100]))) == (1, 99, 20)
+    assert store.read("manifest").count() == store.read("pages").count() == 100
+
+
+def test_many_commits_are_compacted(spark, tmp_path, monkeypatch):
+    from lexiloom.operators import store as module
+
+    monkeypatch.setattr(module, "COMPACT_AFTER", 2)
+    store = store_at(spark, tmp_path)
+    for i in range(5):
+        store.save(spark.createDataFrame([("a.md", f"text {i}"), (f"b{i % 3}.md", f"other {i}")], "path string, text string"))
+    assert max(len(own) for own in store.version()[1].values()) <= 3
+    assert {r.path: r.text for r in store.read("chunks").collect()} == {"a.md": "text 4", "b0.md": "other 3", "b1.md": "other 4", "b2.md": "other 2"}
+    store.remove(spark.createDataFrame([("a.md",)], "path string"))
+    assert {r.path for r in store.read("pages").collect()} == {"b0.md", "b1.md", "b2.md"}
+
+
 def test_a_commit_is_all_or_nothing(spark, tmp_path):
     store = store_at(spark, tmp_path)
     store.commit(meta=spark.createDataFrame([("k", "1")], "key string, value string"))
