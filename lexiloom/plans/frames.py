@@ -64,6 +64,36 @@ PAGES = r"""pages_ AS (SELECT *, coalesce(CASE WHEN regexp_matches(given, '\S')
 CHUNKS = PAGES + r""", chunks_ AS (SELECT path, i AS chunk_idx, path || '#' || i AS chunk_id, line AS text FROM (
   SELECT path, unnest(range(len(l))) AS i, unnest(l) AS line FROM (SELECT path, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\S')) AS l FROM pages_)))"""
 MANIFEST = CHUNKS + """, manifest_ AS (SELECT path, sha256(text) AS sha256, coalesce(n, 0) AS chunk_count FROM pages_ LEFT JOIN (SELECT path, count(*) AS n FROM chunks_ GROUP BY path) USING (path))"""
+
+
+def chunks_sql(size: int = 512, overlap: float = 0.15) -> str:
+    """``chunks_`` as heading-less pages are chunked: paragraphs packed greedily, long ones by sentences, long ones of these by width.
+
+    Packing depends on what was packed before, so it is a recursion over the pieces of each text.
+    """
+    limit, tail = 4 * size, int(4 * size * overlap)
+    trim = lambda x: rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+
+    def packed(name: str, rows: str, join: int) -> str:
+        """Group of each piece (path, a, i, n): a piece that doesn't fit opens one, and a long one stands alone."""
+        opens = f"(r.long OR p.n > {limit} OR r.cost + p.n + {join} > {limit})"
+        return f"""{name} AS (SELECT path, a, i, n, 1 AS g, CASE WHEN n > {limit} THEN 0 ELSE n + {join} END AS cost, n > {limit} AS long FROM {rows} WHERE i = 0
+  UNION ALL SELECT p.path, p.a, p.i, p.n, r.g + CAST({opens} AS INT), CASE WHEN p.n > {limit} THEN 0 WHEN {opens} THEN p.n + {join} ELSE r.cost + p.n + {join} END, p.n > {limit} FROM {name} r JOIN {rows} p ON p.path = r.path AND p.a = r.a AND p.i = r.i + 1)"""
+
+    return rf"""trimmed_ AS (SELECT path, {trim('text')} AS t FROM pages_ WHERE regexp_matches(text, '\S')),
+ paras_ AS MATERIALIZED (SELECT path, 0 AS a, i, s, length(s) AS n FROM (SELECT path, unnest(range(len(l))) AS i, unnest(l) AS s FROM (SELECT path, string_split_regex(t, '\n\s*\n') AS l FROM trimmed_))),
+ {packed('pgroups_', 'paras_', 2)},
+ longs_ AS (SELECT path, i AS a, g, s, list_transform(regexp_extract_all(s, '[^.!?]+[.!?]+(?:\s+|$)|[^.!?]+$'), lambda x: {trim('x')}) AS l FROM pgroups_ JOIN paras_ USING (path, a, i) WHERE long),
+ sents_ AS MATERIALIZED (SELECT path, a, i, s, length(s) AS n FROM (SELECT path, a, unnest(range(len(l))) AS i, unnest(l) AS s FROM longs_ WHERE len(l) > 1)),
+ {packed('sgroups_', 'sents_', 1)},
+ wide_ AS (SELECT path, a, 0 AS b, s FROM longs_ WHERE len(l) < 2 UNION ALL SELECT path, a, g, s FROM sgroups_ JOIN sents_ USING (path, a, i) WHERE long),
+ pieces_ AS (SELECT path, g AS x, 0 AS y, 0 AS z, {trim("string_agg(s, chr(10) || chr(10) ORDER BY i)")} AS text FROM pgroups_ JOIN paras_ USING (path, a, i) WHERE NOT long GROUP BY path, g
+  UNION ALL SELECT path, l.g, s.g, 0, {trim("string_agg(t.s, ' ' ORDER BY t.i)")} FROM sgroups_ s JOIN sents_ t USING (path, a, i) JOIN (SELECT path, a, g FROM longs_) l USING (path, a) WHERE NOT long GROUP BY path, l.g, s.g
+  UNION ALL SELECT path, g, b, k + 1, substr(w.s, k * {limit} + 1, {limit}) FROM (SELECT path, a, b, s, unnest(range(CAST(ceil(length(s) / {limit}) AS BIGINT))) AS k FROM wide_) w JOIN (SELECT path, a, g FROM longs_) l USING (path, a)),
+ numbered_ AS (SELECT path, row_number() OVER (PARTITION BY path ORDER BY x, y, z) - 1 AS chunk_idx, text FROM pieces_ WHERE text <> ''),
+ chunks_ AS MATERIALIZED (SELECT path || '#' || chunk_idx AS chunk_id, path, chunk_idx, coalesce(nullif(right(lag(text) OVER (PARTITION BY path ORDER BY chunk_idx), {tail}), '') || chr(10) || chr(10), '') || text AS text FROM numbered_)"""
+
+
 QUERIES_SQL = r"queries_ AS (SELECT item_id AS query_id, regexp_extract(text, '^([^.!?]*)', 1) AS query FROM benchmark)"
 SNAPSHOTS = """last_ AS (SELECT user_id, max_by({'t': event_type, 'p': props}, (ts, event_id)) AS x FROM events GROUP BY user_id),
  early_ AS (SELECT user_id, max_by({'t': event_type, 'p': props}, (ts, event_id)) AS x FROM events WHERE ts < TIMESTAMP '2024-01-16' GROUP BY user_id),

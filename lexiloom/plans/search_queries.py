@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.embed import hash_embedding
-from ..functions.text import QUESTION_WORDS, STOPWORDS, match_phrases
+from ..functions.text import match_phrases
 from ..operators import fusion, retrieval
 from . import search
-from .frames import CHUNKS, QUERIES_SQL, chunks, labelled_pages, queries, table
+from .frames import CHUNKS, PAGES, QUERIES_SQL, chunks, chunks_sql, labelled_pages, queries, table
 from .registry import query
+from .snippet_sql import snippet_sql, terms_sql
 
 #: Dimensions of the vectors that the queries of fusion and ranking fuse; search itself (q00) uses the default.
 DIMS = 64
 
 
-BM25 = CHUNKS + ", " + QUERIES_SQL + r""",
+SCORES = r""",
  tok_ AS (SELECT chunk_id, path, text, regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+') AS w FROM chunks_),
  len_ AS (SELECT chunk_id, len(w) AS dl FROM tok_), st_ AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM len_),
  post_ AS (SELECT term, chunk_id, count(*) AS tf FROM (SELECT chunk_id, unnest(w) AS term FROM tok_) GROUP BY ALL),
@@ -24,6 +25,7 @@ BM25 = CHUNKS + ", " + QUERIES_SQL + r""",
  df_ AS (SELECT query_id, phrase, count(*) AS df FROM hit_ GROUP BY ALL),
  bm_ AS (SELECT query_id, chunk_id, round(sum((CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 9) AS score FROM hit_ JOIN df_ USING (query_id, phrase) JOIN len_ USING (chunk_id), st_ GROUP BY query_id, chunk_id),
  lex_ AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM bm_ QUALIFY rank <= 30)"""
+BM25 = CHUNKS + ", " + QUERIES_SQL + SCORES
 
 
 def embedding_sql(text: str, dims: int = DIMS) -> str:
@@ -46,12 +48,6 @@ def fused_sql(vector_weight: float = 0.25) -> str:
 
 
 LISTS = BM25 + ", " + vector_sql() + ", " + fused_sql()
-STOP = ", ".join(f"'{w}'" for w in dict.fromkeys((*STOPWORDS, *QUESTION_WORDS)))
-
-
-def terms_sql(query: str) -> str:
-    return f"list_distinct(list_filter(string_split_regex(lower({query}), '[^a-z0-9_]+'), lambda w: length(w) >= 3 AND w NOT IN ({STOP})))"
-
 
 BOOST = LISTS + rf""", parts_ AS (SELECT c.*, p.path, p.text, list_filter(string_split_regex(lower(regexp_replace(p.path, '\.[A-Za-z0-9]+$', '')), '[/_.-]+'), lambda t: t <> '') AS tokens, {terms_sql("q.query || ' doc'")} AS terms
    FROM cand_ c JOIN chunks_ p USING (chunk_id) JOIN queries_ q USING (query_id)),
@@ -303,7 +299,19 @@ def _(spark, sf):
     return top.select("query_id", "rank", "path", "title", F.round("final_score", 6).alias("score"), F.array_join("retrievers", ",").alias("retrievers"), "chunk_id")
 
 
-@query("q00_hybrid_search", None)
+# The whole search in SQL: chunks, both arms at the default settings, fusion, boosts, one chunk a page, snippets.
+SEARCH = rf"""WITH RECURSIVE {PAGES}, {chunks_sql()}, {QUERIES_SQL}{SCORES}, {vector_sql(384)}, {fused_sql(0.5)},
+ parts_ AS (SELECT c.*, p.path, p.text, q.query, list_filter(string_split_regex(lower(regexp_replace(p.path, '\.[A-Za-z0-9]+$', '')), '[/_.-]+'), lambda t: t <> '') AS tokens, {terms_sql("q.query")} AS terms FROM cand_ c JOIN chunks_ p USING (chunk_id) JOIN queries_ q USING (query_id)),
+ boosted_ AS (SELECT *, round(score * (1 + CASE WHEN len(terms) > 0 THEN len(list_intersect(terms, tokens)) / len(terms) ELSE 0 END * 2), 12) AS final_score FROM parts_),
+ placed_ AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, fused_rank) AS position FROM boosted_),
+ one_ AS (SELECT * FROM placed_ QUALIFY row_number() OVER (PARTITION BY query_id, path ORDER BY position) = 1),
+ final_ AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY position) AS rank, query_id || '|' || position AS id FROM one_ QUALIFY rank <= 10),
+ asked_ AS (SELECT id, text, query FROM final_), {snippet_sql()},
+ info_ AS (SELECT path, title, '{{"lang":' || to_json(lang) || ',"source":' || to_json(source) || coalesce(',"quality":' || quality, '') || coalesce(',"toxic":' || toxic, '') || '}}' AS frontmatter FROM pages_ LEFT JOIN labels USING (doc_id))
+ SELECT query_id, rank, path, regexp_replace(title, '^\s+|\s+$', '', 'g') AS title, snippet, round(final_score, 6)::DOUBLE AS score, frontmatter, '' AS heading_path, retrievers, chunk_id FROM final_ JOIN info_ USING (path) JOIN snippets_ USING (id)"""
+
+
+@query("q00_hybrid_search", SEARCH)
 def _(spark, sf):
     """End to end: chunk, index, embed, retrieve by both arms, fuse, boost, collapse pages, show snippets."""
     pages = labelled_pages(spark, sf).select("path", "title", "frontmatter", F.col("text").alias("plain"))

@@ -10,10 +10,10 @@ from ..functions.snippet import around_terms, head, snippet
 from ..operators import chunking
 from ..sources import files, markdown, questions
 from ..storage import hadoop_path, new_folder
-from .frames import CHUNKS, PAGES, chunks, pages, table
+from .frames import CHUNKS, PAGES, chunks, chunks_sql, pages, table
 from .registry import query
+from .snippet_sql import STOP, around_sql, head_sql, plain_pattern, snippet_sql, squash_ends
 
-STOP = ", ".join(f"'{w}'" for w in dict.fromkeys((*T.STOPWORDS, *T.QUESTION_WORDS)))
 TERMS = ("thing", "tion", "rean", "und", "los", "eau")
 QUESTION = "How many things happened in what year?"
 SQUASH = r"regexp_replace(regexp_replace({0}, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g')"
@@ -106,20 +106,35 @@ def _(spark, sf):
     return pages(spark, sf).select("path", markdown.format_of(F.col("path"), ["csv", "md"]).alias("format"))
 
 
-@query("s07_frontmatter", None)
+def escaped(text):
+    """Text as Markdown that means just that: marks escaped."""
+    return F.regexp_replace(text, r"([!-/:-@\[-`{-~])", r"\\$1")
+
+
+def lines_of(text):
+    """Lines that aren't blank, without the white space around them."""
+    return F.filter(F.transform(F.split(text, "\n"), T.strip), lambda x: x != "")
+
+
+LINES = r"list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')"
+
+
+@query("s07_frontmatter", f"WITH {PAGES}, l_ AS (SELECT path, {squash_sql('title')} AS title, lang, source, {LINES} AS l FROM pages_) SELECT path, '{{\"title\": ' || to_json(title) || ', \"tags\": [\"a\", ' || to_json(lang) || '], \"at\": {{\"source\": ' || to_json(source) || '}}, \"note\": ' || to_json(title || chr(10) || '  x' || chr(10)) || '}}' AS frontmatter, length('# ' || title) + CAST(coalesce(list_sum(list_transform(l, lambda x: 2 + length(x))), 0) AS BIGINT) AS chars, CAST(NULL AS VARCHAR) AS error FROM l_")
 def _(spark, sf):
-    """Pages written as Markdown with frontmatter, and parsed again."""
-    p = pages(spark, sf)
-    raw = F.concat(F.lit("---\ntitle: '"), F.replace("title", F.lit("'"), F.lit("''")), F.lit("'\ntags: [a, "), "lang", F.lit("]\nsource: "), "source", F.lit("\n---\n# "), "title", F.lit("\n\n"), "text")
+    """Pages written as Markdown with frontmatter, a paragraph a line, and parsed again."""
+    p = pages(spark, sf).withColumn("title", T.squash(F.col("title")))
+    quoted = F.concat(F.lit("'"), F.replace("title", F.lit("'"), F.lit("''")), F.lit("'"))
+    block = F.concat(F.lit("---\ntitle: "), quoted, F.lit("\ntags: [a, "), "lang", F.lit("]\nat:\n  source: "), "source", F.lit("\nnote: |\n    "), "title", F.lit("\n      x\n---\n# "))
+    raw = F.concat(block, escaped(F.col("title")), F.lit("\n\n"), F.array_join(F.transform(lines_of(F.col("text")), escaped), "\n\n"))
     return markdown.parse_pages(p.select("path", raw.alias("text"))).select("path", "frontmatter", F.length("plain").alias("chars"), "error")
 
 
-@query("s08_flatten_blocks", None)
+@query("s08_flatten_blocks", f"WITH {PAGES}, l_ AS (SELECT path, {LINES} AS l FROM pages_), t_ AS (SELECT path, coalesce(array_to_string(l, chr(10)), '') AS t FROM l_) SELECT path, sha256('# Top' || chr(10) || chr(10) || CASE WHEN t <> '' THEN t || chr(10) || chr(10) ELSE '' END || '    # code' || CASE WHEN t <> '' THEN chr(10) || chr(10) || t ELSE '' END) AS plain_sha256 FROM t_")
 def _(spark, sf):
-    """Pages as Markdown blocks, flattened to plain text."""
-    p = pages(spark, sf)
-    raw = F.concat(F.lit("# Top\n\n> "), F.replace("text", F.lit("\n"), F.lit("\n> ")), F.lit("\n\n```\n# code\n```\n\n- "), F.replace("text", F.lit("\n"), F.lit("\n- ")))
-    return markdown.parse_pages(p.select("path", raw.alias("text"))).select("path", F.sha2(F.col("plain").cast("binary"), 256).alias("plain_sha256"))
+    """Pages as a quote and as a list around code, flattened to plain text."""
+    lines = F.transform(lines_of(F.col("text")), escaped)
+    raw = F.concat(F.lit("# Top\n\n> "), F.array_join(lines, "\n> "), F.lit("\n\n```\n# code\n```\n\n- "), F.array_join(lines, "\n- "))
+    return markdown.parse_pages(pages(spark, sf).select("path", raw.alias("text"))).select("path", F.sha2(F.col("plain").cast("binary"), 256).alias("plain_sha256"))
 
 
 @query("s11_normalise_markdown", f"""WITH {PAGES} SELECT path, regexp_replace(regexp_replace(list_aggregate(list_filter(list_transform(string_split(text, chr(10)), lambda l: 'x' || regexp_replace(l, '^\\s+|\\s+$', '', 'g') || ' | ' || 'y'), lambda l: l <> ''), 'string_agg', chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS plain FROM pages_""")
@@ -197,22 +212,20 @@ def _(spark, sf):
 
 @query(
     "f05_intent_bonus",
-    rf"""WITH {CHUNKS} SELECT chunk_id, CASE WHEN regexp_matches(text, '(?i)\b\d{{1,4}}\s*(?:BCE?|CE|AD|A\.D\.|B\.C\.|century|centuries)\b|\b\d{{3,4}}\b') THEN 2 ELSE 0 END AS year,
- CASE WHEN regexp_matches(text, '\b(?:in|at|near|from|of)\s+[A-Z][a-z]+') THEN 2 ELSE 0 END AS place, CASE WHEN regexp_matches(text, '\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+\b') THEN 2 ELSE 0 END AS person,
- CASE WHEN regexp_matches(text, '\b\d+(?:,\d{{3}})*(?:\.\d+)?\b') THEN 2 ELSE 0 END AS number FROM chunks_""",
+    f"WITH {CHUNKS} SELECT chunk_id, " + ", ".join(f"CASE WHEN regexp_matches(text, '{plain_pattern(p)}') THEN 2 ELSE 0 END AS {n}" for n, p in (("year", T.YEAR), ("place", T.PLACE), ("person", T.PERSON), ("number", T.NUMBER))) + " FROM chunks_",
 )
 def _(spark, sf):
     kinds = {"year": "when", "place": "where", "person": "who", "number": "count"}
     return chunks(spark, sf).select("chunk_id", *[T.intent_bonus(F.col("text"), F.lit(k)).alias(n) for n, k in kinds.items()])
 
 
-@query("f06_snippet", None)
+@query("f06_snippet", f"WITH RECURSIVE {PAGES}, asked_ AS (SELECT path AS id, text, 'when did thing tion rean happen' AS query FROM pages_), {snippet_sql()} SELECT id AS path, snippet FROM snippets_")
 def _(spark, sf):
     p = pages(spark, sf)
     return p.select("path", snippet(F.col("text"), F.lit("when did thing tion rean happen")).alias("snippet"))
 
 
-@query("f07_window_around_terms", None)
+@query("f07_window_around_terms", f"WITH {PAGES}, windows_in_ AS (SELECT path AS id, replace(text, chr(10), ' ') AS t, [{', '.join(repr(t) for t in TERMS)}] AS terms, false AS inside FROM pages_), {around_sql(120)} SELECT id AS path, shown AS window FROM around_")
 def _(spark, sf):
     @F.pandas_udf("string")
     def window(text):
@@ -221,7 +234,7 @@ def _(spark, sf):
     return pages(spark, sf).select("path", window("text").alias("window"))
 
 
-@query("f08_snippet_fallback", None)
+@query("f08_snippet_fallback", f"WITH {PAGES} SELECT path, {head_sql(squash_ends('text'), 280)} AS head FROM pages_")
 def _(spark, sf):
     @F.pandas_udf("string")
     def first(text):
@@ -234,7 +247,7 @@ ANSWER_SQL = " + ".join(f"CAST(regexp_matches(lower(s), '\\b{t}') AS INT)" for t
 
 
 @query("f09_answer", rf"""WITH {PAGES}, s AS (SELECT path, unnest(range(len(l))) AS i, unnest(l) AS s FROM (SELECT path, {SENTENCES.format('text')} AS l FROM pages_)),
- g AS (SELECT path, i, s, {ANSWER_SQL} + CASE WHEN regexp_matches(s, '\b\d+(?:,\d{{3}})*(?:\.\d+)?\b') THEN 2 ELSE 0 END AS score FROM s),
+ g AS (SELECT path, i, s, {ANSWER_SQL} + CASE WHEN regexp_matches(s, '{plain_pattern(T.NUMBER)}') THEN 2 ELSE 0 END AS score FROM s),
  b AS (SELECT path, max_by(s, (score, -i)) AS answer, max(score) AS best FROM g GROUP BY path) SELECT p.path, CASE WHEN best >= 1 THEN answer END AS answer FROM pages_ p LEFT JOIN b USING (path)""")
 def _(spark, sf):
     return pages(spark, sf).select("path", T.best_answer(F.col("text"), F.lit(QUESTION)).alias("answer"))
@@ -307,7 +320,7 @@ def _(spark, sf):
     return out.select("path", "section", F.array_join("heading_path", " > ").alias("heading_path"), F.length("text").alias("chars"))
 
 
-@query("t02_t03_chunks", None)
+@query("t02_t03_chunks", f"WITH RECURSIVE {PAGES}, {chunks_sql(100)} SELECT chunk_id, path, chunk_idx, text FROM chunks_")
 def _(spark, sf):
     """Chunks of 100 tokens of all documents: sections, recursive split, packing and overlap."""
     return chunking.chunk(pages(spark, sf).select("path", F.col("text").alias("plain")), size=100).select("chunk_id", "path", "chunk_idx", "text")

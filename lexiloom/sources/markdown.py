@@ -18,6 +18,7 @@ FORMATS = {
     "docx": (".docx", ".docm"), "doc": (".doc",), "pptx": (".ppt", ".pptx", ".pptm", ".pps", ".ppsx", ".ppsm", ".pot"), "xlsx": (".xls", ".xlsx", ".xlsm", ".xlsb"),
     "odt": (".odt",), "ods": (".ods",), "odp": (".odp",), "rtf": (".rtf",), "epub": (".epub",), "csv": (".csv",), "pdf": (".pdf",),
 }
+# Keys that are never taken over.
 UNSAFE_KEYS = ("__proto__", "constructor", "prototype")
 
 
@@ -38,28 +39,87 @@ def split_frontmatter(text: Column) -> tuple[Column, Column]:
 
 
 def parse_yaml(block: str) -> dict:
-    """The part of YAML that frontmatter uses: scalars, quoted strings, lists in either style, one level of nesting."""
-    out: dict = {}
-    key = None
-    for n, line in enumerate(block.splitlines(), 1):
-        if not line.strip() or line.lstrip().startswith("#"):
-            continue
-        if m := re.match(r"\s+-\s+(.*)$|-\s+(.*)$", line):
-            if key is None or not isinstance(out[key], list | type(None)):
-                raise ValueError(f"frontmatter line {n}: list item without a key")
-            out[key] = [*(out[key] or []), _scalar(m[1] if m[1] is not None else m[2], n)]
-        elif (m := re.match(r"\s+([^:\s][^:]*):(?:\s+(.*))?$", line)) and key is not None:
-            if not isinstance(out[key], dict | type(None)):
-                raise ValueError(f"frontmatter line {n}: unexpected indentation")
-            out[key] = {**(out[key] or {}), m[1].strip(): _scalar(m[2] or "", n)}
-        elif m := re.match(r"([^:\s][^:]*):(?:\s+(.*))?$", line):
-            key = m[1].strip().strip("'\"")
-            out[key] = _scalar(m[2] or "", n)
-        else:
-            raise ValueError(f"frontmatter line {n}: not a key and a value")
+    """The YAML that frontmatter uses: nested mappings and lists, quoted and block scalars, inline lists and mappings."""
+    lines = block.expandtabs(4).splitlines()
+    at = _content(lines, 0)
+    if at == len(lines):
+        return {}
+    out, at = _node(lines, at, _indent(lines[at]))
+    if at < len(lines):
+        raise ValueError(f"frontmatter line {at + 1}: unexpected indentation")
+    if not isinstance(out, dict):
+        raise ValueError(f"frontmatter line {at}: not a key and a value")
     return {k: v for k, v in out.items() if k not in UNSAFE_KEYS}
 
 
+def _indent(line: str) -> int:
+    return len(line) - len(line.lstrip(" "))
+
+
+def _content(lines: list[str], at: int) -> int:
+    """The next line that is neither blank nor a comment."""
+    while at < len(lines) and (not lines[at].strip() or lines[at].lstrip().startswith("#")):
+        at += 1
+    return at
+
+
+def _node(lines: list[str], at: int, indent: int):
+    """(value, next line) of the mapping or list whose entries stand at ``indent``."""
+    is_list = bool(re.match(r" *-(?: |$)", lines[at]))
+    out: dict | list = [] if is_list else {}
+    while at < len(lines) and _indent(lines[at]) == indent and bool(re.match(r" *-(?: |$)", lines[at])) == is_list:
+        text = lines[at].strip()
+        if is_list:
+            rest = text[1:].lstrip()
+            if re.match(_KEY, rest) and rest[0] not in "[{":  # a mapping that starts beside the dash
+                lines = [*lines[:at], " " * (indent + len(text) - len(rest)) + rest, *lines[at + 1 :]]
+                value, at = _node(lines, at, indent + len(text) - len(rest))
+            else:
+                value, at = _value(lines, at, indent, rest)
+            out.append(value)
+        else:
+            found = re.match(_KEY, text)
+            if not found:
+                raise ValueError(f"frontmatter line {at + 1}: not a key and a value")
+            key = found[1].strip()
+            value, at = _value(lines, at, indent, (found[2] or "").strip())
+            out[key[1:-1] if len(key) > 1 and key[0] in "'\"" and key[-1] == key[0] else key] = value
+        at = _content(lines, at)
+    if at < len(lines) and _indent(lines[at]) > indent:
+        raise ValueError(f"frontmatter line {at + 1}: unexpected indentation")
+    return out, at
+
+
+_KEY = r"(\"[^\"]*\"|'[^']*'|[^:\s\"'][^:]*):(?:\s+(.*))?$"
+
+
+def _value(lines: list[str], at: int, indent: int, rest: str):
+    """(value, next line) of an entry: beside its key or dash, or below it."""
+    if mark := re.match(r"([|>])([-+]?)\s*$", rest):
+        return _block_scalar(lines, at + 1, indent, mark[1], mark[2])
+    if rest and not rest.startswith("#"):
+        return _scalar(rest, at + 1), at + 1
+    below = _content(lines, at + 1)
+    if below < len(lines) and (_indent(lines[below]) > indent or (_indent(lines[below]) == indent and lines[at].strip()[0] != "-" and re.match(r" *-(?: |$)", lines[below]))):
+        return _node(lines, below, _indent(lines[below]))
+    return None, at + 1
+
+
+def _block_scalar(lines: list[str], at: int, indent: int, mark: str, tail: str):
+    """Lines as they stand (``|``), or folded into one but for blank lines (``>``); ``-`` drops the line end, ``+`` keeps all."""
+    end = at
+    while end < len(lines) and (not lines[end].strip() or _indent(lines[end]) > indent):
+        end += 1
+    own = lines[at:end]
+    deep = min((_indent(x) for x in own if x.strip()), default=0)
+    own = [x[deep:].rstrip() if x.strip() else "" for x in own]
+    text = "\n".join(own).rstrip("\n")
+    if mark == ">":
+        text = re.sub(r"(?<!\n)\n(?!\n)", " ", text).replace("\n\n", "\n")
+    kept = len(own) - len("\n".join(own).rstrip("\n").split("\n")) if text else 0
+    return text + ("" if tail == "-" or not text else "\n" * (1 + kept) if tail == "+" else "\n"), end
+
+
 def _scalar(raw: str, n: int):
     raw = re.sub(r"\s+#.*$", "", raw).strip() if not raw.strip()[:1] in "'\"" else raw.strip()
     if raw in ("", "~", "null"):
@@ -68,10 +128,17 @@ def _scalar(raw: str, n: int):
         if len(raw) < 2 or raw[-1] != raw[0]:
             raise ValueError(f"frontmatter line {n}: unclosed quote")
         return json.loads(raw) if raw[0] == '"' else raw[1:-1].replace("''", "'")
-    if raw[0] == "[":
-        if raw[-1] != "]":
-            raise ValueError(f"frontmatter line {n}: unclosed list")
-        return [_scalar(x, n) for x in re.findall(r"\"(?:[^\"\\]|\\.)*\"|'[^']*'|[^,\s][^,]*", raw[1:-1])]
+    if raw[0] in "[{":
+        kind, close = ("list", "]") if raw[0] == "[" else ("mapping", "}")
+        if raw[-1] != close:
+            raise ValueError(f"frontmatter line {n}: unclosed {kind}")
+        parts = [x.strip() for x in _inline_parts(raw[1:-1])]
+        if kind == "list":
+            return [_scalar(x, n) for x in parts if x]
+        pairs = [re.match(_KEY, x if ":" in x else f"{x}:") for x in parts if x]
+        if not all(pairs):
+            raise ValueError(f"frontmatter line {n}: not a key and a value")
+        return {m[1].strip().strip("'\""): _scalar(m[2] or "", n) for m in pairs}
     if raw in ("true", "false"):
         return raw == "true"
     if re.fullmatch(r"[-+]?\d+", raw):
@@ -81,6 +148,24 @@ def _scalar(raw: str, n: int):
     return raw
 
 
+def _inline_parts(text: str) -> list[str]:
+    """Parts between commas that stand in no quote, list or mapping."""
+    out, start, depth, quote = [], 0, 0, ""
+    for i, c in enumerate(text):
+        if quote:
+            quote = "" if c == quote and not (quote == '"' and text[i - 1] == "\\") else quote
+        elif c in "'\"":
+            quote = c
+        elif c in "[{":
+            depth += 1
+        elif c in "]}":
+            depth -= 1
+        elif c == "," and not depth:
+            out.append(text[start:i])
+            start = i + 1
+    return [*out, text[start:]]
+
+
 def _inline(text: str) -> str:
     text = re.sub(r"!\[([^\]]*)\]\([^)]*\)", r"\1", text)
     text = re.sub(r"\[([^\]]*)\](?:\([^)]*\)|\[[^\]]*\])", r"\1", text)
@@ -158,7 +243,7 @@ def parse_pages(files: DataFrame) -> DataFrame:
         rows = []
         for block, body in zip(blocks, bodies, strict=True):
             try:
-                rows.append((json.dumps(parse_yaml(block or "")), flatten(body or ""), None))
+                rows.append((json.dumps(parse_yaml(block or ""), ensure_ascii=False), flatten(body or ""), None))
             except ValueError as error:
                 rows.append((None, None, str(error)))
         return pd.DataFrame(rows, columns=["frontmatter", "plain", "error"])
