@@ -34,7 +34,7 @@ STATISTICS = (
 )
 #: Training uses at most so many labelled rows, the ones of smallest hash; the model is small and more rows don't change it.
 MAX_TRAIN_ROWS = 100_000
-TRAIN_PARTITIONS = 16
+TRAIN_PARTITIONS = 4
 _MARKS = re.compile(rb"[#$%&*!|]+$")
 
 
