@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Mapping
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field, fields
 
 from .operators.fusion import check_limit, check_weight
 
@@ -22,7 +23,7 @@ class Settings:
     per_retriever: int = 30
     candidates: int = 30
     final: int = 10
-    rrf_k: float = 10
+    rrf_k: float = 10.0
     path_boost: float = 2.0
     heading_boost: float = 1.0
     dedup_by_page: bool = True
@@ -39,15 +40,37 @@ class Settings:
             raise ValueError("chunk_overlap must be between 0 and 0.5")
 
 
-def load_settings(env: Mapping[str, str] | None = None, **given) -> Settings:
-    """Given values over LEXILOOM_CONTENT and LEXILOOM_FORMATS over the defaults."""
+def read_env(text: str) -> dict[str, str]:
+    """KEY=value lines of an env file; quotes around a value go, comments and other lines are skipped."""
+    pairs = (line.strip().removeprefix("export ").partition("=") for line in text.splitlines() if "=" in line and not line.lstrip().startswith("#"))
+    return {k.strip(): v.strip()[1:-1] if len(v.strip()) > 1 and v.strip()[0] in "'\"" and v.strip()[-1] == v.strip()[0] else v.strip() for k, _, v in pairs}
+
+
+def _typed(name: str, raw, default):
+    """A setting from text or JSON, in the type of its default."""
+    try:
+        if isinstance(default, bool):
+            return raw if isinstance(raw, bool) else {"true": True, "1": True, "false": False, "0": False}[raw.strip().lower()]
+        if isinstance(default, tuple):
+            return tuple(x.strip() for x in raw.split(",") if x.strip()) if isinstance(raw, str) else tuple(raw)
+        return type(default)(raw)
+    except (ValueError, KeyError, TypeError):
+        raise ValueError(f"{name}: not a {type(default).__name__}: {raw!r}") from None
+
+
+def load_settings(env: Mapping[str, str] | None = None, file: str | None = None, **given) -> Settings:
+    """Given values over LEXILOOM_<NAME> variables over a JSON ``file`` of settings over the defaults; unknown names in the file are an error."""
     env = os.environ if env is None else env
-    out = Settings()
-    if env.get("LEXILOOM_CONTENT"):
-        out = replace(out, content=env["LEXILOOM_CONTENT"])
-    if env.get("LEXILOOM_FORMATS"):
-        out = replace(out, formats=tuple(x.strip() for x in env["LEXILOOM_FORMATS"].split(",")))
-    return replace(out, **given)
+    defaults = {f.name: getattr(Settings(), f.name) for f in fields(Settings) if f.name != "extra"}
+    found: dict = {}
+    if file:
+        with open(file, encoding="utf-8") as f:
+            held = json.load(f)
+        if unknown := sorted(set(held) - set(defaults)):
+            raise ValueError(f"unknown settings: {', '.join(unknown)}")
+        found |= {k: _typed(k, v, defaults[k]) for k, v in held.items()}
+    found |= {k: _typed(k, env[f"LEXILOOM_{k.upper()}"], v) for k, v in defaults.items() if env.get(f"LEXILOOM_{k.upper()}")}
+    return Settings(**(found | given))
 
 
 def capabilities() -> dict:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from .text import NUMBER, PERSON, PLACE, QUESTION_WORDS, STOPWORDS, YEAR
 
-CAP = 280
+# The length of a snippet, and how far before a term it starts and looks for a space.
+CAP, LEAD, LOOK = 280, 30, 40
 _BREAK = re.compile(r"(?<=[.!?])\s+(?=[A-Z])|\n{2,}")
 _NOT_WORD = re.compile("[^a-z0-9_]")
 _SIGNS = {"when": re.compile(YEAR), "where": re.compile(PLACE), "who": re.compile(PERSON), "count": re.compile(NUMBER)}
@@ -67,9 +68,9 @@ def around_terms(text: str, terms: list[str], cap: int, inside: bool) -> str:
             last += 1
         if last - at.index(p, 0, i + 1) > most:
             best, most = p, last - at.index(p, 0, i + 1)
-    start = max(0, best - 30)
+    start = max(0, best - LEAD)
     end = min(len(text), start + cap)
-    if start and (space := text.find(" ", start)) != -1 and space < start + 40:
+    if start and (space := text.find(" ", start)) != -1 and space < start + LOOK:
         start = space + 1
     if end < len(text) and (space := text.rfind(" ", 0, end + 1)) > start:
         end = space

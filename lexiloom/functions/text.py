@@ -6,6 +6,7 @@ stands before. Null inputs give null unless said otherwise.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 from pyspark.sql import Column
@@ -98,7 +99,7 @@ def highlight(text: Column, terms: list[str], before: str = "**", after: str = "
     """Words that start with one of the terms, marked, their case kept."""
     if not terms:
         return text
-    return F.regexp_replace(text, rf"(?i)(?<![A-Za-z0-9_])(?:{'|'.join(terms)})[a-z0-9_]*", f"{before}$0{after}")
+    return F.regexp_replace(text, rf"(?i)(?<![A-Za-z0-9_])(?:{'|'.join(map(re.escape, terms))})[a-z0-9_]*", f"{before}$0{after}")
 
 
 def estimate_tokens(text: Column) -> Column:

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from lexiloom import config
 from lexiloom.config import Settings, capabilities, load_settings
 from lexiloom.functions import text as T
 from lexiloom.functions.embed import chunk_size_for, embed_with, hash_embedding
@@ -137,6 +138,67 @@ def test_bm25_and_vectors_find_the_page(spark):
     assert retrieval.nearest(asked.where("false").select("query_id", F.array(F.lit(0.0)).alias("embedding")), vectors, 1).count() == 0
 
 
+def test_bm25_of_runs_and_repeats_equals_the_formula(spark):
+    import math
+    import re
+
+    texts = {"a": "a-a a a b", "b": "x well-known fact", "c": "well known well-known well", "d": "", "e": "b b"}
+    chunks = spark.createDataFrame(list(texts.items()), "chunk_id string, text string")
+    asked = spark.createDataFrame([(1, "well-known b"), (2, "a-a b b"), (3, "nothing")], "query_id int, query string")
+    words = {c: re.findall("[a-z]+", t) for c, t in texts.items()}
+    mean = sum(map(len, words.values())) / len(words)
+
+    def score(query):
+        out = {}
+        for unit in ([u for u in re.findall("[a-z]+", w)] for w in query.split()):
+            tf = {c: sum(w[i : i + len(unit)] == unit for i in range(len(w))) for c, w in words.items()}
+            df = sum(n > 0 for n in tf.values())
+            idf = max(math.log((len(words) - df + 0.5) / (df + 0.5)), 0) or 1e-6
+            for c, n in tf.items():
+                if n:
+                    out[c] = out.get(c, 0) + idf * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(words[c]) / mean))
+        return {c: round(s, 9) for c, s in out.items()}
+
+    expected = {(q, c): s for q, text in ((1, "well-known b"), (2, "a-a b b"), (3, "nothing")) for c, s in score(text).items()}
+    for index in (None, retrieval.postings(chunks)):
+        assert {(r.query_id, r.chunk_id): r.score for r in retrieval.bm25_scores(asked, chunks, index).collect()} == pytest.approx(expected)
+
+
+def test_nearest_equals_brute_force(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    x = rng.integers(-2, 3, (300, 6)).astype(float)  # many ties
+    vectors = spark.createDataFrame([(f"c{i:03}", v) for i, v in enumerate(x.tolist())], "chunk_id string, embedding array<double>")
+    asked = spark.createDataFrame([(i, x[i].tolist()) for i in range(20)], "query_id int, embedding array<double>")
+    expected = {(q, f"c{i:03}", r + 1) for q in range(20) for r, i in enumerate(np.lexsort((np.arange(300), np.round(np.sqrt(((x - x[q]) ** 2).sum(1)), 9)))[:7])}
+    found = retrieval.nearest(asked, vectors, 7, query_block=8, slice_rows=90)
+    assert {(r.query_id, r.chunk_id, r["rank"]) for r in found.collect()} == expected
+
+
+def test_settings_come_from_file_and_environment(tmp_path):
+    (tmp_path / "s.json").write_text('{"final": 5, "formats": ["md", "csv"], "dedup_by_page": false}')
+    env = config.read_env("# c\nexport LEXILOOM_FINAL='7'\nLEXILOOM_RRF_K=2.5\nLEXILOOM_LEXICAL_TIE_BREAK=1\nodd line\n")
+    got = load_settings(env, str(tmp_path / "s.json"), candidates=40)
+    assert (got.final, got.formats, got.dedup_by_page, got.rrf_k, got.lexical_tie_break, got.candidates) == (7, ("md", "csv"), False, 2.5, True, 40)
+    for bad in ({"LEXILOOM_FINAL": "many"}, {"LEXILOOM_DEDUP_BY_PAGE": "perhaps"}, {"LEXILOOM_FINAL": "0"}):
+        with pytest.raises(ValueError):
+            load_settings(bad)
+    (tmp_path / "s.json").write_text('{"finale": 5}')
+    with pytest.raises(ValueError):
+        load_settings({}, str(tmp_path / "s.json"))
+
+
+def test_nested_frontmatter_and_block_scalars():
+    text = "owner:\n  name: Ann\n  at:\n    city: X # c\n    list:\n      - 1\n      - k: v\n        w: {a: 1, b: [x, 'y, z']}\ntags:\n- a\n-\n  - n\nbody: |\n  line\n    more\n\n  last\nfold: >-\n  a\n  b\n\n  c\nnone:\n__proto__: x\n"
+    assert markdown.parse_yaml(text) == {
+        "owner": {"name": "Ann", "at": {"city": "X", "list": [1, {"k": "v", "w": {"a": 1, "b": ["x", "y, z"]}}]}}, "tags": ["a", ["n"]], "body": "line\n  more\n\nlast\n", "fold": "a b\nc", "none": None,
+    }
+    for bad in ("tags: [a", "just text", "a: 1\n   b: 2", "a: 'x", "- a\n- b", "m: {a"):
+        with pytest.raises(ValueError, match="frontmatter line"):
+            markdown.parse_yaml(bad)
+
+
 def test_hash_embedding_is_a_unit_vector(spark):
     import hashlib
 
@@ -196,6 +258,9 @@ def test_health_of_one_page(spark):
     got = {(r.check, r.path) for r in found.collect()}
     assert got == {("not-indexed", "new.md"), ("unfindable", "c.md"), ("duplicate-body", "a.md"), ("duplicate-body", "b.md"), ("duplicate-title", "a.md"), ("duplicate-title", "b.md"), ("no-structure", "a.md"), ("thin-page", "a.md"), ("no-frontmatter", "a.md"), ("no-h1", "a.md"), ("title-mismatch", "b.md")}
     assert {r.severity: r.n for r in health.severity_counts(found).collect()} == {"error": 4, "warn": 3, "info": 4}
+    assert {r.check: r.hint for r in found.collect()} == {c: health.HINTS[c] for c in {r.check for r in found.collect()}}
+    assert {(r.check, r.key, r.path) for r in health.duplicate_members(facts).collect()} == {("duplicate-body", "s", "a.md"), ("duplicate-body", "s", "b.md"), ("duplicate-title", "guide", "a.md"), ("duplicate-title", "guide", "b.md")}
+    assert health.failed(found).first().failed and not health.failed(found, strict=False).first().failed and not health.failed(found.where("severity = 'info'")).first().failed
 
 
 def test_attributes_filters_and_pages(spark):
