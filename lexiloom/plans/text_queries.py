@@ -161,8 +161,7 @@ def _(spark, sf):
 @query("s14_repeated_headings", f"WITH {PAGES} SELECT path, '# ' || title || chr(10) || chr(10) || 'end' AS plain FROM pages_")
 def _(spark, sf):
     twice = F.concat(F.lit("# "), "title", F.lit("\n\n# "), "title", F.lit("\n\nend"))
-    lines = markdown.drop_repeated_headings(F.split(twice, "\n"))
-    return pages(spark, sf).select("path", F.regexp_replace(F.array_join(lines, "\n"), r"\n{3,}", "\n\n").alias("plain"))
+    return pages(spark, sf).select("path", F.regexp_replace(markdown.drop_repeated_headings(twice), r"\n{3,}", "\n\n").alias("plain"))
 
 
 @query("s15_heading_title", f"WITH {CHUNKS} SELECT chunk_id, substr({squash_sql('text')}, 1, 300) AS title FROM chunks_")

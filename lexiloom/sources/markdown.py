@@ -263,11 +263,13 @@ def neutral(text: Column) -> Column:
     return F.regexp_replace(text, r"^(\s*)(#{1,6}\s)", r"$1\\$2")
 
 
-def normal_lines(lines: Column) -> Column:
-    """Lines of converter Markdown as plain lines: fences stay, table rules and empty rows go, list and quote marks are stripped."""
+_FENCE = r"(?m)^[^\S\n]*(?:```|~~~)[^\n]*$"
 
-    def one(raw: Column) -> Column:
-        line = F.regexp_replace(raw, r"\r\z", "")
+
+def normal_blocks(text: Column) -> Column:
+    """Converter Markdown as plain lines: fences stay, table rules and empty rows go, list and quote marks are stripped."""
+
+    def one(line: Column) -> Column:
         bare = strip(line)
         cells = table_cells(bare)
         item = r"\A\s*(?:[-*+]|\d+[.)])\s+(?:\[[ xX]\]\s+)?"
@@ -280,35 +282,36 @@ def normal_lines(lines: Column) -> Column:
             .otherwise(line)
         )
 
-    start = F.struct(F.lit(False).alias("fenced"), F.array().cast("array<string>").alias("out"))
+    def part(segment: Column, i: Column) -> Column:
+        return F.when(i % 2 == 1, segment).otherwise(F.array_join(F.array_compact(F.transform(F.split(segment, "\n"), one)), "\n"))
 
-    def step(state: Column, raw: Column) -> Column:
-        line = F.regexp_replace(raw, r"\r\z", "")
-        mark = line.rlike(r"\A\s*(?:```|~~~)")
-        kept = F.when(mark | state["fenced"], line).otherwise(one(raw))
-        return F.struct((state["fenced"] != mark).alias("fenced"), F.when(kept.isNull(), state["out"]).otherwise(F.concat(state["out"], F.array(kept))).alias("out"))
+    # What stands between fence lines is outside and inside of a fence in turn.
+    text = F.regexp_replace(text, r"\r(?=\n|\z)", "")
+    return F.array_join(F.flatten(F.zip_with(F.transform(F.split(text, _FENCE), part), F.regexp_extract_all(text, F.lit(_FENCE), F.lit(0)), lambda x, fence: F.array(x, F.coalesce(fence, F.lit(""))))), "")
 
-    return F.aggregate(lines, start, step)["out"]
 
+def drop_repeated_headings(text: Column) -> Column:
+    """Text without a heading that repeats the one before it with only blanks between."""
+    # Lines that aren't blank, each with the line ends and blanks before it; what follows the last one is left.
+    filled = r"(?:[^\S\n]*\n)*[^\S\n]*\S[^\n]*"
+    pieces = F.regexp_extract_all(text, F.lit(filled), F.lit(0))
 
-def drop_repeated_headings(lines: Column) -> Column:
-    """Lines without a heading that repeats the one before it with only blanks between."""
-    start = F.struct(F.lit("").alias("last"), F.array().cast("array<string>").alias("out"))
+    def without_repeats(own: Column) -> Column:
+        def kept(piece: Column, i: Column) -> Column:
+            bare, before = strip(piece), strip(F.get(own, i - 1))
+            repeats = bare.rlike(r"\A#{1,6}\s+") & (bare == before)
+            return F.when((i > 0) & repeats, F.regexp_replace(piece, r"\n[^\n]*\z", "")).otherwise(piece)
 
-    def step(state: Column, line: Column) -> Column:
-        bare = strip(line)
-        heading = bare.rlike(r"\A#{1,6}\s+")
-        repeat = heading & (bare == state["last"])
-        last = F.when(heading, bare).when(bare == "", state["last"]).otherwise("")
-        return F.struct(last.alias("last"), F.when(repeat, state["out"]).otherwise(F.concat(state["out"], F.array(line))).alias("out"))
+        return F.array_join(F.transform(own, kept), "")
 
-    return F.aggregate(lines, start, step)["out"]
+    tail = F.regexp_extract(text, r"(\s*)\z", 1)
+    # an array of one, so that the pieces are found once and not for each of them
+    return F.concat(F.transform(F.array(pieces), without_repeats)[0], tail)
 
 
 def normal_markdown(text: Column) -> Column:
     squeeze = lambda t: strip(F.regexp_replace(t, r"\n{3,}", "\n\n"))
-    lines = squeeze(F.array_join(normal_lines(F.split(text, "\n")), "\n"))
-    return squeeze(F.array_join(drop_repeated_headings(F.split(lines, "\n")), "\n"))
+    return squeeze(drop_repeated_headings(squeeze(normal_blocks(text))))
 
 
 def converted_pages(files: DataFrame, convert: Callable[[bytes], str]) -> DataFrame:

@@ -298,6 +298,22 @@ def test_markdown_parsing(spark):
     assert one(spark, markdown.normal_markdown(F.col("t")), t=md) == "a | b\n\\# x | y | z\nitem\ntwo\nq\n```\n| raw |\n```\n\n# H\n\nend"
 
 
+@pytest.mark.parametrize(
+    ("text", "plain"),
+    [
+        ("# A\n# A\nx", "# A\nx"), ("# A\n\n# A\nx", "# A\n\nx"), ("# A\n \n# A\n\n# A \nx\n# A", "# A\n \n\nx\n# A"), ("x\n\n", "x\n\n"), ("", ""), ("# A\n## A\n# A", "# A\n## A\n# A"),
+    ],
+)
+def test_repeated_headings_go(spark, text, plain):
+    assert one(spark, markdown.drop_repeated_headings(F.col("t")), t=text) == plain
+
+
+def test_fences_stay_as_they_are(spark):
+    md = "- a\r\n```\n- raw\n| --- |\n```\n- b\n~~~ x\n> raw\n\n- open"
+    assert one(spark, markdown.normal_blocks(F.col("t")), t=md) == "a\n```\n- raw\n| --- |\n```\nb\n~~~ x\n> raw\n\n- open"
+    assert one(spark, F.length(markdown.normal_markdown(F.repeat(F.lit("- line\n# h\n"), 30_000))), t="") > 100_000
+
+
 def test_converted_and_csv_pages(spark, tmp_path):
     (tmp_path / "s.csv").write_text('service,tier\napi,"1, high"\n')
     assert markdown.csv_pages(spark, str(tmp_path)).first().plain == "service | tier\napi | 1, high"
