@@ -1,10 +1,8 @@
-"""Shared helpers of the training-data operators: reading tables, the shared folder, stored cuts."""
+"""Shared helpers of the training-data operators: reading tables, joins with hot keys, Arrow batches."""
 
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,52 +10,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import forget, hadoop_path, new_folder, shared_dir, stored
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Only a local session that names none (tests) gets a temporary folder; on a cluster that is an error.
-    """
-    context = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = tempfile.mkdtemp(prefix="lexiloom-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+__all__ = ["HEAVY", "class_counts", "forget", "hadoop_path", "join_classes", "new_folder", "set_aside", "shared_dir", "slices", "stored", "table", "text_or_empty", "whole_groups"]
 
 
-def hadoop_path(spark: SparkSession, path: str):
-    """(path, its file system) of Hadoop, so any store will do."""
-    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return found, found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def stored(df: DataFrame, name: str, instead: DataFrame | None = None) -> DataFrame:
-    """``df`` written once to the shared folder and read back: lineage ends at files that outlive any executor.
-
-    ``instead``: a frame stored before that nothing reads any more; its files go once the new ones are there.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    if instead is not None:
-        forget(instead)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.stored_at = path
-    return out
-
-
-def forget(*frames: DataFrame) -> None:
-    """Delete the files of stored frames that nothing reads any more."""
-    for df in frames:
-        path, store = hadoop_path(df.sparkSession, df.stored_at)
-        store.delete(path, True)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 #: Keys that are joined by broadcast at most: those that hold more than this share of all rows.

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -10,13 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, bpe, exact_dedup, html_extract, packing, quality, secrets, simhash, tool_chat, url_filter
-from .common import shared_dir, table
+from .common import new_folder, table
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A new ledger takes in all documents as two deliveries, the English ones first, and reports on every path."""
     docs = table(spark, sf_dir, "documents")
-    ledger = secrets.BlobLedger(spark, f"{shared_dir(spark)}/op1-ledger-{uuid.uuid4().hex}")
+    ledger = secrets.BlobLedger(spark, new_folder(spark, "op1-ledger"))
     for delivery in (docs.where("lang <=> 'en'"), docs.where("not lang <=> 'en'")):
         ledger.scan(delivery)
     return ledger.report().select(F.col("path").cast("long").alias("doc_id"), "n_assign", "n_access", "n_hex", "base_sha256", "spans", "blob_id")
