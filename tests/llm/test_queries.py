@@ -10,6 +10,7 @@ import __spark_entry__ as entry
 import corpus_pipeline
 from lexiloom.llm import queries, quality
 from lexiloom.llm.common import table
+from tests.llm.test_bpe_ann import brute as brute_codec
 from tests.llm.test_dedup import ASCII, brute_components, brute_exact, slow_fingerprint
 from tests.llm.test_pages_chat import brute_url
 from tests.llm.test_secrets_packing_quality import brute_pieces, brute_spans
@@ -76,6 +77,11 @@ def test_held_out_accuracy(spark):
     assert np.mean([g > b for g in good for b in bad]) > 0.95
 
 
+def test_codec_over_the_whole_table_equals_the_library(spark, sf_dir, documents):
+    found = queries.QUERIES["op7_bpe_codec"](spark, sf_dir).collect()
+    assert sorted((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in found) == brute_codec(documents)
+
+
 def mask(text):
     """Base spans replaced, overlapping ones as one."""
     out, at = "", 0
