@@ -153,11 +153,15 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def training_rows(stats: DataFrame, labels: DataFrame, target: str = "quality", max_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
-    """The statistics of labelled rows that aren't held out; the smallest hashes where there are more than ``max_rows``."""
+def training_labels(labels: DataFrame, target: str = "quality", max_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
+    """(doc_id, label) of rows that aren't held out; the smallest hashes where there are more than ``max_rows``."""
     wanted = labels.where(F.col("doc_id").isNotNull() & F.col(target).isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(target).cast("int").alias("label")).where(~held_out())
-    # the limit leaves one partition
-    return stats.join(wanted, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).repartition(TRAIN_PARTITIONS)
+    return wanted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+
+
+def training_rows(stats: DataFrame, labels: DataFrame) -> DataFrame:
+    """The statistics of the rows that ``training_labels`` chooses: no more ids than its bound, so they are broadcast; no more rows either."""
+    return stats.join(F.broadcast(training_labels(labels)), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TRAIN_ROWS).repartition(TRAIN_PARTITIONS)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -169,10 +173,15 @@ def score_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the classifier accepts, with all their columns; each text is measured once."""
+    """The rows of ``docs`` that the classifier accepts, with all their columns.
+
+    Only the bounded training rows are measured apart, for the fit; no row is stored on the way.
+    """
+    ids = F.broadcast(training_labels(labels).select("doc_id"))  # bounded, so no text is shuffled for the fit
+    asked = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).join(ids, "doc_id", "left_semi")
+    model = fit_rules(training_rows(stored(measured(asked), "quality-training"), labels))
     rest, whole = set_aside(docs, text)
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), rest)
+    rows = docs.select(F.col(text).cast("string").alias("text"), rest)
     stats = T.StructField("stats", T.StructType([T.StructField(x, T.DoubleType()) for x in STATISTICS]))
-    rows = stored(rows.mapInArrow(_with_statistics, T.StructType([*rows.schema.fields, stats])), "quality-rows")
-    model = fit_rules(training_rows(rows.select("doc_id", "stats.*"), labels))
+    rows = rows.mapInArrow(_with_statistics, T.StructType([*rows.schema.fields, stats]))
     return rows.where(model.score("stats.") >= 0.5).select(*whole({text: F.col("text").cast(docs.schema[text].dataType)}))
