@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact_dedup, html_extract, packing, quality, secrets, simhash, tool_chat, url_filter
+from . import ann, bpe, exact_dedup, html_extract, packing, pieces, quality, secrets, simhash, tool_chat, url_filter
 from .common import new_folder, table
 
 
@@ -57,6 +57,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tool_chat.format_chat(table(spark, sf_dir, "conversations"), tool_chat.schema_table(spark))
 
 
+def op11_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -64,7 +68,7 @@ def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_best_fit_packing, op3_url_filter, op4_exact_dedup, op5_simhash_near_dedup, op6_quality_classifier, op7_bpe_codec, op8_nearest_neighbours, op9_html_extraction, op10_chat_format)
+    f.__name__: f for f in (op1_secret_scan, op2_best_fit_packing, op3_url_filter, op4_exact_dedup, op5_simhash_near_dedup, op6_quality_classifier, op7_bpe_codec, op8_nearest_neighbours, op9_html_extraction, op10_chat_format, op11_sentencepiece_codec)
 } | {"pipeline": _pipeline}
 
 def _spans_sql() -> str:
