@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact_dedup, html_extract, packing, pieces, quality, secrets, simhash, tool_chat, url_filter
+from . import ann, bpe, exact_dedup, html_extract, packing, pieces, quality, secrets, simhash, spelling, tool_chat, url_filter
 from .common import new_folder, table
 
 
@@ -61,6 +61,10 @@ def op11_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
+
+
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -68,9 +72,18 @@ def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_best_fit_packing, op3_url_filter, op4_exact_dedup, op5_simhash_near_dedup, op6_quality_classifier, op7_bpe_codec, op8_nearest_neighbours, op9_html_extraction, op10_chat_format, op11_sentencepiece_codec)
+    f.__name__: f for f in (op1_secret_scan, op2_best_fit_packing, op3_url_filter, op4_exact_dedup, op5_simhash_near_dedup, op6_quality_classifier, op7_bpe_codec, op8_nearest_neighbours, op9_html_extraction, op10_chat_format, op11_sentencepiece_codec, op13_spelling_variants)
 } | {"pipeline": _pipeline}
 
+
+def _crc_table() -> list[int]:
+    """CRC-32 of each byte value, by its polynomial."""
+    out = list(range(256))
+    for _ in range(8):
+        out = [n >> 1 ^ 0xEDB88320 if n & 1 else n >> 1 for n in out]
+    return out
+
+
 def _spans_sql() -> str:
     """Matches of each kind with where they start: the lengths of all that stands between matches, and of the matches before."""
     any_case = "|".join("".join(c if not c.isalpha() else f"[{c.upper()}{c}]" for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
@@ -108,4 +121,19 @@ ORACLE_SQL: dict[str, str] = {
         g AS (SELECT doc_id, t, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size FROM d)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM g
     """,
+    # CRC-32 over the bytes of a text; near words by what is left of them without one letter.
+    "op13_spelling_variants": f"""WITH RECURSIVE
+        runs_ AS (SELECT coalesce(doc_id::VARCHAR, '') AS d, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS w FROM documents),
+        low_ AS (SELECT d || ':' || x AS t, x AS w, count(*) AS m FROM (SELECT d, translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM runs_ WHERE length(w) >= 7) GROUP BY ALL),
+        bytes_ AS (SELECT w, m, list_transform(flatten(list_transform(string_split(t, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [192 + (unicode(c) >> 6), 128 + (unicode(c) & 63)] END)), lambda x: x::BIGINT) AS b FROM low_),
+        hash_ AS (SELECT w, m, xor(list_reduce(b, lambda h, c: xor(h >> 8, ({_crc_table()}::BIGINT[])[(xor(h, c) & 255) + 1]), 4294967295), 4294967295) AS h FROM bytes_),
+        word_ AS (SELECT CASE WHEN h % 31 = 0 THEN left(w, (h % length(w))::INT) || substr(w, (h % length(w))::INT + 2) ELSE w END AS word, sum(m)::BIGINT AS n FROM hash_ GROUP BY 1 HAVING length(word) >= 7 AND sum(m) >= 2),
+        less_ AS (SELECT word, n, i, left(word, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word)))::INT AS i FROM word_)),
+        near_ AS (SELECT a.word, b.word AS other, b.n AS other_n FROM less_ a JOIN less_ b USING (i, rest) WHERE a.word <> b.word
+            UNION SELECT a.word, b.word, b.n FROM less_ a JOIN word_ b ON a.rest = b.word UNION SELECT b.word, a.word, a.n FROM less_ a JOIN word_ b ON a.rest = b.word),
+        best_ AS (SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS other, max(other_n) AS other_n FROM near_ GROUP BY word),
+        form_ AS (SELECT word, CASE WHEN other_n >= 10 * n THEN other END AS form, n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 10 * n THEN other_n END AS form_n FROM word_ LEFT JOIN best_ USING (word)),
+        lead_ AS (SELECT word, word AS root FROM form_ UNION ALL SELECT l.word, f.form FROM lead_ l JOIN form_ f ON l.root = f.word WHERE f.form IS NOT NULL),
+        root_ AS (SELECT l.word, l.root FROM lead_ l JOIN form_ f ON l.root = f.word WHERE f.form IS NULL)
+        SELECT word, form, root, n, n_near, form_n FROM form_ JOIN root_ USING (word)""",
 }
