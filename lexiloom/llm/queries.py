@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact_dedup, html_extract, packing, pieces, quality, secrets, simhash, spelling, tool_chat, url_filter
+from . import ann, bpe, exact_dedup, hard_negatives, html_extract, packing, pieces, quality, secrets, simhash, spelling, tool_chat, url_filter
 from .common import new_folder, table
 
 
@@ -61,6 +61,11 @@ def op11_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label=label)
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group_variants(table(spark, sf_dir, "documents"))
 
@@ -72,7 +77,7 @@ def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_best_fit_packing, op3_url_filter, op4_exact_dedup, op5_simhash_near_dedup, op6_quality_classifier, op7_bpe_codec, op8_nearest_neighbours, op9_html_extraction, op10_chat_format, op11_sentencepiece_codec, op13_spelling_variants)
+    f.__name__: f for f in (op1_secret_scan, op2_best_fit_packing, op3_url_filter, op4_exact_dedup, op5_simhash_near_dedup, op6_quality_classifier, op7_bpe_codec, op8_nearest_neighbours, op9_html_extraction, op10_chat_format, op11_sentencepiece_codec, op12_hard_negatives, op13_spelling_variants)
 } | {"pipeline": _pipeline}
 
 
@@ -121,6 +126,14 @@ ORACLE_SQL: dict[str, str] = {
         g AS (SELECT doc_id, t, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size FROM d)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM g
     """,
+    "op12_hard_negatives": """
+        WITH v_ AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+            FROM embeddings WHERE label IS NOT NULL AND vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s_ AS (SELECT a.r AS anchor, a.vec_id AS anchor_id, a.label = v.label AS same, v.r, v.vec_id, list_inner_product(a.e, v.e)::BIGINT AS score FROM v_ a JOIN v_ v ON a.r <> v.r AND len(a.e) = len(v.e) WHERE a.vec_id % 50 = 0),
+        p_ AS (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id, r) AS n FROM s_ WHERE same QUALIFY n <= 5)
+        SELECT p.anchor_id, p.vec_id AS positive_id, row_number() OVER (PARTITION BY p.anchor, p.n ORDER BY s.score DESC, s.vec_id, s.r)::INT AS rank, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+        FROM p_ p JOIN s_ s ON s.anchor = p.anchor AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score QUALIFY rank <= 3
+    """,
     # CRC-32 over the bytes of a text; near words by what is left of them without one letter.
     "op13_spelling_variants": f"""WITH RECURSIVE
         runs_ AS (SELECT coalesce(doc_id::VARCHAR, '') AS d, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS w FROM documents),

@@ -58,7 +58,7 @@ def test_whole_tables_equal_brute_force(spark, sf_dir, documents):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_sql_says_the_same(spark, sf_dir, name):
     con = duckdb.connect()
-    for table_name in ("documents", "pages", "conversations"):
+    for table_name in ("documents", "embeddings", "pages", "conversations"):
         con.execute(f"CREATE VIEW {table_name} AS SELECT * FROM '{sf_dir}/{table_name}.parquet'")
     cursor = con.execute(queries.ORACLE_SQL[name])
     found = queries.QUERIES[name](spark, sf_dir)
