@@ -2,14 +2,15 @@
 
 One inserted, deleted or replaced letter adds at most one letter to one group and takes at most one from another, so words
 one edit apart have letter-group counts with a surplus and a deficit of at most one each. Words are
-arranged in a trie by these counts, group after group. Its top, the counts of the first few groups, is laid out over tasks: a
-word lives in the bucket of its own counts and asks in every bucket that the budget reaches. In a task, the rest of the trie is
-walked depth-first for each distinct vector of counts; branches that overspend are never entered. Words
-at the leaves it reaches are compared letter by letter.
+arranged in a trie by these counts, group after group. Its top, the counts of a few ranges of groups, is laid out over tasks: a
+word lives in the bucket of its own counts and asks in every bucket that the budget reaches. In a task, the trie of
+all groups is walked depth-first for each distinct vector of counts; branches that overspend, or that pass the range in which a bucket
+says that the surplus or the deficit lies, are never entered. Words at the leaves it reaches are compared letter by letter.
 
-A pair is found once: the first group in which the two differ must be a surplus. How many groups make up the top follows
-the words: as few as keep every bucket within ``BUCKET_WORDS``. Should the longest top leave larger ones, buckets are dealt
-over slices that are all asked, so a task's memory stays bounded whatever the words.
+A pair is found once: the first range, or within a bucket the first group, in which the two differ must be a surplus. How
+many ranges make up the top follows the words: as few as keep every bucket within ``BUCKET_WORDS``. Should the
+longest top leave larger ones, buckets are dealt over slices that are all asked, so a task's memory
+stays bounded whatever the words.
 
 Defined cases: null texts hold no words; a null key is the empty string where a key is written out; repeated rows count
 again; ties of n go to the smaller word; words of any length are compared; an empty table gives no
@@ -26,8 +27,9 @@ from pyspark.sql import functions as F
 
 from .common import stored, text_or_empty
 
-#: Each of these letters is a group of its own, all others are one more. The order splits words evenly.
-LETTERS = "entihaorslucdgbmfzxwqyvpkj"
+#: Letters by cell; each is a group of its own, and all other letters are one more, in the last cell. Cells hold about as many letters of a text.
+CELLS = ("e", "n", "t", "im", "hy", "abw", "oc", "r", "lu", "sdg", "fzxqvpkj", "")
+LETTERS = "".join(CELLS)
 GROUPS = len(LETTERS) + 1
 RUN = r"[A-Za-zÀ-ÿ]+"
 LEAST_LENGTH, LEAST_COUNT = 7, 2
@@ -35,13 +37,13 @@ LEAST_LENGTH, LEAST_COUNT = 7, 2
 FORM_TIMES = 10
 #: One in so many (document, word) pairs loses a letter.
 SLIPS = 31
-#: Words of a bucket, and the lengths of the trie's top that are tried.
-BUCKET_WORDS = 10_000
-TOPS = (0, 1, 2, 3, 4, 5, 6, 8, 10)
+#: Words of a bucket, and the numbers of ranges that are tried for the trie's top; a range joins as many cells as any other.
+BUCKET_WORDS = 40_000
+TOPS = (1, 2, 3, 4, 6, 12)
 #: Letters of words that are compared in a matrix; longer ones are compared one by one.
 MATRIX_LETTERS = 64
-#: Pairs that are compared at once.
-PAIRS = 1 << 18
+#: Words that ask at once, and pairs that are compared at once.
+ASKING, PAIRS = 50_000, 1 << 18
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _GROUP_OF = np.full(256, len(LETTERS), dtype=np.int64)
@@ -58,48 +60,56 @@ def count_words(docs: DataFrame, key: str = "doc_id", text: str = "text", slips:
     return hashed.select(word.alias("word")).where(F.length("word") >= LEAST_LENGTH).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_COUNT)
 
 
-def _counts(word: Column, groups: int) -> Column:
-    """How often each of the first letters occurs."""
-    return F.array(*[F.length(word) - F.length(F.translate(word, c, "")) for c in LETTERS[:groups]]) if groups else F.array().cast("array<int>")
+def ranges(top: int) -> list[tuple[int, int]]:
+    """(first group, one past the last) of each range of the top."""
+    ends = np.cumsum([len(c) for c in CELLS])
+    ends[-1] += 1  # the other letters
+    stops = [int(ends[len(CELLS) // top * (i + 1) - 1]) for i in range(top)]
+    return list(zip([0, *stops[:-1]], stops, strict=True))
+
+
+def _counts(word: Column, top: int) -> Column:
+    """How many letters of a word lie in each range."""
+    size = len(CELLS) // top
+    held = [F.length(word) - F.length(F.translate(word, "".join(CELLS[at : at + size]), "")) for at in range(0, len(CELLS) - size, size)]
+    return F.array(*held, F.length(word) - sum(held, F.lit(0)))
 
 
 def _top(words: DataFrame, limit: int) -> tuple[int, int]:
-    """(groups of the trie's top, slices of a bucket) that keep what a task holds within ``limit`` words."""
-    counted = words.select(_counts(F.col("word"), TOPS[-1]).alias("c"))
-    each = counted.select(F.explode(F.array(*[F.struct(F.lit(t).alias("top"), (F.slice("c", 1, t) if t else F.array().cast("array<int>")).alias("bucket")) for t in TOPS])).alias("x"))
-    most = {r.top: r.n for r in each.groupBy("x.top", "x.bucket").count().groupBy("top").agg(F.max("count").alias("n")).collect()}  # a row for each length tried
+    """(ranges of the trie's top, slices of a bucket) that keep what a task holds within ``limit`` words."""
+    cells = words.select(_counts(F.col("word"), len(CELLS)).alias("c"))
+    joined = lambda t: F.array(*[sum((F.col("c")[i] for i in range(at, at + len(CELLS) // t)), F.lit(0)) for at in range(0, len(CELLS), len(CELLS) // t)])
+    each = cells.select(F.explode(F.array(*[F.struct(F.lit(t).alias("top"), joined(t).alias("bucket")) for t in TOPS])).alias("x"))
+    most = {r.top: r.n for r in each.groupBy("x.top", "x.bucket").count().groupBy("top").agg(F.max("count").alias("n")).collect()}  # a row for each number tried
     fitting = [t for t in TOPS if most.get(t, 0) <= limit]
     return (fitting[0], 1) if fitting else (TOPS[-1], -(-most[TOPS[-1]] // limit))
 
 
 def _dealt(words: DataFrame, top: int, slices: int) -> DataFrame:
-    """(bucket, slice, home, word, n): a word at home in its bucket, and wherever it asks."""
+    """(bucket, home, word, n): a word at home in its bucket, and wherever it asks. ``bucket``: counts by range and a slice, joined."""
     c, i32 = F.col("c"), lambda x: F.lit(x).cast("int")
     moved = lambda plus, minus: F.array(*[c[g] + i32((g == plus) - (g == minus)) for g in range(top)])
     reach = [F.when(c[j] > 0, moved(i, j)) if j is not None else moved(i, j) for i in range(top) for j in (None, *range(i + 1, top))]
-    own = F.pmod(F.xxhash64("word"), F.lit(slices)).cast("int")
-    rows = words.select("word", "n", _counts(F.col("word"), top).alias("c"), own.alias("own"))
+    rows = words.select("word", "n", _counts(F.col("word"), top).alias("c"), F.pmod(F.xxhash64("word"), F.lit(slices)).cast("int").alias("own"))
     all_slices = F.sequence(i32(0), i32(slices - 1))
-    place = lambda bucket, at, home: F.struct(bucket.alias("bucket"), at.alias("slice"), F.lit(home).alias("home"))
-    places = [F.array(place(c, F.col("own"), True))]
+    place = lambda bucket, at, home: F.struct(F.array_join(F.concat(bucket, F.array(at)).cast("array<string>"), ",").alias("bucket"), F.lit(home).alias("home"))
+    asked = F.filter(F.array(*reach), lambda b: b.isNotNull())
+    places = [F.array(place(c, F.col("own"), True)), F.flatten(F.transform(asked, lambda b: F.transform(all_slices, lambda s: place(b, s, False))))]
     if slices > 1:
         places.append(F.transform(F.filter(all_slices, lambda s: s != F.col("own")), lambda s: place(c, s, False)))
-    if reach:
-        asked = F.filter(F.array(*reach), lambda b: b.isNotNull())
-        places.append(F.flatten(F.transform(asked, lambda b: F.transform(all_slices, lambda s: place(b, s, False)))))
-    return rows.select("word", "n", F.explode(F.concat(*places)).alias("p")).select("p.bucket", "p.slice", "p.home", "word", "n")
+    return rows.select("word", "n", F.explode(F.concat(*places)).alias("p")).select("p.bucket", "p.home", "word", "n")
 
 
 class Trie:
-    """Vectors of letter-group counts, below the first ``top`` groups; a branch with one vector is its leaf."""
+    """Vectors of letter-group counts; a branch with one vector is its leaf."""
 
-    def __init__(self, vectors: list[list[int]], top: int = 0):
-        self.vectors, self.top, self.root = vectors, top, {}
+    def __init__(self, vectors: list[list[int]]):
+        self.vectors, self.root = vectors, {}
         for at, vector in enumerate(vectors):
             self._add(at, vector)
 
     def _add(self, at: int, vector: list[int]) -> None:
-        node, level = self.root, self.top
+        node, level = self.root, 0
         while True:
             below = node.get(vector[level])
             if below is None:
@@ -109,9 +119,9 @@ class Trie:
                 below = node[vector[level]] = {self.vectors[below][level + 1]: below}
             node, level = below, level + 1
 
-    def within(self, vector: list[int], plus: int = 1, minus: int = 1) -> list[int]:
-        """Vectors that may have at most ``plus`` more in one group and, after that, ``minus`` less in another: surplus comes first."""
-        out, stack = [], [(self.root, self.top, plus, minus)]
+    def within(self, vector: list[int]) -> list[int]:
+        """Vectors that may have one more in one group and, after that, one less in another: the surplus comes first."""
+        out, stack = [], [(self.root, 0, 1, 1)]
         while stack:
             node, level, plus, minus = stack.pop()
             if type(node) is int:
@@ -127,6 +137,27 @@ class Trie:
                 stack.append((below, level + 1, 0, 0))
         return out
 
+    def moved(self, vector: list[int], plus: tuple[int, int], minus: tuple[int, int] | None) -> list[int]:
+        """Vectors that may have one more in a group of the range ``plus`` and one less in one of ``minus``, if that is given."""
+        up, up_end = plus
+        down, down_end = minus or (-1, -1)
+        out, stack = [], [(self.root, 0, True, minus is not None)]
+        while stack:
+            node, level, gain, lose = stack.pop()
+            if type(node) is int:
+                out.append(node)
+                continue
+            if gain and level >= up_end or lose and level >= down_end:
+                continue  # its group has passed
+            c = vector[level]
+            if (below := node.get(c)) is not None:
+                stack.append((below, level + 1, gain, lose))
+            if gain and level >= up and (below := node.get(c + 1)) is not None:
+                stack.append((below, level + 1, False, lose))
+            if lose and level >= down and (below := node.get(c - 1)) is not None:
+                stack.append((below, level + 1, gain, False))
+        return out
+
 
 def one_edit(a: bytes, b: bytes) -> bool:
     """Whether two words differ by exactly one letter inserted, deleted or replaced."""
@@ -148,7 +179,9 @@ class _Words:
         self.letters = np.array([w[:width] for w in self.raw], dtype=f"S{width}").view(np.uint8).reshape(len(words), width)
         at = np.repeat(np.arange(len(words)), self.length)
         held = np.bincount(at * GROUPS + _GROUP_OF[np.frombuffer(b"".join(self.raw), np.uint8)], minlength=len(words) * GROUPS).reshape(len(words), GROUPS)
-        self.vectors, own = np.unique(held, axis=0, return_inverse=True)
+        narrow = np.ascontiguousarray(held.astype(np.uint8) if held.max(initial=0) < 256 else held)
+        _, first, own = np.unique(narrow.view(f"S{GROUPS * narrow.itemsize}").ravel(), return_index=True, return_inverse=True)
+        self.vectors = held[first]
         self.order = np.argsort(own.ravel(), kind="stable")
         self.size = np.bincount(own.ravel(), minlength=len(self.vectors))
         self.start = np.cumsum(self.size) - self.size
@@ -177,12 +210,12 @@ def _edits(a: _Words, b: _Words, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return out
 
 
-def _compared(a: _Words, b: _Words, ca: list[int], cb: list[int], same: bool):
-    """Pairs (i, j) of words one edit apart, of pairs of classes; ``same``: both are the same words."""
+def _compared(a: _Words, b: _Words, ca: list[int], cb: list[int], same: bool, directed: np.ndarray):
+    """Pairs (i, j) of words one edit apart, of pairs of classes; ``same``: both are the same words; ``directed``: where a surplus must come first."""
     ca, cb = np.array(ca, dtype=np.int64), np.array(cb, dtype=np.int64)
     apart = b.vectors[cb] - a.vectors[ca]
     first = apart[np.arange(len(apart)), (apart != 0).argmax(axis=1)]
-    fits = (first >= 0) & (np.maximum(apart, 0).sum(axis=1) <= 1) & (np.maximum(-apart, 0).sum(axis=1) <= 1)  # a leaf may stand high in the trie
+    fits = ((first >= 0) | ~directed[ca]) & (np.maximum(apart, 0).sum(axis=1) <= 1) & (np.maximum(-apart, 0).sum(axis=1) <= 1)  # a leaf may stand high in the trie
     ca, cb, alike = ca[fits], cb[fits], ~apart[fits].any(axis=1)
     n = a.size[ca] * b.size[cb]
     for part in np.split(np.arange(len(ca)), np.flatnonzero(np.diff(np.cumsum(n) // PAIRS)) + 1):
@@ -198,33 +231,39 @@ def _compared(a: _Words, b: _Words, ca: list[int], cb: list[int], same: bool):
             yield i[once], j[once]
 
 
+_NEAR = pa.schema([("a", pa.string()), ("a_n", pa.int64()), ("b", pa.string()), ("b_n", pa.int64())])
+
+
+def _asked(trie: Trie, words: _Words, counts: np.ndarray, top: list[tuple[int, int]]) -> tuple[list[list[int]], np.ndarray]:
+    """(vectors of the trie that may be one edit from each vector of ``words``, where both have the counts of one bucket)."""
+    starts = [a for a, _ in top]
+    apart = counts - np.add.reduceat(words.vectors, starts, axis=1)
+    directed = ~apart.any(axis=1)
+    found = []
+    for vector, own, inside in zip(words.vectors.tolist(), apart.tolist(), directed.tolist(), strict=True):
+        found.append(trie.within(vector) if inside else trie.moved(vector, top[own.index(1)], top[own.index(-1)] if -1 in own else None))
+    return found, directed
+
+
 def _near(top: int):
     """The pairs of a bucket: its own words with each other, and with the words that ask."""
 
     def near(rows: pa.Table) -> pa.Table:
         home = rows.column("home")
-        own, asking = rows.filter(home), rows.filter(pc.invert(home))
-        out = []
-        if own.num_rows:
-            words = _Words(own.column("word").to_pylist())
-            trie = Trie(words.vectors.tolist(), top)
-            bucket = np.array(rows.column("bucket")[0].as_py(), dtype=np.int64)
-            for table in (own, asking):
-                other = words if table is own else _Words(table.column("word").to_pylist())
-                spent = bucket - other.vectors[:, :top]
-                left = zip((1 - spent.clip(0).sum(axis=1)).tolist(), (1 + spent.clip(None, 0).sum(axis=1)).tolist(), strict=True)
-                ca, cb = [], []
-                for at, (vector, (plus, minus)) in enumerate(zip(other.vectors.tolist(), left, strict=True)):
-                    found = trie.within(vector, plus, minus)
-                    ca += [at] * len(found)
-                    cb += found
-                    if len(ca) >= PAIRS or at + 1 == len(other.vectors):
-                        for i, j in _compared(other, words, ca, cb, table is own):
-                            a, b = table.take(pa.array(i)), own.take(pa.array(j))
-                            out.append(pa.table({"a": a.column("word"), "a_n": a.column("n"), "b": b.column("word"), "b_n": b.column("n")}))
-                        ca, cb = [], []
-        kinds = pa.schema([("a", pa.string()), ("a_n", pa.int64()), ("b", pa.string()), ("b_n", pa.int64())])
-        return pa.concat_tables(out).cast(kinds) if out else kinds.empty_table()
+        own, asking, out = rows.filter(home), rows.filter(pc.invert(home)), []
+        if not own.num_rows:
+            return _NEAR.empty_table()
+        counts = np.array([int(c) for c in rows.column("bucket")[0].as_py().split(",")[:-1]], dtype=np.int64)
+        words = _Words(own.column("word").to_pylist())
+        trie = Trie(words.vectors.tolist())
+        for table in (own, *(asking.slice(at, ASKING) for at in range(0, asking.num_rows, ASKING))):
+            other = words if table is own else _Words(table.column("word").to_pylist())
+            found, directed = _asked(trie, other, counts, ranges(top))
+            ca = [at for at, some in enumerate(found) for _ in some]
+            for i, j in _compared(other, words, ca, [b for some in found for b in some], table is own, directed):
+                a, b = table.take(pa.array(i)), own.take(pa.array(j))
+                out.append(pa.table({"a": a.column("word"), "a_n": a.column("n"), "b": b.column("word"), "b_n": b.column("n")}))
+        return pa.concat_tables(out).cast(_NEAR) if out else _NEAR.empty_table()
 
     return near
 
@@ -232,7 +271,7 @@ def _near(top: int):
 def near_words(words: DataFrame, limit: int = BUCKET_WORDS) -> DataFrame:
     """(a, a_n, b, b_n): each pair of (word, n) that is one edit apart, once. ``words`` is read more than once."""
     top, slices = _top(words, limit)
-    return _dealt(words, top, slices).groupBy("bucket", "slice").applyInArrow(_near(top), "a string, a_n long, b string, b_n long")
+    return _dealt(words, top, slices).groupBy("bucket").applyInArrow(_near(top), "a string, a_n long, b string, b_n long")
 
 
 def roots(forms: DataFrame) -> DataFrame:

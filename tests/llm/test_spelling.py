@@ -5,6 +5,8 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -55,15 +57,34 @@ def test_one_edit():
             assert spelling.one_edit(a.encode("latin-1"), b.encode("latin-1")) == near(a, b)
 
 
-@settings(max_examples=100, deadline=None)
-@given(st.lists(st.text(alphabet="aeñÉx", max_size=9), unique=True, min_size=1, max_size=40), st.integers(0, 70))
-def test_trie_and_matrix_find_every_pair_once(words, pad):
+def dealt(words, top):
+    """The buckets of the words, as Spark deals them."""
+    out = {}
+    for n, w in enumerate(words):
+        groups = np.bincount(spelling._GROUP_OF[list(w.encode("latin-1"))], minlength=spelling.GROUPS)
+        c = [int(groups[a:b].sum()) for a, b in spelling.ranges(top)]
+        places = [(c, True)]
+        for i in range(top):
+            up = [x + (g == i) for g, x in enumerate(c)]
+            places += [(up, False)] + [([x - (g == j) for g, x in enumerate(up)], False) for j in range(i + 1, top) if c[j]]
+        for place, home in places:
+            out.setdefault(tuple(place), []).append({"bucket": ",".join(map(str, [*place, 0])), "home": home, "word": w, "n": n})
+    return [pa.Table.from_pylist(rows) for rows in out.values()]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet="aeñÉxh", max_size=9), unique=True, min_size=1, max_size=40), st.integers(0, 70), st.sampled_from(spelling.TOPS))
+def test_trie_and_matrix_find_every_pair_once(words, pad, top):
     words = [w + "q" * pad for w in words]  # beyond 64 letters they are compared one by one
-    import pyarrow as pa
+    got = [tuple(sorted((r["a"], r["b"]))) for rows in dealt([w for w in words if w], top) for r in spelling._near(top)(rows).to_pylist()]
+    assert sorted(got) == sorted((a, b) for i, a in enumerate(sorted(words)) for b in sorted(words)[i + 1 :] if a and near(a, b))
 
-    rows = pa.table({"bucket": pa.array([[]] * len(words), pa.list_(pa.int32())), "home": [True] * len(words), "word": pa.array(words, pa.string()), "n": pa.array(range(len(words)), pa.int64())})
-    got = [tuple(sorted((r["a"], r["b"]))) for r in spelling._near(0)(rows).to_pylist()]
-    assert sorted(got) == sorted((a, b) for i, a in enumerate(sorted(words)) for b in sorted(words)[i + 1 :] if near(a, b))
+
+def test_ranges():
+    for top in spelling.TOPS:
+        own = spelling.ranges(top)
+        assert len(own) == top and own[0][0] == 0 and own[-1][1] == spelling.GROUPS
+        assert all(a < b for a, b in own) and all(x[1] == y[0] for x, y in zip(own, own[1:]))
 
 
 @pytest.fixture(scope="module")
