@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import slices, text_or_empty
 
-#: Segments and pairs that a worker keeps; when full, it starts again with none, which changes no result.
+#: Segments and pairs that a worker keeps, which changes no result. When segments are full, those not met since the last time go.
 SEGMENTS, PAIRS = 400_000, 400_000
 _DIGEST = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Numbers of the model format (fixed values): message fields, kinds of piece, the merge type.
@@ -89,6 +89,7 @@ class PieceModel:
         self.shorter = {p: next((p[:n] for n in range(len(p) - 1, 1, -1) if p[:n] in self.cost), p[0]) for p in self.cost}
         self.names = [str(i) for i in range(len(kinds))]
         self.segments: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.cut = self._cuts()
 
@@ -149,15 +150,17 @@ class PieceModel:
         return out
 
     def segment(self, text: str) -> tuple[int, ...]:
-        found = self.segments.get(text)
+        """The ids of a segment that isn't among the newer ones."""
+        if len(self.segments) >= SEGMENTS:
+            self.segments, self.older = {}, self.segments
+        found = self.older.get(text)
         if found is None:
-            if len(self.segments) >= SEGMENTS:
-                self.segments.clear()
             ids: list[int] = []
             for piece in self.pieces(text) if len(text) > 1 else [text]:
                 own = self.ids.get(piece)
                 ids += [own] if own is not None else [self.bytes[b] for b in piece.encode()]
-            found = self.segments[text] = tuple(ids)
+            found = tuple(ids)
+        self.segments[text] = found
         return found
 
     def encode(self, text: str) -> list[int]:
