@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import stored
+
 HISTORY_KEEP, HISTORY_LIMIT = 50, 10
 
 
@@ -72,13 +74,13 @@ def history_rows(pages: DataFrame, written_at: Column, first_id: int = 1) -> Dat
     """
     frontmatter = F.col("frontmatter") if "frontmatter" in pages.columns else F.lit(None).cast("string")
     rows = pages.select("path", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"), F.col("text").alias("body"), frontmatter.alias("frontmatter"), F.octet_length("text").alias("byte_size"), written_at.alias("written_at"))
-    placed = rows.repartitionByRange("written_at", "path").sortWithinPartitions("written_at", "path").withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id())
-    sizes = {r.part: r.n for r in placed.groupBy("part").agg(F.count("*").alias("n")).collect()}
-    start, at = {}, first_id
-    for part in sorted(sizes):
-        start[part], at = at, at + sizes[part]
-    offsets = F.create_map(*[F.lit(x) for kv in start.items() for x in kv]) if start else F.create_map().cast("map<int,int>")
-    return placed.select((offsets[F.col("part")] + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).cast("long").alias("id"), "path", "sha256", "body", "frontmatter", "byte_size", "written_at")
+    # Stored before anything is counted: a range exchange that runs again may deal its rows otherwise.
+    sorted_ = rows.repartitionByRange("written_at", "path").sortWithinPartitions("written_at", "path")
+    placed = stored(sorted_.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()), "history-parts")
+    counted = placed.groupBy("part").agg(F.count("*").alias("n"), F.min("at").alias("first_at"))  # a row for each task
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counted.select("part", (before + first_id - F.col("first_at")).alias("start"))
+    return placed.join(F.broadcast(starts), "part").select((F.col("start") + F.col("at")).cast("long").alias("id"), "path", "sha256", "body", "frontmatter", "byte_size", "written_at")
 
 
 def newest(history: DataFrame, keep: int = HISTORY_KEEP) -> DataFrame:

@@ -1,145 +1,38 @@
-"""Lexical and vector retrieval for batches of queries.
-
-The inverted index is a table of postings that carry the length of their chunk, so BM25 needs no
-other look at the chunks. A batch of queries is small beside the index: its terms and their weights
-are broadcast behind a check of their number. Postings that any query asks for are dealt by chunk;
-there the scores of a chunk are summed and the best of each query kept, so only these meet.
-Vector search compares blocks of queries with slices of the vectors, each pair in one matrix product.
-"""
+"""Retrieval for batches of queries: the lexical arm over an index of postings, the vector arm by distance."""
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import index_tokens, match_phrases
-from ..storage import stored
+from . import lexical
+from .lexical import Lexicon, top, units
+from .nearest import VectorIndex, nearest, vector_index
 
-K1, B = 1.2, 0.75
-IDF_FLOOR = 1e-6
-#: Rows of a batch's terms up to which they are broadcast; beyond it they are joined by shuffle.
-BROADCAST_ROWS = 200_000
+__all__ = ["Lexicon", "VectorIndex", "bm25", "lexical_score", "nearest", "parse_heading_path", "phrase_hits", "postings", "safe_json", "top", "units", "vector_index", "vector_score", "with_frontmatter"]
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """(term, chunk_id, tf, dl) of (chunk_id, text): a plain count, so it combines map-side. ``dl``: tokens of the chunk."""
-    words = chunks.select("chunk_id", index_tokens(F.col("text")).alias("w"))
-    each = words.select("chunk_id", F.size("w").alias("dl"), F.explode("w").alias("term"))
-    return each.groupBy("term", "chunk_id", "dl").agg(F.count("*").cast("int").alias("tf")).select("term", "chunk_id", "tf", "dl")
-
-
-def index_stats(chunks: DataFrame) -> DataFrame:
-    """One row (n, avgdl): chunks, those without tokens too, and their mean number of tokens."""
-    return chunks.agg(F.count("*").alias("n"), F.avg(F.size(index_tokens(F.col("text")))).alias("avgdl"))
-
+    """(term, chunk_id, tf, dl) of (chunk_id, text). ``dl``: tokens of the chunk."""
+    return lexical.occurrences(chunks).where("term <> ''").drop("positions")
 
-def units(queries: DataFrame) -> DataFrame:
-    """(query_id, phrase, unit, tokens) of (query_id, query): each white-space word of a query; ``unit`` names its tokens."""
-    phrases = queries.select("query_id", F.posexplode(match_phrases(F.col("query"))).alias("phrase", "tokens"))
-    return phrases.select("query_id", "phrase", F.array_join("tokens", " ").alias("unit"), "tokens")
 
+def _lexicon(queries: DataFrame, chunks: DataFrame) -> Lexicon:
+    """An index of what a batch of queries asks for, where none is stored."""
+    return lexical.lexicon(chunks, lexical.asked_terms(units(queries)))
 
-def _small(rows: DataFrame) -> DataFrame:
-    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
-
-def unit_hits(asked: DataFrame, chunks: DataFrame, index: DataFrame | None = None) -> DataFrame:
-    """(unit, chunk_id, tf, dl): how often each of the ``asked`` units (unit, tokens) occurs in the chunks that hold it.
-
-    Without a stored ``index`` of postings the chunks are scanned for the units' terms only. Units of
-    several tokens are runs of adjacent positions, which are taken from the chunks.
-    """
-    asked = asked.select("unit", "tokens").distinct()
-    single, runs = asked.where(F.size("tokens") == 1).select("unit"), asked.where(F.size("tokens") > 1)
-    words = chunks.select("chunk_id", index_tokens(F.col("text")).alias("w"))
-    if index is None:
-        found = words.select("chunk_id", F.size("w").alias("dl"), "w", F.explode(F.array_distinct("w")).alias("unit")).join(_small(single), "unit")
-        hits = found.select("unit", "chunk_id", F.size(F.filter("w", lambda x: x == F.col("unit"))).alias("tf"), "dl")
-    else:
-        hits = index.withColumnRenamed("term", "unit").join(_small(single), "unit").select("unit", "chunk_id", "tf", "dl")
-    if runs.isEmpty():
-        return hits
-    # where a run starts, its tokens follow
-    starts = words.select("chunk_id", F.size("w").alias("dl"), "w", F.posexplode("w").alias("at", "first")).join(_small(runs.withColumn("first", F.col("tokens")[0])), "first")
-    there = starts.where(F.slice("w", F.col("at") + 1, F.size("tokens")) == F.col("tokens"))
-    return hits.unionByName(there.groupBy("unit", "chunk_id", "dl").agg(F.count("*").cast("int").alias("tf")).select("unit", "chunk_id", "tf", "dl"))
-
-
-def phrase_hits(queries: DataFrame, chunks: DataFrame, index: DataFrame | None = None) -> DataFrame:
+def phrase_hits(queries: DataFrame, chunks: DataFrame | None = None, index: Lexicon | None = None) -> DataFrame:
     """(query_id, phrase, chunk_id, tf) of (query_id, query): how often each word of a query occurs."""
-    asked = units(queries)
-    return unit_hits(asked, chunks, index).join(_small(asked.select("query_id", "phrase", "unit")), "unit").select("query_id", "phrase", "chunk_id", "tf")
-
-
-def bm25_scores(queries: DataFrame, chunks: DataFrame, index: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
-    """(query_id, chunk_id, score) of every chunk that holds a word of a query, dealt by chunk.
-
-    ``score`` is rounded to 9 digits, so that the order of additions decides nothing.
-    """
-    asked = units(queries)
-    hits = stored(unit_hits(asked, chunks, index), "bm25-hits")  # read twice, and chunks are tokenised once
-    df = hits.groupBy("unit").agg(F.count("*").alias("df"))
-    stats = index_stats(chunks) if stats is None else stats
-    raw = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = asked.select("query_id", "unit").join(df, "unit").crossJoin(F.broadcast(stats))  # stats: one row
-    weights = weights.select("query_id", "unit", F.when(raw > 0, raw).otherwise(F.lit(IDF_FLOOR)).alias("idf"), "avgdl")
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    # by chunk: what a chunk scores for any query is then summed without another shuffle
-    scored = hits.repartition("chunk_id").join(F.broadcast(weights) if asked.count() <= BROADCAST_ROWS else weights, "unit").select("query_id", "chunk_id", part.alias("part"))
-    return scored.groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), 9).alias("score"))
-
-
-def bm25(queries: DataFrame, chunks: DataFrame, k: int = 30, index: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
-    """(query_id, chunk_id, score, rank): the ``k`` best chunks of each query; equal scores by chunk_id."""
-    return top(bm25_scores(queries, chunks, index, stats), k)
-
-
-def top(scored: DataFrame, k: int, order: Column | None = None) -> DataFrame:
-    """The ``k`` first rows of each query, numbered; Spark prunes map-side."""
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score") if order is None else order, "chunk_id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+    return lexical.phrase_hits(queries, index or _lexicon(queries, chunks))
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int = 30, query_block: int = 512, slice_rows: int = 50_000) -> DataFrame:
-    """(query_id, chunk_id, distance, rank): the ``k`` nearest vectors by Euclidean distance, ties by chunk_id.
+def bm25(queries: DataFrame, chunks: DataFrame | None = None, k: int = 30, index: Lexicon | None = None) -> DataFrame:
+    """(query_id, chunk_id, score, rank): the ``k`` best chunks of each query; equal scores by chunk_id.
 
-    ``queries``: (query_id, embedding), ``vectors``: (chunk_id, embedding). Every query meets every
-    vector once, in pairs of a block and a slice of bounded size; a pair returns its ``k`` best only.
-    Distances are rounded to 9 digits.
+    From a stored ``index``, or from one of ``chunks`` that holds what the queries ask for.
     """
-    blocks = max(1, -(-queries.count() // query_block))
-    slices = max(1, -(-vectors.count() // slice_rows))
-    number = lambda of, n: F.pmod(F.xxhash64(of), F.lit(n)).cast("int")
-    asks = queries.select("query_id", F.col("embedding").cast("array<double>"), number("query_id", blocks).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
-    has = vectors.select("chunk_id", F.col("embedding").cast("array<double>"), number("chunk_id", slices).alias("slice"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    ids = {f.name: f.dataType.simpleString() for f in [*queries.schema, *vectors.schema]}
-
-    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
-        b = b.sort_by("chunk_id")
-        x, y = (t.column("embedding").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1) if t.num_rows else np.zeros((0, 0)) for t in (a, b))
-        rows = min(k, len(y))
-        near = np.zeros((len(x), rows), dtype=np.int64)
-        far = np.zeros((len(x), rows))
-        if len(x) and rows:
-            size = (y**2).sum(axis=1)
-            for at in range(0, len(x), 64):
-                own = x[at : at + 64]
-                square = size - 2 * (own @ y.T)
-                # The product may err in the last digits: everything about as near as the k-th is compared as it stands.
-                kth = np.partition(square, rows - 1, axis=1)[:, rows - 1]
-                slack = 4e-9 * (1 + size.max() + (own**2).sum(axis=1))
-                for i, q in enumerate(own):
-                    some = np.flatnonzero(square[i] <= kth[i] + slack[i])
-                    d = np.round(np.sqrt(((y[some] - q) ** 2).sum(axis=1)), 9)
-                    best = np.argsort(d, kind="stable")[:rows]  # rows come by chunk_id
-                    near[at + i], far[at + i] = some[best], d[best]
-        return pa.table({"query_id": a.column("query_id").take(pa.array(np.repeat(np.arange(len(x)), rows))), "chunk_id": b.column("chunk_id").take(pa.array(near.ravel())), "distance": pa.array(far.ravel())})
-
-    found = asks.groupBy("block", "slice").cogroup(has.groupBy("block", "slice")).applyInArrow(meet, f"query_id {ids['query_id']}, chunk_id {ids['chunk_id']}, distance double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "chunk_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+    return lexical.bm25(queries, index or _lexicon(queries, chunks), k)
 
 
 def lexical_score(score: Column) -> Column:

@@ -13,7 +13,7 @@ from ..sources import files
 from ..storage import new_folder
 from ..streaming import changes
 from . import frames
-from .frames import CHUNKS, MANIFEST, PAGES, SNAPSHOTS, chunks, labelled_pages, manifest, pages, snapshots, table
+from .frames import CHUNKS, MANIFEST, PAGES, SNAPSHOTS, chunks, labelled_pages, line_index, manifest, pages, snapshots, table
 from .registry import query
 from .search_queries import LISTS, lists
 
@@ -375,7 +375,7 @@ def _(spark, sf):
 
 @query("v08_distinct_paths", f"WITH {LISTS}, p AS (SELECT query_id AS case_id, path, min(rank) AS rank FROM lex_ JOIN chunks_ USING (chunk_id) GROUP BY ALL) SELECT case_id, path, row_number() OVER (PARTITION BY case_id ORDER BY rank, path) AS rank FROM p QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY rank, path) <= 10")
 def _(spark, sf):
-    hits = lists(spark, sf).where("list_idx = 0").join(chunks(spark, sf).select("chunk_id", "path"), "chunk_id").select(F.col("query_id").alias("case_id"), "path", "rank")
+    hits = lists(spark, sf).where("list_idx = 0").join(line_index(spark, sf).chunks.select("chunk_id", "path"), "chunk_id").select(F.col("query_id").alias("case_id"), "path", "rank")
     return evaluation.distinct_paths(hits, 10)
 
 
@@ -423,7 +423,7 @@ EVIDENCE = LISTS + r""", shown_ AS (SELECT query_id, chunk_id, path, score, retr
 
 def passages(spark, sf):
     """A page's source stands for its heading."""
-    shown = chunks(spark, sf).select("chunk_id", "path", F.array(F.split("path", "/")[1]).alias("heading_path"), F.col("text").alias("snippet"))
+    shown = line_index(spark, sf).chunks.select("chunk_id", "path", F.array(F.split("path", "/")[1]).alias("heading_path"), F.col("text").alias("snippet"))
     rows = fusion.fuse(lists(spark, sf)).join(shown, "chunk_id").withColumn("rank", F.col("fused_rank"))
     return evidence.selected(rows, 300, allowed=chunks(spark, sf).where("path not like 'fr/%'"))
 

@@ -5,9 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.embed import hash_embedding
 from ..functions.text import page_title
 from ..operators.chunking import line_chunks
+from ..operators.lexical import lexicon
 from ..operators.maintenance import manifest_of
+from ..operators.nearest import vector_index
+from ..storage import hadoop_path, stored
+from .search import Index
+
+#: Dimensions of the vectors that the queries of fusion and ranking fuse; search itself (q00) uses the default.
+DIMS = 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +42,24 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_chunks(pages(spark, sf_dir))
 
 
+#: Indexes that were built, by session and folder.
+_INDEXES: dict[tuple[str, str], Index] = {}
+
+
+def line_index(spark: SparkSession, sf_dir: str) -> Index:
+    """The stored index of all chunks that the retrieval queries ask, built by the first that needs it and while its files are there."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key in _INDEXES:
+        path, store = hadoop_path(spark, _INDEXES[key].chunks.stored_at)
+        if not store.exists(path):
+            del _INDEXES[key]
+    if key not in _INDEXES:
+        own = stored(chunks(spark, sf_dir), "line-chunks")
+        vectors = own.select("chunk_id", hash_embedding(F.col("text"), DIMS).alias("embedding"))
+        _INDEXES[key] = Index(pages(spark, sf_dir), own, vectors, lexicon(own), vector_index(vectors))
+    return _INDEXES[key]
+
+
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A query per benchmark passage: its first sentence."""
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.regexp_extract("text", r"\A([^.!?]*)", 1).alias("query"))

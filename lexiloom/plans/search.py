@@ -14,21 +14,22 @@ from ..functions.snippet import snippet
 from ..functions.text import result_title
 from ..operators import fusion, retrieval
 from ..operators.chunking import chunk
+from ..operators.lexical import Lexicon, lexicon
 from ..storage import stored
 
 
 @dataclass(frozen=True)
 class Index:
-    """The tables a search reads: pages (path, title, frontmatter), chunks, vectors, stored postings and their statistics.
+    """The tables a search reads: pages (path, title, frontmatter), chunks, vectors, stored postings and blocks of vectors.
 
-    Without stored postings a search scans the chunks for the terms of its queries.
+    Without a lexicon a search indexes the chunks for the terms of its queries, without blocks it makes them of the vectors.
     """
 
     pages: DataFrame
     chunks: DataFrame
     vectors: DataFrame
-    postings: DataFrame | None = None
-    stats: DataFrame | None = None
+    lexicon: Lexicon | None = None
+    blocks: retrieval.VectorIndex | None = None
 
 
 def build_index(pages: DataFrame, settings: Settings | None = None, embed: Callable[[DataFrame], DataFrame] | None = None) -> Index:
@@ -36,7 +37,7 @@ def build_index(pages: DataFrame, settings: Settings | None = None, embed: Calla
     settings = settings or Settings()
     chunks = stored(chunk(pages.select("path", "plain"), settings.chunk_size, settings.chunk_overlap), "index-chunks")
     index = index_of(pages, chunks, settings, embed)
-    return replace(index, vectors=stored(index.vectors, "index-vectors"), postings=stored(retrieval.postings(chunks), "index-postings"), stats=stored(retrieval.index_stats(chunks), "index-stats"))
+    return replace(index, blocks=retrieval.vector_index(index.vectors), lexicon=lexicon(chunks))
 
 
 def index_of(pages: DataFrame, chunks: DataFrame, settings: Settings, embed: Callable[[DataFrame], DataFrame] | None = None) -> Index:
@@ -51,12 +52,12 @@ def retrieve(queries: DataFrame, index: Index, settings: Settings, planner=None,
     hits = []
     if settings.bm25_weight > 0:
         lexical = lists.where("arm = 'lexical'")
-        found = retrieval.bm25(lexical.select(F.col("list_id").alias("query_id"), F.col("text").alias("query")), index.chunks, settings.per_retriever, index.postings, index.stats)
+        found = retrieval.bm25(lexical.select(F.col("list_id").alias("query_id"), F.col("text").alias("query")), index.chunks, settings.per_retriever, index.lexicon)
         hits.append((found, lexical, "bm25", settings.bm25_weight, 0))
     if settings.vector_weight > 0:
         semantic = lists.where("arm = 'semantic'")
         asked = embed(semantic) if embed else semantic.withColumn("embedding", hash_embedding(F.col("text"), settings.embedding_dims))
-        found = retrieval.nearest(asked.select(F.col("list_id").alias("query_id"), "embedding"), index.vectors, settings.per_retriever)
+        found = retrieval.nearest(asked.select(F.col("list_id").alias("query_id"), "embedding"), index.vectors, settings.per_retriever, index.blocks)
         hits.append((found, semantic, "vector", settings.vector_weight, 1000))
     out = None
     for found, arm, name, weight, first in hits:

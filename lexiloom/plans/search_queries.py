@@ -8,14 +8,10 @@ from ..functions.embed import hash_embedding
 from ..functions.text import match_phrases
 from ..operators import fusion, retrieval
 from . import search
-from .frames import CHUNKS, PAGES, QUERIES_SQL, chunks, chunks_sql, labelled_pages, queries, table
+from .frames import CHUNKS, DIMS, PAGES, QUERIES_SQL, chunks, chunks_sql, labelled_pages, line_index, queries, table
 from .registry import query
 from .snippet_sql import snippet_sql, terms_sql
 
-#: Dimensions of the vectors that the queries of fusion and ranking fuse; search itself (q00) uses the default.
-DIMS = 64
-
-
 SCORES = r""",
  tok_ AS (SELECT chunk_id, path, text, regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+') AS w FROM chunks_),
  len_ AS (SELECT chunk_id, len(w) AS dl FROM tok_), st_ AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM len_),
@@ -58,16 +54,15 @@ BOOST = LISTS + rf""", parts_ AS (SELECT c.*, p.path, p.text, list_filter(string
 
 def lists(spark, sf):
     """The two ranked lists of a query: BM25 and the nearest hash embeddings, over the same chunks."""
-    own, asked = chunks(spark, sf), queries(spark, sf)
+    index, asked = line_index(spark, sf), queries(spark, sf)
     listed = lambda found, at, name, weight: found.select("query_id", F.lit(at).alias("list_idx"), F.lit(name).alias("retriever"), F.lit(weight).alias("weight"), "chunk_id", "rank")
-    vectors = own.select("chunk_id", hash_embedding(F.col("text"), DIMS).alias("embedding"))
-    near = retrieval.nearest(asked.select("query_id", hash_embedding(F.col("query"), DIMS).alias("embedding")), vectors, 30)
-    return listed(retrieval.bm25(asked, own), 0, "bm25", 0.5).unionByName(listed(near, 1000, "vector", 0.25))
+    near = retrieval.nearest(asked.select("query_id", hash_embedding(F.col("query"), DIMS).alias("embedding")), k=30, index=index.blocks)
+    return listed(retrieval.bm25(asked, index=index.lexicon), 0, "bm25", 0.5).unionByName(listed(near, 1000, "vector", 0.25))
 
 
 def candidates(spark, sf):
     """Fused candidates with what ranking needs; ``doc`` is added to each query so that paths match some."""
-    rows = fusion.fuse(lists(spark, sf)).join(chunks(spark, sf).drop("heading_path"), "chunk_id").join(queries(spark, sf), "query_id")
+    rows = fusion.fuse(lists(spark, sf)).join(line_index(spark, sf).chunks.drop("heading_path"), "chunk_id").join(queries(spark, sf), "query_id")
     heading = F.array(F.concat(F.lit("Doc "), F.split("path", "/")[0]))
     return rows.withColumn("query", F.concat("query", F.lit(" doc"))).withColumn("heading_path", heading)
 
@@ -83,7 +78,7 @@ def _(spark, sf):
 
 @query("r01_bm25", f"WITH {BM25} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM lex_")
 def _(spark, sf):
-    return retrieval.bm25(queries(spark, sf), chunks(spark, sf)).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+    return retrieval.bm25(queries(spark, sf), index=line_index(spark, sf).lexicon).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query("r02_match_phrases", f"WITH {BM25} SELECT query_id, phrase, term FROM qt_")
@@ -97,7 +92,7 @@ def _(spark, sf):
     """The first two words of a passage as one phrase: adjacent positions in the index."""
     words = F.split("text", r"\s+")
     asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(words[0], F.lit("-"), words[1]).alias("query"))
-    return retrieval.phrase_hits(asked, chunks(spark, sf)).select("query_id", "chunk_id")
+    return retrieval.phrase_hits(asked, index=line_index(spark, sf).lexicon).select("query_id", "chunk_id")
 
 
 VECTORS = "q AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % 50 = 0), d AS (SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, round(list_distance(q.e, CAST(v.embedding AS DOUBLE[])), 9) AS distance FROM q, embeddings v), near_ AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS rank FROM d QUALIFY rank <= 10)"
@@ -115,17 +110,16 @@ def _(spark, sf):
 
 @query("r05_shown_scores", f"WITH {BM25}, {vector_sql()} SELECT query_id, chunk_id, 'bm25' AS retriever, round(1 / (1 + abs(score)), 6) AS shown FROM lex_ UNION ALL SELECT query_id, chunk_id, 'vector', round(1 / (1 + d), 6) FROM vec_")
 def _(spark, sf):
-    own, asked = chunks(spark, sf), queries(spark, sf)
-    vectors = own.select("chunk_id", hash_embedding(F.col("text"), DIMS).alias("embedding"))
-    near = retrieval.nearest(asked.select("query_id", hash_embedding(F.col("query"), DIMS).alias("embedding")), vectors, 30)
-    shown = retrieval.bm25(asked, own).select("query_id", "chunk_id", F.lit("bm25").alias("retriever"), retrieval.lexical_score(F.col("score")).alias("shown"))
+    index, asked = line_index(spark, sf), queries(spark, sf)
+    near = retrieval.nearest(asked.select("query_id", hash_embedding(F.col("query"), DIMS).alias("embedding")), k=30, index=index.blocks)
+    shown = retrieval.bm25(asked, index=index.lexicon).select("query_id", "chunk_id", F.lit("bm25").alias("retriever"), retrieval.lexical_score(F.col("score")).alias("shown"))
     shown = shown.unionByName(near.select("query_id", "chunk_id", F.lit("vector").alias("retriever"), retrieval.vector_score(F.col("distance")).alias("shown")))
     return shown.withColumn("shown", F.round("shown", 6))
 
 
 @query("r06_frontmatter_lookup", f"WITH {BM25} SELECT query_id, l.chunk_id, lang, source, quality FROM lex_ l JOIN chunks_ c ON l.chunk_id = c.chunk_id JOIN pages_ p ON c.path = p.path LEFT JOIN labels b ON p.doc_id = b.doc_id")
 def _(spark, sf):
-    hits = retrieval.bm25(queries(spark, sf), chunks(spark, sf)).join(chunks(spark, sf).select("chunk_id", "path"), "chunk_id")
+    hits = retrieval.bm25(queries(spark, sf), index=line_index(spark, sf).lexicon).join(chunks(spark, sf).select("chunk_id", "path"), "chunk_id")
     found = retrieval.with_frontmatter(hits, labelled_pages(spark, sf))
     return found.select("query_id", "chunk_id", F.from_json("frontmatter", "struct<lang:string,source:string,quality:int>").alias("f")).select("query_id", "chunk_id", "f.lang", "f.source", "f.quality")
 
@@ -191,7 +185,7 @@ def _(spark, sf):
 
 @query("q10_unnamed_lists", f"WITH {BM25} SELECT query_id, chunk_id, 1.0::DOUBLE AS weight, 'bm25' AS retriever FROM lex_")
 def _(spark, sf):
-    hits = retrieval.bm25(queries(spark, sf), chunks(spark, sf)).select("query_id", "chunk_id", "rank", F.lit(0).alias("list_idx"), F.lit(None).cast("double").alias("weight"), F.lit(None).cast("string").alias("retriever"), F.when(F.col("rank") == 1, "bm25").alias("hit_retriever"))
+    hits = retrieval.bm25(queries(spark, sf), index=line_index(spark, sf).lexicon).select("query_id", "chunk_id", "rank", F.lit(0).alias("list_idx"), F.lit(None).cast("double").alias("weight"), F.lit(None).cast("string").alias("retriever"), F.when(F.col("rank") == 1, "bm25").alias("hit_retriever"))
     return fusion.unnamed_lists(hits).select("query_id", "chunk_id", "weight", "retriever")
 
 
@@ -282,7 +276,7 @@ def _(spark, sf):
 def _(spark, sf):
     """Asking for 40 results raises what each retriever gives to 40."""
     per, _, _ = fusion.limits(k=40)
-    return retrieval.bm25(queries(spark, sf), chunks(spark, sf), per).select("query_id", "chunk_id", "rank")
+    return retrieval.bm25(queries(spark, sf), k=per, index=line_index(spark, sf).lexicon).select("query_id", "chunk_id", "rank")
 
 
 @query("q03_q11_weights_and_k", f"WITH {BM25}, {vector_sql()} SELECT query_id, chunk_id, round(0.5 / rank, 12)::DOUBLE AS score, rank AS fused_rank FROM vec_ WHERE rank <= 5")

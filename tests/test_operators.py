@@ -8,7 +8,7 @@ from lexiloom.config import Settings, capabilities, load_settings
 from lexiloom.functions import text as T
 from lexiloom.functions.embed import chunk_size_for, embed_with, hash_embedding
 from lexiloom.functions.snippet import around_terms, make_snippet
-from lexiloom.operators import chunking, evaluation, evidence, fusion, health, maintenance, pages, retrieval
+from lexiloom.operators import chunking, evaluation, evidence, fusion, health, lexical, maintenance, pages, retrieval
 from lexiloom.plans import search
 from lexiloom.sources import files, markdown, questions
 from lexiloom.streaming import changes
@@ -160,20 +160,51 @@ def test_bm25_of_runs_and_repeats_equals_the_formula(spark):
         return {c: round(s, 9) for c, s in out.items()}
 
     expected = {(q, c): s for q, text in ((1, "well-known b"), (2, "a-a b b"), (3, "nothing")) for c, s in score(text).items()}
-    for index in (None, retrieval.postings(chunks)):
-        assert {(r.query_id, r.chunk_id): r.score for r in retrieval.bm25_scores(asked, chunks, index).collect()} == pytest.approx(expected)
-
-
-def test_nearest_equals_brute_force(spark):
+    index = lexical.lexicon(chunks)
+    assert {(r.query_id, r.chunk_id): r.score for r in lexical.scores(asked, index).collect()} == pytest.approx(expected)
+    for found in (retrieval.bm25(asked, chunks), retrieval.bm25(asked, index=index)):
+        assert {(r.query_id, r.chunk_id): r.score for r in found.collect()} == pytest.approx(expected)
+
+
+def test_pruned_top_k_equals_scoring_everything(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(lexical, "BLOCK", 4)
+    rng = random.Random(4)
+    words = [f"w{int(rng.paretovariate(0.6)) % 400}" for _ in range(9000)]
+    texts = [(f"d{i}.md#{i % 3}", " ".join(rng.choices(words, k=rng.randrange(0, 60)))) for i in range(600)]
+    chunks = spark.createDataFrame(texts, "chunk_id string, text string")
+    asked = spark.createDataFrame([(i, " ".join(rng.choices(words, k=rng.randrange(1, 8)) + [f"{a}-{b}" for a, b in [rng.sample(words, 2)] if i % 3 == 0])) for i in range(40)], "query_id int, query string")
+    index = lexical.lexicon(chunks)
+    want = sorted(map(tuple, lexical.top(lexical.scores(asked, index), 5).collect()))
+    assert sorted(map(tuple, lexical.bm25(asked, index, 5).collect())) == want
+    assert sorted(map(tuple, retrieval.bm25(asked, chunks, 5).collect())) == want
+    share = lexical.scored_share(asked, index, 5).agg(F.sum("candidates"), F.sum("postings")).first()
+    assert share[0] < share[1] / 3
+
+
+def test_nearest_equals_brute_force(spark, monkeypatch):
     import numpy as np
 
+    from lexiloom.operators import nearest as module
+
+    monkeypatch.setattr(module, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(module, "PACK_CELLS", 1)  # 16 queries a pack
+    monkeypatch.setattr(module, "PACKS", 1)
     rng = np.random.default_rng(2)
     x = rng.integers(-2, 3, (300, 6)).astype(float)  # many ties
-    vectors = spark.createDataFrame([(f"c{i:03}", v) for i, v in enumerate(x.tolist())], "chunk_id string, embedding array<double>")
-    asked = spark.createDataFrame([(i, x[i].tolist()) for i in range(20)], "query_id int, embedding array<double>")
-    expected = {(q, f"c{i:03}", r + 1) for q in range(20) for r, i in enumerate(np.lexsort((np.arange(300), np.round(np.sqrt(((x - x[q]) ** 2).sum(1)), 9)))[:7])}
-    found = retrieval.nearest(asked, vectors, 7, query_block=8, slice_rows=90)
-    assert {(r.query_id, r.chunk_id, r["rank"]) for r in found.collect()} == expected
+    x = np.concatenate([x, np.repeat(x[3:4], 120, axis=0), 50 + rng.normal(size=(300, 6))])  # one vector often, a far cluster
+    vectors = spark.createDataFrame([(f"c{i:03}", v) for i, v in enumerate(x.tolist())], "chunk_id string, embedding array<double>").repartition(5)
+    asked = spark.createDataFrame([(i, x[i].tolist()) for i in range(0, 700, 14)], "query_id int, embedding array<double>")
+    expected = {(q, f"c{i:03}", r + 1) for q in range(0, 700, 14) for r, i in enumerate(np.lexsort((np.arange(len(x)), np.round(np.sqrt(((x - x[q]) ** 2).sum(1)), 9)))[:7])}
+    index = retrieval.vector_index(vectors)
+    for found in (retrieval.nearest(asked, vectors, 7), retrieval.nearest(asked, k=7, index=index)):
+        assert {(r.query_id, r.chunk_id, r["rank"]) for r in found.collect()} == expected
+    share = module.compared(asked, index, 7).first()
+    assert share.pairs == 50 * len(x) and share.compared < share.pairs / 2
+    few = retrieval.nearest(asked, vectors.where("chunk_id < 'c003'"), 7)
+    assert few.groupBy("query_id").count().where("count = 3").count() == 50
+    assert retrieval.nearest(asked, vectors.where("false"), 7).collect() == []
 
 
 def test_settings_come_from_file_and_environment(tmp_path):

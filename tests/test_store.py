@@ -1,6 +1,7 @@
 """The stored index: incremental runs, broken files, edits with history, embedder changes."""
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lexiloom.config import Settings
@@ -118,3 +119,20 @@ def test_a_commit_is_all_or_nothing(spark, tmp_path):
     with pytest.raises(Exception):  # noqa: B017  whatever Spark raises
         store.commit(meta=spark.createDataFrame([("k", "2")], "key string, value string"), pages=spark.range(1).select(F.raise_error(F.lit("lost")).alias("path"), *[F.lit(None).alias(c) for c in ("title", "frontmatter", "size", "last_modified", "last_indexed")]))
     assert store.version() == before and store.read("meta").first().value == "1"
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_history_ids_are_unique_and_in_order(spark, adaptive):
+    from lexiloom.operators import maintenance
+
+    held = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        spark.conf.set("spark.sql.shuffle.partitions", 16)
+        pages = spark.range(300_000, numPartitions=7).select(F.concat(F.lit("p"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("path"), F.sha2(F.col("id").cast("string"), 256).alias("text"), (F.col("id") % 5).alias("at"))
+        rows = maintenance.history_rows(pages, F.col("path").substr(7, 1), 11)
+        got = rows.select("id", "path", F.row_number().over(Window.orderBy("written_at", "path")).alias("n"))
+        assert got.agg(F.count("*"), F.countDistinct("id"), F.count_if(F.col("id") != F.col("n") + 10)).first()[:] == (300_000, 300_000, 0)
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
