@@ -152,7 +152,7 @@ def asked_terms(asked: DataFrame) -> DataFrame:
     return asked.select(F.explode("tokens").alias("term")).distinct()
 
 
-def _opened(rows: DataFrame, gone: DataFrame | None, *keep: str, positions: bool = False) -> DataFrame:
+def opened(rows: DataFrame, gone: DataFrame | None, *keep: str, positions: bool = False) -> DataFrame:
     """Live postings (chunk_id, tf, dl, positions?) of blocks, with the columns ``keep``."""
     lists = ["chunk_ids", "tfs", "dls", *(["positions"] if positions else [])]
     names = {"chunk_ids": "chunk_id", "tfs": "tf", "dls": "dl", "positions": "positions"}
@@ -168,7 +168,7 @@ def run_hits(asked: DataFrame, index: Lexicon) -> DataFrame:
     """(unit, chunk_id, tf, dl) of units of several tokens: where each token stands as many places on as the unit says."""
     runs = asked.where(F.size("tokens") > 1).select("unit", "tokens").distinct()
     wanted = runs.select("unit", F.size("tokens").alias("size"), F.posexplode("tokens").alias("at", "term"))
-    held = _opened(index.blocks.join(small(wanted), "term"), index.gone, "unit", "size", "at", positions=True)
+    held = opened(index.blocks.join(small(wanted), "term"), index.gone, "unit", "size", "at", positions=True)
     each = held.select("unit", "size", "chunk_id", "dl", F.transform("positions", lambda x: x - F.col("at")).alias("starts"))
     # a start that every token of the unit names
     met = each.groupBy("unit", "size", "chunk_id", "dl").agg(F.collect_list("starts").alias("all")).where(F.size("all") == F.col("size"))
@@ -179,7 +179,7 @@ def run_hits(asked: DataFrame, index: Lexicon) -> DataFrame:
 def unit_hits(asked: DataFrame, index: Lexicon) -> DataFrame:
     """(unit, chunk_id, tf, dl): how often each of the ``asked`` units (unit, tokens) occurs in the chunks that hold it."""
     single = asked.where(F.size("tokens") == 1).select(F.col("unit").alias("term")).distinct()
-    hits = _opened(index.blocks.drop("positions").join(small(single), "term"), index.gone, "term").withColumnRenamed("term", "unit")
+    hits = opened(index.blocks.drop("positions").join(small(single), "term"), index.gone, "term").withColumnRenamed("term", "unit")
     return hits.unionByName(run_hits(asked, index))
 
 
@@ -226,7 +226,7 @@ def candidates(queries: DataFrame, index: Lexicon, k: int) -> tuple[DataFrame, D
 
     # The best block of each term: its chunks tell what a query's k-th best chunk scores at least.
     best = lists.groupBy("unit").agg(F.max_by(F.struct(*[c for c in lists.columns if c != "unit"]), "peak").alias("b")).select("unit", "b.*")
-    seen = _opened(best, index.gone, "unit").join(small(plain), "unit").groupBy("query_id", "chunk_id").agg(F.sum(_part()).alias("score"))
+    seen = opened(best, index.gone, "unit").join(small(plain), "unit").groupBy("query_id", "chunk_id").agg(F.sum(_part()).alias("score"))
     first = stored(top(seen, FIRST * k).select("query_id", "chunk_id"), "bm25-first")
     kth = top(_full(first, lists, runs, plain, index), k).groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("reached")).where(F.col("n") == k).drop("n")
 
@@ -242,7 +242,7 @@ def candidates(queries: DataFrame, index: Lexicon, k: int) -> tuple[DataFrame, D
     weights = stored(ranked.withColumn("rest", rest).select("query_id", "unit", "weight", "average", "reached", "cut", "leads", "rest", F.sum("rest").over(by).alias("rests")), "bm25-leads")
     leads = small(weights.where("leads"))
     columns = ("query_id", "weight", "average", "rest", "rests", "reached")
-    met = _opened(lists.join(leads, "unit").where(F.col("weight") * F.col("peak") >= F.col("cut")), index.gone, *columns)
+    met = opened(lists.join(leads, "unit").where(F.col("weight") * F.col("peak") >= F.col("cut")), index.gone, *columns)
     met = met.unionByName(runs.join(leads, "unit").select(*columns, "chunk_id", "tf", "dl"))
     summed = met.groupBy("query_id", "chunk_id").agg(F.sum(_part()).alias("score"), F.sum("rest").alias("met"), F.first("rests").alias("rests"), F.first("reached").alias("reached"))
     hopes = summed.where(F.col("score") + F.col("rests") - F.col("met") >= F.col("reached"))
@@ -252,7 +252,7 @@ def candidates(queries: DataFrame, index: Lexicon, k: int) -> tuple[DataFrame, D
 def _full(pairs: DataFrame, lists: DataFrame, runs: DataFrame, weights: DataFrame, index: Lexicon) -> DataFrame:
     """(query_id, chunk_id, score) of pairs (query_id, chunk_id), from the postings of these chunks."""
     wanted = small(pairs.select("chunk_id").distinct())
-    hits = _opened(lists, index.gone, "unit").unionByName(runs).join(wanted, "chunk_id", "left_semi")
+    hits = opened(lists, index.gone, "unit").unionByName(runs).join(wanted, "chunk_id", "left_semi")
     scored = hits.join(small(pairs), "chunk_id").join(small(weights.select("query_id", "unit", "weight", "average")), ["query_id", "unit"])
     return scored.groupBy("query_id", "chunk_id").agg(F.round(F.sum(_part()), 9).alias("score"))
 

@@ -5,6 +5,10 @@ folder of its own, and then one commit file that lists all folders. What a chang
 change, not the index. A row is current unless a later commit replaced its path. Every
 ``COMPACT_AFTER`` commits the folders of a table are rewritten as one.
 
+The full-text half is kept alike: each change writes its postings as a segment, and what it adds to or takes from the
+counts of terms, chunks and tokens. Postings of replaced paths stay in their segments and are skipped when
+opened; segments of about one size are merged once there are ``MERGE`` of them, without their dead postings.
+
 Readers follow the latest commit, so they never see half a change, and a failed or lost job leaves
 only files that no commit names. Two writers on one commit number collide: the second fails instead
 of overwriting the first.
@@ -14,6 +18,7 @@ from __future__ import annotations
 
 import functools
 import json
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -25,7 +30,7 @@ from ..functions.embed import hash_embedding
 from ..functions.text import page_title
 from ..sources.markdown import parse_pages
 from ..storage import stored
-from . import maintenance
+from . import lexical, maintenance
 from .chunking import chunk
 
 SCHEMAS = {
@@ -35,12 +40,17 @@ SCHEMAS = {
     "manifest": "path string, sha256 string, chunk_count long, last_indexed timestamp",
     "history": "id long, path string, sha256 string, body string, frontmatter string, byte_size long, written_at timestamp",
     "meta": "key string, value string",
+    "postings": lexical.BLOCKS,
+    "terms": lexical.TERMS,
+    "totals": lexical.TOTALS,
 }
 
 
 #: Tables whose rows of a path are replaced as a whole; history only grows, and meta is one small table.
 PAGED = ("pages", "chunks", "vectors", "manifest")
 COMPACT_AFTER = 20
+#: Segments of postings of one size class that are merged, and how many times as many blocks the next class holds.
+MERGE = 4
 
 
 @dataclass(frozen=True)
@@ -94,10 +104,12 @@ class IndexStore:
         rows = self._rows(folders.get(name, []), SCHEMAS[name])
         if name == "history":
             return maintenance.newest(rows.drop("commit"), self.settings.history_keep)
-        first = min((n for _, n in folders.get(name, [])), default=0)
-        later = [(f, n) for f, n in folders.get("gone", []) if n > first] if name in PAGED else []
-        if later:  # a path that was replaced or removed after the row was written
-            gone = self._rows(later, "path string").groupBy("path").agg(F.max("commit").alias("until"))
+        if name == "terms":
+            return rows.groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0")
+        if name == "totals":
+            return rows.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("chunks", "tokens")])
+        gone = self._gone(folders, min((n for _, n in folders.get(name, [])), default=0)) if name in PAGED else None
+        if gone is not None:
             rows = rows.join(gone, "path", "left").where("until is null or commit >= until").drop("until")
         return rows.drop("commit")
 
@@ -114,10 +126,11 @@ class IndexStore:
             folder = f"{name}/v{number}"
             df.select(*[F.col(f.name).cast(f.dataType) for f in wanted]).write.mode("overwrite").parquet(f"{self.root}/{folder}")
             folders.setdefault(name, []).append([folder, number])
-        for name in (n for n in SCHEMAS if len(folders.get(n, [])) > COMPACT_AFTER):
+        self._merge_segments(folders, number)
+        for name in (n for n in SCHEMAS if n != "postings" and len(folders.get(n, [])) > COMPACT_AFTER):
             self._current(name, folders).write.mode("overwrite").parquet(f"{self.root}/{name}/v{number}-whole")
             folders[name] = [[f"{name}/v{number}-whole", number]]
-        oldest = min((n for name in PAGED for _, n in folders.get(name, [])), default=number)
+        oldest = min((n for name in (*PAGED, "postings") for _, n in folders.get(name, [])), default=number)
         folders["gone"] = [[f, n] for f, n in folders.get("gone", []) if n > oldest]
         path, store = self._path(f"commits/{number}.json")
         out = store.create(path, False)
@@ -127,6 +140,55 @@ class IndexStore:
             out.close()
         return number
 
+    # full text
+
+    def _gone(self, folders: dict[str, list], first: int) -> DataFrame | None:
+        """(path, until) of paths that were replaced or removed after commit ``first``."""
+        later = [(f, n) for f, n in folders.get("gone", []) if n > first]
+        return self._rows(later, "path string").groupBy("path").agg(F.max("commit").alias("until")) if later else None
+
+    def _merge_segments(self, folders: dict[str, list], number: int) -> None:
+        """Segments of a size class with enough of them become one, without dead postings."""
+        classes: dict[int, list] = {}
+        for entry in folders.get("postings", []):
+            blocks = self.spark.read.schema(SCHEMAS["postings"]).parquet(f"{self.root}/{entry[0]}").count()  # from the files' footers
+            classes.setdefault(int(math.log(max(blocks, 1), MERGE)), []).append(entry)
+        for size, entries in classes.items():
+            if len(entries) < MERGE:
+                continue
+            rows = self._rows(entries, SCHEMAS["postings"])
+            live = lexical.opened(rows, self._gone(folders, min(n for _, n in entries)), "term", positions=True)
+            folder = f"postings/v{number}-class{size}"
+            lexical.blocks(stored(live, "merged-postings")).write.mode("overwrite").parquet(f"{self.root}/{folder}")
+            folders["postings"] = [e for e in folders["postings"] if e not in entries] + [[folder, number]]
+
+    def lexicon(self) -> lexical.Lexicon:
+        """What a lexical search reads; no text of chunks."""
+        folders = self.version()[1]
+        segments = folders.get("postings", [])
+        gone = self._gone(folders, min((n for _, n in segments), default=0))
+        blocks = self._rows(segments, SCHEMAS["postings"])
+        return lexical.Lexicon(blocks if gone is not None else blocks.drop("commit"), self._current("terms", folders), self._current("totals", folders), gone)
+
+    def index(self):
+        """The stored index as ``plans.search`` asks it."""
+        from ..plans.search import Index
+
+        vectors = self.read("vectors").select("chunk_id", "embedding")
+        return Index(self.read("pages"), self.read("chunks"), vectors, self.lexicon())
+
+    def _counted(self, paths: DataFrame, added: DataFrame | None = None) -> dict[str, DataFrame]:
+        """Postings of ``added`` chunks, and how the counts change when these replace what the index holds of ``paths``."""
+        lost = self.read("chunks").join(paths.select("path").distinct(), "path", "left_semi").select("chunk_id", "text")
+        out, sides = {}, [(stored(lexical.occurrences(lost), "lost-occurrences"), -1)]
+        if added is not None:
+            sides.append((stored(lexical.occurrences(added.select("chunk_id", "text")), "new-occurrences"), 1))
+            out["postings"] = lexical.blocks(sides[1][0])
+        terms = [lexical.term_counts(found).withColumn("df", sign * F.col("df")) for found, sign in sides]
+        sums = [lexical.totals(found).select((sign * F.col("chunks")).alias("chunks"), (sign * F.col("tokens")).alias("tokens")) for found, sign in sides]
+        changed = functools.reduce(DataFrame.unionByName, terms).groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0")
+        return out | {"terms": changed, "totals": functools.reduce(DataFrame.unionByName, sums)}
+
     # indexing
 
     def check_embedder(self) -> tuple[bool, str | None]:
@@ -134,7 +196,7 @@ class IndexStore:
         state = maintenance.embedder_state(self.read("meta"), self.model, self.settings.embedding_dims).first()
         if state.changed or state.previous is None:
             meta = self.spark.createDataFrame([("embedder_model", self.model), ("embedder_dim", str(self.settings.embedding_dims))], SCHEMAS["meta"])
-            self.commit(fresh=("meta", "chunks", "vectors", "manifest") if state.changed else ("meta",), meta=meta)
+            self.commit(fresh=("meta", "chunks", "vectors", "manifest", "postings", "terms", "totals") if state.changed else ("meta",), meta=meta)
         return state.changed, state.previous
 
     def _index(self, files: DataFrame, now: Column) -> tuple[dict[str, DataFrame], DataFrame]:
@@ -162,7 +224,8 @@ class IndexStore:
         indexed = done.count()
         skipped = walked.join(manifest.select("path", "sha256"), ["path", "sha256"], "left_semi").count()
         if indexed or deleted:
-            self.commit(gone=gone.union(done), **new)
+            replaced = gone.union(done)
+            self.commit(gone=replaced, **new, **self._counted(replaced, new["chunks"]))
         return IndexResult(indexed, skipped, deleted, added, errors)
 
     def save(self, pages: DataFrame, current: DataFrame | None = None) -> IndexResult:
@@ -179,13 +242,14 @@ class IndexStore:
             tables["history"] = maintenance.history_rows(held, now, first)
         new, errors = self._index(files, now)
         indexed, chunks = new["pages"].count(), new["chunks"].count()
-        self.commit(gone=new["pages"].select("path"), **new, **tables)
+        replaced = new["pages"].select("path")
+        self.commit(gone=replaced, **new, **tables, **self._counted(replaced, new["chunks"]))
         return IndexResult(indexed, 0, 0, chunks, errors)
 
     def remove(self, paths: DataFrame) -> int:
         """Drop pages; returns how many chunks went. Their history stays."""
         lost = self.read("chunks").join(paths.select("path"), "path", "left_semi").count()
-        self.commit(gone=paths)
+        self.commit(gone=paths, **self._counted(paths))
         return lost
 
     def remove_folder(self, folder: str) -> int:

@@ -136,3 +136,46 @@ def test_history_ids_are_unique_and_in_order(spark, adaptive):
     finally:
         for k, v in held.items():
             spark.conf.set(k, v)
+
+
+def test_full_text_of_a_changed_index_equals_a_rebuilt_one(spark, tmp_path, monkeypatch):
+    """Saves, a removal, a reconcile and merged segments; what is asked reads no text of chunks."""
+    import random
+
+    from lexiloom.operators import lexical
+    from lexiloom.operators import store as module
+
+    monkeypatch.setattr(module, "COMPACT_AFTER", 3)
+    monkeypatch.setattr(lexical, "BLOCK", 8)
+    rng = random.Random(1)
+    words = [f"w{int(rng.paretovariate(0.7)) % 90}" for _ in range(3000)]
+    body = lambda: " ".join(rng.choices(words, k=rng.randrange(5, 60)))
+    now = {f"p{i}.md": body() for i in range(60)}
+    store = store_at(spark, tmp_path)
+    page = lambda own: spark.createDataFrame(list(own.items()), "path string, text string")
+    walked = lambda own: page(own).select("path", "text", F.lit(None).cast("timestamp").alias("modified"), F.sha2("text", 256).alias("sha256"))
+    store.reconcile(walked(now))
+    for turn in range(5):
+        new = {f"p{i}.md": body() for i in rng.sample(range(70), 6)}
+        store.save(page(new))
+        now |= new
+        if turn == 2:
+            lost = rng.sample(sorted(now), 5)
+            store.remove(page({p: "" for p in lost}))
+            now = {p: t for p, t in now.items() if p not in lost}
+    now = dict(list(now.items())[:-3]) | {"last.md": "w1-w2 w1 w2 seldom"}
+    store.reconcile(walked(now))
+    assert 1 < len(store.version()[1]["postings"]) < 7  # merged by size
+    asked = spark.createDataFrame([(i, " ".join(rng.choices(words, k=4))) for i in range(20)] + [(90, "w1-w2"), (91, "seldom"), (92, "none")], "query_id int, query string")
+    own = store.lexicon()
+    rebuilt = lexical.lexicon(store.read("chunks"))
+    for q in (own.terms, rebuilt.terms), (own.totals, rebuilt.totals):
+        assert sorted(map(tuple, q[0].collect())) == sorted(map(tuple, q[1].collect()))
+    got = lexical.bm25(asked, own, 6)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, lexical.bm25(asked, rebuilt, 6).collect()))
+    assert not any("/chunks/" in f for f in got.inputFiles())
+    assert sorted(map(tuple, lexical.phrase_hits(asked, own).collect())) == sorted(map(tuple, lexical.phrase_hits(asked, rebuilt).collect()))
+    from lexiloom.plans.search import search
+
+    found = search(asked.where("query_id = 91"), store.index(), Settings(embedding_dims=16, vector_weight=0))
+    assert [r.path for r in found.collect()] == ["last.md"]
