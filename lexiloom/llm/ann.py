@@ -13,7 +13,9 @@ the lists alone: how many are probed is set on the sample, for a recall beyond t
 Equal vectors are indexed once, with their smallest ids, as many as any answer can hold; equal
 query vectors are searched once. So a vector that a third of the rows share is one entry.
 
-Defined cases: vectors that are null, zero, or hold null or non-finite components take no part, and
+Components may be of any numeric type; lists and codes are made in single precision, scores in double.
+
+Defined cases: vectors that are null, zero, or hold null or non-finite components (or such as single precision can't hold) take no part, and
 rows without an id neither; only vectors of one length are compared; a query is not its own candidate, a
 repeated row of it is; ties go to the smaller id; fewer candidates than asked are all returned; an
 empty table gives no rows; other columns are ignored.
@@ -117,7 +119,7 @@ def _pad_codes(centers: np.ndarray) -> np.ndarray:
 
 
 def _valid(vector: Column, dim: int) -> Column:
-    fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("float")) < F.lit(float("inf"))))
     return F.coalesce((F.size(vector) == dim) & fine & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
@@ -185,7 +187,7 @@ def _score(index: Index, dim: int, keep: int, k: int):
     """
 
     def exactly(x, node, q, own, best):
-        exact = (x[own].astype(np.float64) * q).sum(axis=1)
+        exact = (x[own] * q).sum(axis=1)
         ids, scores = np.concatenate([best[0], node[own]]), np.concatenate([best[1], exact])
         first = np.lexsort((ids, -scores))[:k]
         return ids[first], scores[first]
@@ -197,11 +199,12 @@ def _score(index: Index, dim: int, keep: int, k: int):
             lists = nodes.column("list").to_numpy()
             code = np.frombuffer(b"".join(nodes.column("codes").to_pylist()), np.uint8).reshape(len(lists), -1)
             node, query = nodes.column("node").to_numpy(), queries.column("query").to_numpy()
-            x, error = _matrix(nodes.column("vector"), dim), nodes.column("error").to_numpy()
+            x, error = _matrix(nodes.column("vector"), dim, np.float64), nodes.column("error").to_numpy()
             starts = np.flatnonzero(np.concatenate([[True], lists[1:] != lists[:-1]]))
             found = []
             for at in range(0, len(query), 256):
-                q = _matrix(queries.column("vector").slice(at, 256), dim)
+                exact_q = _matrix(queries.column("vector").slice(at, 256), dim, np.float64)
+                q = exact_q.astype(np.float32)
                 total = np.full((len(lists), len(q)), -np.inf, dtype=np.float32)
                 tables, coarse, probed = index.tables(q), q @ index.centroids.T, index.probed(q)
                 for start, stop in zip(starts, [*starts[1:], len(lists)], strict=True):
@@ -219,7 +222,7 @@ def _score(index: Index, dim: int, keep: int, k: int):
                 top = np.argpartition(-total, min(keep, total.shape[1]) - 1, axis=1)[:, :keep]
                 for i, own in enumerate(top):
                     own = own[total[i, own] > -np.inf]
-                    ask = q[i].astype(np.float64)
+                    ask = exact_q[i]
                     best = exactly(x, node, ask, own, (np.zeros(0, np.int64), np.zeros(0, np.float64)))
                     # All but these whose score could still reach the k-th; fewer than k means that no other is left.
                     reach = total[i] + np.sqrt(ask @ ask) * error
@@ -252,15 +255,16 @@ def _lay_out(counts: dict[int, int]) -> dict[int, list[int]]:
 
 def nearest(rows: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding", sample: int = SAMPLE, rerank: int = RERANK) -> DataFrame:
     """(query_id, rank, vec_id, score) of the ``k`` nearest found for every row where ``is_query`` holds."""
-    plain = rows.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("vector"), is_query.alias("asks")).where("vec_id is not null")
+    kind = "float" if rows.schema[vector].dataType.elementType.typeName() == "float" else "double"
+    plain = rows.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast(f"array<{kind}>").alias("vector"), is_query.alias("asks")).where("vec_id is not null")
     lengths = plain.where("size(vector) > 0 and asks").select(F.size("vector").alias("dim")).distinct().collect()  # as many rows as there are lengths
     out = rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    for found in filter(None, (_nearest_of(plain, r.dim, k, sample, rerank) for r in lengths)):
+    for found in filter(None, (_nearest_of(plain, r.dim, kind, k, sample, rerank) for r in lengths)):
         out = found if len(lengths) == 1 else out.unionByName(found)
     return out
 
 
-def _nearest_of(plain: DataFrame, dim: int, k: int, sample: int, rerank: int) -> DataFrame | None:
+def _nearest_of(plain: DataFrame, dim: int, kind: str, k: int, sample: int, rerank: int) -> DataFrame | None:
     """``nearest`` among (vec_id, vector, asks) of one length; none without vectors."""
     valid = stored(plain.where(_valid(F.col("vector"), dim)).withColumn("row", F.monotonically_increasing_id()), "ann-rows")
     # The first k+1 rows of each distinct vector, so that a query can leave itself out.
@@ -278,8 +282,8 @@ def _nearest_of(plain: DataFrame, dim: int, k: int, sample: int, rerank: int) ->
     questions = nodes.select("node", "vector").join(asked.select("node").distinct(), "node")
     load = questions.mapInArrow(_load(index, dim, blocks), "block int, n long").groupBy("block").agg(F.sum("n").alias("n"))
     slices = {r.block: -(-r.n // BLOCK_QUERIES) for r in load.collect()}  # a row per block
-    codes = nodes.select("node", "vector").mapInArrow(_encode(index, dim, blocks, slices), "node long, vector array<float>, list int, codes binary, error double, block int, slice int")
-    routed = questions.mapInArrow(_route(index, dim, blocks, slices), "query long, vector array<float>, block int, slice int")
+    codes = nodes.select("node", "vector").mapInArrow(_encode(index, dim, blocks, slices), f"node long, vector array<{kind}>, list int, codes binary, error double, block int, slice int")
+    routed = questions.mapInArrow(_route(index, dim, blocks, slices), f"query long, vector array<{kind}>, block int, slice int")
     score = _score(index, dim, rerank * k, k + 1)
     found = codes.groupBy("block", "slice").cogroup(routed.groupBy("block", "slice")).applyInArrow(score, "query long, node long, score double")
     scored = found.join(nodes.select("node", "ids"), "node")

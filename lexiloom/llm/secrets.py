@@ -12,6 +12,7 @@ rows; columns besides the named ones are ignored. Offsets count code points, end
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 import uuid
@@ -70,19 +71,21 @@ def unseen_findings(docs: DataFrame, text: str = "text", known: DataFrame | None
     blobs = own.groupBy("blob_id").agg(F.first("text").alias("text"), F.count("*").alias("n"))
     if known is not None:
         blobs = blobs.join(known.select("blob_id"), "blob_id", "left_anti")
-    return blobs.select("blob_id", "text", "n").mapInArrow(_scan, f"{FINDINGS}, n long")
+    return blobs.select("blob_id", "text", "n").mapInArrow(_scan, f"{FINDINGS}, n long").withColumn("rule_version", F.lit(RULE_VERSION))
 
 
 class BlobLedger:
-    """Two append-only Parquet tables in a folder that all executors share.
+    """Append-only Parquet tables in a folder that all executors share.
 
     ``findings`` holds a row per scanned blob, below a folder per rule version; ``versions`` holds
-    (path, version, blob_id) of every row ever handed in. Each run appends a folder to both, which
+    (path, version, blob_id) of every row ever handed in. With ``keep_texts`` each blob's text is kept once, in
+    ``texts``, so that a new rule version can scan all history (``rescan``) without being handed it again. Each run appends a folder to both, which
     counts once Spark has marked it complete: a run that is lost or repeated leaves nothing that is
     read, and no pair is ever there twice. One run writes at a time.
     """
 
-    def __init__(self, spark, path: str | None = None):
+    def __init__(self, spark, path: str | None = None, keep_texts: bool = False):
+        self.keep_texts = keep_texts
         self.spark, self.path = spark, (path or f"{shared_dir(spark)}/secret-ledger").rstrip("/")
 
     def _read(self, table: str, schema: str) -> DataFrame | None:
@@ -97,6 +100,37 @@ class BlobLedger:
         """What was found in every blob that the current rules have seen."""
         return self._read(f"findings/{RULE_VERSION}", FINDINGS)
 
+    def all_findings(self) -> DataFrame | None:
+        """Of every blob ever scanned what the current rules found, or else those that scanned it last."""
+        folder, store = hadoop_path(self.spark, f"{self.path}/findings")
+        if not store.exists(folder):
+            return None
+        seen = sorted(((s.getModificationTime(), s.getPath().getName()) for s in store.listStatus(folder)), key=lambda x: (x[1] == RULE_VERSION, x))
+        parts = [(at, found) for at, (_, name) in enumerate(seen) if (found := self._read(f"findings/{name}", FINDINGS)) is not None]
+        if len(parts) < 2:
+            return parts[0][1] if parts else None
+        every = functools.reduce(DataFrame.unionByName, [found.withColumn("at", F.lit(at)) for at, found in parts])
+        return every.groupBy("blob_id").agg(F.max_by(F.struct(*[c for c in every.columns if c not in ("blob_id", "at")]), "at").alias("x")).select("blob_id", "x.*")
+
+    def pending(self) -> DataFrame | None:
+        """(blob_id) of all history that the current rules haven't scanned."""
+        versions, found = self.versions(), self.findings()
+        if versions is None:
+            return None
+        blobs = versions.select("blob_id").distinct()
+        return blobs if found is None else blobs.join(found.select("blob_id"), "blob_id", "left_anti")
+
+    def rescan(self) -> int:
+        """Scan every pending blob from its kept text; returns how many."""
+        texts, pending = self._read("texts", "blob_id string, text string"), self.pending()
+        if texts is None or pending is None:
+            return 0
+        run = f"{self.path}/findings/{RULE_VERSION}/{uuid.uuid4().hex}"
+        # a text kept by two runs is scanned once
+        own = texts.join(pending, "blob_id", "left_semi").groupBy("blob_id").agg(F.first("text").alias("text"), F.count("*").alias("n"))
+        own.select("blob_id", "text", "n").mapInArrow(_scan, f"{FINDINGS}, n long").drop("n").withColumn("rule_version", F.lit(RULE_VERSION)).write.parquet(run)
+        return self.spark.read.schema(FINDINGS).parquet(run).count()
+
     def versions(self) -> DataFrame | None:
         return self._read("versions", VERSIONS)
 
@@ -105,13 +139,16 @@ class BlobLedger:
         run = uuid.uuid4().hex
         found = unseen_findings(docs, text, self.findings()).drop("n")
         found.write.parquet(f"{self.path}/findings/{RULE_VERSION}/{run}")
+        if self.keep_texts:
+            kept, new = self._read("texts", "blob_id string, text string"), address(docs.select(text_or_empty(text).alias("text"))).groupBy("blob_id").agg(F.first("text").alias("text"))
+            (new if kept is None else new.join(kept.select("blob_id"), "blob_id", "left_anti")).write.parquet(f"{self.path}/texts/{run}")
         held = address(docs, text).select(F.col(key).cast("string").alias("path"), F.lit(version).cast("long").alias("version"), "blob_id")
         held.write.parquet(f"{self.path}/versions/{run}")
         return self.spark.read.schema(FINDINGS).parquet(f"{self.path}/findings/{RULE_VERSION}/{run}").count()
 
     def report(self) -> DataFrame:
-        """One row per (path, version) ever handed in, with the findings of its blob; none for blobs that only other rules have seen."""
-        versions, found = self.versions(), self.findings()
+        """One row per (path, version) ever handed in, with the findings of its blob and the rule version that they are of."""
+        versions, found = self.versions(), self.all_findings()
         if versions is None or found is None:
             return self.spark.createDataFrame([], f"path string, version long, {FINDINGS}")
         classes = stored(found.join(versions.groupBy("blob_id").agg(F.count("*").alias("n")), "blob_id"), "secret-classes")

@@ -38,7 +38,10 @@ STEP_BITS = 20
 
 
 def schema_table(spark, schemas=SCHEMAS) -> DataFrame:
-    return spark.createDataFrame(list(schemas), "tool string, argument string, type string, required boolean")
+    """(tool, argument, type, required) as literals, so that no Python worker makes them."""
+    names = ("tool", "argument", "type", "required")
+    rows = [F.struct(*[F.lit(value).alias(name) for name, value in zip(names, row, strict=True)]) for row in schemas]
+    return spark.range(1).select(F.explode(F.array(*rows)).alias("x")).select("x.*") if rows else spark.sql("SELECT '' tool, '' argument, '' type, true required").where("false")
 
 
 def _json_type(raw: Column) -> Column:

@@ -8,6 +8,7 @@ import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from lexiloom.llm import ann, bpe
 
@@ -132,3 +133,13 @@ def test_fewer_candidates_than_asked(spark):
     for rows in ([], [(0, [1.0, 0.0], 0, "r")], [(0, None, 0, "r")], [(0, [0.0], 0, "r")]):
         frame = vectors(spark, rows)
         assert ann.nearest(frame, frame["vec_id"] % 20 == 0).count() == 0
+
+
+def test_vectors_of_doubles(spark):
+    """Scores are exact on doubles that single precision would round."""
+    rng = np.random.default_rng(9)
+    x = 1 + 1e-9 * rng.normal(size=(300, 6))
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in ann.nearest(rows, F.col("vec_id") % 50 == 0, 5).orderBy("query_id", "rank").collect()]
+    want = ann.brute_force(pd.DataFrame({"vec_id": range(300), "embedding": x.tolist()}), pd.Series(range(0, 300, 50)), 5)
+    assert [g[:3] for g in got] == [tuple(w) for w in want[["query_id", "rank", "vec_id"]].itertuples(index=False)]

@@ -392,4 +392,8 @@ def test_plain_turns_link_to_the_turn_before(spark):
 def test_chat_stays_in_dataframe_functions(spark):
     out = tool_chat.format_chat(chat(spark, [(1, 0, "user", "x")]), tool_chat.schema_table(spark))
     plan = out._jdf.queryExecution().toString()
-    assert "Python" not in plan and "Arrow" not in plan and out.select(F.count("*")).first()[0] == 1
+    assert "Python" not in plan and "Arrow" not in plan
+    schemas = tool_chat.schema_table(spark)
+    assert "ExistingRDD" not in schemas._jdf.queryExecution().toString()  # rows from a Python list would be one
+    assert sorted(map(tuple, schemas.collect())) == sorted(tool_chat.SCHEMAS) and tool_chat.schema_table(spark, ()).collect() == []
+    assert out.select(F.count("*")).first()[0] == 1

@@ -95,6 +95,17 @@ def test_another_rule_version_scans_anew(spark, tmp_path, monkeypatch):
     assert ledger.findings() is None and ledger.scan(rows) == 1
 
 
+def test_another_rule_version_loses_no_path(spark, tmp_path, monkeypatch):
+    ledger = secrets.BlobLedger(spark, str(tmp_path / "ledger"), keep_texts=True)
+    ledger.scan(docs(spark, [(1, "password = abcdefghijklmnop"), (2, "clean")]))
+    monkeypatch.setattr(secrets, "RULE_VERSION", "other")
+    assert ledger.scan(docs(spark, [(2, "clean"), (3, "new")]), version=1) == 2
+    held = lambda: sorted((r.path, r.version, r.rule_version, r.n_assign) for r in ledger.report().collect())
+    assert held() == [("1", 0, "base-1", 1), ("2", 0, "other", 0), ("2", 1, "other", 0), ("3", 1, "other", 0)]
+    assert ledger.pending().count() == 1 and ledger.rescan() == 1 and ledger.pending().count() == 0 and ledger.rescan() == 0
+    assert held() == [("1", 0, "other", 1), ("2", 0, "other", 0), ("2", 1, "other", 0), ("3", 1, "other", 0)]
+
+
 @pytest.mark.parametrize("copies", [1, 3000])
 def test_redaction_masks_secrets_only(spark, copies):
     names = "doc_id long, text string, n_chars long, blob_id string, spans string, masked string, row string, n string"
