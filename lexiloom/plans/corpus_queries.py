@@ -461,6 +461,17 @@ def _(spark, sf):
     return changes.last_operation(change_log(spark, sf))
 
 
+@query("st2_debounced", """WITH e AS (SELECT 'user-' || user_id AS path, event_type AS op, ts, event_id AS seq FROM events),
+ g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w > INTERVAL 6 HOURS OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM e WINDOW w AS (PARTITION BY path ORDER BY ts, seq)),
+ b AS (SELECT *, sum(new) OVER (PARTITION BY path ORDER BY ts, seq) AS burst FROM g)
+ SELECT path, first(op ORDER BY ts DESC, seq DESC) AS op, min(ts) AS started, count(*) AS changes FROM b GROUP BY path, burst""")
+def _(spark, sf):
+    """The event log as changes, each path's operations held until it has been quiet for six hours."""
+    from ..streaming.watch import debounced
+
+    return debounced(change_log(spark, sf), "6 hours")
+
+
 @query("st1_change_stream", f"WITH {STREAM} SELECT path, op, ts FROM last_ops_")
 def _(spark, sf):
     """The change log as a stream: each micro-batch is coalesced and appended, and the newest per path stands."""
