@@ -254,3 +254,17 @@ class IndexStore:
 
     def remove_folder(self, folder: str) -> int:
         return self.remove(maintenance.under_folder(self.read("manifest"), folder))
+
+    def move(self, old: str, new: str) -> int:
+        """Pages at or below ``old`` under their new path, in place of what was there; returns how many. Their history stays with the old path."""
+        rows = {name: self.read(name) for name in PAGED}
+        inside = stored(maintenance.under_folder(rows["manifest"].select("path"), old), "moved-paths")
+        moved = {name: stored(maintenance.moved(own.join(inside, "path", "left_semi"), old, new), f"moved-{name}") for name, own in rows.items()}
+        own_id = F.concat("path", F.lit("#"), F.substring_index("chunk_id", "#", -1))
+        tables = {name: own.withColumn("chunk_id", own_id) if "chunk_id" in own.columns else own for name, own in moved.items()}
+        tables["pages"] = tables["pages"].withColumn("title", page_title(F.get_json_object("frontmatter", "$.title"), F.col("path")))
+        n = inside.count()
+        if n:
+            replaced = inside.union(tables["manifest"].select("path"))
+            self.commit(gone=replaced, **tables, **self._counted(replaced, tables["chunks"]))
+        return n
