@@ -226,20 +226,13 @@ def _(spark, sf):
 
 @query("f07_window_around_terms", f"WITH {PAGES}, windows_in_ AS (SELECT path AS id, replace(text, chr(10), ' ') AS t, [{', '.join(repr(t) for t in TERMS)}] AS terms, false AS inside FROM pages_), {around_sql(120)} SELECT id AS path, shown AS window FROM around_")
 def _(spark, sf):
-    @F.pandas_udf("string")
-    def window(text):
-        return text.map(lambda t: around_terms(t.replace("\n", " "), list(TERMS), 120, False))
-
-    return pages(spark, sf).select("path", window("text").alias("window"))
+    terms = F.array(*[F.lit(t) for t in TERMS])
+    return pages(spark, sf).select("path", around_terms(F.replace("text", F.lit("\n"), F.lit(" ")), terms, 120, F.lit(False)).alias("window"))
 
 
 @query("f08_snippet_fallback", f"WITH {PAGES} SELECT path, {head_sql(squash_ends('text'), 280)} AS head FROM pages_")
 def _(spark, sf):
-    @F.pandas_udf("string")
-    def first(text):
-        return text.map(lambda t: head(t.strip(), 280))
-
-    return pages(spark, sf).select("path", first("text").alias("head"))
+    return pages(spark, sf).select("path", head(T.strip(F.col("text")), 280).alias("head"))
 
 
 ANSWER_SQL = " + ".join(f"CAST(regexp_matches(lower(s), '\\b{t}') AS INT)" for t in ("things", "happened", "year"))

@@ -7,10 +7,11 @@ from lexiloom import config
 from lexiloom.config import Settings, capabilities, load_settings
 from lexiloom.functions import text as T
 from lexiloom.functions.embed import chunk_size_for, embed_with, hash_embedding
-from lexiloom.functions.snippet import around_terms, make_snippet
+from lexiloom.functions import snippet as S
 from lexiloom.operators import chunking, evaluation, evidence, fusion, health, lexical, maintenance, pages, retrieval
 from lexiloom.plans import search
 from lexiloom.sources import files, markdown, questions
+from tests.reference_snippet import around_terms, make_snippet
 from lexiloom.streaming import changes
 
 
@@ -120,6 +121,20 @@ def test_reranker_failure_and_order(spark):
     assert [(r.chunk_id, r.final_score) for r in moved.orderBy("position").collect()] == [("c3", 9.0), ("c1", -1.0), ("c2", -2.0)]
 
 
+def test_snippets_in_columns_equal_those_of_a_row_at_a_time(spark):
+    import random
+
+    rng = random.Random(8)
+    words = ["Paris", "in", "1999", "compress", "compression", "the", "ratio", "Dr.", "Smith", "went", "42%", "x_y", "no.", "Yes!", "why?", "a\n\nb", "écu", "comp", "ratio-ratio"]
+    text = lambda: rng.choice(["", " ", "\n"]) + " ".join(rng.choices(words, k=rng.choice([2, 30, 90, 200]))) + rng.choice(["", " ", "."])
+    asked = ["when did compression happen", "who is smith", "how many ratio", "", "the", "ratio compress comp", "where was x_y", None, "what year"]
+    rows = [(i, text(), rng.choice(asked)) for i in range(400)] + [(900, None, "x"), (901, "", "ratio"), (902, "w" * 700, "ratio"), (903, "ratio " * 200, "ratio comp")]
+    df = spark.createDataFrame(rows, "id int, text string, query string")
+    got = {r.id: (r.shown, r.cut) for r in df.select("id", S.snippet(F.col("text"), F.col("query")).alias("shown"), S.around_terms(F.col("text"), F.array(F.lit("comp"), F.lit("ratio")), 120, F.lit(True)).alias("cut")).collect()}
+    for i, t, q in rows:
+        assert got[i] == ((None, None) if t is None else (make_snippet(t, q or ""), around_terms(t, ["comp", "ratio"], 120, True))), (i, t, q)
+
+
 def test_limits_and_weights():
     assert fusion.limits(50) == (50, 50, 50) and fusion.limits() == (30, 30, 10) and fusion.limits(5.9)[2] == 5
     with pytest.raises(ValueError):
