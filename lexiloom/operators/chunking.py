@@ -1,60 +1,55 @@
 """Heading-aware overlapping chunks.
 
 Sections are set-based: lines are exploded, heading lines numbered by a running window. A section
-that is too long is packed by one small pandas UDF, because greedy packing depends on its order.
+that is too long is split and packed greedily by an aggregate over its pieces, in column expressions.
 """
 
 from __future__ import annotations
 
-import re
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
 
-_SENTENCE = re.compile(r"[^.!?]+[.!?]+(?:\s+|\Z)|[^.!?]+\Z")
+PARAGRAPH_BREAK, SENTENCE = r"\n\s*\n", r"[^.!?]+[.!?]+(?:\s+|\z)|[^.!?]+\z"
 
 
-def split_text(text: str, limit: int) -> list[str]:
-    """Pieces of at most ``limit`` characters: by paragraphs, else sentences, else fixed width."""
-    if len(text) <= limit:
-        return [text]
-    for pieces, joiner in ((re.split(r"\n\s*\n", text), "\n\n"), ([s.strip() for s in _SENTENCE.findall(text)], " ")):
-        if len(pieces) > 1:
-            return pack(pieces, limit, joiner)
-    return [text[i : i + limit] for i in range(0, len(text), limit)]
-
-
-def pack(pieces: list[str], limit: int, joiner: str) -> list[str]:
-    """Neighbouring pieces joined greedily; each costs its length and a joiner; longer ones are split on their own."""
-    out: list[str] = []
-    held: list[str] = []
-    cost = 0
-    for piece in pieces:
-        own = len(piece) + len(joiner)
-        if held and (cost + own > limit or len(piece) > limit):
-            out.append(joiner.join(held).strip())
-            held, cost = [], 0
-        if len(piece) > limit:
-            out += split_text(piece, limit)
-        else:
-            held.append(piece)
-            cost += own
-    if held:
-        out.append(joiner.join(held).strip())
-    return [x for x in out if x]
+def fixed_width(text: Column, limit: int) -> Column:
+    """Pieces of ``limit`` characters."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.length(text) - 1) / limit).cast("int")), lambda i: F.substring(text, i * limit + 1, F.lit(limit)))
 
 
-def pieces_of(text: Column, limit: int) -> Column:
-    """``split_text`` of a column, in Arrow batches."""
+def packed(pieces: Column, limit: int, joiner: str, split: Callable[[Column], Column]) -> Column:
+    """Neighbouring pieces joined greedily; each costs its length and a joiner; longer ones are ``split`` on their own."""
+    none = F.array().cast("array<string>")
+    joined = lambda held: F.array(strip(F.array_join(held, joiner)))
+
+    def step(a: Column, piece: Column) -> Column:
+        own, long_ = F.length(piece) + len(joiner), F.length(piece) > limit
+        flush = (F.size(a["held"]) > 0) & ((a["cost"] + own > limit) | long_)
+        out = F.concat(a["out"], F.when(flush, joined(a["held"])).otherwise(none), F.when(long_, split(piece)).otherwise(none))
+        held = F.when(flush, none).otherwise(a["held"])
+        cost = F.when(flush, 0).otherwise(a["cost"])
+        return F.struct(out.alias("out"), F.when(long_, held).otherwise(F.concat(held, F.array(piece))).alias("held"), (cost + F.when(long_, 0).otherwise(own)).alias("cost"))
+
+    start = F.struct(none.alias("out"), none.alias("held"), F.lit(0).alias("cost"))
+    done = F.aggregate(pieces, start, step, lambda a: F.concat(a["out"], F.when(F.size(a["held"]) > 0, joined(a["held"])).otherwise(none)))
+    return F.filter(done, lambda x: x != "")
 
-    @F.pandas_udf("array<string>")
-    def split(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: split_text(t, limit) if t else [])
 
-    return split(text)
+def _by_sentences(text: Column, limit: int) -> Column:
+    sentences = F.transform(F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0)), strip)
+    split = lambda own: F.when(F.size(own) > 1, packed(own, limit, " ", lambda x: fixed_width(x, limit))).otherwise(fixed_width(text, limit))
+    return F.transform(F.array(sentences), split)[0]
+
+
+def pieces_of(text: Column, limit: int) -> Column:
+    """Pieces of at most ``limit`` characters: by paragraphs, else sentences, else fixed width."""
+    paragraphs = F.array(F.split(text, PARAGRAPH_BREAK, -1))
+    split = lambda own: F.when(F.size(own) > 1, packed(own, limit, "\n\n", lambda x: _by_sentences(x, limit))).otherwise(_by_sentences(text, limit))
+    return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, F.array().cast("array<string>")).when(F.length(text) <= limit, F.array(text)).otherwise(F.transform(paragraphs, split)[0])
 
 
 def sections(pages: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from lexiloom.functions import snippet as S
 from lexiloom.operators import chunking, evaluation, evidence, fusion, health, lexical, maintenance, pages, retrieval
 from lexiloom.plans import search
 from lexiloom.sources import files, markdown, questions
+from tests.reference_chunks import split_text
 from tests.reference_snippet import around_terms, make_snippet
 from lexiloom.streaming import changes
 
@@ -57,9 +58,9 @@ def test_sections_follow_headings(spark):
 
 
 def test_splitting_packs_paragraphs_sentences_and_cuts():
-    assert chunking.split_text("a" * 25, 10) == ["a" * 10, "a" * 10, "a" * 5]
-    assert chunking.split_text("One two. Three four. Five six.", 20) == ["One two.", "Three four.", "Five six."]
-    assert chunking.split_text("aa\n\nbb\n\n" + "c" * 12, 10) == ["aa\n\nbb", "c" * 10, "c" * 2]
+    assert split_text("a" * 25, 10) == ["a" * 10, "a" * 10, "a" * 5]
+    assert split_text("One two. Three four. Five six.", 20) == ["One two.", "Three four.", "Five six."]
+    assert split_text("aa\n\nbb\n\n" + "c" * 12, 10) == ["aa\n\nbb", "c" * 10, "c" * 2]
 
 
 def test_overlap_only_under_the_same_headings(spark):
@@ -121,6 +122,18 @@ def test_reranker_failure_and_order(spark):
     assert [(r.chunk_id, r.final_score) for r in moved.orderBy("position").collect()] == [("c3", 9.0), ("c1", -1.0), ("c2", -2.0)]
 
 
+def test_pieces_in_columns_equal_those_of_a_text_at_a_time(spark):
+    import random
+
+    rng = random.Random(3)
+    words = ["one", "Two.", "three!", "\n\n", "\n \n", "four?", "x" * 30, "...", "é", "\n", "5.5"]
+    rows = [(i, " ".join(rng.choices(words, k=rng.choice([1, 8, 40, 120])))) for i in range(300)] + [(800, ""), (801, None), (802, ". lost"), (803, "a. " * 50), (804, "\n\n" * 9)]
+    df = spark.createDataFrame(rows, "id int, text string")
+    got = {r.id: r.p for r in df.select("id", chunking.pieces_of(F.col("text"), 25).alias("p")).collect()}
+    for i, t in rows:
+        assert got[i] == (split_text(t, 25) if t else []), (i, t)
+
+
 def test_snippets_in_columns_equal_those_of_a_row_at_a_time(spark):
     import random
 
