@@ -87,7 +87,11 @@ def search(queries: DataFrame, index: Index, settings: Settings | None = None, p
     """Results of (query_id, query): query_id, rank, path, title, snippet, score, frontmatter, heading_path, retrievers, chunk_id."""
     settings = settings or Settings()
     queries = fusion.normal_queries(queries)
-    top = rank_hits(retrieve(queries, index, settings, planner, embed), queries, index, settings, rerank)
+    return shown(rank_hits(retrieve(queries, index, settings, planner, embed), queries, index, settings, rerank))
+
+
+def shown(top: DataFrame) -> DataFrame:
+    """What users see of ranked rows."""
     return top.select(
         "query_id", "rank", "path", result_title(F.col("title"), F.col("path")).alias("title"), snippet(F.col("text"), F.col("query")).alias("snippet"), F.round("final_score", 6).alias("score"),
         F.coalesce("frontmatter", F.lit("{}")).alias("frontmatter"), "heading_path", "retrievers", "chunk_id",

@@ -420,3 +420,19 @@ def test_search_end_to_end(spark):
     with pytest.raises(ValueError):
         Settings(chunk_overlap=0.9)
     assert "md" in capabilities()["built_in_formats"]
+
+
+def test_timings_are_rows(spark):
+    from lexiloom.plans import timing
+
+    pages = spark.createDataFrame([("a.md", "A", "{}", "alpha beta"), ("b.md", "B", "{}", "beta gamma")], "path string, title string, frontmatter string, plain string")
+    index, settings = search.build_index(pages, Settings(embedding_dims=16)), Settings(embedding_dims=16)
+    asked = spark.createDataFrame([(2, "gamma"), (1, "alpha")], "query_id int, query string")
+    results, stages = timing.search_stages(asked, index, settings)
+    plain = search.search(asked, index, settings)
+    assert sorted(map(str, results.collect())) == sorted(map(str, plain.collect()))
+    rows = stages.orderBy("at").collect()
+    assert [r.stage for r in rows] == ["queries", "retrieve", "rank", "show"] and all(r.seconds > 0 for r in rows) and rows[0]["rows"] == 2
+    ranked, latency = timing.run_cases(asked, lambda one: search.search(one, index, settings), warm_ups=1)
+    assert {(r.case_id, r.path) for r in ranked.where("rank = 1").collect()} == {(1, "a.md"), (2, "b.md")}
+    assert [r.case_id for r in latency.orderBy("case_id").collect()] == [1, 2] and latency.where("latency_ms > 0").count() == 2
