@@ -2,18 +2,31 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def hash_embedding(text: Column, dims: int = 384) -> Column:
     """Unit vector from SHA-256: block ``i`` of 16 dimensions is the hash of ``i|text`` as 16 big-endian shorts over [-1, 1]."""
-    digests = F.array(*[F.sha2(F.concat(F.lit(f"{i}|"), text), 256) for i in range(0, dims, 16)])
-    words = F.flatten(F.transform(digests, lambda d: F.transform(F.sequence(F.lit(0), F.lit(15)), lambda j: F.conv(F.substr(d, j * 4 + 1, F.lit(4)), 16, 10).cast("double") / 65535 * 2 - 1)))
-    return unit(F.slice(words, 1, dims))
+    starts = [b"%d|" % i for i in range(0, dims, 16)]
+
+    @F.arrow_udf("array<double>")
+    def vectors(texts: pa.Array) -> pa.Array:
+        raw = texts.cast(pa.binary()).drop_null().to_pylist()
+        words = np.frombuffer(b"".join(hashlib.sha256(start + own).digest() for own in raw for start in starts), ">u2")
+        x = words.reshape(len(raw), -1)[:, :dims] / 65535 * 2 - 1 if raw else np.zeros((0, dims))
+        norm = np.sqrt(np.add.accumulate(x * x, axis=1)[:, -1:])  # added one by one, as ``unit`` does
+        there = texts.is_valid().to_numpy(zero_copy_only=False)
+        ends = np.append(0, np.cumsum(there * dims)).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array((x / np.where(norm == 0, 1.0, norm)).ravel()), mask=pa.array(~there))
+
+    return vectors(text.cast("string"))
 
 
 def unit(vector: Column) -> Column:

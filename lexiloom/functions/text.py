@@ -180,7 +180,8 @@ ACCENTED, PLAIN = _accents()
 
 def index_tokens(text: Column) -> Column:
     """Tokens of the inverted index: runs of letters and digits in lower case, accents dropped."""
-    return F.regexp_extract_all(F.translate(F.lower(text), ACCENTED, PLAIN), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+    plain = F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(F.lower(text), ACCENTED, PLAIN)).otherwise(F.lower(text))
+    return F.regexp_extract_all(plain, F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
 
 
 def match_phrases(query: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import lexical
+from . import lexical, scan
 from .lexical import Lexicon, top, units
 from .nearest import VectorIndex, nearest, vector_index
 
@@ -24,15 +24,18 @@ def _lexicon(queries: DataFrame, chunks: DataFrame) -> Lexicon:
 
 def phrase_hits(queries: DataFrame, chunks: DataFrame | None = None, index: Lexicon | None = None) -> DataFrame:
     """(query_id, phrase, chunk_id, tf) of (query_id, query): how often each word of a query occurs."""
-    return lexical.phrase_hits(queries, index or _lexicon(queries, chunks))
+    asked = None if index else scan.asked_units(queries)
+    return scan.phrase_hits(asked, chunks) if asked else lexical.phrase_hits(queries, index or _lexicon(queries, chunks))
 
 
 def bm25(queries: DataFrame, chunks: DataFrame | None = None, k: int = 30, index: Lexicon | None = None) -> DataFrame:
     """(query_id, chunk_id, score, rank): the ``k`` best chunks of each query; equal scores by chunk_id.
 
-    From a stored ``index``, or from one of ``chunks`` that holds what the queries ask for.
+    From a stored ``index``, or from the ``chunks`` themselves: by a scan, or where the batch has too many words for one, an
+    index that holds what it asks for.
     """
-    return lexical.bm25(queries, index or _lexicon(queries, chunks), k)
+    asked = None if index else scan.asked_units(queries)
+    return scan.bm25(asked, chunks, k) if asked else lexical.bm25(queries, index or _lexicon(queries, chunks), k)
 
 
 def lexical_score(score: Column) -> Column:

@@ -14,7 +14,7 @@ from ..functions.snippet import snippet
 from ..functions.text import result_title
 from ..operators import fusion, retrieval
 from ..operators.chunking import chunk
-from ..operators.lexical import Lexicon, lexicon
+from ..operators.lexical import Lexicon, lexicon, small
 from ..storage import stored
 
 
@@ -22,7 +22,7 @@ from ..storage import stored
 class Index:
     """The tables a search reads: pages (path, title, frontmatter), chunks, vectors, stored postings and blocks of vectors.
 
-    Without a lexicon a search indexes the chunks for the terms of its queries, without blocks it makes them of the vectors.
+    Without a lexicon a search scans the chunks for the terms of its queries, without blocks it compares all vectors as they come.
     """
 
     pages: DataFrame
@@ -71,8 +71,10 @@ def retrieve(queries: DataFrame, index: Index, settings: Settings, planner=None,
 def rank_hits(hits: DataFrame, queries: DataFrame, index: Index, settings: Settings, rerank=None) -> DataFrame:
     """Fused, boosted, deduplicated and cut results with everything needed to show them."""
     fused = fusion.fuse(hits, settings.rrf_k, settings.candidates)
-    # At most ``candidates`` rows a query: the lookups below join these few with the tables.
-    rows = fused.join(index.chunks.select("chunk_id", "path", "chunk_idx", "text", "heading_path"), "chunk_id").join(index.pages.select("path", "title", "frontmatter"), "path", "left").join(queries.select("query_id", "query"), "query_id")
+    # At most ``candidates`` rows a query: these few go to the tables, which stay where they are.
+    rows = stored(small(stored(fused, "search-fused")).join(index.chunks.select("chunk_id", "path", "chunk_idx", "text", "heading_path"), "chunk_id"), "search-rows")
+    named = index.pages.select("path", "title", "frontmatter").join(small(rows.select("path").distinct()), "path", "left_semi")
+    rows = rows.join(named, "path", "left").join(queries.select("query_id", "query"), "query_id")
     if settings.lexical_tie_break:
         shown = snippet(F.col("text"), F.col("query"))
         rows = fusion.lexical_tie_break(rows.withColumn("haystack", fusion.haystack(shown, F.col("heading_path"), F.col("title"), F.col("path"))))
