@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import estimate_tokens, fit_text, squash
+from .lexical import small
 
 
 #: What a passage tells besides its text, where its candidate has it: where it stands, and the signals of its ranking.
@@ -18,7 +19,10 @@ def selected(candidates: DataFrame, budget: int, max_passages: int = 20, allowed
     Only allowed chunks, each once, in order; a blank snippet ends the selection; the passage that
     crosses the budget is cut to what is left.
     """
-    rows = candidates if allowed is None else candidates.join(allowed.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    rows = candidates
+    if allowed is not None:  # of the allowed ones only those that are candidates are told apart
+        met = allowed.join(small(candidates.select("chunk_id").distinct()), "chunk_id", "left_semi")
+        rows = candidates.join(met.select("chunk_id").distinct(), "chunk_id", "left_semi")
     rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("query_id", "chunk_id").orderBy("rank"))).where("n = 1")
     rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).where(F.col("n") <= max_passages)
     before = Window.partitionBy("query_id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)

@@ -6,14 +6,15 @@ from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..functions.text import canonical
-from ..operators import evaluation, evidence, fusion, health, maintenance
+from ..operators import evaluation, evidence, fusion, health, maintenance, retrieval
 from ..operators import pages as P
+from ..operators.lexical import small
 from ..operators.store import IndexStore
 from ..sources import files
-from ..storage import new_folder
+from ..storage import new_folder, stored
 from ..streaming import changes
 from . import frames
-from .frames import CHUNKS, MANIFEST, PAGES, SNAPSHOTS, chunks, labelled_pages, line_index, manifest, pages, snapshots, table
+from .frames import CHUNKS, MANIFEST, PAGES, SNAPSHOTS, chunks, labelled_pages, line_index, manifest, pages, queries, snapshots, table
 from .registry import query
 from .search_queries import LISTS, lists
 
@@ -329,7 +330,7 @@ SUMMARY = "count(case_id) AS cases, " + ", ".join(f"round(sum(CAST(round({m} * 1
 
 
 def case_results(spark, sf, skip=0):
-    from ..operators.retrieval import nearest
+    from ..operators.retrieval import nearest, vector_index
 
     base = table(spark, sf, "embeddings")
     names = F.array(*map(F.lit, ("exact", "semantic", "ambiguous", "multi_document", "unanswerable")))
@@ -339,7 +340,8 @@ def case_results(spark, sf, skip=0):
     grades = base.groupBy("label", grade.alias("relevance")).agg(F.count("*").alias("held"))
     own = (F.col("relevance") == 1 + F.col("case_id") % 3).cast("long")
     graded = cases.where("answerable").select("case_id", "label").join(grades, "label").select("case_id", "relevance", (F.col("held") - own).alias("sources"))
-    found = nearest(cases.select(F.col("case_id").alias("query_id"), "embedding"), base.select(F.col("vec_id").alias("chunk_id"), "embedding"), 20)
+    vectors = base.select(F.col("vec_id").alias("chunk_id"), "embedding")
+    found = nearest(cases.select(F.col("case_id").alias("query_id"), "embedding"), vectors, 20, vector_index(vectors))
     shown = found.select(F.col("query_id").alias("case_id"), F.col("chunk_id").alias("vec_id"), F.concat(F.lit("v"), F.col("chunk_id").cast("string")).alias("path"), (F.col("rank") - skip).alias("rank")).where("rank > 0")
     hits = shown.join(base.select("vec_id", "label", grade.alias("relevance")), "vec_id").join(cases.where("answerable").select("case_id", "label"), ["case_id", "label"]).where("vec_id <> case_id")
     ranked = evaluation.distinct_paths(shown.drop("vec_id"), 10)
@@ -375,7 +377,8 @@ def _(spark, sf):
 
 @query("v08_distinct_paths", f"WITH {LISTS}, p AS (SELECT query_id AS case_id, path, min(rank) AS rank FROM lex_ JOIN chunks_ USING (chunk_id) GROUP BY ALL) SELECT case_id, path, row_number() OVER (PARTITION BY case_id ORDER BY rank, path) AS rank FROM p QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY rank, path) <= 10")
 def _(spark, sf):
-    hits = lists(spark, sf).where("list_idx = 0").join(line_index(spark, sf).chunks.select("chunk_id", "path"), "chunk_id").select(F.col("query_id").alias("case_id"), "path", "rank")
+    index = line_index(spark, sf)
+    hits = small(stored(retrieval.bm25(queries(spark, sf), index.chunks), "bm25")).join(index.chunks.select("chunk_id", "path"), "chunk_id").select(F.col("query_id").alias("case_id"), "path", "rank")
     return evaluation.distinct_paths(hits, 10)
 
 
@@ -421,11 +424,11 @@ EVIDENCE = LISTS + r""", shown_ AS (SELECT query_id, chunk_id, path, score, retr
  evidence_ AS (SELECT *, CAST(ceil(length(text) / 4) AS BIGINT) AS tokens FROM fit_)"""
 
 
-def passages(spark, sf):
+def passages(spark, sf, hits=None):
     """A page's source stands for its heading."""
     shown = line_index(spark, sf).chunks.select("chunk_id", "path", F.array(F.split("path", "/")[1]).alias("heading_path"), F.col("text").alias("snippet"))
-    rows = fusion.fuse(lists(spark, sf)).join(shown, "chunk_id").withColumn("rank", F.col("fused_rank"))
-    return evidence.selected(rows, 300, allowed=chunks(spark, sf).where("path not like 'fr/%'"))
+    rows = stored(small(fusion.fuse(hits or lists(spark, sf))).join(shown, "chunk_id").withColumn("rank", F.col("fused_rank")), "passages")
+    return evidence.selected(rows, 300, allowed=line_index(spark, sf).chunks.where("path not like 'fr/%'"))
 
 
 @query("e01_e03_a10_evidence", f"WITH {EVIDENCE} SELECT query_id, citation_id, chunk_id, rank, text, tokens, path, heading_path, score, retrievers FROM evidence_")
@@ -435,8 +438,9 @@ def _(spark, sf):
 
 @query("e04_conflicts", f"WITH {EVIDENCE}, claims_ AS (SELECT query_id, chunk_id, 'c' || (rank % 3) AS conflict_id FROM all_) SELECT query_id, conflict_id, string_agg(DISTINCT citation_id, ' ' ORDER BY citation_id) AS passage_ids FROM claims_ JOIN evidence_ USING (query_id, chunk_id) GROUP BY ALL HAVING count(DISTINCT citation_id) > 1")
 def _(spark, sf):
-    claims = lists(spark, sf).select("query_id", "chunk_id", F.concat(F.lit("c"), (F.col("rank") % 3).cast("string")).alias("conflict_id"))
-    return evidence.conflicts(claims, passages(spark, sf)).withColumn("passage_ids", F.array_join("passage_ids", " "))
+    hits = lists(spark, sf)
+    claims = hits.select("query_id", "chunk_id", F.concat(F.lit("c"), (F.col("rank") % 3).cast("string")).alias("conflict_id"))
+    return evidence.conflicts(claims, passages(spark, sf, hits)).withColumn("passage_ids", F.array_join("passage_ids", " "))
 
 
 @query("e05_gaps", r"SELECT DISTINCT conv_id AS query_id, regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS gap FROM conversations WHERE regexp_matches(text, '\S')")

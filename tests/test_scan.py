@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from lexiloom.functions.embed import hash_embedding
 from lexiloom.functions.text import index_tokens
-from lexiloom.operators import lexical, nearest, retrieval, scan
+from lexiloom.operators import evidence, lexical, nearest, retrieval, scan
+from lexiloom.plans import frames
 
 
 @pytest.fixture()
@@ -41,6 +42,11 @@ def test_a_batch_too_wide_for_a_scan_is_indexed(spark, chunks, monkeypatch):
     assert sorted(retrieval.bm25(asked, chunks, 20).select(*expected[0].asDict()).collect()) == sorted(expected)
 
 
+def test_line_index_stores_chunks_only(spark, sf_dir):
+    index = frames.line_index(spark, sf_dir)
+    assert index.lexicon is None and index.blocks is None
+
+
 def test_nearest_without_an_index_stores_no_vectors(spark, monkeypatch):
     monkeypatch.setattr(nearest, "vector_index", lambda *a: pytest.fail("stored vectors for one batch"))
     vectors = spark.range(50).select(F.concat(F.lit("c"), "id").alias("chunk_id"), F.when(F.col("id") != 7, hash_embedding(F.col("id").cast("string"), 20)).alias("embedding"))
@@ -58,3 +64,9 @@ def test_blocks_of_long_vectors_are_bounded(spark):
 def test_tokens_are_the_same_with_and_without_accents(spark):
     got = spark.createDataFrame([("Plain OLD x_1",), ("Été ñandú İx",), (None,)], "t string").select(index_tokens(F.col("t")).alias("w")).collect()
     assert [r.w for r in got][::2] == [["plain", "old", "x", "1"], None] and got[1].w[:2] == ["ete", "nandu"]
+
+
+def test_allowed_chunks_are_met_by_candidates_only(spark):
+    rows = spark.createDataFrame([(1, "a", "one two", 1), (1, "b", "three", 2)], "query_id int, chunk_id string, snippet string, rank int")
+    allowed = spark.createDataFrame([("a",), ("a",), ("z",)], "chunk_id string")
+    assert [r.chunk_id for r in evidence.selected(rows, 50, allowed=allowed).collect()] == ["a"]
