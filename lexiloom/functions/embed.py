@@ -11,6 +11,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Texts that are embedded at once, for their numbers take several times the room of the vectors.
+AT_ONCE = 1024
+
 
 def hash_embedding(text: Column, dims: int = 384) -> Column:
     """Unit vector from SHA-256: block ``i`` of 16 dimensions is the hash of ``i|text`` as 16 big-endian shorts over [-1, 1]."""
@@ -19,12 +22,15 @@ def hash_embedding(text: Column, dims: int = 384) -> Column:
     @F.arrow_udf("array<double>")
     def vectors(texts: pa.Array) -> pa.Array:
         raw = texts.cast(pa.binary()).drop_null().to_pylist()
-        words = np.frombuffer(b"".join(hashlib.sha256(start + own).digest() for own in raw for start in starts), ">u2")
-        x = words.reshape(len(raw), -1)[:, :dims] / 65535 * 2 - 1 if raw else np.zeros((0, dims))
-        norm = np.sqrt(np.add.accumulate(x * x, axis=1)[:, -1:])  # added one by one, as ``unit`` does
+        x = np.empty((len(raw), dims))
+        for at in range(0, len(raw), AT_ONCE):
+            words = np.frombuffer(b"".join(hashlib.sha256(start + own).digest() for own in raw[at : at + AT_ONCE] for start in starts), ">u2")
+            some = words.reshape(-1, 16 * len(starts))[:, :dims] / 65535 * 2 - 1
+            norm = np.sqrt(np.add.accumulate(some * some, axis=1)[:, -1:])  # added one by one, as ``unit`` does
+            x[at : at + AT_ONCE] = some / np.where(norm == 0, 1.0, norm)
         there = texts.is_valid().to_numpy(zero_copy_only=False)
         ends = np.append(0, np.cumsum(there * dims)).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array((x / np.where(norm == 0, 1.0, norm)).ravel()), mask=pa.array(~there))
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(x.ravel()), mask=pa.array(~there))
 
     return vectors(text.cast("string"))
 

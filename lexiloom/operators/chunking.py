@@ -1,7 +1,8 @@
 """Heading-aware overlapping chunks.
 
-Sections are set-based: lines are exploded, heading lines numbered by a running window. A section
-that is too long is split and packed greedily by an aggregate over its pieces, in column expressions.
+A page is split at its headings, in column expressions within its row, so its text is shuffled for
+neither sections, numbers nor overlaps. A section that is too long is split and packed greedily by an
+aggregate over its pieces.
 """
 
 from __future__ import annotations
@@ -13,7 +14,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip
 
-PARAGRAPH_BREAK, SENTENCE = r"\n\s*\n", r"[^.!?]+[.!?]+(?:\s+|\z)|[^.!?]+\z"
+#: The end of a line before a heading line.
+HEADING = r"\n(?=#{1,6}[^\S\n]+\S)"
+#: A sentence begins where the last one ended or after a mark, so a long run that is none is looked at once.
+PARAGRAPH_BREAK, SENTENCE = r"\n\s*\n", r"(?:\G|(?<=[.!?]))(?:[^.!?]++[.!?]++(?:\s+|\z)|[^.!?]++\z)"
 
 
 def fixed_width(text: Column, limit: int) -> Column:
@@ -52,33 +56,58 @@ def pieces_of(text: Column, limit: int) -> Column:
     return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, F.array().cast("array<string>")).when(F.length(text) <= limit, F.array(text)).otherwise(F.transform(paragraphs, split)[0])
 
 
+def _sections(plain: Column) -> Column:
+    """Array of (section, heading_path, text): parts between headings, with the headings above them; blank ones are left out."""
+    kind = "array<struct<text:string,above:array<struct<depth:int,title:string>>>>"
+
+    def headed(part: Column) -> Column:
+        line = F.substring_index(part, "\n", 1)
+        return F.struct(part.alias("text"), F.length(F.regexp_extract(line, r"\A(#{1,6})\s+\S", 1)).alias("depth"), strip(F.regexp_extract(line, r"\A#{1,6}\s+(.+)\z", 1)).alias("title"))
+
+    def step(a: Column, own: Column) -> Column:
+        above = F.coalesce(F.get(a, F.size(a) - 1)["above"], F.array().cast("array<struct<depth:int,title:string>>"))
+        # A heading is above a section if nothing as shallow stands between.
+        stack = F.when(own["depth"] > 0, F.concat(F.filter(above, lambda h: h["depth"] < own["depth"]), F.array(F.struct(own["depth"].alias("depth"), own["title"].alias("title"))))).otherwise(above)
+        return F.concat(a, F.array(F.struct(own["text"].alias("text"), stack.alias("above"))))
+
+    first = F.when(plain.rlike(r"\A#{1,6}[^\S\n]+\S"), 1).otherwise(0)  # what stands before the first heading has the number 0
+    parts = F.aggregate(F.transform(F.split(plain, HEADING, -1), headed), F.array().cast(kind), step)
+    named = F.transform(parts, lambda x, i: F.struct((i + first).alias("section"), F.transform(x["above"], lambda h: h["title"]).alias("heading_path"), strip(x["text"]).alias("text")))
+    return F.filter(named, lambda x: x["text"] != "")
+
+
 def sections(pages: DataFrame) -> DataFrame:
     """(path, section, heading_path, text) of (path, plain): parts between headings, with the headings above them."""
-    lines = pages.where(strip(F.col("plain")) != "").select("path", F.posexplode(F.split("plain", "\n")).alias("at", "line"))
-    marks = F.regexp_extract("line", r"\A(#{1,6})\s+\S", 1)
-    lines = lines.withColumn("depth", F.when(marks != "", F.length(marks))).withColumn("title", F.when(F.col("depth").isNotNull(), strip(F.regexp_extract("line", r"\A#{1,6}\s+(.+)\z", 1))))
-    order = Window.partitionBy("path").orderBy("at")
-    lines = lines.withColumn("section", F.count("depth").over(order))
-    heads = lines.where("depth is not null").select("path", "section", "depth", "title")
-    # A heading is above a section if nothing as shallow stands between.
-    last = Window.partitionBy("path").orderBy("section").rowsBetween(Window.unboundedPreceding, 0)
-    stack = heads
-    for d in range(1, 7):
-        stack = stack.withColumn(f"h{d}", F.last(F.when(F.col("depth") == d, F.struct("section", "title")), ignorenulls=True).over(last))
-        stack = stack.withColumn(f"up{d}", F.last(F.when(F.col("depth") < d, F.col("section")), ignorenulls=True).over(last))
-    levels = [F.when((F.col("depth") >= d) & (F.coalesce(F.col(f"up{d}"), F.lit(-1)) < F.col(f"h{d}.section")), F.col(f"h{d}.title")) for d in range(1, 7)]
-    paths = stack.select("path", "section", F.array_compact(F.array(*levels)).alias("heading_path"))
-    text = lines.groupBy("path", "section").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "\n").alias("text"))
-    text = text.withColumn("text", strip(F.col("text"))).where("text <> ''")
-    return text.join(paths, ["path", "section"], "left").withColumn("heading_path", F.coalesce("heading_path", F.array().cast("array<string>")))
-
-
-def chunk(pages: DataFrame, size: int = 512, overlap: float = 0.15, chars_per_token: int = 4) -> DataFrame:
-    """(chunk_id, path, chunk_idx, text, heading_path) of (path, plain)."""
+    return pages.select("path", F.explode(_sections(F.col("plain"))).alias("s")).select("path", "s.*")
+
+
+def chunk(pages: DataFrame, size: int = 512, overlap: float = 0.15, chars_per_token: int = 4, spread: bool = True) -> DataFrame:
+    """(chunk_id, path, chunk_idx, text, heading_path) of (path, plain).
+
+    A page is chunked within its row. ``spread`` deals the pages out first, by one shuffle; pages that lie spread need none.
+    """
     limit = size * chars_per_token
-    pieces = sections(pages).select("path", "section", "heading_path", F.posexplode(F.when(F.length("text") <= limit, F.array("text")).otherwise(pieces_of(F.col("text"), limit))).alias("at", "text"))
-    numbered = pieces.withColumn("chunk_idx", F.row_number().over(Window.partitionBy("path").orderBy("section", "at")) - 1)
-    return overlapped(numbered, int(limit * overlap)).select(chunk_id(F.col("path"), F.col("chunk_idx")).alias("chunk_id"), "path", "chunk_idx", "text", "heading_path")
+    tail = int(limit * overlap)
+
+    def cut(s: Column) -> Column:
+        pieces = F.when(F.length(s["text"]) <= limit, F.array(s["text"])).otherwise(pieces_of(s["text"], limit))
+        return F.transform(pieces, lambda x: F.struct(x.alias("text"), s["heading_path"].alias("heading_path")))
+
+    def overlapping(own: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            last = F.get(own, i - 1)
+            same = F.array_join(last["heading_path"], "|") == F.array_join(x["heading_path"], "|")
+            return F.struct(_after(F.right(last["text"], F.lit(tail)), same, x["text"]).alias("text"), x["heading_path"].alias("heading_path"))
+
+        return F.transform(own, one)
+
+    pieces = F.flatten(F.transform(_sections(F.col("plain")), cut))
+    rows = (pages.repartition("path") if spread else pages).select("path", F.posexplode(F.transform(F.array(pieces), overlapping)[0]).alias("chunk_idx", "c"))
+    return rows.select(chunk_id(F.col("path"), F.col("chunk_idx")).alias("chunk_id"), "path", "chunk_idx", "c.text", "c.heading_path")
+
+
+def _after(before: Column, same: Column, text: Column) -> Column:
+    return F.when(same & (before != ""), F.concat(before, F.lit("\n\n"), text)).otherwise(text)
 
 
 def overlapped(pieces: DataFrame, tail: int) -> DataFrame:
@@ -86,7 +115,7 @@ def overlapped(pieces: DataFrame, tail: int) -> DataFrame:
     order = Window.partitionBy("path").orderBy("chunk_idx")
     same = F.array_join(F.lag("heading_path").over(order), "|") == F.array_join("heading_path", "|")
     before = F.lag(F.right("text", F.lit(tail))).over(order)
-    return pieces.withColumn("text", F.when(same & (before != ""), F.concat(before, F.lit("\n\n"), "text")).otherwise(F.col("text")))
+    return pieces.withColumn("text", _after(before, same, F.col("text")))
 
 
 def chunk_id(path: Column, idx: Column) -> Column:

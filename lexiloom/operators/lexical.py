@@ -1,6 +1,6 @@
 """The inverted index as blocks of postings, and lexical top-k that skips what can't be among the best.
 
-A block holds up to ``BLOCK`` postings of one term, those of highest impact in the first blocks, with the
+A block holds up to ``BLOCK`` postings of one term and of like impact, with the
 positions of each occurrence. Beside its lists a block states its largest count and its shortest
 chunk, which bound what any of its postings can score, whatever the collection grows to.
 
@@ -13,11 +13,15 @@ result is exactly that of scoring every chunk. Phrases are found by intersecting
 
 from __future__ import annotations
 
+import ctypes
+import math
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +32,12 @@ K1, B = 1.2, 0.75
 IDF_FLOOR = 1e-6
 #: Postings of a block, and the chunk length at which impacts are compared when postings are ordered.
 BLOCK, USUAL_LENGTH = 128, 64
+#: Chunks counted at once, postings that a task deals out at once, and chunks (or as many postings) for which there is one group of terms.
+AT_ONCE, HELD, GROUP_CHUNKS, GROUP_POSTINGS = 2048, 1 << 21, 8192, 1 << 20
+#: A term with more than this part of a group's postings is dealt out to several groups.
+PARTS = 16
+#: Blocks of a batch that a task returns.
+BATCH = 2048
 #: Rows of a batch's terms or candidates up to which they are broadcast; beyond it they are joined by shuffle.
 BROADCAST_ROWS = 200_000
 #: Chunks that give a query its first bound, as a multiple of the chunks that it asks for.
@@ -59,8 +69,34 @@ def small(rows: DataFrame) -> DataFrame:
 # building
 
 
-def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+@dataclass(frozen=True)
+class _Coded:
+    """Postings by chunk: places of their terms in ``terms`` and of their chunks in ``ids``, which have ``dls`` tokens; positions of all after one another."""
+
+    terms: pa.Array
+    ids: pa.Array
+    dls: np.ndarray
+    term: np.ndarray
+    chunk: np.ndarray
+    tf: np.ndarray
+    positions: np.ndarray
+
+    @staticmethod
+    def joined(parts: list[_Coded]) -> _Coded:
+        coded = pa.concat_arrays([p.terms for p in parts]).dictionary_encode()
+        place, first_term, first_id = coded.indices.to_numpy(), 0, 0
+        term, chunk = [], []
+        for p in parts:
+            term.append(place[p.term + first_term])
+            chunk.append(p.chunk + np.int32(first_id))
+            first_term, first_id = first_term + len(p.terms), first_id + len(p.ids)
+        dls, tf, positions = (np.concatenate([getattr(p, c) for p in parts]) for c in ("dls", "tf", "positions"))
+        return _Coded(coded.dictionary, pa.concat_arrays([p.ids for p in parts]), dls, np.concatenate(term), np.concatenate(chunk), tf, positions)
+
+
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[_Coded]:
+    """Postings of chunks (chunk_id, w)."""
+    for batch in (b.slice(at, AT_ONCE) for b in batches for at in range(0, b.num_rows, AT_ONCE)):
         ids, words = batch.column("chunk_id"), batch.column("w")
         length = np.diff(words.offsets.to_numpy())
         coded = words.flatten().dictionary_encode()
@@ -71,15 +107,20 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new = np.ones(len(row), dtype=bool)
         new[1:] = (row[1:] != row[:-1]) | (code[1:] != code[:-1])
         first = np.flatnonzero(new)
-        ends = np.append(first, len(row)).astype(np.int32)
-        none = len(ids)
+        yield _Coded(coded.dictionary, ids, length.astype(np.int32), *[x.astype(np.int32) for x in (code[first], row[first], np.diff(np.append(first, len(row))), at)])
+
+
+def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for found in _tokens(batches):
+        ids, none = found.ids, len(found.ids)
+        ends = np.append(0, np.cumsum(found.tf)).astype(np.int32)
         yield pa.RecordBatch.from_arrays(
             [
-                pa.concat_arrays([coded.dictionary.take(pa.array(code[first])), pa.array([""] * none, pa.string())]),
-                pa.concat_arrays([ids.take(pa.array(row[first])), ids]),
-                pa.array(np.concatenate([np.diff(ends), np.zeros(none)]).astype(np.int32)),
-                pa.array(np.concatenate([length[row[first]], length]).astype(np.int32)),
-                pa.ListArray.from_arrays(pa.array(np.concatenate([ends, np.full(none, ends[-1])]).astype(np.int32)), pa.array(at.astype(np.int32))),
+                pa.concat_arrays([found.terms.take(pa.array(found.term)), pa.array([""] * none, pa.string())]),
+                pa.concat_arrays([ids.take(pa.array(found.chunk)), ids]),
+                pa.array(np.concatenate([found.tf, np.zeros(none, np.int32)])),
+                pa.array(np.concatenate([found.dls[found.chunk], found.dls])),
+                pa.ListArray.from_arrays(pa.array(np.concatenate([ends, np.full(none, ends[-1], np.int32)])), pa.array(found.positions)),
             ],
             names=["term", "chunk_id", "tf", "dl", "positions"],
         )
@@ -90,24 +131,153 @@ def occurrences(chunks: DataFrame) -> DataFrame:
 
     A row with the empty term stands for each chunk itself. Counted within each chunk, so nothing is shuffled.
     """
-    words = chunks.select(F.col("chunk_id").cast("string"), F.coalesce(index_tokens(F.col("text")), F.array().cast("array<string>")).alias("w"))
-    return words.mapInArrow(_occurrences, OCCURRENCES)
+    return _words(chunks).mapInArrow(_occurrences, OCCURRENCES)
+
+
+def _words(chunks: DataFrame) -> DataFrame:
+    return chunks.select(F.col("chunk_id").cast("string"), F.coalesce(index_tokens(F.col("text")), F.array().cast("array<string>")).alias("w"))
+
+
+def counted(found: DataFrame) -> DataFrame:
+    """(term, df, tokens) of ``occurrences``: the row of the empty term has the number of all chunks and of their tokens."""
+    return found.groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("tokens"))
+
+
+_DEALT = "bucket int, size long, postings binary"
+
+
+def _strength(tf: np.ndarray, dl: np.ndarray) -> np.ndarray:
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / USUAL_LENGTH))
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of rows that come by term and descending impact."""
+def _narrow(values: np.ndarray) -> pa.ListArray:
+    """Whole numbers as one list, in as few bytes each as they need."""
+    return _listed(pa.array(values.astype(np.min_scalar_type(int(values.max())))))
+
+
+def _listed(values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
+def _give_back() -> None:
+    """Free memory goes back, for workers are used again and what their allocators keep would add up on an executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def _deal(found: _Coded, groups: int) -> pa.RecordBatch:
+    """(bucket, size, postings): the postings of each group, compressed: each term, chunk and length once, the rest as numbers.
+
+    A term goes to one group; a common one, by the share of all postings that it has here, to several, by impact.
+    """
+    term, n = found.term, len(found.term)
+    count = np.bincount(term, minlength=len(found.terms))
+    # A power of two of parts, for those of other tasks to be alike; chance is no share.
+    sure = np.maximum(count - 2 * np.sqrt(count), 0)
+    parts = 2 ** np.ceil(np.log2(np.maximum(np.minimum(PARTS * groups * sure / n, groups), 1))).astype(np.int64)
+    name = np.array([zlib.crc32(t.encode()) for t in found.terms.to_pylist()], dtype=np.int64)
+    bucket = name[term] % groups
+    common = np.flatnonzero(parts[term] > 1)
+    if len(common):
+        own = term[common]
+        order = np.lexsort((-_strength(found.tf[common], found.dls[found.chunk[common]]), own))
+        common, own = common[order], own[order]
+        rank = np.arange(len(own)) - np.searchsorted(own, own)
+        bucket[common] = ((name[own] + rank * parts[own] // count[own] * 2654435761) & 0xFFFFFFFF) % groups
+    place, ids = _ranked(found.ids)
+    dls = np.empty(len(ids), dtype=np.int32)
+    dls[place] = found.dls
+    chunk = place.astype(np.int32)[found.chunk]
+    by = np.lexsort((chunk, bucket * len(found.terms) + term))
+    ends = np.append(0, np.cumsum(found.tf))
+    places = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(found.positions)).take(pa.array(by)).flatten().to_numpy()
+    term, chunk, bucket, tf = term[by], chunk[by], bucket[by], found.tf[by]
+    ends = np.append(0, np.cumsum(tf))
+    start = np.flatnonzero(np.diff(bucket, prepend=-1))
+    sizes, out = [], []
+    for x, y in zip(start, np.append(start[1:], n), strict=True):
+        new = x + np.flatnonzero(np.diff(term[x:y], prepend=-1))
+        some, at = np.unique(chunk[x:y], return_inverse=True)
+        numbers = [np.diff(np.append(new, y)), at, dls[some], tf[x:y], places[ends[x] : ends[y]]]
+        own = pa.RecordBatch.from_arrays([_listed(found.terms.take(pa.array(term[new]))), _listed(ids.take(pa.array(some))), *[_narrow(z) for z in numbers]], names=["terms", "ids", "counts", "chunks", "dls", "tfs", "positions"])
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, own.schema) as stream:
+            stream.write_batch(own)
+        raw = sink.getvalue()
+        sizes.append(raw.size)
+        out.append(pa.compress(raw, "zstd", asbytes=True))
+    return pa.RecordBatch.from_arrays([pa.array(bucket[start].astype(np.int32)), pa.array(sizes, pa.int64()), pa.array(out, pa.binary())], names=["bucket", "size", "postings"])
+
+
+def _dealt(found: Iterator[_Coded], groups: int) -> Iterator[pa.RecordBatch]:
+    """Postings go through the shuffle by group and compressed; as rows of their own they take many times the room."""
+    held: list[_Coded] = []
+    n = 0
+    for part in found:
+        if not len(part.term):
+            continue
+        held, n = [*held, part], n + len(part.term)
+        if n >= HELD:
+            yield _deal(_Coded.joined(held), groups)
+            held, n = [], 0
+    if n:
+        yield _deal(_Coded.joined(held), groups)
+    del held
+    _give_back()
+
+
+def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[_Coded]:
+    """Postings of ``occurrences``."""
     for batch in batches:
-        n = batch.num_rows
-        if not n:
+        batch = batch.filter(pc.not_equal(batch.column("term"), ""))
+        if not batch.num_rows:
             continue
-        code = batch.column("term").dictionary_encode().indices.to_numpy()
-        starts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
-        within = np.arange(n) - np.repeat(starts, np.diff(np.append(starts, n)))
-        first = np.flatnonzero(within % BLOCK == 0)
-        ends = pa.array(np.append(first, n).astype(np.int32))
-        tf, dl = (batch.column(c).to_numpy() for c in ("tf", "dl"))
-        lists = [pa.ListArray.from_arrays(ends, batch.column(c)) for c in ("chunk_id", "tf", "dl", "positions")]
-        yield pa.RecordBatch.from_arrays([batch.column("term").take(pa.array(first)), pa.array(np.diff(np.append(first, n)).astype(np.int32)), pa.array(np.maximum.reduceat(tf, first)), pa.array(np.minimum.reduceat(dl, first)), *lists], names=["term", "n", "max_tf", "min_dl", "chunk_ids", "tfs", "dls", "positions"])
+        term, chunk = (batch.column(c).dictionary_encode() for c in ("term", "chunk_id"))
+        at = chunk.indices.to_numpy()
+        once = np.unique(at, return_index=True)[1]
+        yield _Coded(term.dictionary, chunk.dictionary, batch.column("dl").to_numpy()[once], term.indices.to_numpy(), at, batch.column("tf").to_numpy(), batch.column("positions").flatten().to_numpy())
+
+
+def _ranked(values: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The place of each value among the sorted different ones, and these."""
+    coded = values.dictionary_encode()
+    order = pc.sort_indices(coded.dictionary)
+    place = np.empty(len(order), dtype=np.int64)
+    place[order.to_numpy()] = np.arange(len(order))
+    return place[coded.indices.to_numpy()], coded.dictionary.take(order)
+
+
+def _pack(group: pa.Table) -> pa.Table:
+    """Blocks of a group's postings, by term and descending impact; those of one block by chunk."""
+    found = [pa.ipc.open_stream(pa.decompress(raw, size, "zstd")).read_next_batch() for raw, size in zip(group.column("postings").to_pylist(), group.column("size").to_pylist(), strict=True)]
+    words = lambda c: _ranked(pa.concat_arrays([p.column(c).flatten() for p in found]))
+    numbers = lambda c: np.concatenate([p.column(c).flatten().to_numpy().astype(np.int32) for p in found])
+    (term, terms), (chunk, ids) = words("terms"), words("ids")
+    code, n = np.repeat(term, numbers("counts")), sum(len(p.column("tfs").flatten()) for p in found)
+    first_id = np.cumsum([0, *[len(p.column("ids").flatten()) for p in found[:-1]]])
+    at = numbers("chunks") + np.repeat(first_id, [len(p.column("chunks").flatten()) for p in found])
+    tf, dl, chunk = numbers("tfs"), numbers("dls")[at], chunk[at]
+    places = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(tf)).astype(np.int32)), pa.array(numbers("positions")))
+
+    order = np.lexsort((chunk, -_strength(tf, dl), code))
+    starts = np.flatnonzero(np.diff(code[order], prepend=-1))
+    within = np.arange(n) - np.repeat(starts, np.diff(np.append(starts, n)))
+    first = np.flatnonzero(within % BLOCK == 0)
+    sizes = np.diff(np.append(first, n))
+    order = order[np.lexsort((chunk[order], np.repeat(np.arange(len(first)), sizes)))]
+    ends = np.append(first, n).astype(np.int32)
+    code, chunk, tf, dl = code[order], chunk[order], tf[order], dl[order]
+    most, least = np.maximum.reduceat(tf, first), np.minimum.reduceat(dl, first)
+    batches = []
+    for b in range(0, len(first), BATCH):
+        own, bounds = slice(b, b + BATCH), ends[b : b + BATCH + 1]
+        x = slice(bounds[0], bounds[-1])
+        lists = [pa.ListArray.from_arrays(pa.array(bounds - bounds[0]), y) for y in (ids.take(pa.array(chunk[x])), pa.array(tf[x]), pa.array(dl[x]), places.take(pa.array(order[x])))]
+        batches.append(pa.RecordBatch.from_arrays([terms.take(pa.array(code[first[own]])), pa.array(sizes[own].astype(np.int32)), pa.array(most[own]), pa.array(least[own]), *lists], names=["term", "n", "max_tf", "min_dl", "chunk_ids", "tfs", "dls", "positions"]))
+    _give_back()
+    return pa.Table.from_batches(batches)
 
 
 def impact(tf: Column, dl: Column, average: Column) -> Column:
@@ -115,28 +285,42 @@ def impact(tf: Column, dl: Column, average: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / average))
 
 
-def blocks(found: DataFrame) -> DataFrame:
-    """Blocks of stored ``occurrences``. Ranges of (term, impact) are dealt out, so a common term's list spans tasks."""
-    order = [F.col("term"), F.desc(impact(F.col("tf"), F.col("dl"), F.lit(USUAL_LENGTH))), F.col("chunk_id")]
-    return found.where("term <> ''").repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_packed, BLOCKS)
+def _grouped(dealt: DataFrame, groups: int) -> DataFrame:
+    return dealt.repartitionById(groups, F.col("bucket")).groupBy("bucket").applyInArrow(_pack, BLOCKS)
+
+
+def blocks(found: DataFrame, postings: int) -> DataFrame:
+    """Blocks of ``occurrences``, of which there are about ``postings``. Groups of terms are dealt out, and a common term's list spans several."""
+    groups = max(1, math.ceil(postings / GROUP_POSTINGS))
+    return _grouped(found.mapInArrow(lambda batches: _dealt(_coded(batches), groups), _DEALT), groups)
+
+
+def chunk_blocks(chunks: DataFrame, n: int) -> DataFrame:
+    """Blocks of ``n`` chunks (chunk_id, text), whose occurrences are counted and dealt out in one task."""
+    groups = max(1, math.ceil(n / GROUP_CHUNKS))
+    return _grouped(_words(chunks).mapInArrow(lambda batches: _dealt(_tokens(batches), groups), _DEALT), groups)
 
 
-def term_counts(found: DataFrame) -> DataFrame:
-    return found.where("term <> ''").groupBy("term").agg(F.count("*").alias("df"))
+def block_counts(found: DataFrame) -> DataFrame:
+    """Document counts (term, df) of blocks."""
+    return found.groupBy("term").agg(F.sum("n").alias("df"))
 
 
-def totals(found: DataFrame) -> DataFrame:
-    """One row (chunks, tokens)."""
-    return found.where("term = ''").agg(F.count("*").alias("chunks"), F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens"))
+def block_totals(found: DataFrame, chunks: DataFrame) -> DataFrame:
+    """One row (chunks, tokens) of chunks and their blocks."""
+    tokens = F.coalesce(F.sum(F.aggregate("tfs", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0))
+    return chunks.agg(F.count("*").alias("chunks")).crossJoin(found.agg(tokens.alias("tokens")))  # one row each
 
 
 def lexicon(chunks: DataFrame, only: DataFrame | None = None) -> Lexicon:
     """The index of (chunk_id, text); ``only``: (term), for queries that ask for no other."""
-    found = occurrences(chunks)
-    if only is not None:
-        found = found.join(small(only.select("term").union(only.sparkSession.sql("SELECT '' AS term")).distinct()), "term", "left_semi")
-    found = stored(found, "lexicon-occurrences")
-    return Lexicon(stored(blocks(found), "lexicon-blocks"), stored(term_counts(found), "lexicon-terms"), stored(totals(found), "lexicon-totals"))
+    if only is None:
+        found = stored(chunk_blocks(chunks, chunks.count()), "lexicon-blocks")
+        return Lexicon(found, stored(block_counts(found), "lexicon-terms"), stored(block_totals(found, chunks), "lexicon-totals"))
+    terms = small(only.select("term").union(only.sparkSession.sql("SELECT '' AS term")).distinct())
+    found = stored(occurrences(chunks).join(terms, "term", "left_semi"), "lexicon-occurrences")
+    counts = stored(counted(found), "lexicon-counts")
+    return Lexicon(stored(blocks(found, found.count()), "lexicon-blocks"), counts.where("term <> ''").select("term", "df"), stored(counts.where("term = ''").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(n) for c, n in (("df", "chunks"), ("tokens", "tokens"))]), "lexicon-totals"))
 
 
 # asking

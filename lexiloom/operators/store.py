@@ -8,6 +8,7 @@ change, not the index. A row is current unless a later commit replaced its path.
 The full-text half is kept alike: each change writes its postings as a segment, and what it adds to or takes from the
 counts of terms, chunks and tokens. Postings of replaced paths stay in their segments and are skipped when
 opened; segments of about one size are merged once there are ``MERGE`` of them, without their dead postings.
+Chunks and postings are written where they stay before what is computed from them, so no second copy is kept.
 
 Readers follow the latest commit, so they never see half a change, and a failed or lost job leaves
 only files that no commit names. Two writers on one commit number collide: the second fails instead
@@ -19,6 +20,7 @@ from __future__ import annotations
 import functools
 import json
 import math
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -29,14 +31,14 @@ from ..config import Settings
 from ..functions.embed import hash_embedding
 from ..functions.text import page_title
 from ..sources.markdown import parse_pages
-from ..storage import stored
+from ..storage import forget, stored
 from . import lexical, maintenance
 from .chunking import chunk
 
 SCHEMAS = {
     "pages": "path string, title string, frontmatter string, size long, last_modified timestamp, last_indexed timestamp",
     "chunks": "chunk_id string, path string, chunk_idx int, text string, heading_path array<string>",
-    "vectors": "chunk_id string, path string, embedding array<double>",
+    "vectors": "chunk_id string, path string, embedding array<float>",
     "manifest": "path string, sha256 string, chunk_count long, last_indexed timestamp",
     "history": "id long, path string, sha256 string, body string, frontmatter string, byte_size long, written_at timestamp",
     "meta": "key string, value string",
@@ -49,6 +51,8 @@ SCHEMAS = {
 #: Tables whose rows of a path are replaced as a whole; history only grows, and meta is one small table.
 PAGED = ("pages", "chunks", "vectors", "manifest")
 COMPACT_AFTER = 20
+#: Level of compression of texts and postings, which take a seventh less room than at the usual 3.
+CLOSE = 9
 #: Segments of postings of one size class that are merged, and how many times as many blocks the next class holds.
 MERGE = 4
 
@@ -93,7 +97,15 @@ class IndexStore:
         """Rows of all folders, with the ``commit`` that wrote them."""
         if not folders:
             return self.spark.createDataFrame([], f"{schema}, commit long")
-        parts = [self.spark.read.schema(schema).parquet(f"{self.root}/{folder}").withColumn("commit", F.lit(n).cast("long")) for folder, n in folders]
+        wanted = self.spark.createDataFrame([], schema).schema
+
+        def part(folder: str) -> DataFrame:
+            if "vectors/" not in folder:
+                return self.spark.read.schema(schema).parquet(f"{self.root}/{folder}")
+            held = self.spark.read.parquet(f"{self.root}/{folder}")  # older stores hold doubles
+            return held.select(*[F.col(f.name).cast(f.dataType) for f in wanted])
+
+        parts = [part(folder).withColumn("commit", F.lit(n).cast("long")) for folder, n in folders]
         return functools.reduce(DataFrame.unionByName, parts)
 
     def read(self, name: str) -> DataFrame:
@@ -113,6 +125,19 @@ class IndexStore:
             rows = rows.join(gone, "path", "left").where("until is null or commit >= until").drop("until")
         return rows.drop("commit")
 
+    def _write(self, df: DataFrame, folder: str) -> None:
+        level = CLOSE if folder.split("/")[0] in ("chunks", "postings") else 3
+        df.write.mode("overwrite").options(**{"compression": "zstd", "parquet.compression.codec.zstd.level": level}).parquet(f"{self.root}/{folder}")
+
+    def _written(self, name: str, df: DataFrame) -> DataFrame:
+        """New rows of a table in a folder of their own, for a commit to name and what follows to read."""
+        wanted = self.spark.createDataFrame([], SCHEMAS[name]).schema
+        folder = f"{name}/new-{uuid.uuid4().hex}"
+        self._write(df.select(*[F.col(f.name).cast(f.dataType) for f in wanted]), folder)
+        out = self.spark.read.schema(wanted).parquet(f"{self.root}/{folder}")
+        out.written_as = folder
+        return out
+
     def commit(self, gone: DataFrame | None = None, fresh: tuple[str, ...] = (), **tables: DataFrame) -> int:
         """Append ``tables`` and replace what was there of the paths in ``gone``, all at once; ``fresh`` tables hold just the new rows."""
         before, folders = self.version()
@@ -123,12 +148,13 @@ class IndexStore:
             writes["gone"] = (gone.select("path").distinct(), "path string")
         for name, (df, schema) in writes.items():
             wanted = self.spark.createDataFrame([], schema).schema
-            folder = f"{name}/v{number}"
-            df.select(*[F.col(f.name).cast(f.dataType) for f in wanted]).write.mode("overwrite").parquet(f"{self.root}/{folder}")
+            folder = getattr(df, "written_as", f"{name}/v{number}")
+            if not hasattr(df, "written_as"):
+                self._write(df.select(*[F.col(f.name).cast(f.dataType) for f in wanted]), folder)
             folders.setdefault(name, []).append([folder, number])
         self._merge_segments(folders, number)
         for name in (n for n in SCHEMAS if n != "postings" and len(folders.get(n, [])) > COMPACT_AFTER):
-            self._current(name, folders).write.mode("overwrite").parquet(f"{self.root}/{name}/v{number}-whole")
+            self._write(self._current(name, folders), f"{name}/v{number}-whole")
             folders[name] = [[f"{name}/v{number}-whole", number]]
         oldest = min((n for name in (*PAGED, "postings") for _, n in folders.get(name, [])), default=number)
         folders["gone"] = [[f, n] for f, n in folders.get("gone", []) if n > oldest]
@@ -159,7 +185,7 @@ class IndexStore:
             rows = self._rows(entries, SCHEMAS["postings"])
             live = lexical.opened(rows, self._gone(folders, min(n for _, n in entries)), "term", positions=True)
             folder = f"postings/v{number}-class{size}"
-            lexical.blocks(stored(live, "merged-postings")).write.mode("overwrite").parquet(f"{self.root}/{folder}")
+            self._write(lexical.blocks(live, rows.agg(F.sum("n")).first()[0] or 0), folder)
             folders["postings"] = [e for e in folders["postings"] if e not in entries] + [[folder, number]]
 
     def lexicon(self) -> lexical.Lexicon:
@@ -179,13 +205,19 @@ class IndexStore:
 
     def _counted(self, paths: DataFrame, added: DataFrame | None = None) -> dict[str, DataFrame]:
         """Postings of ``added`` chunks, and how the counts change when these replace what the index holds of ``paths``."""
-        lost = self.read("chunks").join(paths.select("path").distinct(), "path", "left_semi").select("chunk_id", "text")
-        out, sides = {}, [(stored(lexical.occurrences(lost), "lost-occurrences"), -1)]
+        terms, sums = [], []
+        if self.version()[1].get("chunks"):
+            lost = self.read("chunks").join(lexical.small(paths.select("path").distinct()), "path", "left_semi").select("chunk_id", "text")
+            counts = stored(lexical.counted(lexical.occurrences(lost)), "lost-counts")
+            terms.append(counts.where("term <> ''").select("term", (-F.col("df")).alias("df")))
+            sums.append(counts.where("term = ''").agg(*[(-F.coalesce(F.sum(c), F.lit(0))).alias(n) for c, n in (("df", "chunks"), ("tokens", "tokens"))]))
+        out = {}
         if added is not None:
-            sides.append((stored(lexical.occurrences(added.select("chunk_id", "text")), "new-occurrences"), 1))
-            out["postings"] = lexical.blocks(sides[1][0])
-        terms = [lexical.term_counts(found).withColumn("df", sign * F.col("df")) for found, sign in sides]
-        sums = [lexical.totals(found).select((sign * F.col("chunks")).alias("chunks"), (sign * F.col("tokens")).alias("tokens")) for found, sign in sides]
+            out["postings"] = self._written("postings", lexical.chunk_blocks(added, added.count()))
+            terms.append(lexical.block_counts(out["postings"]))
+            sums.append(lexical.block_totals(out["postings"], added))
+        if not terms:
+            return out
         changed = functools.reduce(DataFrame.unionByName, terms).groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0")
         return out | {"terms": changed, "totals": functools.reduce(DataFrame.unionByName, sums)}
 
@@ -199,16 +231,24 @@ class IndexStore:
             self.commit(fresh=("meta", "chunks", "vectors", "manifest", "postings", "terms", "totals") if state.changed else ("meta",), meta=meta)
         return state.changed, state.previous
 
-    def _index(self, files: DataFrame, now: Column) -> tuple[dict[str, DataFrame], DataFrame]:
-        """(new rows of each table, errors) of (path, text, modified, sha256); each file is parsed and chunked once."""
-        good, errors = maintenance.split_errors(stored(parse_pages(files).drop("text", "bytes"), "parsed-pages"))
+    def _parsed(self, files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(pages, facts of good pages without their text, errors) of (path, text, modified, sha256, size); each file is parsed once."""
+        parsed = stored(parse_pages(files).drop("text", "bytes"), "parsed-pages")
+        good, errors = maintenance.split_errors(stored(parsed.drop("plain"), "parsed-facts"))
+        return parsed, good, errors
+
+    def _tables(self, parsed: DataFrame, good: DataFrame, now: Column) -> dict[str, DataFrame]:
+        """New rows of each table; ``parsed`` goes once its chunks are there."""
         title = page_title(F.get_json_object("frontmatter", "$.title"), F.col("path"))
         pages = good.select("path", title.alias("title"), "frontmatter", "size", F.col("modified").alias("last_modified"), now.alias("last_indexed"))
-        chunks = stored(chunk(good.select("path", "plain"), self.settings.chunk_size, self.settings.chunk_overlap), "parsed-chunks")
+        few = len(parsed.inputFiles()) < self.spark.sparkContext.defaultParallelism  # pages of few files are dealt out
+        plain = parsed.where("error is null").select("path", "plain")
+        chunks = self._written("chunks", chunk(plain, self.settings.chunk_size, self.settings.chunk_overlap, spread=few))
+        forget(parsed)
         vectors = self.embed(chunks) if self.embed else chunks.withColumn("embedding", hash_embedding(F.col("text"), self.settings.embedding_dims))
         counted = chunks.groupBy("path").agg(F.count("*").alias("chunk_count"))
         manifest = good.select("path", "sha256").join(counted, "path", "left").select("path", "sha256", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), now.alias("last_indexed"))
-        return {"pages": pages, "chunks": chunks, "vectors": vectors.select("chunk_id", "path", "embedding"), "manifest": manifest}, errors
+        return {"pages": pages, "chunks": chunks, "vectors": vectors.select("chunk_id", "path", "embedding"), "manifest": manifest}
 
     def reconcile(self, walked: DataFrame) -> IndexResult:
         """Bring the index in line with the files (path, text, modified, sha256) of a walk.
@@ -217,16 +257,18 @@ class IndexStore:
         """
         self.check_embedder()
         now, manifest = F.current_timestamp(), self.read("manifest")
-        todo = maintenance.to_index(manifest, walked)
-        new, errors = self._index(todo.withColumn("size", F.length("text")), now)
+        known = bool(self.version()[1].get("manifest"))
+        todo = maintenance.to_index(lexical.small(manifest), walked) if known else walked  # the text of all files stays where it is
+        parsed, good, errors = self._parsed(todo.withColumn("size", F.length("text")))
         gone = stored(maintenance.to_delete(manifest, walked).select("path"), "gone-paths")
-        done, added, deleted = new["pages"].select("path"), new["chunks"].count(), gone.count()
-        indexed = done.count()
-        skipped = walked.join(manifest.select("path", "sha256"), ["path", "sha256"], "left_semi").count()
-        if indexed or deleted:
-            replaced = gone.union(done)
-            self.commit(gone=replaced, **new, **self._counted(replaced, new["chunks"]))
-        return IndexResult(indexed, skipped, deleted, added, errors)
+        indexed, deleted = good.count(), gone.count()
+        skipped = walked.join(manifest.select("path", "sha256"), ["path", "sha256"], "left_semi").count() if known else 0
+        if not indexed and not deleted:
+            forget(parsed)
+            return IndexResult(0, skipped, 0, 0, errors)
+        new, replaced = self._tables(parsed, good, now), gone.union(good.select("path"))
+        self.commit(gone=replaced, **new, **self._counted(replaced, new["chunks"]))
+        return IndexResult(indexed, skipped, deleted, new["chunks"].count(), errors)
 
     def save(self, pages: DataFrame, current: DataFrame | None = None) -> IndexResult:
         """Index new texts (path, text) of pages; what those pages hold now, ``current`` (path, text), joins their history.
@@ -240,11 +282,10 @@ class IndexStore:
             first = (self._rows(self.version()[1].get("history", []), SCHEMAS["history"]).agg(F.max("id")).first()[0] or 0) + 1
             held = current.join(pages.select("path"), "path", "left_semi").join(self.read("pages").select("path", "frontmatter"), "path", "left")
             tables["history"] = maintenance.history_rows(held, now, first)
-        new, errors = self._index(files, now)
-        indexed, chunks = new["pages"].count(), new["chunks"].count()
-        replaced = new["pages"].select("path")
+        parsed, good, errors = self._parsed(files)
+        new, replaced = self._tables(parsed, good, now), good.select("path")
         self.commit(gone=replaced, **new, **tables, **self._counted(replaced, new["chunks"]))
-        return IndexResult(indexed, 0, 0, chunks, errors)
+        return IndexResult(good.count(), 0, 0, new["chunks"].count(), errors)
 
     def remove(self, paths: DataFrame) -> int:
         """Drop pages; returns how many chunks went. Their history stays."""

@@ -179,3 +179,39 @@ def test_full_text_of_a_changed_index_equals_a_rebuilt_one(spark, tmp_path, monk
 
     found = search(asked.where("query_id = 91"), store.index(), Settings(embedding_dims=16, vector_weight=0))
     assert [r.path for r in found.collect()] == ["last.md"]
+
+
+def shuffled(spark, after=-1):
+    """(bytes that stages later than ``after`` wrote to shuffles, the last stage)."""
+    context = spark.sparkContext
+    context._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    found = context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(context._jvm.double, 0), None)
+    stages = [found.apply(i) for i in range(found.size())]
+    return sum(s.shuffleWriteBytes() for s in stages if s.stageId() > after), max((s.stageId() for s in stages), default=-1)
+
+
+def test_a_new_index_shuffles_and_leaves_little_beside_itself(spark, tmp_path):
+    """Texts aren't shuffled to be compared or chunked, postings go compressed, and no stored step stays."""
+    import random
+
+    from lexiloom.operators import lexical
+    from lexiloom.storage import shared_dir
+
+    rng = random.Random(5)
+    words = [f"w{int(rng.paretovariate(0.5)) % 20_000}" for _ in range(40_000)]
+    rows = [(f"p{i}.md", "# a\n" + "\n\n".join(" ".join(rng.choices(words, k=60)) + "." for _ in range(30))) for i in range(300)]
+    pages = spark.createDataFrame([(p, t, None) for p, t in rows], "path string, text string, modified timestamp").withColumn("sha256", F.sha2("text", 256))
+    pages.write.parquet(str(tmp_path / "pages"))
+    shared = type(tmp_path)(shared_dir(spark).removeprefix("file://"))
+    texts, left, last = sum(len(t) for _, t in rows), folder_bytes(shared), shuffled(spark)[1]
+    store = store_at(spark, tmp_path)
+    assert counts(store.reconcile(spark.read.parquet(str(tmp_path / "pages")))) == (300, 0, 0)
+    assert shuffled(spark, last)[0] < texts
+    assert folder_bytes(shared) - left < texts / 10
+    index = {name: folder_bytes(tmp_path / "index" / name) for name in ("chunks", "postings")}
+    assert index["chunks"] < texts and index["postings"] < 2 * texts
+    assert store.read("manifest").count() == 300 and store.read("chunks").agg(F.countDistinct("path")).first()[0] == 300
+    chunks, own = lexical.occurrences(store.read("chunks")).cache(), store.lexicon()
+    assert own.totals.first()[:] == chunks.where("term = ''").agg(F.count("*"), F.sum("dl")).first()[:]
+    back = lexical.opened(own.blocks, None, "term", positions=True).select(chunks.columns)
+    assert back.count() == chunks.where("term <> ''").count() and back.exceptAll(chunks).isEmpty()
