@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,29 +57,41 @@ def pieces_of(text: Column, limit: int) -> Column:
     return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, F.array().cast("array<string>")).when(F.length(text) <= limit, F.array(text)).otherwise(F.transform(paragraphs, split)[0])
 
 
-def _sections(plain: Column) -> Column:
-    """Array of (section, heading_path, text): parts between headings, with the headings above them; blank ones are left out."""
-    kind = "array<struct<text:string,above:array<struct<depth:int,title:string>>>>"
+def _headings(heads: pa.Array) -> pa.Array:
+    """Of each part of a page (depth, title) the titles above it and its own; it sees no text, and pages without headings are null."""
+    out: list[list[list[str]] | None] = []
+    for row in heads.to_pylist():
+        stack: list[dict] = []
+        paths = []
+        for own in row or ():
+            if own["depth"]:
+                while stack and stack[-1]["depth"] >= own["depth"]:
+                    stack.pop()
+                stack.append(own)
+            paths.append([h["title"] for h in stack])
+        out.append(None if row is None else paths)
+    return pa.array(out, pa.list_(pa.list_(pa.string())))
+
+
+def _sections(pages: DataFrame) -> DataFrame:
+    """(path, sections) of (path, plain): an array of (section, heading_path, text), blank ones left out."""
 
     def headed(part: Column) -> Column:
         line = F.substring_index(part, "\n", 1)
         return F.struct(part.alias("text"), F.length(F.regexp_extract(line, r"\A(#{1,6})\s+\S", 1)).alias("depth"), strip(F.regexp_extract(line, r"\A#{1,6}\s+(.+)\z", 1)).alias("title"))
 
-    def step(a: Column, own: Column) -> Column:
-        above = F.coalesce(F.get(a, F.size(a) - 1)["above"], F.array().cast("array<struct<depth:int,title:string>>"))
-        # A heading is above a section if nothing as shallow stands between.
-        stack = F.when(own["depth"] > 0, F.concat(F.filter(above, lambda h: h["depth"] < own["depth"]), F.array(F.struct(own["depth"].alias("depth"), own["title"].alias("title"))))).otherwise(above)
-        return F.concat(a, F.array(F.struct(own["text"].alias("text"), stack.alias("above"))))
-
-    first = F.when(plain.rlike(r"\A#{1,6}[^\S\n]+\S"), 1).otherwise(0)  # what stands before the first heading has the number 0
-    parts = F.aggregate(F.transform(F.split(plain, HEADING, -1), headed), F.array().cast(kind), step)
-    named = F.transform(parts, lambda x, i: F.struct((i + first).alias("section"), F.transform(x["above"], lambda h: h["title"]).alias("heading_path"), strip(x["text"]).alias("text")))
-    return F.filter(named, lambda x: x["text"] != "")
+    held = pages.select("path", F.transform(F.split("plain", HEADING, -1), headed).alias("parts"))
+    heads = F.when(F.exists("parts", lambda x: x["depth"] > 0), F.transform("parts", lambda x: F.struct(x["depth"].alias("depth"), x["title"].alias("title"))))
+    held = held.select("path", "parts", F.arrow_udf(_headings, "array<array<string>>")(heads).alias("above"))
+    first = F.when(F.get("parts", F.lit(0))["depth"] > 0, 1).otherwise(0)  # what stands before the first heading has the number 0
+    above = lambda i: F.coalesce(F.get("above", i), F.array().cast("array<string>"))
+    named = F.transform("parts", lambda x, i: F.struct((i + first).alias("section"), above(i).alias("heading_path"), strip(x["text"]).alias("text")))
+    return held.select("path", F.filter(named, lambda x: x["text"] != "").alias("sections"))
 
 
 def sections(pages: DataFrame) -> DataFrame:
     """(path, section, heading_path, text) of (path, plain): parts between headings, with the headings above them."""
-    return pages.select("path", F.explode(_sections(F.col("plain"))).alias("s")).select("path", "s.*")
+    return _sections(pages).select("path", F.explode("sections").alias("s")).select("path", "s.*")
 
 
 def chunk(pages: DataFrame, size: int = 512, overlap: float = 0.15, chars_per_token: int = 4, spread: bool = True) -> DataFrame:
@@ -101,8 +114,8 @@ def chunk(pages: DataFrame, size: int = 512, overlap: float = 0.15, chars_per_to
 
         return F.transform(own, one)
 
-    pieces = F.flatten(F.transform(_sections(F.col("plain")), cut))
-    rows = (pages.repartition("path") if spread else pages).select("path", F.posexplode(F.transform(F.array(pieces), overlapping)[0]).alias("chunk_idx", "c"))
+    pieces = F.flatten(F.transform("sections", cut))
+    rows = _sections(pages.repartition("path") if spread else pages).select("path", F.posexplode(F.transform(F.array(pieces), overlapping)[0]).alias("chunk_idx", "c"))
     return rows.select(chunk_id(F.col("path"), F.col("chunk_idx")).alias("chunk_id"), "path", "chunk_idx", "c.text", "c.heading_path")
 
 

@@ -57,6 +57,13 @@ def test_sections_follow_headings(spark):
     assert [r.chunk_id for r in rows] == [f"p.md#{i}" for i in range(4)]
 
 
+def test_many_headings_on_a_page(spark):
+    plain = "before\n" + "".join(f"{'#' * (1 + i % 3)} h{i}\ntext {i}\n" for i in range(30_000))
+    rows = chunking.chunk(spark.createDataFrame([("p.md", plain)], "path string, plain string")).orderBy("chunk_idx").collect()
+    assert len(rows) == 30_001 and rows[0].heading_path == [] and rows[0].text == "before"
+    assert all(r.heading_path == [f"h{j}" for j in range(i - i % 3, i + 1)] for i, r in enumerate(rows[1:]))
+
+
 def test_splitting_packs_paragraphs_sentences_and_cuts():
     assert split_text("a" * 25, 10) == ["a" * 10, "a" * 10, "a" * 5]
     assert split_text("One two. Three four. Five six.", 20) == ["One two.", "Three four.", "Five six."]
