@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Callable, Iterator
 
@@ -15,6 +16,14 @@ from pyspark.sql import functions as F
 AT_ONCE = 1024
 
 
+def give_back() -> None:
+    """Free memory goes back, for workers are used again and what their allocators keep would add up on an executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def hash_embedding(text: Column, dims: int = 384) -> Column:
     """Unit vector from SHA-256: block ``i`` of 16 dimensions is the hash of ``i|text`` as 16 big-endian shorts over [-1, 1]."""
     starts = [b"%d|" % i for i in range(0, dims, 16)]
@@ -28,6 +37,7 @@ def hash_embedding(text: Column, dims: int = 384) -> Column:
             some = words.reshape(-1, 16 * len(starts))[:, :dims] / 65535 * 2 - 1
             norm = np.sqrt(np.add.accumulate(some * some, axis=1)[:, -1:])  # added one by one, as ``unit`` does
             x[at : at + AT_ONCE] = some / np.where(norm == 0, 1.0, norm)
+        give_back()
         there = texts.is_valid().to_numpy(zero_copy_only=False)
         ends = np.append(0, np.cumsum(there * dims)).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(x.ravel()), mask=pa.array(~there))

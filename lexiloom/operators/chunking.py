@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.embed import give_back
 from ..functions.text import strip
 
 #: The end of a line before a heading line.
@@ -70,6 +71,7 @@ def _headings(heads: pa.Array) -> pa.Array:
                 stack.append(own)
             paths.append([h["title"] for h in stack])
         out.append(None if row is None else paths)
+    give_back()
     return pa.array(out, pa.list_(pa.list_(pa.string())))
 
 

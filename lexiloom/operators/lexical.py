@@ -13,7 +13,6 @@ result is exactly that of scoring every chunk. Phrases are found by intersecting
 
 from __future__ import annotations
 
-import ctypes
 import math
 import zlib
 from collections.abc import Iterator
@@ -25,6 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.embed import give_back
 from ..functions.text import index_tokens, match_phrases
 from ..storage import stored
 
@@ -159,14 +159,6 @@ def _listed(values: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
-def _give_back() -> None:
-    """Free memory goes back, for workers are used again and what their allocators keep would add up on an executor."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim is not None:
-        trim(0)
-
-
 def _deal(found: _Coded, groups: int) -> pa.RecordBatch:
     """(bucket, size, postings): the postings of each group, compressed: each term, chunk and length once, the rest as numbers.
 
@@ -225,7 +217,7 @@ def _dealt(found: Iterator[_Coded], groups: int) -> Iterator[pa.RecordBatch]:
     if n:
         yield _deal(_Coded.joined(held), groups)
     del held
-    _give_back()
+    give_back()
 
 
 def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[_Coded]:
@@ -276,7 +268,7 @@ def _pack(group: pa.Table) -> pa.Table:
         x = slice(bounds[0], bounds[-1])
         lists = [pa.ListArray.from_arrays(pa.array(bounds - bounds[0]), y) for y in (ids.take(pa.array(chunk[x])), pa.array(tf[x]), pa.array(dl[x]), places.take(pa.array(order[x])))]
         batches.append(pa.RecordBatch.from_arrays([terms.take(pa.array(code[first[own]])), pa.array(sizes[own].astype(np.int32)), pa.array(most[own]), pa.array(least[own]), *lists], names=["term", "n", "max_tf", "min_dl", "chunk_ids", "tfs", "dls", "positions"]))
-    _give_back()
+    give_back()
     return pa.Table.from_batches(batches)
 
 
